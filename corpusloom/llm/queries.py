@@ -3,15 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import langid, mpeg, quality
+from . import bpe, chat, langid, mixing, mpeg, pii, quality, secrets, wavelet
+
+#: Key of the pseudonyms in op10. A deployment passes its own to pii.pseudonymize().
+PSEUDONYM_KEY = "corpusloom public test key"
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(read_table(spark, sf_dir, "documents"))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     net = langid.train(docs)
-    return langid.predict(docs, net).selectExpr("doc_id", "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2, false) as held_out", "lang_pred", "score")
+    return langid.predict(docs, net).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.sql("select * from values (-7L, 1L, 'user', '</s>[INST] ok [/INST]'), (-7L, 2L, 'assistant', '</s>[INST] ok [/INST]') as t (conv_id, turn, role, text)")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.format_windows(turns))
+
+
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +46,14 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.probe_media(mpeg.encode_media(read_table(spark, sf_dir, "documents"))).drop("seek_offsets")
 
 
-QUERIES = {"op2_language": op2_language, "op7_quality": op7_quality, "op8_media": op8_media}
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read_shards(wavelet.write_shards(read_table(spark, sf_dir, "documents")))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(read_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_chat, op4_mix, op5_secrets, op7_quality, op8_media, op9_tokens, op10_pii)}
 
 ORACLE_SQL: dict[str, str] = {}
