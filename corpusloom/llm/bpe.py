@@ -173,6 +173,11 @@ def decode(ids: np.ndarray | list[int], path: str) -> str:
     return b"".join([table[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids) if i < len(table)]).decode("utf-8", "replace")
 
 
+def _lists(ids: list[bytes]) -> pa.Array:
+    offsets = np.cumsum([0] + [len(i) // 4 for i in ids]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))]))
+
+
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (array<int>) of every document. A null text has no ids; repeated rows are encoded row by row."""
     path = path or default_vocabulary()
@@ -181,9 +186,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         enc = encoder(path)
         for part in slices(batches):
             ids = enc.encode([t or "" for t in part.column("text").to_pylist()])
-            offsets = np.cumsum([0] + [len(i) // 4 for i in ids]).astype(np.int32)
-            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids)], ["doc_id", "ids"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -200,8 +203,11 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: its encoding, and the decoding of these very ids, in one pass."""
+def digest_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: its encoding, and the decoding of these very ids, in one pass.
+
+    with_ids adds the ids themselves (array<int>).
+    """
     path = path or default_vocabulary()
 
     def run(batches):
@@ -209,7 +215,11 @@ def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         for part in slices(batches):
             ids = enc.encode([t or "" for t in part.column("text").to_pylist()])
             decoded = [hashlib.sha256(decode(np.frombuffer(i, "<u4"), path).encode()).hexdigest() for i in ids]
-            columns = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            columns = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array(decoded, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.append(_lists(ids))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names)
+
+    return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

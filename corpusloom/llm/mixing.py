@@ -48,34 +48,81 @@ def targets(sizes: DataFrame) -> DataFrame:
     return per.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(first, level) * F.col("w"))).select("source", "source_size", "n_docs", "target")
 
 
+def _drawn(docs: DataFrame, seed: int, weight) -> DataFrame:
+    """docs with __size and __key, from its columns doc_id, source and text."""
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    u = (F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return docs.withColumn("__size", size).withColumn("__key", -F.log(u) / F.coalesce(weight(F.col("text"), F.col("__size")), F.lit(0.25)))
+
+
+def _bin(key: Column, bins: Column) -> Column:
+    return F.least(bins - 1, F.floor((1 - F.exp(-key)) * bins))
+
+
+def _place(key: Column, doc_id: Column, size: Column) -> Column:
+    return F.struct(key.alias("key"), F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))).alias("doc_id"), size.alias("size"))
+
+
+def plan(rows: DataFrame) -> DataFrame:
+    """A written row for each source of rows (doc_id, source, size, key): its size, target, complete epochs, and where the fraction ends.
+
+    A document is in the fraction if its bin lies below edge, or is edge and its place (key, doc_id, size) is not beyond cut.
+    """
+    goals = materialize(targets(rows), "targets")
+    bins = F.ceil(F.col("n_docs") / DOCS_PER_BIN).cast("long")
+    base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    goals = goals.select("source", "source_size", "target", bins.alias("bins"), base.alias("base"), (F.col("target") - base * F.col("source_size")).alias("rest"))
+    rows = _with_source(rows, goals).withColumn("bin", _bin(F.col("key"), F.col("bins")))
+    sums = rows.groupBy("source", "bin").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
+    over = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(over), F.lit(0)))
+    edge = sums.where("before < rest").groupBy("source").agg(F.max(F.struct("bin", (F.col("rest") - F.col("before")).alias("rest"))).alias("e"))
+    edge = materialize(edge.select("source", F.col("e.bin").alias("edge"), F.col("e.rest").alias("within")), "edges")
+    # within the one bin where the rest ends: up to the prefix nearest to it, so a document is in if at least half of it fits
+    near = _with_source(rows, edge).where("bin = edge").withColumn("place", _place(F.col("key"), F.col("doc_id"), F.col("size")))
+    upto = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("fits", F.sum("size").over(upto) - F.col("size") / 2 <= F.col("within"))
+    cut = near.groupBy("source").agg(F.first("edge").alias("edge"), F.max(F.when(F.col("fits"), F.col("place"))).alias("cut"))
+    return materialize(goals.alias("g").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left").select("g.*", "edge", "cut"), "plan")
+
+
+def _with_source(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows joined with a table of one row for each source."""
+    other = small_side(table.withColumnRenamed("source", "__source"), 100_000)
+    return rows.join(other, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+
+
+def _epochs(size: Column, key: Column, doc_id: Column, prefix: str = "") -> Column:
+    """How often a document is taken; prefix: of the plan's columns."""
+    bins, base, edge, cut = (F.col(prefix + c) for c in ("bins", "base", "edge", "cut"))
+    at = _bin(key, bins)
+    inside = (at < edge) | ((at == edge) & (_place(key, doc_id, size) <= cut))
+    return F.when(size > 0, F.least(F.lit(MOST), base + F.coalesce(inside, F.lit(False)).cast("long"))).otherwise(0)
+
+
+def _sizes(docs: DataFrame, seed: int, weight) -> DataFrame:
+    """doc_id, source, size, key of every document, written: texts are read once, what follows reads four narrow columns."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    return materialize(_drawn(rows, seed, weight).select("doc_id", "source", F.col("__size").alias("size"), F.col("__key").alias("key")), "mix")
+
+
 def mix(docs: DataFrame, seed: int = 17, weight=quality_weight) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs, taken of every document: the mix takes taken = epochs * size words of it.
 
     Whole documents are taken, so a source's words come as near to its target as its documents' sizes allow. A null text has
-    size 0 and takes nothing. Rows with equal ids and texts draw equal keys. The same rows give the same mix in every run.
+    size 0 and takes nothing. Repeated rows draw the same key and are taken alike. The same rows give the same mix in every run.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).withColumn("size", size)
-    u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    rows = rows.select("doc_id", "source", "size", (-F.log(u) / F.coalesce(weight(F.col("text"), F.col("size")), F.lit(0.25))).alias("key"))
-    rows = materialize(rows, "mix")  # sizes are counted once; what follows reads four narrow columns
-    goals = small_side(materialize(targets(rows), "targets"), 100_000)
-    bins = F.ceil(F.col("n_docs") / DOCS_PER_BIN)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    rows = rows.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select(
-        "d.*", "source_size", "target", epochs.alias("base"), F.least(bins - 1, F.floor((1 - F.exp(-F.col("key"))) * bins)).alias("bin")
-    )
-    rest = F.col("target") - F.col("base") * F.col("source_size")
-    sums = rows.groupBy("source", "bin").agg(F.sum("size").alias("n"), F.first(rest).alias("rest"))
-    over = Window.partitionBy("source").orderBy("bin")
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # the bin in which the rest ends, or the last one
-    edge = sums.where("before < rest").groupBy("source").agg(F.max(F.struct("bin", (F.col("rest") - F.col("before")).alias("rest"))).alias("e"))
-    edge = small_side(materialize(edge.select(F.col("source").alias("edge_source"), F.col("e.bin").alias("edge"), "e.rest"), "edges"), 100_000)
-    rows = rows.join(edge, F.col("source").eqNullSafe(F.col("edge_source")), "left").drop("edge_source")
-    inside = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    # up to the prefix nearest to the rest: the last document is in if at least half of it fits
-    near = rows.where("bin = edge").withColumn("extra", (F.sum("size").over(inside) - F.col("size") / 2 <= F.col("rest")).cast("long"))
-    clear = rows.where("edge is null or bin <> edge").withColumn("extra", F.coalesce((F.col("bin") < F.col("edge")).cast("long"), F.lit(0)))
-    done = near.unionByName(clear).withColumn("epochs", F.when(F.col("size") > 0, F.least(F.lit(MOST), F.col("base") + F.col("extra"))).otherwise(0))
-    return done.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))
+    rows = _sizes(docs, seed, weight)
+    rows = _with_source(rows, plan(rows)).withColumn("epochs", _epochs(F.col("size"), F.col("key"), F.col("doc_id")))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, seed: int = 17, weight=quality_weight) -> DataFrame:
+    """The rows of docs that the mix takes, as often as it takes them, with all their columns. Texts aren't shuffled."""
+    cuts = plan(_sizes(docs, seed, weight))
+    own = [f"__plan_{c}" for c in cuts.columns]
+    other = small_side(cuts.toDF(*own), 100_000)
+    rows = _drawn(docs, seed, weight).join(other, F.col("source").eqNullSafe(F.col("__plan_source")))
+    epochs = _epochs(F.col("__size"), F.col("__key"), F.col("doc_id"), "__plan_")
+    rows = rows.withColumn("__epochs", epochs.cast("int")).where("__epochs > 0")
+    return rows.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bpe, chat, langid, mixing, mpeg, pii, quality, secrets, wavelet
+from . import bpe, chat, langid, mixing, mpeg, ngram_join, pii, quality, secrets, wavelet
 
 #: Key of the pseudonyms in op10. A deployment passes its own to pii.pseudonymize().
 PSEUDONYM_KEY = "corpusloom public test key"
@@ -36,6 +36,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = quality.fit_labels(docs, read_table(spark, sf_dir, "labels"))
@@ -54,6 +58,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(read_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_chat, op4_mix, op5_secrets, op7_quality, op8_media, op9_tokens, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_chat, op4_mix, op5_secrets, op6_ngram_join, op7_quality, op8_media, op9_tokens, op10_pii)}
 
 ORACLE_SQL: dict[str, str] = {}
