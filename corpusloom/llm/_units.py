@@ -9,6 +9,10 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterable
+from itertools import chain
+
+import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -16,12 +20,13 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SPACED = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?]*(?:\s|\Z))|[.,;:!?]+(?=\s|\Z)| ?\S+|\s+(?!\S)|\s+")
 #: The same for tokenizers that drop white space.
 UNSPACED = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?]*(?:\s|\Z))|[.,;:!?]+(?=\s|\Z)|\S+")
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Characters that count as white space in one library only, and what may begin a special token: such texts are encoded whole.
 WHOLE = re.compile(r"[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]|<\|")
 
 
 class UnitEncoder:
-    """Ids of pieces as little-endian 32-bit integers. The cache holds at most 2 * capacity pieces, in two generations."""
+    """Ids of pieces as little-endian 32-bit integers. The cache holds about 2 * capacity pieces, in two generations."""
 
     def __init__(self, path: str, pattern: re.Pattern, capacity: int = 200_000):
         from tokenizers import Tokenizer
@@ -32,28 +37,68 @@ class UnitEncoder:
         self.pattern, self.capacity = pattern, capacity
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        # vocabularies that mark the end of a word and ignore case let many words go to the library as one text
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False) if pattern is UNSPACED else {}
+        self.word_end = np.zeros(1 + max(vocabulary.values(), default=0), bool)
+        self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _new(self, units: list[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
+        if self.word_end.any():
+            alone = [u for u in units if LATIN.fullmatch(u)]
+            if alone:
+                ids = np.array(self.tokenizer.encode(" ".join(alone), add_special_tokens=False).ids, "<u4")
+                ends = 4 * (np.flatnonzero(self.word_end[ids]) + 1)
+                if len(ends) == len(alone):
+                    raw, ends = ids.tobytes(), ends.tolist()
+                    found = {u: raw[a:b] for u, a, b in zip(alone, [0, *ends], ends, strict=False)}
+        rest = [u for u in units if u not in found]
+        found.update(zip(rest, self.library(rest), strict=True))
+        return found
+
     def split(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
+    def _ensure(self, units: Iterable[str]) -> None:
+        missing = [u for u in set(units) if u not in self.young]
+        new = []
+        for u in missing:
+            if (ids := self.old.get(u)) is None:
+                new.append(u)
+            else:
+                self.young[u] = ids
+        if new:
+            self.young.update(self._new(new))
+
+    def _age(self) -> None:
+        if len(self.young) > self.capacity:
+            self.old, self.young = self.young, {}
+
     def encode(self, units: list[str]) -> list[bytes]:
-        got = list(map(self.young.get, units))
-        missing = {u for u, g in zip(units, got, strict=True) if g is None}
-        if missing:
-            found = {u: self.old[u] for u in missing if u in self.old}
-            new = [u for u in missing if u not in found and len(u) <= 64]
-            found.update(zip(new, self.library(new), strict=True))
-            if len(self.young) + len(found) > self.capacity:
-                self.old, self.young = self.young, {}
-            self.young.update(found)
-            long = [u for u in missing if u not in found]  # not worth keeping
-            if long:
-                found.update(zip(long, self.library(long), strict=True))
-            got = [found[u] if g is None else g for u, g in zip(units, got, strict=True)]
+        self._ensure(units)
+        got = [self.young[u] for u in units]
+        self._age()
         return got
 
-    def text(self, text: str) -> bytes:
-        return b"".join(self.encode(self.split(text))) if not WHOLE.search(text) else self.library([text])[0]
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts."""
+        whole = [bool(WHOLE.search(t)) for t in texts]
+        if self.word_end.any():
+            texts = [t if w else _lower(t) for t, w in zip(texts, whole, strict=True)]
+        split = [[] if w else self.split(t) for t, w in zip(texts, whole, strict=True)]
+        self._ensure(chain.from_iterable(split))
+        get = self.young.__getitem__
+        out = [self.library([t])[0] if w else b"".join(map(get, s)) for t, w, s in zip(texts, whole, split, strict=True)]
+        self._age()
+        return out
+
+
+def _lower(text: str) -> str:
+    """Lower case of a text of Latin-1 characters, for which all libraries agree; others stay as they are."""
+    try:
+        return text.lower() if text.isascii() or text.encode("latin-1") else text
+    except UnicodeEncodeError:
+        return text

@@ -151,7 +151,7 @@ class Shard:
 @cache
 def encoder(path: str) -> UnitEncoder:
     """One for each worker process, so its cache lives from task to task."""
-    return UnitEncoder(path, UNSPACED, 250_000)
+    return UnitEncoder(path, UNSPACED, 400_000)
 
 
 FILES = "shard int, part int, n_docs long, n_tokens long, content binary"
@@ -180,8 +180,9 @@ def write_shards(docs: DataFrame, path: str | None = None, docs_per_shard: int =
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "part", "n_docs", "n_tokens", "content"])
 
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = enc.text(text or "") + end
+            encoded = enc.texts([t or "" for t in batch.column("text").to_pylist()])
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
+                own += end
                 n = len(own) // 4
                 if held and total + n > max_tokens:
                     yield flush()
