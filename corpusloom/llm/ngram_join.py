@@ -35,8 +35,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 def band_plan(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = 160) -> tuple[int, int]:
     """(bands, rows): the most rows, hence the fewest false candidates, that reach the recall at the threshold with max_hashes hashes."""
     best = (max_hashes, 1)
-    for rows in range(1, max_hashes + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+    for rows in range(1, 65):
+        bands = math.ceil(math.log1p(-recall) / math.log1p(-min(threshold**rows, 1 - 1e-12)))
         if bands * rows <= max_hashes:
             best = (bands, rows)
     return best
