@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def _pairs() -> dict[str, tuple[Callable, str | None]]:
-    from . import reading, tables, text
+    from . import reading, tables, text, udf
 
-    return reading.QUERIES | text.QUERIES | tables.QUERIES
+    return reading.QUERIES | text.QUERIES | tables.QUERIES | udf.QUERIES
 
 
 def all_queries() -> dict[str, Callable]:
