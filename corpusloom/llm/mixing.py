@@ -51,7 +51,8 @@ def targets(sizes: DataFrame) -> DataFrame:
 def _drawn(docs: DataFrame, seed: int, weight) -> DataFrame:
     """docs with __size and __key, from its columns doc_id, source and text."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    u = (F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    u = (F.conv(F.substring(mark, 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
     return docs.withColumn("__size", size).withColumn("__key", -F.log(u) / F.coalesce(weight(F.col("text"), F.col("__size")), F.lit(0.25)))
 
 

@@ -60,4 +60,34 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_chat, op4_mix, op5_secrets, op6_ngram_join, op7_quality, op8_media, op9_tokens, op10_pii)}
 
-ORACLE_SQL: dict[str, str] = {}
+_MIX = r"""
+with d as (select doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents),
+m as (select *, length(text) / greatest(size, 1) - 1 as mean from d),
+k as (select doc_id, source, size, -ln((('0x' || substr(md5('17:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint + 0.5) / 4503599627370496.0) / coalesce(greatest(0.25, 1 - greatest(4 - mean, mean - 8, 0.0) / 8), 0.25) as key from m),
+s as (select source, sum(size) as n, [3, 1, 2][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as w from k group by source),
+c as (select a.source, a.n, a.w, ((select 1.5 * sum(n) from s) - coalesce(sum(2 * b.n) filter (2 * b.n / b.w < 2 * a.n / a.w), 0)) / sum(b.w) filter (2 * b.n / b.w >= 2 * a.n / a.w) as level from s a, s b group by all),
+l as (select level from c where level * w <= 2 * n order by 2 * n / w limit 1),
+t as (select source, n as source_size, least((2 * n)::double, (l.level * w)::double) as target from s, l),
+b as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as base from t),
+f as (select k.doc_id, k.size, b.source_size, b.target, b.base, sum(k.size) over (partition by k.source order by k.key, k.doc_id, k.size rows between unbounded preceding and current row) - k.size / 2 <= b.target - b.base * b.source_size as near
+  from k join b on k.source is not distinct from b.source)
+select doc_id, size::bigint as size, source_size::bigint as source_size, target, (least(2, base + near::int) * size)::bigint as taken from f
+"""
+
+_CHAT = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select * from (values (-7::bigint, 1::bigint, 'user', '</s>[INST] ok [/INST]'), (-7::bigint, 2::bigint, 'assistant', '</s>[INST] ok [/INST]'))),
+p as (select *, row_number() over w as pos from t window w as (partition by conv_id order by turn, role, text)),
+q as (select *, pos = 1 and role = 'system' as sys, length(regexp_replace(text, '([<\[])(\\*)(\|(?:im_start|im_end|endoftext|startoftext|system|user|assistant|end)\|>|/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')) + length(role) + 24 as size from p),
+r as (select *, case when sys then 0 else len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) + 4 end as tok from q),
+a as (select *, sum(tok) over (partition by conv_id order by pos rows between unbounded preceding and current row) - tok as start from r),
+b as (select *, dense_rank() over (partition by conv_id order by start // 768) as win from a),
+c as (select *, min(start) over (partition by conv_id order by win range between 1 following and 1 following) as nxt from b),
+g as (select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) as turns_sha256, coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by pos) filter (role = 'assistant'), '')) as loss_sha256, max(win) as n_windows,
+  sum(size)::bigint + coalesce(sum(size) filter (not sys and nxt - start <= 192), 0)::bigint + (max(win) - 1) * coalesce(sum(size) filter (sys), 0)::bigint as formatted_chars from c group by conv_id)
+select conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars::bigint as formatted_chars, n_windows from g
+"""
+
+#: The other operators fit models, use a library's vocabulary, or write a binary format: no SQL says what they return.
+ORACLE_SQL: dict[str, str] = {"op3_chat": _CHAT, "op4_mix": _MIX}
