@@ -123,3 +123,19 @@ def test_align_greedy(spark):
     df = spark.createDataFrame([(["a", "b", "c"], ["A", "x", "B", "C"]), (["a", "b"], ["A"]), (["a", "b"], ["x", "B"])], "p array<string>, m array<string>")
     got = [r[0] for r in df.select(sequences.align_tokens(F.col("p"), F.col("m"), F.lower)).collect()]
     assert got == [["A", "B", "C"], ["A", None], [None, "B"]]
+
+
+def test_split_marks(spark):
+    from corpusloom.operators import features
+
+    lex = spark.createDataFrame([("علم", ["-|َ|-", "-|ْ|-"], ["عَلَم", "عِلْم"], 40)], "word string, patterns array<string>, examples array<string>, total int")
+    texts = spark.createDataFrame([(1, "عِلْم ق~ال علم")], "uid int, text string")
+    got = {r.idx: r for r in features.split_marks(texts, lex).collect()}
+    assert [got[i].bare for i in range(3)] == ["علم", "قال", "علم"] and got[0].code == 1 and got[2].code is None and got[1].variants == [1, 0, 0]
+
+
+def test_fit_length(spark):
+    from corpusloom.operators import features
+
+    df = spark.createDataFrame([([[1.0], [2.0]], 3), ([[1.0], [2.0]], 1), (None, 2)], "v array<array<double>>, n int")
+    assert [r[0] for r in df.select(features.fit_length(F.col("v"), F.col("n"), 1)).collect()] == [[[1.0], [2.0], [0.0]], [[1.0]], [[0.0], [0.0]]]
