@@ -59,7 +59,7 @@ def vowel_pattern(word: Column, drop_case_ending: bool = True) -> Column:
 
 def normalize_variant_marks(text: Column) -> Column:
     """Junk goes; a triple dot or tilde becomes a tilde where the last letter before it can vary, and goes elsewhere."""
-    clean = F.regexp_replace(text, f"[{JUNK}]", "")
+    clean = F.translate(text, JUNK, "")
     marked = F.replace(clean, F.lit(TRIPLE_DOT), F.lit(VARIANT))
     start = F.struct(F.lit("").alias("letter"), F.array().cast("array<string>").alias("out"))
 
