@@ -1,6 +1,7 @@
 """Per-word clustering of vectors: projection, k-means, stability, and the gates that a split into codes has to pass.
 
-A word's vectors are clustered in one task, in numpy; the cap on its occurrences is part of the method. Words run in parallel.
+A word's codes are fitted on at most cap of its vectors, in one task, in numpy; then every vector of the word takes the code of the
+nearest centroid, those of frequent words in several tasks. Words run in parallel.
 """
 
 from __future__ import annotations
@@ -13,8 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize, small_side
 from .manifest import capped
 
+#: Rows of a word that one call labels.
+ROWS_PER_GROUP = 4096
+
 
 @dataclass(frozen=True)
 class Clustering:
@@ -131,9 +136,12 @@ def separation(x: np.ndarray, label: np.ndarray, centres: np.ndarray) -> float:
     return float(gaps.min() / (np.mean(radii) + 1e-8) / 2)
 
 
-def codes_of(x: np.ndarray, seconds: np.ndarray | None, p: Clustering, seed: int) -> tuple[np.ndarray, float, float, float]:
-    """labels by falling frequency, and stability, silhouette and separation of the split; one code if no split passes the gates."""
-    one = np.zeros(len(x), np.int64), 1.0, 0.0, 0.0
+def codes_of(x: np.ndarray, seconds: np.ndarray | None, p: Clustering, seed: int) -> tuple[np.ndarray, float, float, float, dict]:
+    """labels by falling frequency, and stability, silhouette and separation of the split; one code if no split passes the gates.
+
+    The last element is the model of the split, for nearest(): mean, axes, scale and centroids; empty for one code.
+    """
+    one = np.zeros(len(x), np.int64), 1.0, 0.0, 0.0, {}
     if len(x) < max(8, int(np.ceil(2 / p.min_cluster_frac))):
         return one
     rng = np.random.default_rng(seed)
@@ -154,45 +162,70 @@ def codes_of(x: np.ndarray, seconds: np.ndarray | None, p: Clustering, seed: int
             scores.append(agreement(kmeans(z[part], k, rng, n_init=2)[0], label[part]))
         stable = float(np.mean(scores)) if scores else 1.0
         if stable >= p.min_stability and (best is None or stable * sil * sep > best[0]):
-            best = stable * sil * sep, label, size, stable, sil, sep
+            best = stable * sil * sep, label, centres, size, stable, sil, sep
     if best is None:
         return one
-    _, label, size, stable, sil, sep = best
+    _, label, centres, size, stable, sil, sep = best
+    order = np.lexsort((np.arange(len(size)), -size))
     rank = np.empty(len(size), np.int64)
-    rank[np.lexsort((np.arange(len(size)), -size))] = np.arange(len(size))
-    return rank[label], stable, sil, sep
+    rank[order] = np.arange(len(size))
+    return rank[label], stable, sil, sep, {"mean": mean, "axes": axes, "scale": scale, "centroids": centres[order]}
 
 
-CODES = "word string, uid long, code int, n_codes int, stability double, silhouette double, separation double"
+def nearest(x: np.ndarray, mean: np.ndarray, axes: np.ndarray, scale: float, centroids: np.ndarray) -> np.ndarray:
+    return squared_distances((unit(x.astype(np.float64)) - mean) @ axes.T * scale, centroids).argmin(1)
 
 
-def discover_codes(rows: DataFrame, params: Clustering = Clustering()) -> DataFrame:
-    """word, uid, code and the split's quality, of rows (word, uid, vector array<float>, seconds double or null).
+MODELS = "word string, n long, n_codes int, stability double, silhouette double, separation double, mean array<double>, axes array<array<double>>, scale double, centroids array<array<double>>"
+
+
+def fit_codes(rows: DataFrame, params: Clustering = Clustering()) -> DataFrame:
+    """One model for each word of rows: its number of rows n, n_codes, the split's quality, and what nearest() needs if n_codes > 1.
 
     Words with fewer than min_word_freq rows are left out; of more frequent ones at most params.cap rows count, drawn by hash.
     """
-    frequent = rows.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= params.min_word_freq).select("word")
-    held = capped(rows.join(frequent, "word", "left_semi"), "word", "uid", params.cap)
+    frequent = rows.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= params.min_word_freq)
+    held = capped(rows, "word", "uid", params.cap).join(frequent, "word")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("uid")
         word = pdf.word.iloc[0]
         seconds = None if pdf.seconds.isna().any() else pdf.seconds.to_numpy()
-        label, stable, sil, sep = codes_of(np.array(pdf.vector.tolist()), seconds, params, params.seed ^ zlib.crc32(str(word).encode()))
-        return pd.DataFrame({"word": word, "uid": pdf.uid, "code": label.astype("int32"), "n_codes": np.int32(label.max() + 1), "stability": stable, "silhouette": sil, "separation": sep})
+        label, stable, sil, sep, m = codes_of(np.array(pdf.vector.tolist()), seconds, params, params.seed ^ zlib.crc32(str(word).encode()))
+        model = [m["mean"], list(m["axes"]), m["scale"], list(m["centroids"])] if m else [None] * 4
+        return pd.DataFrame([[word, pdf.n.iloc[0], label.max() + 1, stable, sil, sep, *model]], columns=["word", "n", "n_codes", "stability", "silhouette", "separation", "mean", "axes", "scale", "centroids"])
 
-    return held.groupBy("word").applyInPandas(run, CODES)
+    return held.groupBy("word").applyInPandas(run, MODELS)
 
 
-def assign_codes(rows: DataFrame, models: DataFrame) -> DataFrame:
-    """word, uid, code of every row by the nearest of its word's centroids; models: word, mean, axes, scale, centroids (arrays)."""
+def discover_codes(rows: DataFrame, params: Clustering = Clustering()) -> DataFrame:
+    """word, uid, code and the split's quality, of rows (word, uid, vector array<float>, seconds double or null).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.iloc[0]
-        z = (unit(np.array(pdf.vector.tolist(), np.float64)) - np.array(m["mean"])) @ np.stack(m["axes"]).T * m["scale"]
-        return pd.DataFrame({"word": pdf.word, "uid": pdf.uid, "code": squared_distances(z, np.stack(m["centroids"])).argmin(1).astype("int32")})
+    Codes are fitted on a sample of each word's rows and given to all of them. Words with fewer than min_word_freq rows are left out.
+    """
+    models = materialize(fit_codes(rows, params), "codes")
+    rated = models.select("word", "n_codes", "stability", "silhouette", "separation")
+    single = rows.join(small_side(rated.where("n_codes = 1").select("word"), 100_000), "word", "left_semi").select("word", "uid", F.lit(0).alias("code"))
+    return assign_codes(rows, models.where("n_codes > 1")).unionByName(single).join(small_side(rated, 100_000), "word")
 
-    return rows.join(models, "word").groupBy("word").applyInPandas(run, "word string, uid long, code int")
+
+def assign_codes(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """word, uid, code of every row by the nearest of its word's centroids; models: word, n, mean, axes, scale, centroids (arrays).
+
+    A word's rows are dealt to groups by n, its number of rows; each group gets the model once.
+    """
+    groups = F.ceil(F.col("n") / ROWS_PER_GROUP)
+    dealt = rows.join(small_side(models.select("word", "n"), 100_000), "word").select("word", "uid", "vector", F.pmod(F.xxhash64("uid"), groups).alias("part"))
+    copies = models.select("word", F.explode(F.sequence(F.lit(0).cast("long"), groups - 1)).alias("part"), "mean", "axes", "scale", "centroids")
+
+    def run(pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"word": [], "uid": [], "code": []})
+        m = model.iloc[0]
+        code = nearest(np.array(pdf.vector.tolist()), np.array(m["mean"]), np.stack(m["axes"]), m["scale"], np.stack(m["centroids"]))
+        return pd.DataFrame({"word": pdf.word, "uid": pdf.uid, "code": code.astype("int32")})
+
+    return dealt.groupBy("word", "part").cogroup(copies.groupBy("word", "part")).applyInPandas(run, "word string, uid long, code int")
 
 
 def exact_silhouette(rows: DataFrame, group: str, vector: str, uid: str, block: int = 2048) -> DataFrame:

@@ -109,6 +109,18 @@ def test_clusters():
     assert cluster.codes_of(np.vstack([a, b]), seconds, p, 1)[0].max() == 0
 
 
+def test_every_row_of_a_word_gets_a_code(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "ROWS_PER_GROUP", 100)
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(0, 1, 16), rng.normal(0, 1, 16)
+    rows = [("two", i, (rng.normal(0, 0.2, 16) + (a if i % 5 < 3 else b)).tolist(), None) for i in range(300)]
+    rows += [("one", 1000 + i, rng.normal(0, 1, 16).tolist(), None) for i in range(250)] + [("rare", 2000 + i, a.tolist(), None) for i in range(3)]
+    df = spark.createDataFrame(rows, "word string, uid long, vector array<float>, seconds double")
+    got = cluster.discover_codes(df, cluster.Clustering(cap=100, n_bootstrap=6)).collect()
+    assert sorted((r.word, r.uid) for r in got) == sorted((w, u) for w, u, *_ in rows if w != "rare")
+    assert all(r.code == (r.word == "two" and r.uid % 5 >= 3) and r.n_codes == 1 + (r.word == "two") for r in got)
+
+
 def test_rules(spark):
     one = spark.range(1)
     assert one.select(sequences.early_stop(F.array(*[F.lit(x) for x in (1.0, 0.9, 0.8995, 0.899, 0.8985, 0.898)]), 3, 0.002)).first()[0] == 4
