@@ -2,7 +2,8 @@
 
 The model has two first-order Markov chains over characters, one for random strings and one for ordinary identifiers, both
 counted on labelled samples with add-one smoothing. A candidate, a run of CANDIDATE characters, is a secret if the summed
-log-likelihood ratio of its character pairs passes a threshold. The chains' ratios travel as one constant array.
+log-likelihood ratio of the character pairs of any stretch of it passes a threshold, so a name or a path that a key is joined to
+doesn't weigh against it; the candidate counts whole. The chains' ratios travel as one constant array.
 """
 
 from __future__ import annotations
@@ -63,15 +64,16 @@ def train(samples: list[tuple[str, bool]]) -> list[float]:
 
 
 def ratio(word: Column, model: list[float]) -> Column:
-    """Summed log-likelihood ratio of a candidate's character pairs."""
+    """Largest sum of log-likelihood ratios over a stretch of a candidate's character pairs: sum restarts where it falls below 0."""
     table = F.split(F.lit(",".join(f"{x:.4f}" for x in model)), ",").cast("array<double>")
-    start = F.struct(F.lit(-1).alias("prev"), F.lit(0.0).alias("sum"))
+    start = F.struct(F.lit(-1).alias("prev"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
     def step(acc, c):
         code = F.ascii(c) - LOW
-        return F.struct(code.alias("prev"), (acc["sum"] + F.when(acc["prev"] < 0, 0.0).otherwise(F.get(table, acc["prev"] * SPAN + code))).alias("sum"))
+        total = F.greatest(F.lit(0.0), acc["sum"] + F.when(acc["prev"] < 0, 0.0).otherwise(F.get(table, acc["prev"] * SPAN + code)))
+        return F.struct(code.alias("prev"), total.alias("sum"), F.greatest(acc["best"], total).alias("best"))
 
-    return F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), start, step, lambda acc: acc["sum"])
+    return F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), start, step, lambda acc: acc["best"])
 
 
 def _spans(text: Column, pattern: str, kind: int, keep=None, group: int = 0) -> Column:

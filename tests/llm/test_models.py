@@ -1,7 +1,9 @@
 """op2, op7 and op5's model: held-out accuracy, monotonic trees, brute force."""
 
 import hashlib
+import random
 import re
+import string
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -103,3 +105,14 @@ def test_markov_on_labelled_samples(spark):
     got = df.select("random", (secrets.ratio(F.col("word"), model) > 10.0).alias("flag")).collect()
     assert np.mean([r.random == r.flag for r in got]) > 0.9
     assert np.mean([r.flag for r in got if not r.random]) < 0.02
+
+
+def test_keys_behind_names_and_paths(spark):
+    rng = random.Random(4)
+    names = ["database_connection_string=", "connection_string=", "org/api/v1/users/session/reset/token/", "a-long-run-of-ordinary-words-before-the-key-", "user_name_of_the_request="]
+    keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=32)) for _ in names]
+    df = spark.createDataFrame([(i, f"see {n}{k}{tail} end") for i, (n, k) in enumerate(zip(names, keys)) for tail in ("", "/index/of/the/other/items")], "doc_id long, text string")
+    assert all(r.n_markov == 1 for r in secrets.scan(df).collect())
+    assert all(r.text == "see [SECRET] end" for r in secrets.redact(df).collect())
+    plain = spark.createDataFrame([(i, n + "index/of/the/other/items") for i, n in enumerate(names)], "doc_id long, text string")
+    assert all(r.n_markov == 0 for r in secrets.scan(plain).collect())
