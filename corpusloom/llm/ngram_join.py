@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize, small_side
 from ._common import id_and_text, slices
@@ -222,11 +223,11 @@ def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
 
 
 def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = WORDS) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies, digest: a row for each row of docs.
+    """doc_id, class_id, n_links, n_copies, digest, component: a row for each row of docs.
 
     class_id is the least doc_id of the document's class, n_links the number of other documents that it is linked to directly,
     n_copies that of documents with the same shingle set. Documents without a word are classes of their own; a class whose
-    documents all lack an id has a null class_id.
+    documents all lack an id has a null class_id. component names the class whatever its ids; it is null for texts without a word.
     """
     sig = materialize(signatures(docs, threshold, recall, n), "signatures")
     vertices = sig.where("digest is not null").groupBy("digest").agg(F.count("*").alias("members"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -267,22 +268,45 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     found = components(edges)
     named = facts.join(found.withColumnRenamed("vertex", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     least = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    told = named.join(least, "component").join(links, "digest", "left").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.col("members").alias("n_copies"))
+    told = named.join(least, "component").join(links, "digest", "left").select("digest", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.col("members").alias("n_copies"))
     told = materialize(told, "classes")
     out = sig.select("doc_id", "digest").join(small_side(told, BROADCAST), "digest", "left")
     alone = F.col("digest").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), "digest")
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), "digest", "component")
+
+
+def _with_digests(docs: DataFrame, n: int) -> DataFrame:
+    """docs with the digest of each row's text in __digest."""
+
+    def run(batches):
+        for part in slices(batches):
+            yield part.append_column("__digest", pa.array([_digest(shingles(t, n)) for t in part.column("text").to_pylist()], pa.binary()))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__digest", T.BinaryType())]))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs of which one of each class stays, the one with the least doc_id; columns as in docs.
+    """The rows of docs of which one of each class stays, the one with the least (doc_id, digest), null ids last; columns as in docs.
 
-    Rows without a doc_id all stay. Of rows that stand repeatedly under the id that stays, one row stays.
+    Texts without a word are classes of their own: they stay, those that stand repeatedly under one id once. Where a doc_id stands
+    once it decides alone; rows whose id is null or stands repeatedly are told apart by their texts' digests.
     """
-    found = join_documents(docs, **options).where("doc_id is not null and class_id is not null")
-    found = materialize(found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("rows")), "kept")
-    gone = small_side(materialize(found.where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")), "gone"), 1_000_000)
-    twice = small_side(materialize(found.where("class_id = doc_id and rows > 1").select(F.col("doc_id").alias("__twice")), "twice"), 1_000_000)
+    found = join_documents(docs, **options)
+    ids = found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("rows"))
+    ids = materialize(ids, "kept")
+    gone = small_side(materialize(ids.where("class_id <> doc_id and rows = 1").select(F.col("doc_id").alias("__gone")), "gone"), 1_000_000)
+    twice = small_side(materialize(ids.where("rows > 1").select(F.col("doc_id").alias("__twice")), "twice"), 1_000_000)
     left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    once = left.join(twice, F.col("doc_id") == F.col("__twice"), "left_anti")
-    return once.unionByName(left.join(twice, F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"]))
+    if ids.where("doc_id is null or rows > 1").limit(1).count() == 0:
+        return left
+    sure = left.where("doc_id is not null").join(twice, F.col("doc_id") == F.col("__twice"), "left_anti")
+    unsure = left.where("doc_id is null").unionByName(left.join(twice, F.col("doc_id") == F.col("__twice"), "left_semi"))
+    unsure = materialize(_with_digests(unsure, options.get("n", WORDS)), "unsure")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest"))
+    winners = found.where("digest is not null").groupBy("component").agg(least.alias("w")).select(F.col("w.doc_id").alias("__id"), F.col("w.digest").alias("__winner"))
+    winners = small_side(materialize(winners, "winners"), BROADCAST)
+    once = unsure.where("__digest is not null").dropDuplicates(["doc_id", "__digest"])
+    once = once.join(winners, (F.col("__digest") == F.col("__winner")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    empty = unsure.where("__digest is null")
+    empty = empty.where("doc_id is null").unionByName(empty.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    return sure.unionByName(once.unionByName(empty).drop("__digest"))

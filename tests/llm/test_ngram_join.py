@@ -69,6 +69,18 @@ def test_join(spark, copies, block, monkeypatch):
         assert sorted(r.doc_id for r in one.where("doc_id is not null").collect()) == sorted(k for k in kept if k is not None)
 
 
+def test_keep_one_of_repeated_and_null_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d, e, g, h, k = (" ".join(words(rng, 30)) for _ in range(8))
+    near = a + " zz"
+    rows = [(1, a), (2, near), (2, b), (3, c), (3, d), (4, e), (5, e), (4, a), (None, g), (None, g), (None, a), (6, h), (6, h), (7, ""), (7, ""), (8, None), (None, ""), (9, k)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "doc_id", "'y' as digest")
+    want = [(1, a), (2, b), (3, c), (3, d), (4, e), (None, g), (6, h), (7, ""), (8, None), (None, ""), (9, k)]
+    one = N.keep_one(df)
+    assert one.columns == df.columns
+    assert collections.Counter((r.doc_id, r.text) for r in one.collect()) == collections.Counter(want)
+
+
 def test_plan_reaches_recall():
     for threshold, recall in ((0.8, 0.9999), (0.5, 0.9), (0.9, 0.99)):
         bands, rows = N.band_plan(threshold, recall)
