@@ -7,8 +7,8 @@ security numbers and dates go through a Feistel network over two residues whose
 
 email  all before the last dot                 ip    four numbers up to 255
 card   13-19 digits that pass the Luhn check; the first stays, the check digit is made anew
-ssn    a valid area, group and serial number   date  a calendar date from 1900 to 2099, as y-m-d, d/m/y or d.m.y
-phone  10-15 digits in groups; the country code stays
+ssn    a valid area, group and serial number   date  a calendar date from 1900 to 2099, as y-m-d (a time may follow after T), d/m/y or d.m.y
+phone  10-15 digits in groups; the country code and the separators stay, and the digits alone make the pseudonym
 """
 
 from __future__ import annotations
@@ -20,11 +20,13 @@ from ._spans import between, matches
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"
 IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
-DATE = r"(?<![0-9A-Za-z/-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9A-Za-z/-])"
+DATE = r"(?<![0-9A-Za-z/-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?=[Tt][0-9]{2}|(?![0-9A-Za-z/-]))|(?:[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9A-Za-z/-]))"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9]{10,15}(?![0-9A-Za-z])"
 ANY = "|".join([EMAIL, IP, DATE, SSN, CARD, PHONE])
+#: Country codes by their digits alone, however they are set off.
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 KINDS = ["email", "ip", "date", "ssn", "card", "phone"]
 
 ROUNDS = 10
@@ -104,9 +106,9 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, r"^\+(?:[0-9]{1,3}(?=[ .(-])|1|[0-9]{2})", 0)
-    rest = F.substring(m, F.length(code) + 1, F.length(m))
-    return F.concat(code, permute_string(rest, key, "phone"))
+    d = _digits(m)
+    code = F.when(m.startswith("+"), F.regexp_extract(d, COUNTRY, 0)).otherwise("")
+    return _fill(m, F.concat(code, permute_string(F.substring(d, F.length(code) + 1, F.length(d)), key, "phone")))
 
 
 def _ip(m: Column, key: str) -> Column:

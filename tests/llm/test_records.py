@@ -145,6 +145,19 @@ def test_pii(spark, edge, empty):
     assert pii.pseudonymize(edge, "key").count() == edge.count() and pii.pseudonymize(empty, "key").count() == 0
 
 
+def test_pii_in_other_writings(spark):
+    lines = [
+        "at 1984-02-29T10:00:00Z on 1984-02-29 end", "not 2023-02-30T10:00 or 1984-02-29x", "212-555-0199", "212 555 0199", "(212) 555-0199", "+353 86 123 4567", "+353861234567", "+1 212 555 0199", "+12125550199", "+1-212-555-0198",
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), "key").collect()}
+    a, b = re.fullmatch(r"at (\S{10})T10:00:00Z on (\S{10}) end", got[0].text).groups()
+    assert a == b != "1984-02-29" and got[0].n_date == 2 and got[1].text == lines[1]
+    digits = {k: re.sub("[^0-9]", "", r.text) for k, r in got.items()}
+    assert all(got[k].n_phone == 1 and digits[k] != re.sub("[^0-9]", "", lines[k]) and re.sub("[0-9]", "0", got[k].text) == re.sub("[0-9]", "0", lines[k]) for k in range(2, 10))
+    assert digits[2] == digits[3] == digits[4] and digits[5] == digits[6] and digits[7] == digits[8] != digits[9]
+    assert digits[5].startswith("353") and digits[7].startswith("1")
+
+
 def test_permutations_are_bijections(spark):
     n = 17 * 4297
     assert spark.range(n).select(pii.permute_number(F.col("id"), pii.DAYS, "k", "t").alias("p")).where(f"p >= 0 and p < {n}").distinct().count() == n
