@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,22 +33,47 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that this process wrote and that go with it: (path, JVM file system).
+_written: list[tuple[str, object]] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master without one gets a temporary folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="corpusloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, with its scheme. What is written there is deleted by clear_scratch() or when the driver ends."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}")
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path = store.makeQualified(path)
+    if not _written:
+        atexit.register(clear_scratch)
+    _written.append((path, store))
+    return path.toString()
+
+
+def clear_scratch() -> None:
+    """Delete every table that materialize() wrote in this process; frames that read them are void afterwards."""
+    while _written:
+        path, store = _written.pop()
+        with contextlib.suppress(Py4JError, OSError):  # the JVM may have ended, and its file system with it
+            store.delete(path, True)
+
+
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
