@@ -13,6 +13,7 @@ from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -20,7 +21,6 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SPACED = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?]*(?:\s|\Z))|[.,;:!?]+(?=\s|\Z)| ?\S+|\s+(?!\S)|\s+")
 #: The same for tokenizers that drop white space.
 UNSPACED = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?]*(?:\s|\Z))|[.,;:!?]+(?=\s|\Z)|\S+")
-LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Characters that count as white space in one library only, and what may begin a special token: such texts are encoded whole.
 WHOLE = re.compile(r"[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]|<\|")
 
@@ -37,28 +37,10 @@ class UnitEncoder:
         self.pattern, self.capacity = pattern, capacity
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        # vocabularies that mark the end of a word and ignore case let many words go to the library as one text
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False) if pattern is UNSPACED else {}
-        self.word_end = np.zeros(1 + max(vocabulary.values(), default=0), bool)
-        self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new(self, units: list[str]) -> dict[str, bytes]:
-        found: dict[str, bytes] = {}
-        if self.word_end.any():
-            alone = [u for u in units if LATIN.fullmatch(u)]
-            if alone:
-                ids = np.array(self.tokenizer.encode(" ".join(alone), add_special_tokens=False).ids, "<u4")
-                ends = 4 * (np.flatnonzero(self.word_end[ids]) + 1)
-                if len(ends) == len(alone):
-                    raw, ends = ids.tobytes(), ends.tolist()
-                    found = {u: raw[a:b] for u, a, b in zip(alone, [0, *ends], ends, strict=False)}
-        rest = [u for u in units if u not in found]
-        found.update(zip(rest, self.library(rest), strict=True))
-        return found
-
     def split(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
@@ -71,7 +53,7 @@ class UnitEncoder:
             else:
                 self.young[u] = ids
         if new:
-            self.young.update(self._new(new))
+            self.young.update(zip(new, self.library(new), strict=True))
 
     def _age(self) -> None:
         if len(self.young) > self.capacity:
@@ -86,8 +68,6 @@ class UnitEncoder:
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts."""
         whole = [bool(WHOLE.search(t)) for t in texts]
-        if self.word_end.any():
-            texts = [t if w else _lower(t) for t, w in zip(texts, whole, strict=True)]
         split = [[] if w else self.split(t) for t, w in zip(texts, whole, strict=True)]
         self._ensure(chain.from_iterable(split))
         get = self.young.__getitem__
@@ -96,9 +76,150 @@ class UnitEncoder:
         return out
 
 
-def _lower(text: str) -> str:
-    """Lower case of a text of Latin-1 characters, for which all libraries agree; others stay as they are."""
-    try:
-        return text.lower() if text.isascii() or text.encode("latin-1") else text
-    except UnicodeEncodeError:
-        return text
+#: Classes of Latin-1 characters: 0 white space, 1 letters, 2 others, 3 those that WHOLE names.
+_CLASS = np.array([3 if WHOLE.match(c) else 0 if c.isspace() else 1 if c.isalpha() else 2 for c in map(chr, range(256))], np.uint8)
+_APOSTROPHE = ord("'")
+#: Bytes of text that are cut into words at once.
+WINDOW = 1 << 22
+
+
+class _Words:
+    """Ids of distinct words, one after the other in one array."""
+
+    def __init__(self):
+        self.at: dict[bytes, int] = {}
+        self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+
+    def add(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, used = len(self.at), int(self.ends[len(self.at)])
+        if n + len(words) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(n + len(words), np.int64)])
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(used + len(ids), np.uint32)])
+        self.at.update(zip(words, range(n, n + len(words)), strict=True))
+        self.ends[n + 1 : n + 1 + len(words)] = used + lengths.cumsum()
+        self.ids[used : used + len(ids)] = ids
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words one after the other, and how many each has."""
+        first = self.ends[which]
+        lengths = self.ends[which + 1] - first
+        ends = lengths.cumsum()
+        return self.ids[np.repeat(first - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
+
+
+class WordEncoder:
+    """Ids of whole texts for a vocabulary that drops white space, ignores case and marks the ends of words.
+
+    Latin-1 texts are cut into words by numpy, a whole slice at once: at white space and between letters and other characters, but
+    not after an apostrophe (it may begin a contraction). Each distinct word of a slice is looked up once, and words not yet known
+    go to the library in one text; the slice's ids are then gathered in one step. Other texts go piece by piece.
+    The cache holds about 2 * capacity words, in two generations.
+    """
+
+    def __init__(self, path: str, capacity: int = 300_000):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.units = UnitEncoder(path, UNSPACED, capacity // 8)
+        tokenizer = self.units.tokenizer
+        # for words of letters in lower case, white space is all that the library's normalizer and patterns look for
+        self.letters = Tokenizer(tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.word_end = np.zeros(1 + max(vocabulary.values(), default=0), bool)
+        self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.capacity, self.young, self.old = capacity, _Words(), _Words()
+
+    def _new(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """words, in another order, with their ids and numbers of ids."""
+        plain = [w for w in words if w.decode("latin-1").isalpha()]
+        if plain:
+            ids = np.array(self.letters.encode(b" ".join(plain).decode("latin-1"), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) != len(plain):  # a word without an end of its own
+                plain = []
+        if not plain:
+            ids, ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        done = set(plain)
+        rest = [w for w in words if w not in done]
+        each = self.units.library([w.decode("latin-1") for w in rest]) if rest else []
+        lengths = np.concatenate([np.diff(ends, prepend=0), np.array([len(e) // 4 for e in each], np.int64)])
+        return plain + rest, np.concatenate([ids, np.frombuffer(b"".join(each), "<u4")]), lengths
+
+    def _look_up(self, words: list[bytes]) -> np.ndarray:
+        which = list(map(self.young.at.get, words))
+        missing = [w for w, k in zip(words, which, strict=True) if k is None]
+        if missing:
+            known = [w for w in missing if w in self.old.at]
+            if known:
+                self.young.add(known, *self.old.take(np.fromiter(map(self.old.at.__getitem__, known), np.int64, len(known))))
+            if new := [w for w in missing if w not in self.old.at]:
+                self.young.add(*self._new(new))
+            which = list(map(self.young.at.__getitem__, words))
+        return np.array(which, np.int64)
+
+    def _window(self, raw: bytes, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of Latin-1 bytes in lower case, and how many of them stand before each of stops."""
+        x = np.frombuffer(raw, np.uint8)
+        kind = _CLASS[x]
+        inside = kind > 0
+        cut, end = inside.copy(), inside.copy()
+        cut[1:] &= (kind[1:] != kind[:-1]) & ~((kind[1:] == 1) & (x[:-1] == _APOSTROPHE))
+        end[:-1] &= cut[1:] | ~inside[1:]
+        starts, ends = np.flatnonzero(cut), np.flatnonzero(end) + 1
+        offsets = np.zeros(len(starts) + 1, np.int32)
+        np.cumsum(ends - starts, out=offsets[1:])
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(x[inside])]).dictionary_encode()
+        which = self._look_up(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
+        ids, lengths = self.young.take(which)
+        before = np.concatenate([[0], lengths.cumsum()])
+        if len(self.young.at) > self.capacity:
+            self.old, self.young = self.young, _Words()
+        return ids, before[np.searchsorted(starts, stops)]
+
+    def _latin(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after the other, and how many each has."""
+        raw, stops = b"\n".join(texts), np.cumsum([len(t) + 1 for t in texts])
+        ids, ends, done, at = [], np.zeros(len(texts), np.int64), 0, 0
+        while at < len(raw):
+            stop = len(raw)
+            if stop - at > WINDOW and (space := _SPACE.search(raw, at + WINDOW)):
+                stop = space.start()
+            own = (stops > at) & (stops <= stop + 1)
+            got, before = self._window(raw[at:stop], np.minimum(stops[own] - at, stop - at))
+            ends[own] = done + before
+            ids.append(got)
+            done, at = done + len(got), stop + 1
+        ends[stops > at] = done
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.diff(ends, prepend=0)
+
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after the other, and how many each has."""
+        latin, others = [], {}
+        for i, t in enumerate(texts):
+            try:
+                raw = t.lower().encode("latin-1") if t.isascii() or t.encode("latin-1") is not None else b""
+                plain = "<|" not in t and not _ODD.search(raw)
+            except UnicodeEncodeError:
+                plain = False
+            if plain:
+                latin.append(raw)
+            else:
+                others[i] = None
+        ids, counts = self._latin(latin)
+        if not others:
+            return ids, counts
+        others = dict(zip(others, self.units.texts([texts[i] for i in others]), strict=True))
+        parts, total, at, k = [], [], 0, 0
+        for i in range(len(texts)):
+            if i in others:
+                parts.append(np.frombuffer(others[i], "<u4"))
+            else:
+                parts.append(ids[at : at + counts[k]])
+                at, k = at + counts[k], k + 1
+            total.append(len(parts[-1]))
+        return np.concatenate(parts), np.array(total, np.int64)
+
+
+_SPACE = re.compile(rb"[ \t\n\x0b\x0c\r\xa0]")
+_ODD = re.compile(rb"[\x1c-\x1f\x85]")

@@ -12,6 +12,7 @@ the blocks.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from functools import cache, lru_cache
 
@@ -22,9 +23,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize, small_side
-from ._common import id_and_text, slices
-from ._units import UNSPACED, UnitEncoder
+from ..session import materialize, scratch_path, small_side
+from ._common import id_and_text, slices, store_of
+from ._units import WordEncoder
 
 MAGIC = b"WMTK0001"
 BLOCK = 1 << 16  # bits of a block; a multiple of 8
@@ -44,13 +45,13 @@ def build(ids: np.ndarray, doc_ids: list[int | None], counts: list[int]) -> byte
     seq = np.ascontiguousarray(ids, np.uint16 if levels <= 16 else np.uint32)
     zeros, tables, blocks = [], [], []
     for level in range(levels):
-        bit = (seq >> seq.dtype.type(levels - 1 - level) & seq.dtype.type(1)).astype(bool)
+        bit = (seq & seq.dtype.type(1 << (levels - 1 - level))) != 0
         plane = np.packbits(bit)
         own = [pack(plane[a : a + BLOCK // 8].tobytes()) for a in range(0, len(plane), BLOCK // 8)]
         ones = np.add.reduceat(bit, np.arange(0, n, BLOCK), dtype=np.int64) if n else np.zeros(0, np.int64)
         tables += [np.array([len(b) for b in own], "<u4").tobytes(), (ones.cumsum() - ones).astype("<i8").tobytes()]
         blocks += own
-        seq = np.concatenate([seq[~bit], seq[bit]])
+        seq = np.concatenate([np.compress(~bit, seq), np.compress(bit, seq)])
         zeros.append(n - int(ones.sum()))
     docs = [np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"), np.array(counts, "<i8")]
     packed = [pack(a.tobytes()) for a in docs]
@@ -139,55 +140,68 @@ class Shard:
 
     def tokens(self) -> np.ndarray:
         """All tokens: planes are undone from the lowest bit up, each by one scatter."""
-        seq = np.zeros(self.n, np.uint32)
+        seq = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for level in range(self.levels - 1, -1, -1):
-            bit = np.concatenate([self._read(level, b) for b in range(self.per)]).astype(bool) if self.per else np.zeros(0, bool)
-            out = np.empty_like(seq)
-            out[~bit], out[bit] = seq[: self.zeros[level]], seq[self.zeros[level] :] | np.uint32(1 << (self.levels - 1 - level))
+            bit = np.concatenate([self._read(level, b) for b in range(self.per)]) if self.per else np.zeros(0, np.uint8)
+            out, zeros = np.empty_like(seq), self.zeros[level]
+            out[np.flatnonzero(bit == 0)] = seq[:zeros]
+            out[np.flatnonzero(bit)] = seq[zeros:] | seq.dtype.type(1 << (self.levels - 1 - level))
             seq = out
-        return seq
+        return seq.astype(np.uint32)
 
 
 @cache
-def encoder(path: str) -> UnitEncoder:
+def encoder(path: str) -> WordEncoder:
     """One for each worker process, so its cache lives from task to task."""
-    return UnitEncoder(path, UNSPACED, 400_000)
+    return WordEncoder(path)
 
 
-FILES = "shard int, part int, n_docs long, n_tokens long, content binary"
+#: One row for each file.
+FILES = T.StructType([T.StructField(n, T.StringType() if n == "file" else T.LongType()) for n in ("shard", "part", "n_docs", "n_tokens", "size", "file")])
 
 
-def write_shards(docs: DataFrame, path: str | None = None, docs_per_shard: int = 4096, max_tokens: int = 4_000_000) -> DataFrame:
-    """Files of all documents in ascending doc_id order (null ids first; equal ids by text): a written table of (shard, part, n_docs, n_tokens, content).
+def write_shards(docs: DataFrame, path: str | None = None, docs_per_shard: int = 4096, max_tokens: int = 4_000_000, max_ranges: int = 8192, directory: str | None = None) -> DataFrame:
+    """Write the ids of all documents in ascending doc_id order as files; returns the written table FILES, one row for each file.
 
-    Shards are ranges of doc_id; a shard goes on in a further part where the next document would pass max_tokens, so a task
-    holds no more than that and one document. Each document's ids are followed by END_ID; a null text has only that.
+    Null ids come first; equal ids are ordered by the hash of their texts and by the texts. Each document's ids are followed by
+    END_ID; a null text has only that. Tasks take ranges of (doc_id, hash), at most max_ranges of them; a task begins a new file
+    (part) where the next document would pass max_tokens or docs_per_shard, so it holds no more than that and one document.
+
+    Files stand in directory (a URI that pyarrow can write; by default a folder in the shared one) as shard-NNNNN-NNNNN.wm. A file is
+    written under a task's own name first and then renamed, so a task that is repeated leaves the same whole files.
     """
     path = path or default_vocabulary()
+    directory = directory or scratch_path(docs.sparkSession, "tokens")
     source = id_and_text(docs)
-    shards = max(1, -(-source.count() // docs_per_shard))
-    ordered = source.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    ranges = min(max_ranges, max(1, -(-source.count() // docs_per_shard)))
+    keys = ("doc_id", F.xxhash64("text"))
+    ordered = source.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys, "text")
 
     def run(batches):
         from pyspark import TaskContext
 
-        shard, part, enc, end = TaskContext.get().partitionId(), 0, encoder(path), np.array([END_ID], "<u4").tobytes()
+        shard, part, enc = TaskContext.get().partitionId(), 0, encoder(path)
+        store, root = store_of(directory)
+        store.create_dir(root, recursive=True)
         held, ids, counts, total = [], [], [], 0
 
         def flush():
-            content = build(np.frombuffer(b"".join(held), "<u4"), ids, counts)
-            row = [[shard], [part], [len(ids)], [total], [content]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "part", "n_docs", "n_tokens", "content"])
-
+            name = f"shard-{shard:05d}-{part:05d}.wm"
+            content = build(np.concatenate(held), ids, counts)
+            with store.open_output_stream(own := f"{root}/.{name}.{uuid.uuid4().hex}") as f:
+                f.write(content)
+            store.move(own, f"{root}/{name}")
+            row = (shard, part, len(ids), total, len(content), f"{directory}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], FILES.names)
+
+        end = np.array([END_ID], np.uint32)
         for batch in slices(batches):
-            encoded = enc.texts([t or "" for t in batch.column("text").to_pylist()])
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
-                own += end
-                n = len(own) // 4
-                if held and total + n > max_tokens:
+            flat, lengths = enc.texts([t or "" for t in batch.column("text").to_pylist()])
+            for doc_id, own, n in zip(batch.column("doc_id").to_pylist(), np.split(flat, lengths.cumsum()[:-1]), (lengths + 1).tolist(), strict=True):
+                if held and (total + n > max_tokens or len(ids) == docs_per_shard):
                     yield flush()
                     held, ids, counts, total, part = [], [], [], 0, part + 1
-                held.append(own)
+                held += (own, end)
                 ids.append(doc_id)
                 counts.append(n)
                 total += n
@@ -198,44 +212,30 @@ def write_shards(docs: DataFrame, path: str | None = None, docs_per_shard: int =
 
 
 def read_shards(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, read from the files of the table FILES."""
 
     def run(batches):
         for batch in slices(batches, 1):
-            for shard, part, content in zip(*(batch.column(c).to_pylist() for c in ("shard", "part", "content")), strict=True):
-                s = Shard(content)
+            for shard, part, file in zip(*(batch.column(c).to_pylist() for c in ("shard", "part", "file")), strict=True):
+                s = open_shard(file)
                 raw, ends = s.tokens().astype("<u4"), s.counts.cumsum()
-                crc = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip((ends - s.counts).tolist(), ends.tolist(), strict=True)]
-                columns = [pa.array([shard] * s.n_docs, pa.int32()), pa.array([part] * s.n_docs, pa.int32()), pa.array(s.doc_ids, pa.int64()), pa.array(ends - s.counts), pa.array(s.counts), pa.array(crc, pa.int64())]
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip((ends - s.counts).tolist(), ends.tolist(), strict=True)]
+                columns = [pa.array([shard] * s.n_docs), pa.array([part] * s.n_docs), pa.array(s.doc_ids, pa.int64()), pa.array(ends - s.counts), pa.array(s.counts), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["shard", "part", "doc_id", "own", "n_tokens", "ids_crc32"])
 
-    rows = files.select("shard", "part", "content").mapInArrow(run, "shard int, part int, doc_id long, own long, n_tokens long, ids_crc32 long")
-    sums = files.groupBy("shard", "part").agg(F.sum("n_tokens").alias("n"))
-    order = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    before = sums.select("shard", "part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    tasks = max(1, min(8192, files.count()))
+    rows = files.select("shard", "part", "file").repartition(tasks, "shard", "part").mapInArrow(run, "shard long, part long, doc_id long, own long, n_tokens long, ids_crc32 long")
+    # prefix sums over shards (write_shards bounds their number), then over each shard's own parts
+    upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
+    within = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.select("shard", "part", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("before"))
+    before = parts.join(shards, "shard").select("shard", "part", (F.col("base") + F.col("before")).alias("before"))
     return rows.join(small_side(before, 100_000), ["shard", "part"]).select("doc_id", (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def export_files(files: DataFrame, directory: str) -> DataFrame:
-    """Write each file of the table as directory/shard-NNNNN-NNN.wm on a file system that pyarrow reaches; returns name and size.
-
-    A file is written under a task's own name first and then renamed, so a repeated task leaves whole files.
-    """
-
-    def run(batches):
-        import uuid
-
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(directory)
-        store.create_dir(root, recursive=True)
-        for batch in slices(batches, 1):
-            for shard, part, content in zip(*(batch.column(c).to_pylist() for c in ("shard", "part", "content")), strict=True):
-                name = f"shard-{shard:05d}-{part:03d}.wm"
-                with store.open_output_stream(own := f"{root}/.{name}.{uuid.uuid4().hex}") as f:
-                    f.write(content)
-                store.move(own, f"{root}/{name}")
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(content)], pa.int64())], ["name", "size"])
-
-    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("size", T.LongType())])
-    return files.select("shard", "part", "content").mapInArrow(run, schema)
+def open_shard(file: str) -> Shard:
+    """The file at a URI or path."""
+    store, name = store_of(file)
+    with store.open_input_file(name) as f:
+        return Shard(f.read())

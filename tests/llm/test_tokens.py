@@ -9,8 +9,8 @@ import pytest
 from public_tokenizers import path
 from tokenizers import Tokenizer
 
-from corpusloom.llm import bpe, wavelet
-from corpusloom.llm._units import UNSPACED, UnitEncoder
+from corpusloom.llm import _units, bpe, wavelet
+
 
 PIECES = ["a", "b", "é", "'", "'s", "'t", " ", "  ", "\n", "\t", ".", ",", "1", "22", "中", "ß", "́", "re", "<", "|", "Hello", "world", " ", "　", "😀", "!", "_", "-", "İ", "Σ", "\x1c", "\x85"]
 
@@ -42,10 +42,27 @@ def test_decode_invalid_bytes():
     assert bpe.decode(ids, path("byte_bpe_50k.json")) == lib.decode(ids, skip_special_tokens=False)
 
 
-def test_word_units_agree_with_library():
-    enc = UnitEncoder(path("word_bpe_49k.json"), UNSPACED, 300)
-    rows = texts(5)
-    assert enc.texts(rows) == enc.library(rows)
+def word_ids(enc, rows):
+    flat, counts = enc.texts(rows)
+    return [x.astype("<u4").tobytes() for x in np.split(flat, counts.cumsum()[:-1])]
+
+
+@pytest.mark.parametrize("window", [1, 50, 1 << 22])
+def test_word_units_agree_with_library(monkeypatch, window):
+    monkeypatch.setattr(_units, "WINDOW", window)
+    enc = _units.WordEncoder(path("word_bpe_49k.json"), 300)
+    latin = [x for x in PIECES if x.isascii() or x.encode("latin-1", "ignore")]
+    rng = random.Random(2)
+    rows = texts(5, 120) + ["".join(rng.choices(latin, k=rng.randint(0, 300))) for _ in range(100)] + ["it's 'tis don't ''s !'s x'S 1'll a'b'c", "ÀÉ ªº µ²³¼ x\xa0y \xad-", "", ""]
+    assert word_ids(enc, rows) == enc.units.library(rows)
+    assert word_ids(enc, rows[::-1]) == enc.units.library(rows[::-1])
+    assert word_ids(enc, [""]) == [b""]
+
+
+def test_pairs_of_latin_characters_agree_with_library():
+    enc = _units.WordEncoder(path("word_bpe_49k.json"))
+    rows = [" ".join(f"a{chr(i)}{chr(j)}b" for j in range(256)) for i in range(256)] + ["".join(f"{chr(i)}'{chr(j)}" for j in range(256)) for i in range(0, 256, 7)]
+    assert word_ids(enc, rows) == enc.units.library(rows)
 
 
 def test_edge_rows(spark, edge, empty):
@@ -73,15 +90,19 @@ def test_wavelet_matrix():
 def test_shards(spark, edge, empty, docs, tmp_path):
     lib = Tokenizer.from_file(path("word_bpe_49k.json"))
     for source in (edge, docs):
-        rows = sorted(source.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
+        rows = source.selectExpr("doc_id", "text", "xxhash64(text) as h").collect()
+        rows = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h, r.text or ""))
         start, want = 0, []
         for r in rows:
             ids = lib.encode(r.text or "", add_special_tokens=False).ids + [wavelet.END_ID]
             want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             start += len(ids)
-        files = wavelet.write_shards(source, docs_per_shard=3, max_tokens=500)
-        got = [tuple(r) for r in wavelet.read_shards(files).collect()]
-        assert sorted(got, key=lambda r: r[1]) == want
-    names = wavelet.export_files(files, tmp_path.as_uri()).collect()
-    assert all(wavelet.Shard((tmp_path / r.name).read_bytes()).n_docs for r in names)
+        for ranges in (1, 100):
+            folder = tmp_path / f"{len(rows)}-{ranges}"
+            files = wavelet.write_shards(source, docs_per_shard=3, max_tokens=500, max_ranges=ranges, directory=folder.as_uri())
+            got = [tuple(r) for r in wavelet.read_shards(files).collect()]
+            assert sorted(got, key=lambda r: r[1]) == want
+            told = {r.file.rsplit("/", 1)[1]: r for r in files.collect()}
+            assert set(told) == {f.name for f in folder.iterdir()} and all(r.n_docs <= 3 and r.n_docs == wavelet.open_shard(r.file).n_docs for r in told.values())
     assert wavelet.read_shards(wavelet.write_shards(empty)).count() == 0
+    assert len(wavelet.read_shards(wavelet.write_shards(docs)).collect()) == docs.count()
