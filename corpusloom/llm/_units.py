@@ -79,6 +79,8 @@ class UnitEncoder:
 #: Classes of Latin-1 characters: 0 white space, 1 letters, 2 others, 3 those that WHOLE names.
 _CLASS = np.array([3 if WHOLE.match(c) else 0 if c.isspace() else 1 if c.isalpha() else 2 for c in map(chr, range(256))], np.uint8)
 _APOSTROPHE = ord("'")
+#: How byte-level vocabularies write the bytes above 126 that stand for no visible character.
+_BYTE_LEVEL = {c: 289 + i for i, c in enumerate([*range(127, 161), 173])}
 #: Bytes of text that are cut into words at once.
 WINDOW = 1 << 22
 
@@ -90,7 +92,8 @@ class _Words:
         self.at: dict[bytes, int] = {}
         self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
 
-    def add(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def add(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The places that the new words get."""
         n, used = len(self.at), int(self.ends[len(self.at)])
         if n + len(words) >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros(n + len(words), np.int64)])
@@ -99,6 +102,7 @@ class _Words:
         self.at.update(zip(words, range(n, n + len(words)), strict=True))
         self.ends[n + 1 : n + 1 + len(words)] = used + lengths.cumsum()
         self.ids[used : used + len(ids)] = ids
+        return np.arange(n, n + len(words))
 
     def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these words one after the other, and how many each has."""
@@ -124,39 +128,42 @@ class WordEncoder:
         tokenizer = self.units.tokenizer
         # for words of letters in lower case, white space is all that the library's normalizer and patterns look for
         self.letters = Tokenizer(tokenizer.model)
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = tokenizer.get_vocab(with_added_tokens=False)
         self.word_end = np.zeros(1 + max(vocabulary.values(), default=0), bool)
         self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.capacity, self.young, self.old = capacity, _Words(), _Words()
 
-    def _new(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """words, in another order, with their ids and numbers of ids."""
-        plain = [w for w in words if w.decode("latin-1").isalpha()]
-        if plain:
-            ids = np.array(self.letters.encode(b" ".join(plain).decode("latin-1"), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.word_end[ids]) + 1
-            if len(ends) != len(plain):  # a word without an end of its own
-                plain = []
-        if not plain:
-            ids, ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        done = set(plain)
-        rest = [w for w in words if w not in done]
-        each = self.units.library([w.decode("latin-1") for w in rest]) if rest else []
+    def _letter_ids(self, words: list[bytes]) -> np.ndarray:
+        """Ids of words of Latin-1 letters in lower case."""
+        texts = [b" ".join(words[at : at + 64]).decode("latin-1") for at in range(0, len(words), 64)]
+        texts = [t if t.isascii() else t.encode().decode("latin-1").translate(_BYTE_LEVEL) for t in texts]
+        return np.array([i for e in self.letters.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.uint32)
+
+    def _new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of words in another order, their ids in this order and the numbers of ids."""
+        kind = np.array([0 if w.isalpha() else 1 if w.decode("latin-1").isalpha() else 2 for w in words], np.int8)
+        plain, rest = np.concatenate([np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)]), np.flatnonzero(kind == 2)
+        ids = self._letter_ids([words[i] for i in plain.tolist()])
+        ends = np.flatnonzero(self.word_end[ids]) + 1
+        if len(ends) != len(plain):  # a word without an end of its own
+            plain, rest, ids, ends = plain[:0], np.arange(len(words)), ids[:0], ends[:0]
+        each = self.units.library([words[i].decode("latin-1") for i in rest.tolist()]) if len(rest) else []
         lengths = np.concatenate([np.diff(ends, prepend=0), np.array([len(e) // 4 for e in each], np.int64)])
-        return plain + rest, np.concatenate([ids, np.frombuffer(b"".join(each), "<u4")]), lengths
+        return np.concatenate([plain, rest]), np.concatenate([ids, np.frombuffer(b"".join(each), "<u4")]), lengths
 
     def _look_up(self, words: list[bytes]) -> np.ndarray:
-        which = list(map(self.young.at.get, words))
-        missing = [w for w, k in zip(words, which, strict=True) if k is None]
-        if missing:
-            known = [w for w in missing if w in self.old.at]
-            if known:
-                self.young.add(known, *self.old.take(np.fromiter(map(self.old.at.__getitem__, known), np.int64, len(known))))
-            if new := [w for w in missing if w not in self.old.at]:
-                self.young.add(*self._new(new))
-            which = list(map(self.young.at.__getitem__, words))
-        return np.array(which, np.int64)
+        """Places of distinct words in young, where they now all stand."""
+        which = np.array([-1 if k is None else k for k in map(self.young.at.get, words)], np.int64)
+        missing = np.flatnonzero(which < 0)
+        if len(missing):
+            names = [words[i] for i in missing.tolist()]
+            old = np.array([-1 if k is None else k for k in map(self.old.at.get, names)], np.int64)
+            known, new = missing[old >= 0], missing[old < 0]
+            which[known] = self.young.add([words[i] for i in known.tolist()], *self.old.take(old[old >= 0]))
+            order, ids, lengths = self._new([words[i] for i in new.tolist()])
+            which[new[order]] = self.young.add([words[i] for i in new[order].tolist()], ids, lengths)
+        return which
 
     def _window(self, raw: bytes, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of Latin-1 bytes in lower case, and how many of them stand before each of stops."""
@@ -199,7 +206,7 @@ class WordEncoder:
         for i, t in enumerate(texts):
             try:
                 raw = t.lower().encode("latin-1") if t.isascii() or t.encode("latin-1") is not None else b""
-                plain = "<|" not in t and not _ODD.search(raw)
+                plain = "<|" not in t and len(raw.translate(None, _ODD)) == len(raw)
             except UnicodeEncodeError:
                 plain = False
             if plain:
@@ -222,4 +229,4 @@ class WordEncoder:
 
 
 _SPACE = re.compile(rb"[ \t\n\x0b\x0c\r\xa0]")
-_ODD = re.compile(rb"[\x1c-\x1f\x85]")
+_ODD = b"\x1c\x1d\x1e\x1f\x85"

@@ -48,7 +48,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], counts: list[int]) -> byte
         bit = (seq & seq.dtype.type(1 << (levels - 1 - level))) != 0
         plane = np.packbits(bit)
         own = [pack(plane[a : a + BLOCK // 8].tobytes()) for a in range(0, len(plane), BLOCK // 8)]
-        ones = np.add.reduceat(bit, np.arange(0, n, BLOCK), dtype=np.int64) if n else np.zeros(0, np.int64)
+        ones = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), BLOCK // 8), dtype=np.int64) if n else np.zeros(0, np.int64)
         tables += [np.array([len(b) for b in own], "<u4").tobytes(), (ones.cumsum() - ones).astype("<i8").tobytes()]
         blocks += own
         seq = np.concatenate([np.compress(~bit, seq), np.compress(bit, seq)])
@@ -142,9 +142,9 @@ class Shard:
         """All tokens: planes are undone from the lowest bit up, each by one scatter."""
         seq = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for level in range(self.levels - 1, -1, -1):
-            bit = np.concatenate([self._read(level, b) for b in range(self.per)]) if self.per else np.zeros(0, np.uint8)
+            bit = np.concatenate([self._read(level, b) for b in range(self.per)]).view(bool) if self.per else np.zeros(0, bool)
             out, zeros = np.empty_like(seq), self.zeros[level]
-            out[np.flatnonzero(bit == 0)] = seq[:zeros]
+            out[np.flatnonzero(~bit)] = seq[:zeros]
             out[np.flatnonzero(bit)] = seq[zeros:] | seq.dtype.type(1 << (self.levels - 1 - level))
             seq = out
         return seq.astype(np.uint32)
@@ -195,7 +195,7 @@ def write_shards(docs: DataFrame, path: str | None = None, docs_per_shard: int =
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], FILES.names)
 
         end = np.array([END_ID], np.uint32)
-        for batch in slices(batches):
+        for batch in slices(batches, 512):
             flat, lengths = enc.texts([t or "" for t in batch.column("text").to_pylist()])
             for doc_id, own, n in zip(batch.column("doc_id").to_pylist(), np.split(flat, lengths.cumsum()[:-1]), (lengths + 1).tolist(), strict=True):
                 if held and (total + n > max_tokens or len(ids) == docs_per_shard):
