@@ -3,12 +3,14 @@
 import collections
 import hashlib
 import os
+import random
 import re
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+import pii_twin
 from corpusloom.llm import chat, mixing, mpeg, pii
 
 TURNS = [
@@ -158,6 +160,41 @@ def test_pii_in_other_writings(spark):
     assert digits[5].startswith("353") and digits[7].startswith("1")
 
 
+def fuzz(rng):
+    """A text of valid and damaged values between odd joints."""
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    body = digits(15)
+    card = body + next(c for c in "0123456789" if pii_twin.luhn(body + c) == 0)
+    country, length = rng.choice([("GB", 18), ("DE", 18), ("FR", 23), ("NO", 11)])
+    bban = "".join(rng.choices("ABC0123456789", k=length))
+    iban = f"{country}{98 - pii_twin.mod97(bban + country + '00'):02d}{bban}"
+    pool = [
+        f"{rng.choice('ab')}.{rng.choice('xyz')}{rng.randint(0, 99)}@ho{digits(2)}.co{rng.choice(['m', '.uk', '..x', '-', '.-a', '-.b', '1', '.'])}", "a@b..com", "x@10.1.2.3", "@c.de", "a@-b.de",
+        ".".join(str(rng.randint(0, 300)) for _ in range(4)), f"{rng.randint(1890, 2110)}-{rng.randint(0, 14)}-{rng.randint(0, 32)}", f"{rng.randint(0, 32):02d}/{rng.randint(0, 32):02d}/{rng.randint(1890, 2110)}",
+        f"{rng.randint(0, 32)}/{rng.randint(0, 14)}/1999", f"{rng.randint(0, 32)}.{rng.randint(0, 14)}.2020", "2001-02-03T04:05:06Z", f"{rng.choice(['000', '666', '123', '900', '899'])}-{rng.choice(['00', '12'])}-{rng.choice(['0000', digits(4)])}",
+        card, " ".join(card[i : i + 4] for i in range(0, 16, 4)), digits(16), f"+{digits(rng.randint(9, 16))}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)} {digits(3)} {digits(4)}", digits(10), "2" + digits(2) + "5" + digits(6),
+        iban, " ".join(iban[i : i + 4] for i in range(0, len(iban), 4)), iban + " AND MORE", iban[:-1] + "Z", ":".join(rng.choice(["2001", "db8", "0", "FE80", "12345"]) for _ in range(rng.randint(2, 9))), "2001:db8::" + digits(4), "FE80::1", "12:30:45", "::1", "1::2::3", "ab::cd", "1::2:",
+    ]
+    return "".join(rng.choice(pool) + rng.choice([" ", ", ", ".", "-", "/", ":", "é", "x", "\n", " a ", "@", "+"]) for _ in range(rng.randint(1, 12)))
+
+
+def test_pii_agrees_with_plain_python(spark):
+    rng = random.Random(6)
+    rows = [fuzz(rng) for _ in range(1500)] + [
+        "12/31/1999 and 31/12/1999 and 1/2/1999", "call 2125550199 or 212-555-0199, not 9115550199 or 2129115555", "GB82 WEST 1234 5698 7654 32, GB82WEST12345698765432 and GB83WEST12345698765432", "2001:DB8::8a2e:370:7334, fe80::1",
+        "a@" + "b." * 10**5 + "c d", "a@" + "b." * 10**5 + "com", "a@" + "b-" * 1000 + ".com", "a." * 10**5 + "@b.com", "1:" * 10**5, "1 " * 10**5, "12-" * 10**5, "+1" * 10**5, "A1 " * 10**5, "GB82" + " 1234" * 10**4, "a@b." * 10**4, "1.2.3.4." * 10**4,
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "key").collect()}
+    for i, text in enumerate(rows):
+        want, counts = pii_twin.pseudonymize(text, "key")
+        assert got[i].text == want and {k: got[i][f"n_{k}"] for k in pii.KINDS} == counts, text[:300]
+    n = [sum(got[i][f"n_{k}"] for i in got) for k in pii.KINDS]
+    assert min(n) > 10, n
+    assert re.fullmatch(r"\d\d/\d\d/\d{4} and \d\d/\d\d/\d{4} and \d\d?/\d\d?/\d{4}", got[1500].text) and got[1500].n_date == 3 and got[1501].n_phone == 2 and got[1502].n_iban == 2 and got[1503].n_ipv6 == 2
+    a, b = (re.findall(r"\d+", x) for x in got[1500].text.split(" and ")[:2])
+    assert [a[1], a[0], a[2]] == b
+
+
 def test_permutations_are_bijections(spark):
     n = 17 * 4297
     assert spark.range(n).select(pii.permute_number(F.col("id"), pii.DAYS, "k", "t").alias("p")).where(f"p >= 0 and p < {n}").distinct().count() == n
