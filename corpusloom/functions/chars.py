@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,18 +112,45 @@ def split_spaces(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
-def word_spans(text: Column) -> Column:
-    """array of (word, start, end) in code points."""
-    gaps = F.split(text, WORD)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,start:int,end:int>>").alias("out"))
-    pairs = F.zip_with(words(text), F.slice(gaps, 1, F.size(words(text))), lambda w, g: F.struct(w.alias("w"), F.length(g).alias("g")))
+@cache
+def _in_words() -> np.ndarray:
+    """Whether a code point is a letter or a number."""
+    return np.fromiter((unicodedata.category(chr(c))[0] in "LN" for c in range(0x110000)), bool, 0x110000)
+
+
+def _spans(texts: pa.Array) -> pa.Array:
+    """Spans of the words of each text, by one pass over all code points of some texts at a time."""
+    held, parts, at = [t or "" for t in texts.to_pylist()], [], 0
+    while at < len(held) or not parts:
+        stop, size = at, 0
+        while stop < len(held) and (stop == at or size + len(held[stop]) < 1 << 22):
+            size += len(held[stop])
+            stop += 1
+        parts.append(_some_spans(held[at:stop], texts.slice(at, stop - at)))
+        at = stop
+    return pa.concat_arrays(parts)
+
 
-    def step(acc, x):
-        begin = acc["at"] + x["g"]
-        end = begin + F.length(x["w"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(x["w"].alias("word"), begin.alias("start"), end.alias("end")))).alias("out"))
+def _some_spans(held: list[str], texts: pa.Array) -> pa.Array:
+    joined = "\n".join(held)
+    inside = _in_words()[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
+    edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in held])]).astype(np.int64)
+    at = np.searchsorted(begin, starts)
+    base = np.repeat(starts[:-1], np.diff(at))
+    words = pa.array([joined[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.string())
+    spans = pa.StructArray.from_arrays([words, pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32))], names=["word", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), spans, mask=texts.is_null())
+
+
+def word_spans(text: Column) -> Column:
+    """array of (word, start, end) in code points, linear in the text; a null text gives null.
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    Offsets need a running sum, which native array functions can only do by copying the array for each word, so this is an Arrow
+    function. Give it a column of its own before it is used in a lambda.
+    """
+    return F.arrow_udf(_spans, "array<struct<word:string,start:int,end:int>>")(text)
 
 
 def collapse_elongation(text: Column) -> Column:

@@ -61,13 +61,8 @@ def normalize_variant_marks(text: Column) -> Column:
     """Junk goes; a triple dot or tilde becomes a tilde where the last letter before it can vary, and goes elsewhere."""
     clean = F.translate(text, JUNK, "")
     marked = F.replace(clean, F.lit(TRIPLE_DOT), F.lit(VARIANT))
-    start = F.struct(F.lit("").alias("letter"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, c):
-        keep = (c != VARIANT) | acc["letter"].isin(*VARIANT_LETTERS)
-        return F.struct(F.when(c.rlike(f"[{LETTERS}]"), c).otherwise(acc["letter"]).alias("letter"), F.when(keep, F.concat(acc["out"], F.array(c))).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(F.split(marked, ""), start, step, lambda acc: F.array_join(acc["out"], ""))
+    runs = F.regexp_extract_all(marked, F.lit(f"[{LETTERS}][^{LETTERS}]*|^[^{LETTERS}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.when(F.substring(r, 1, 1).isin(*VARIANT_LETTERS), r).otherwise(F.replace(r, F.lit(VARIANT), F.lit("")))), "")
 
 
 def letter_variants(word: Column) -> Column:

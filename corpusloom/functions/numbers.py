@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,12 +94,10 @@ def group_sizes(n: int) -> list[int]:
 
 
 def _groups(digits: Column) -> Column:
-    """Array of the groups of a string of up to 20 digits."""
-    out = F.array().cast("array<string>")
-    for n in range(20, 0, -1):
-        ends = reduce(lambda acc, s: [*acc, (acc[-1][0] + acc[-1][1], s)], group_sizes(n), [(1, 0)])[1:]
-        out = F.when(F.length(digits) == n, F.array(*[F.substring(digits, at, size) for at, size in ends])).otherwise(out)
-    return out
+    """Array of the groups of a string of digits, as group_sizes() has them."""
+    fixed = lambda sizes: F.regexp_extract_all(digits, F.lit("|".join(rf"(?<=^[0-9]{{{sum(sizes[:i])}}})[0-9]{{{n}}}" for i, n in enumerate(sizes))), F.lit(0))
+    others = F.regexp_extract_all(digits, F.lit(r"[0-9]{2}(?=[0-9]{2}$)|[0-9]{3}|[0-9]{1,2}"), F.lit(0))
+    return F.when(F.length(digits) == 8, fixed(group_sizes(8))).when(F.length(digits) == 7, fixed(group_sizes(7))).otherwise(others)
 
 
 def phone_words(number: Column, style: str = "digits") -> Column:

@@ -21,9 +21,18 @@ def _one(c: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for x in _MAP]), c), plain)
 
 
+_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_SINGLE = {k: v for k, v in TABLE.items() if len(v) == 1}
+
+
 def romanize(text: Column) -> Column:
     """Latin text; white space one for one, digits and marks without a counterpart are dropped."""
-    return F.array_join(F.transform(F.split(text, ""), _one), "")
+    out = F.regexp_replace(F.regexp_replace(text, _SPACE, " "), f"[^A-Za-z {''.join(TABLE)}]", "")
+    out = F.translate(F.lower(out), "".join(_SINGLE), "".join(_SINGLE.values()))
+    for letter, latin in TABLE.items():
+        if len(latin) > 1:
+            out = F.replace(out, F.lit(letter), F.lit(latin))
+    return out
 
 
 def romanize_with_map(text: Column) -> Column:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize, small_side
+
+#: Rows that one task ranks or sums up in order.
+ROWS_PER_BIN = 100_000
 BOUNDARIES = [32, 64, 96, 128, 160, 200, 240]
 
 
@@ -17,9 +21,13 @@ def batch_plan(rows: DataFrame, uid: str, length: str, batch: int, boundaries: l
     """uid, bucket, batch, slot: rows of a bucket in an order that the epoch's hash shuffles, cut into batches.
 
     Ranks run within (bucket, hash prefix) and start from the counts of the prefixes before, so no bucket is sorted in one task.
+    The prefix is long enough for the number of rows: ROWS_PER_BIN of them share one, or fewer.
     """
-    mark = F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(uid).cast("string")))
-    rows = rows.select(F.col(uid), bucket_of(F.col(length), boundaries).alias("bucket"), mark.alias("h")).withColumn("p", F.substring("h", 1, 2))
+    mark, digits = F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(uid).cast("string"))), 1
+    bins = rows.count() // ROWS_PER_BIN
+    while 16**digits < bins:
+        digits += 1
+    rows = rows.select(F.col(uid), bucket_of(F.col(length), boundaries).alias("bucket"), mark.alias("h")).withColumn("p", F.substring("h", 1, digits))
     counts = rows.groupBy("bucket", "p").agg(F.count("*").alias("c"))
     before = counts.select("bucket", "p", F.coalesce(F.sum("c").over(Window.partitionBy("bucket").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy("bucket")).alias("size"))
     ranked = rows.join(before, ["bucket", "p"]).withColumn("k", F.col("before") + F.row_number().over(Window.partitionBy("bucket", "p").orderBy("h", uid)) - 1)
@@ -44,15 +52,19 @@ def pad(values: Column, to: Column, fill: Column) -> Column:
     return F.concat(values, F.array_repeat(fill, (to - F.size(values)).cast("int")))
 
 
-def ragged_offsets(rows: DataFrame, uid: str, length: str, bins: int = 64) -> DataFrame:
-    """uid, start, length of each row's values in one buffer ordered by uid: prefix sums in two levels, by ranges of uid and within."""
-    low, high = rows.agg(F.min(uid), F.max(uid)).first()
-    width = 1 if low is None else max(1, -(-(high - low + 1) // bins))
-    rows = rows.select(F.col(uid), F.col(length).cast("long").alias("length"), F.floor((F.col(uid) - F.lit(low or 0)) / width).alias("bin"))
-    sums = rows.groupBy("bin").agg(F.sum("length").alias("n"))
+def ragged_offsets(rows: DataFrame, uid: str, length: str, rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
+    """uid, start, length of each row's values in one buffer ordered by uid: prefix sums in two levels, over bins and within.
+
+    Bins are ranges of uid from Spark's range partitioning, so they are even however the uids lie; their number follows the rows.
+    """
+    rows = rows.select(F.col(uid), F.col(length).cast("long").alias("length"))
+    bins = max(1, -(-rows.count() // rows_per_bin))
+    rows = materialize(rows.repartitionByRange(bins, uid).withColumn("bin", F.spark_partition_id()), "offsets")
+    sums = rows.groupBy("bin").agg(F.sum("length").alias("n"))  # a row for each bin
     before = sums.select("bin", F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = Window.partitionBy("bin").orderBy(uid).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(F.broadcast(before), "bin").select(uid, (F.col("before") + F.coalesce(F.sum("length").over(inside), F.lit(0))).alias("start"), "length")  # before: bins + 1 rows at most
+    start = F.col("before") + F.coalesce(F.sum("length").over(inside), F.lit(0))
+    return rows.join(small_side(before, 1_000_000), "bin").select(uid, start.alias("start"), "length")
 
 
 def words_to_chars(word_index: Column, values: Column, empty: Column) -> Column:

@@ -82,6 +82,10 @@ def keep_splits(rows: DataFrame, split: str) -> DataFrame:
 
 
 def capped(rows: DataFrame, key: str, uid: str, cap: int, seed: str = "1234") -> DataFrame:
-    """At most cap rows of each key, those whose hashes come first: a sample that is the same in every run."""
+    """At most cap rows of each key, those whose hashes come first: a sample that is the same in every run.
+
+    Spark limits each key's rows before the shuffle (WindowGroupLimit) where cap is at most
+    spark.sql.optimizer.windowGroupLimitThreshold, so the task of a hot key gets cap rows from each task before it.
+    """
     order = Window.partitionBy(key).orderBy(F.md5(F.concat(F.lit(seed), F.col(uid).cast("string"))), uid)
     return rows.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= cap).drop("__k")

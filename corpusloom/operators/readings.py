@@ -1,7 +1,7 @@
 """Mining the readings of words: which patterns a word takes, how often, and whether its context decides.
 
-An occurrence is (uid, pos, word, pattern, form, left, right). The whole miner is two aggregations: by (word, left, right,
-pattern), which partial aggregation shrinks on the map side, and by word over what is left.
+An occurrence is (uid, pos, word, pattern, form, left, right). Occurrences are made anew from the texts wherever they are used:
+that reads and cuts a text again, but moves nothing.
 """
 
 from __future__ import annotations
@@ -10,7 +10,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import materialize, small_side
+
+#: Words of a table that is broadcast.
+WORDS = 200_000
 BEGIN, FINISH = "<s>", "</s>"
 
 
@@ -29,16 +34,30 @@ def occurrences(sentences: DataFrame, tokens: Column, identity, pattern, form=No
 
     identity, pattern and form are functions of a token's column; form defaults to the token. Null patterns are left out.
     """
-    form = form or (lambda t: t)
-    rows = sentences.select("uid", F.transform(tokens, lambda t: F.struct(identity(t).alias("word"), pattern(t).alias("pattern"), form(t).alias("form"))).alias("ts"))
-    near = lambda i: F.get("ts", i)["word"]
-    full = F.transform("ts", lambda t, i: F.struct(i.alias("pos"), t["word"].alias("word"), t["pattern"].alias("pattern"), t["form"].alias("form"), F.when(i > 0, near(i - 1)).otherwise(BEGIN).alias("left"), F.coalesce(near(i + 1), F.lit(FINISH)).alias("right")))
-    return rows.select("uid", F.explode(full).alias("t")).select("uid", "t.*").where("pattern is not null")
+    rows = sentences.select("uid", tokens.alias("ts"))
+    rows = rows.select("uid", "ts", F.transform("ts", identity).alias("word"))
+    n = F.size("word")
+    columns = {
+        "word": F.col("word"),
+        "pattern": F.transform("ts", pattern),
+        "form": F.transform("ts", form) if form else F.col("ts"),
+        "left": F.concat(F.array(F.lit(BEGIN)), F.slice("word", F.lit(1), F.greatest(n - 1, F.lit(0)))),
+        "right": F.concat(F.slice("word", F.lit(2), F.greatest(n, F.lit(1))), F.array(F.lit(FINISH))),
+    }
+    zipped = F.arrays_zip(*[c.alias(name) for name, c in columns.items()])
+    return rows.where(n > 0).select("uid", F.posexplode(zipped).alias("pos", "t")).select("uid", "pos", "t.*").where("pattern is not null")
+
+
+def _place(occ: DataFrame) -> Column:
+    """uid and pos as one number, which a hash aggregate can hold; uids that aren't whole numbers stay a struct."""
+    if isinstance(occ.schema["uid"].dataType, T.IntegralType):
+        return F.col("uid").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
+    return F.struct("uid", "pos")
 
 
 def contexts(occ: DataFrame) -> DataFrame:
-    """word, left, right, pattern, n, first: counts of each pattern in each context, with its first occurrence."""
-    return occ.groupBy("word", "left", "right", "pattern").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos", "form")).alias("first"))
+    """word, left, right, pattern, n: counts of each pattern in each context."""
+    return occ.groupBy("word", "left", "right", "pattern").agg(F.count("*").alias("n"))
 
 
 def agreement(ctx: DataFrame) -> DataFrame:
@@ -47,24 +66,43 @@ def agreement(ctx: DataFrame) -> DataFrame:
     return per.groupBy("word").agg(F.count("*").alias("n_contexts"), F.sum("total").alias("n_repeated"), F.sum("best").alias("n_agree"))
 
 
+def agreement_of(ctx: DataFrame) -> DataFrame:
+    """word, n_repeated, agreement of every word of ctx: a word without a repeated context agrees fully, over none."""
+    got = ctx.select("word").distinct().join(agreement(ctx), "word", "left")
+    return got.select("word", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"), F.coalesce(F.col("n_agree") / F.col("n_repeated"), F.lit(1.0)).alias("agreement"))
+
+
 def mine(occ: DataFrame, gates: Gates = Gates()) -> DataFrame:
-    """word, code, pattern, n, example, total: the lexicon in long form, a row for each reading that passes the gates."""
-    ctx = contexts(occ)
-    patterns = ctx.groupBy("word", "pattern").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    """word, code, pattern, n, example, total: the lexicon in long form, a written table with a row for each reading that passes the gates.
+
+    Counts of (word, pattern) come first and combine on the map side. Only occurrences of words with several readings left are
+    then counted by context, and examples are looked up by their places.
+    """
+    patterns = occ.groupBy("word", "pattern").agg(F.count("*").alias("n"), F.min(_place(occ)).alias("first"))
     whole = Window.partitionBy("word")
     patterns = patterns.select("*", F.sum("n").over(whole).alias("total"), F.count("*").over(whole).alias("raw"))
-    kept = patterns.where((F.col("total") >= gates.min_word_freq) & (F.col("raw") <= gates.max_raw_patterns) & (F.col("n") >= gates.min_pattern_count) & (F.col("n") / F.col("total") >= gates.min_pattern_frac))
-    kept = kept.withColumn("code", F.row_number().over(whole.orderBy(F.desc("n"), "first")) - 1).where(F.col("code") < gates.max_codes).withColumn("codes", F.count("*").over(whole))
-    unsure = kept.where("codes > 1").select("word").distinct()
-    agree = agreement(ctx.join(unsure, "word", "left_semi"))
+    frequent = (F.col("total") >= gates.min_word_freq) & (F.col("raw") <= gates.max_raw_patterns)
+    kept = patterns.where(frequent & (F.col("n") >= gates.min_pattern_count) & (F.col("n") / F.col("total") >= gates.min_pattern_frac))
+    code = F.row_number().over(whole.orderBy(F.desc("n"), "first")) - 1
+    kept = kept.withColumn("code", code).where(F.col("code") < gates.max_codes).withColumn("codes", F.count("*").over(whole))
+    kept = materialize(kept, "readings")
+    unsure = small_side(kept.where("code = 1").select("word"), WORDS)
+    agree = agreement(contexts(occ.join(unsure, "word", "left_semi")))
     refused = agree.where((F.col("n_repeated") >= 2) & (F.col("n_agree") / F.col("n_repeated") < gates.min_context_agreement)).select("word")
-    return kept.join(refused, "word", "left_anti").select("word", "code", "pattern", "n", F.col("first.form").alias("example"), "total")
+    kept = kept.join(refused, "word", "left_anti")
+    forms = occ.select(F.col("word").alias("w"), F.col("pattern").alias("p"), _place(occ).alias("place"), F.col("form").alias("example"))
+    found = kept.join(forms, (F.col("w") == F.col("word")) & (F.col("p") == F.col("pattern")) & (F.col("place") == F.col("first")))
+    return materialize(found.select("word", "code", "pattern", "n", "example", "total"), "lexicon")
 
 
 def labels(occ: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """uid, pos, word, code of occurrences of ambiguous words; -1 where the pattern isn't in the lexicon."""
-    several = lexicon.groupBy("word").agg(F.count("*").alias("codes")).where("codes > 1").select("word")
-    return occ.join(several, "word", "left_semi").join(lexicon.select("word", "pattern", "code"), ["word", "pattern"], "left").select("uid", "pos", "word", F.coalesce("code", F.lit(-1)).alias("code"))
+    """uid, pos, word, code of occurrences of ambiguous words; -1 where the pattern isn't in the lexicon.
+
+    The lexicon's ambiguous words are broadcast if they are few enough; else the join shuffles, and AQE splits the most frequent words.
+    """
+    several = lexicon.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("pattern", "code"))).alias("codes")).where(F.size("codes") > 1)
+    code = F.coalesce(F.try_element_at("codes", F.col("pattern")), F.lit(-1))
+    return occ.join(small_side(materialize(several, "ambiguous"), WORDS), "word").select("uid", "pos", "word", code.alias("code"))
 
 
 def nested(lexicon: DataFrame) -> DataFrame:
@@ -81,7 +119,7 @@ def split_of(uid: Column, seed: str = "1234") -> Column:
 
 def majority(occ: DataFrame) -> DataFrame:
     """word, pattern, n: each word's most frequent pattern, the first seen on ties."""
-    per = occ.groupBy("word", "pattern").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("first"))
+    per = occ.groupBy("word", "pattern").agg(F.count("*").alias("n"), F.min(_place(occ)).alias("first"))
     return per.withColumn("r", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("n"), "first"))).where("r = 1").select("word", "pattern", "n")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,17 +53,25 @@ def early_stop(metrics: Column, patience: int = 8, min_delta: float = 0.002) ->
     return F.aggregate(metrics, start, step, lambda acc: acc["stop"])
 
 
-def monotonic_spans(spans: Column) -> Column:
-    """Spans (start, end) in order, without those that begin before the end of the last one kept."""
-    kind = "array<struct<start:double,end:double>>"
-    start = F.struct(F.lit(float("-inf")).alias("end"), F.array().cast(kind).alias("out"))
+def _monotonic(spans: pa.Array) -> pa.Array:
+    flat = spans.flatten()
+    starts, ends = (np.asarray(flat.field(k), np.float64) for k in (0, 1))
+    offsets = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(spans), 0)))])
+    keep = np.zeros(len(starts), bool)
+    for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
+        last = float("-inf")
+        for i, (start, end) in enumerate(zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True), a):
+            if start >= last:
+                keep[i], last = True, end
+    kept = pa.StructArray.from_arrays([pa.array(starts[keep]), pa.array(ends[keep])], names=["start", "end"])
+    at = np.concatenate([[0], keep.cumsum()])[offsets]
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), kept, mask=spans.is_null())
 
-    def step(acc, s):
-        keep = s["start"] >= acc["end"]
-        own = F.array(F.struct(s["start"].cast("double").alias("start"), s["end"].cast("double").alias("end")))
-        return F.struct(F.when(keep, s["end"].cast("double")).otherwise(acc["end"]).alias("end"), F.when(keep, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(spans, start, step, lambda acc: acc["out"])
+def monotonic_spans(spans: Column) -> Column:
+    """Spans (start, end) in order, without those that begin before the end of the last one kept; null arrays stay null."""
+    plain = F.transform(spans, lambda s: F.struct(s["start"].cast("double").alias("start"), s["end"].cast("double").alias("end")))
+    return F.arrow_udf(_monotonic, "array<struct<start:double,end:double>>")(plain)
 
 
 def word_spans(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -147,12 +156,23 @@ def align_tokens(plain: Column, marked: Column, key) -> Column:
     Lists of one length pair by position. Others are walked: each plain token takes the first match among the next three marked
     ones, and the walk goes on behind it.
     """
-    same = F.zip_with(plain, marked, lambda p, m: F.when(key(p) == key(m), m))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    walked = F.arrow_udf(_walk, "array<int>")(F.transform(plain, key), F.transform(marked, key))
+    return F.transform(walked, lambda i: F.get(marked, i))
 
-    def step(acc, p):
-        ahead = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.struct((acc["at"] + k).alias("i"), F.get(marked, acc["at"] + k).alias("m")))
-        hit = F.get(F.filter(ahead, lambda x: x["m"].isNotNull() & (key(x["m"]) == key(p))), F.lit(0))
-        return F.struct(F.coalesce(hit["i"] + 1, acc["at"]).alias("at"), F.concat(acc["out"], F.array(hit["m"])).alias("out"))
 
-    return F.when(F.size(plain) == F.size(marked), same).otherwise(F.aggregate(plain, start, step, lambda acc: acc["out"]))
+def _walk(plain: pa.Array, marked: pa.Array) -> pa.Array:
+    """For each plain key the place of its marked one, or null."""
+    out = []
+    for ps, ms in zip(plain.to_pylist(), marked.to_pylist(), strict=True):
+        if ps is None or ms is None:
+            out.append(None)
+        elif len(ps) == len(ms):
+            out.append([i if p == m and p is not None else None for i, (p, m) in enumerate(zip(ps, ms, strict=True))])
+        else:
+            own, at = [], 0
+            for p in ps:
+                hit = next((i for i in range(at, min(at + 3, len(ms))) if p is not None and ms[i] == p), None)
+                own.append(hit)
+                at = at if hit is None else hit + 1
+            out.append(own)
+    return pa.array(out, pa.list_(pa.int32()))

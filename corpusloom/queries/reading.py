@@ -98,11 +98,11 @@ def codes_unscorable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four occurrences of each code of each ambiguous word."""
+    """The first six occurrences of each code of each ambiguous word; Spark keeps six of a key in each task before it shuffles."""
     occ = _occ(spark, sf_dir)
     got = R.labels(occ, R.mine(occ)).where("code >= 0")
     order = Window.partitionBy("word", "code").orderBy("uid", "pos")
-    return got.withColumn("k", F.row_number().over(order)).where("k <= 4").select("word", "code", "k", "uid", "pos")
+    return got.withColumn("k", F.row_number().over(order)).where("k <= 6").select("word", "code", "k", "uid", "pos")
 
 
 def majority_baseline_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +169,7 @@ select *, row_number() over (partition by grade order by total desc, word) as ra
     "reading_labels": (reading_labels, _sql(_LABEL + " select word, code, count(*) as n, min(uid) as first_uid from lab group by all")),
     "reading_confusion_by_split": (reading_confusion_by_split, _sql(_LABEL + f" select word, {_SPLIT} as split, count_if(code = -1) as unmatched, count_if(code = 0) as code_0, count_if(code = 1) as code_1, count_if(code = 2) as code_2, count_if(code = 3) as code_3 from lab group by all")),
     "codes_unscorable": (codes_unscorable, _sql(_LABEL + f" select word, count(distinct case when {_SPLIT} <> 'train' and code >= 0 then code end) as n_held from lab group by word having n_held < 2")),
-    "concordance": (concordance, _sql(_LABEL + " select word, code, row_number() over (partition by word, code order by uid, pos) as k, uid, pos from lab where code >= 0 qualify k <= 4")),
+    "concordance": (concordance, _sql(_LABEL + " select word, code, row_number() over (partition by word, code order by uid, pos) as k, uid, pos from lab where code >= 0 qualify k <= 6")),
     "majority_baseline_kept": (majority_baseline_kept, _sql(", p as (select word, max(n) as best, sum(n) as kept from lex group by word having count(*) > 1) select round(100 * sum(best) / sum(kept), 6) as baseline, count(*) as n_words from p")),
     "majority_baseline_total": (majority_baseline_total, _sql(", p as (select word, max(n) as best, first(total) as total from lex group by word having count(*) > 1) select round(100 * sum(best) / sum(total), 6) as baseline, count(*) as n_words from p")),
     "majority_baseline_heldout": (majority_baseline_heldout, _sql(_GUESS + " , h as (select count(*) as n, count_if(coalesce(pattern = guess, false)) / count(*) as a, count_if(coalesce(pattern = majority, false)) / count(*) as b from g) select n, round(a, 6) as accuracy, round(b, 6) as baseline, round(a - b, 6) as margin, case when a > b + 0.05 then 'PASS' when a > b then 'MARGINAL' else 'FAIL' end as verdict from h")),

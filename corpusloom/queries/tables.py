@@ -91,24 +91,27 @@ def ragged_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collate_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = read_table(spark, sf_dir, "benchmark").select("item_id", F.transform(chars.words(F.col("text")), lambda w: F.length(w)).alias("values"))
-    plan = B.batch_plan(turns.withColumn("len", F.size("values")), "item_id", "len", 8)
-    got = B.collate(turns, "item_id", "values", plan)
-    return got.select("item_id", "bucket", "batch", F.array_join(F.col("padded").cast("array<string>"), ",").alias("padded"), F.array_join(F.col("mask").cast("array<string>"), ",").alias("mask"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.transform(chars.words(F.col("text")), lambda w: F.length(w)).alias("values"))
+    plan = B.batch_plan(docs.withColumn("len", F.size("values")), "doc_id", "len", 8)
+    got = B.collate(docs, "doc_id", "values", plan)
+    digest = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ","))
+    return got.select("doc_id", "bucket", "batch", digest("padded").alias("padded_md5"), digest("mask").alias("mask_md5"))
 
 
-_COLLATE = """with v as (select item_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda w: length(w)) as vs from benchmark), n as (select *, len(vs) as n from v),
+_COLLATE = """with v as (select doc_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda w: length(w)) as vs from documents), n as (select *, len(vs) as n from v),
 b as (select *, (case when n >= 32 then 1 else 0 end + case when n >= 64 then 1 else 0 end + case when n >= 96 then 1 else 0 end + case when n >= 128 then 1 else 0 end + case when n >= 160 then 1 else 0 end + case when n >= 200 then 1 else 0 end + case when n >= 240 then 1 else 0 end) as bucket from n),
-k as (select *, (row_number() over (partition by bucket order by md5('1234:0:' || item_id), item_id) - 1) // 8 as batch from b), m as (select *, max(n) over (partition by bucket, batch) as top from k)
-select item_id, bucket, batch, array_to_string(list_concat(vs, list_transform(range(top - n), lambda x: 0)), ',') as padded, array_to_string(list_concat(list_transform(range(n), lambda x: 1), list_transform(range(top - n), lambda x: 0)), ',') as mask from m"""
+k as (select *, (row_number() over (partition by bucket order by md5('1234:0:' || doc_id), doc_id) - 1) // 8 as batch from b), m as (select *, max(n) over (partition by bucket, batch) as top from k)
+select doc_id, bucket, batch, md5(array_to_string(list_concat(vs, list_transform(range(top - n), lambda x: 0)), ',')) as padded_md5, md5(array_to_string(list_concat(list_transform(range(n), lambda x: 1), list_transform(range(top - n), lambda x: 0)), ',')) as mask_md5 from m"""
 
 
 def words_to_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each character of a benchmark text the length of its word, 0 outside of words."""
+    """For each character of a text the length of its word, 0 outside of words: how many values, and their digest."""
     from ..functions.vocab import word_index
 
-    rows = read_table(spark, sf_dir, "benchmark").select("item_id", word_index(F.col("text"), chars.word_spans(F.col("text"))).alias("w"), F.transform(chars.words(F.col("text")), lambda w: F.length(w)).alias("v"))
-    return rows.select("item_id", F.posexplode(B.words_to_chars(F.col("w"), F.col("v"), F.lit(0))).alias("pos", "value"))
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", "text", chars.word_spans(F.col("text")).alias("spans"))
+    rows = rows.where(F.length("text") > 0).select("doc_id", word_index(F.col("text"), F.col("spans")).alias("w"), F.transform("spans", lambda s: F.length(s["word"])).alias("v"))
+    rows = rows.select("doc_id", B.words_to_chars(F.col("w"), F.col("v"), F.lit(0)).alias("values"))
+    return rows.select("doc_id", F.size("values").cast("long").alias("n"), F.md5(F.array_join(F.col("values").cast("array<string>"), ",")).alias("values_md5"))
 
 
 def repetition_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,9 +300,10 @@ QUERIES = {
     "padding_waste": (padding_waste, f"with {_PLAN}, b as (select bucket, k // 32 as batch, max(len) as m, count(*) as n, sum(len) as s from pl group by all) select sum(m * n)::bigint as cells, round((sum(m * n) - sum(s)) / sum(m * n), 6) as waste from b"),
     "ragged_offsets": (ragged_offsets, "select doc_id, coalesce(sum(n_chars) over (order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as start, n_chars as length from documents"),
     "collate_batches": (collate_batches, _COLLATE),
-    "words_to_chars": (words_to_chars, """with toks as (select item_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) as word, unnest(regexp_split_to_array(text, '[\\p{L}\\p{N}]+')[:-2]) as gap, generate_subscripts(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), 1) as i from benchmark),
-s as (select item_id, length(word) as value, sum(length(gap) + length(word)) over (partition by item_id order by i) as e from toks), c as (select item_id, unnest(range(length(text))) as pos from benchmark)
-select c.item_id, c.pos, coalesce(s.value, 0) as value from c left join s on s.item_id = c.item_id and c.pos >= e - value and c.pos < e"""),
+    "words_to_chars": (words_to_chars, """with c as (select doc_id, unnest(string_split(text, '')) as ch, generate_subscripts(string_split(text, ''), 1) as pos from documents where text <> ''),
+m as (select doc_id, pos, regexp_matches(ch, '[\\p{L}\\p{N}]') as w from c), g as (select *, sum((not w)::int) over (partition by doc_id order by pos) as run from m),
+v as (select doc_id, pos, case when w then sum(w::int) over (partition by doc_id, run) else 0 end as value from g)
+select doc_id, count(*) as n, md5(string_agg(value::bigint::varchar, ',' order by pos)) as values_md5 from v group by doc_id"""),
     "repetition_guard": (repetition_guard, "with p as (select event_id, event_type, list(event_type) over (partition by user_id order by ts, event_id rows between 6 preceding and 1 preceding) as l from events) select event_id, coalesce(len(l), 0) = 6 and len(list_filter(l, lambda x: x = event_type)) >= 3 as banned from p"),
     "end_of_run": (end_of_run, "with p as (select event_id, user_id, ts, event_type = lag(event_type) over w and event_type = lag(event_type, 2) over w and row_number() over w >= 2 as s from events window w as (partition by user_id order by ts, event_id)) select event_id, bool_or(coalesce(s, false)) over (partition by user_id order by ts, event_id) as ended from p"),
     "topk_nucleus": (topk_nucleus, f"with w as ({_TOPW}), k as (select * from w qualify rank() over (partition by event_type order by w desc) <= 20), p as (select *, w / sum(w) over (partition by event_type) as p from k), b as (select *, sum(p) over (partition by event_type order by w desc, item) - p as before from p), f as (select * from b where before <= 0.8) select event_type, item, round(p / sum(p) over (partition by event_type), 6) as share from f"),

@@ -34,7 +34,8 @@ def digit_leak_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_tokens_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chars.word_spans(F.col("text"))).alias("i", "s"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", chars.word_spans(F.col("text")).alias("spans"))
+    rows = docs.select("doc_id", F.posexplode("spans").alias("i", "s"))
     return rows.select("doc_id", "i", F.col("s.word").alias("word"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
 
@@ -43,8 +44,8 @@ spans as (select doc_id, i, word, (sum(length(gap) + length(word)) over w)::bigi
 
 
 def char_word_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "benchmark").select("item_id", vocab.word_index(F.col("text"), chars.word_spans(F.col("text"))).alias("w"))
-    return rows.select("item_id", F.posexplode("w").alias("pos", "word_index"))
+    rows = read_table(spark, sf_dir, "benchmark").select("item_id", "text", chars.word_spans(F.col("text")).alias("spans"))
+    return rows.select("item_id", F.posexplode(vocab.word_index(F.col("text"), F.col("spans"))).alias("pos", "word_index"))
 
 
 def char_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +73,8 @@ def vocab_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def romanize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.md5(translit.romanize(F.col("text"))).alias("latin_md5"), F.length(translit.romanize(F.col("text"))).alias("n"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", translit.romanize(F.col("text")).alias("latin"))
+    return docs.select("doc_id", F.md5("latin").alias("latin_md5"), F.length("latin").alias("n"))
 
 
 _ROMAN = _LOWER % f"regexp_replace(regexp_replace(text, '{_UNICODE_SPACE}', ' ', 'g'), '[^A-Za-z ]', '', 'g')"

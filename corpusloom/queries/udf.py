@@ -19,9 +19,9 @@ def verbalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ctc_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets of four symbols aligned with the first 32 values of each embedding, taken as 8 frames of scores of 4 symbols."""
+    """Targets of four symbols aligned with each embedding of 64 values, taken as 16 frames of scores of 4 symbols."""
     rows = read_table(spark, sf_dir, "embeddings")
-    frame = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.get("embedding", t * 4 + k).cast("double")))
+    frame = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda t: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.get("embedding", t * 4 + k).cast("double")))
     targets = F.array((F.col("label") % 3 + 1).cast("int"), F.lit(1), F.lit(2))
     return S.forced_align(rows.select(F.col("vec_id").alias("uid"), frame.alias("scores"), targets.alias("targets"))).select("uid", F.posexplode("spans").alias("i", "s")).select("uid", "i", "s.*")
 
@@ -37,9 +37,10 @@ def silhouette_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def monotonic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of a document's words in the order of their starts, moved by a hash: those that overlap the last one kept go."""
-    spans = F.transform(chars.word_spans(F.col("text")), lambda s: F.struct((s["start"] + F.length(s["word"]) % 3).cast("double").alias("start"), (s["end"] + F.length(s["word"]) % 4).cast("double").alias("end")))
-    docs = read_table(spark, sf_dir, "benchmark").select("item_id", spans.alias("spans"))
-    return docs.select("item_id", F.size("spans").alias("n"), F.size(S.monotonic_spans(F.col("spans"))).alias("n_kept"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", chars.word_spans(F.col("text")).alias("words"))
+    moved = lambda s: F.struct((s["start"] + F.length(s["word"]) % 3).alias("start"), (s["end"] + F.length(s["word"]) % 4).alias("end"))
+    docs = docs.select("doc_id", F.transform("words", moved).alias("spans"))
+    return docs.select("doc_id", F.size("spans").alias("n"), F.size(S.monotonic_spans(F.col("spans"))).alias("n_kept"))
 
 
 def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:

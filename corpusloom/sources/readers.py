@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import small_side
+
 #: Candidate names of a manifest's columns, the first that exists and holds a value wins.
 CANDIDATES = {
     "audio_path": ["file_name", "audio_path", "path"],
@@ -44,17 +46,18 @@ def first_of(df: DataFrame, names: list[str]) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def numbered(df: DataFrame, order: list[str], prefix: str = "pq_", buckets: int = 256) -> DataFrame:
-    """df with uid = prefix and a six-digit number in the order of hash buckets and, within them, of the columns given.
+def numbered(df: DataFrame, order: list[str], prefix: str = "pq_", rows_per_bucket: int = 100_000) -> DataFrame:
+    """df with uid = prefix and a number of six digits or more in the order of hash buckets and, within them, of the columns given.
 
     Numbers are dense. They follow from the rows alone, and no task ranks more than a bucket.
     """
+    buckets = max(1, -(-df.count() // rows_per_bucket))
     rows = df.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     counts = rows.groupBy("__b").agg(F.count("*").alias("c"))
     before = counts.select("__b", F.coalesce(F.sum("c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    rows = rows.join(F.broadcast(before), "__b")  # a row for each bucket
+    rows = rows.join(small_side(before, 1_000_000), "__b")  # a row for each bucket
     number = F.col("__before") + F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1
-    return rows.withColumn("uid", F.concat(F.lit(prefix), F.lpad(number.cast("string"), 6, "0"))).drop("__b", "__before")
+    return rows.withColumn("uid", F.concat(F.lit(prefix), F.format_string("%06d", number))).drop("__b", "__before")
 
 
 def as_manifest(df: DataFrame, split: str | None = None) -> DataFrame:
