@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spans import between, matches
+from ._spans import between, bind, matches
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
 IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
@@ -75,11 +75,6 @@ def _stream(key: str, tweak: str, i: Column, other: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), other, F.lit(key)), 256)
 
 
-def _bind(value: Column, use) -> Column:
-    """use(value) with value computed once, however often use names it, in a lambda too."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _shift(text: Column, stream: Column, hexadecimal: bool) -> Column:
     def one(c, j, mask):
         by = F.conv(F.substring(mask, 2 * (j % 32) + 1, F.lit(2)), 16, 10).cast("int")
@@ -91,7 +86,7 @@ def _shift(text: Column, stream: Column, hexadecimal: bool) -> Column:
         return F.when(code.between(48, 57), moved(48, 10)).when(code.between(97, 122), moved(97, 26)).when(code.between(65, 90), moved(65, 26)).otherwise(c)
 
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return _bind(stream, lambda mask: F.array_join(F.transform(chars, lambda c, j: one(c, j, mask)), ""))
+    return bind(stream, lambda mask: F.array_join(F.transform(chars, lambda c, j: one(c, j, mask)), ""))
 
 
 def permute_string(text: Column, key: str, tweak: str, hexadecimal: bool = False) -> Column:
@@ -140,7 +135,7 @@ def _fill(m: Column, digits: Column, kind: str = "[0-9]") -> Column:
 
         return F.aggregate(F.split(m, ""), start, step, lambda acc: acc["out"])
 
-    return _bind(digits, fill)
+    return bind(digits, fill)
 
 
 def _luhn(digits: Column) -> Column:
@@ -152,7 +147,7 @@ def _luhn(digits: Column) -> Column:
 def _card(m: Column, key: str) -> Column:
     d = _digits(m)
     body = F.concat(F.substring(d, 1, 1), permute_string(F.substring(d, F.lit(2), F.length(d) - 2), key, "card"))
-    return _fill(m, _bind(body, lambda x: F.concat(x, F.pmod(-_luhn(F.concat(x, F.lit("0"))), F.lit(10)).cast("string"))))
+    return _fill(m, bind(body, lambda x: F.concat(x, F.pmod(-_luhn(F.concat(x, F.lit("0"))), F.lit(10)).cast("string"))))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -165,7 +160,7 @@ def _ip(m: Column, key: str) -> Column:
     o = F.split(m, r"\.")
     part = lambda i: F.get(o, F.lit(i)).cast("long")
     p = permute_number(((part(0) * 256 + part(1)) * 256 + part(2)) * 256 + part(3), (65536, 65536), key, "ip")
-    return _bind(p, lambda x: F.concat_ws(".", *[F.pmod(F.shiftright(x, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]))
+    return bind(p, lambda x: F.concat_ws(".", *[F.pmod(F.shiftright(x, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -176,7 +171,7 @@ def _ssn(m: Column, key: str) -> Column:
         a, rest = F.floor(p / F.lit(SSNS[1])).cast("int"), F.pmod(p, F.lit(SSNS[1]))
         return F.format_string("%03d-%02d-%04d", F.when(a >= 665, a + 2).otherwise(a + 1), F.floor(rest / F.lit(9999)).cast("int") + 1, F.pmod(rest, F.lit(9999)).cast("int") + 1)
 
-    return _bind(permute_number(x, SSNS, key, "ssn"), write)
+    return bind(permute_number(x, SSNS, key, "ssn"), write)
 
 
 def _date_parts(m: Column) -> tuple[Column, Column, Column, Column, Column]:
@@ -206,7 +201,7 @@ def _date(m: Column, key: str) -> Column:
         year = F.date_format(new, "yyyy")
         return F.when(iso, F.concat(year, mark, month, mark, day)).when(american, F.concat(month, mark, day, mark, year)).otherwise(F.concat(day, mark, month, mark, year))
 
-    return _bind(permute_number(F.datediff(_date_value(m), first), DAYS, key, "date"), write)
+    return bind(permute_number(F.datediff(_date_value(m), first), DAYS, key, "date"), write)
 
 
 def email_value(m: Column) -> Column:
@@ -220,7 +215,7 @@ def _email(m: Column, key: str) -> Column:
         cut = F.length(value) - F.length(F.substring_index(value, ".", -1)) - 1  # before the last dot
         return F.concat(permute_string(F.substring(value, F.lit(1), cut), key, "email"), F.substring(m, cut + 1, F.length(m)))
 
-    return _bind(email_value(m), write)
+    return bind(email_value(m), write)
 
 
 def _mod97(text: Column) -> Column:
@@ -238,7 +233,7 @@ def _new_iban(m: Column, key: str) -> Column:
     d = F.replace(m, F.lit(" "), F.lit(""))
     country, body = F.substring(d, 1, 2), permute_string(F.substring(d, F.lit(5), F.length(d)), key, "iban")
     check = lambda x: F.lpad((98 - _mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0")
-    return _fill(m, _bind(body, lambda x: F.concat(country, check(x), x)), "[A-Z0-9]")
+    return _fill(m, bind(body, lambda x: F.concat(country, check(x), x)), "[A-Z0-9]")
 
 
 def _ipv6_check(m: Column) -> Column:

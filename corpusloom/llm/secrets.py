@@ -14,8 +14,8 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_and_text
-from ._spans import between, matches, starts
+from ._common import free_name, id_and_text
+from ._spans import between, bind, matches, running, starts
 
 #: Fixed values of the contract. The lengths of access and hex hold for whole runs, so the patterns can ask for them.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -120,16 +120,14 @@ def scan(docs: DataFrame, model: list[float] | None = None, threshold: float = 1
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", model: list[float] | None = None, threshold: float = 10.0) -> DataFrame:
     """docs with every span of a secret in text replaced by mark; overlapping spans become one. Other columns stay as they are."""
-    spans = F.col("__spans")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, x):
-        new = x["start"] >= acc["at"]
-        piece = F.when(new, F.concat(F.substring("text", acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
-
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring("text", acc["at"] + 1, F.length("text")))
-    clean = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(F.col("text"))
-    found = docs.withColumn("__found", scan_column(F.col("text"), model, threshold))
-    found = found.withColumn("__spans", F.array_sort(F.concat("__found.base", _outside(F.col("__found")))))
-    return found.withColumn("text", clean).drop("__found", "__spans")
+    names = [free_name(docs, n) for n in ("spans", "before")]
+    spans, before = map(F.col, names)
+    found = docs.withColumn(names[0], bind(scan_column(F.col("text"), model, threshold), lambda s: F.array_sort(F.concat(s["base"], _outside(s)))))
+    found = found.withColumn(names[1], running(F.transform(spans, lambda x: x["end"]), F.greatest))  # where the spans before end
+
+    def piece(x, at):
+        return F.when(x["start"] >= at, F.concat(F.substring("text", at + 1, x["start"] - at), F.lit(mark))).otherwise("")
+
+    rest = F.substring("text", F.array_max(F.transform(spans, lambda x: x["end"])) + 1, F.length("text"))
+    clean = F.concat(F.array_join(F.zip_with(spans, before, piece), ""), rest)
+    return found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(F.col("text"))).drop(*names)
