@@ -63,7 +63,7 @@ QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_chat, op4_mix, op5
 _MIX = r"""
 with d as (select doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents),
 m as (select *, length(text) / greatest(size, 1) - 1 as mean from d),
-k as (select doc_id, source, size, -ln((('0x' || substr(md5('17:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint + 0.5) / 4503599627370496.0) / coalesce(greatest(0.25, 1 - greatest(4 - mean, mean - 8, 0.0) / 8), 0.25) as key from m),
+k as (select doc_id, source, size, -ln((('0x' || substr(md5('17:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 13))::bigint + 0.5) / 4503599627370496.0) / coalesce(greatest(0.25, 1 - greatest(4 - mean, mean - 8, 0.0) / 8), 0.25) as key from m),
 s as (select source, sum(size) as n, [3, 1, 2][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as w from k group by source),
 c as (select a.source, a.n, a.w, ((select 1.5 * sum(n) from s) - coalesce(sum(2 * b.n) filter (2 * b.n / b.w < 2 * a.n / a.w), 0)) / sum(b.w) filter (2 * b.n / b.w >= 2 * a.n / a.w) as level from s a, s b group by all),
 l as (select level from c where level * w <= 2 * n order by 2 * n / w limit 1),
