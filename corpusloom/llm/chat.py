@@ -4,11 +4,13 @@ A turn is START role, a line break, the text, END and a line break. Control stri
 backslash after their first character (one more if there are some already), so none of them can be taken for the template's
 own and taking away one backslash restores the text.
 
-Prefix sums of the turns' tokens choose the windows: a turn belongs to window floor(tokens before it / span tokens), so windows
-are turn-aligned, and no turn is split or dropped. A system turn that opens the conversation is retained in every window. The
-turns just before a window that fit into history_tokens are repeated at its head. Only assistant texts that are new in a window
-are under its loss mask, so each is learnt from once; a window holds at most its system turn, the history, the span and what
-the last turn has beyond it.
+Prefix sums of the turns' tokens choose the windows: a turn belongs to window floor(tokens before it / span), so windows are
+turn-aligned, and no turn is split or dropped. A system turn that opens the conversation is retained in every window and charged
+to it: the span is span_tokens less the system turn's tokens, but a quarter of span_tokens at least, as a long system turn would
+leave no room for others. The turns just before a window that fit into history_tokens are repeated at its head. Only assistant
+texts that are new in a window are under its loss mask, so each is learnt from once.
+
+A window holds at most max(span_tokens, system turn + span_tokens / 4) + history_tokens tokens, and what its last turn has beyond.
 """
 
 from __future__ import annotations
@@ -51,12 +53,15 @@ def format_windows(turns: DataFrame, span_tokens: int = 768, history_tokens: int
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     head, body = F.concat(F.lit(START), _role(F.col("role")), F.lit("\n")), escape(F.col("text"))
     rows = rows.withColumn("pos", F.row_number().over(order)).withColumn("is_system", (F.col("pos") == 1) & (F.col("role") == "system"))
-    rows = rows.withColumn("tokens", F.when(F.col("is_system"), 0).otherwise(F.regexp_count("text", F.lit(TOKEN)) + MARKS))
+    rows = rows.withColumn("own", F.regexp_count("text", F.lit(TOKEN)) + MARKS)
+    rows = rows.withColumn("tokens", F.when(F.col("is_system"), 0).otherwise(F.col("own")))
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("start", F.sum("tokens").over(upto) - F.col("tokens"))
     rows = rows.withColumn("piece", F.concat(head, body, F.lit(f"{END}\n"))).withColumn("head", F.length(head)).withColumn("body", F.length(body))
     rows = rows.withColumn("system", F.first(F.when(F.col("is_system"), F.col("piece")), ignorenulls=True).over(upto))
-    rows = rows.withColumn("window", F.dense_rank().over(Window.partitionBy("conv_id").orderBy(F.floor(F.col("start") / span_tokens))))
+    charged = F.coalesce(F.first(F.when(F.col("is_system"), F.col("own")), ignorenulls=True).over(upto), F.lit(0))
+    rows = rows.withColumn("span", F.greatest(F.lit(span_tokens) - charged, F.lit(-(-span_tokens // 4))))
+    rows = rows.withColumn("window", F.dense_rank().over(Window.partitionBy("conv_id").orderBy(F.floor(F.col("start") / F.col("span")))))
     following = Window.partitionBy("conv_id").orderBy("window").rangeBetween(1, 1)
     rows = rows.withColumn("next", F.min("start").over(following))
     repeats = ~F.col("is_system") & (F.col("next") - F.col("start") <= history_tokens)
