@@ -3,13 +3,15 @@
 A stream starts with an ID3v2.3 tag (TLEN: length in milliseconds, TXXX:bytes: length before padding) and a Xing frame
 (frame count, byte count, 100 seek points), then come frames with a checksum. A frame's part2_3_length fields say how many
 bytes of its main data are in use; these bytes are the payload, so the bitrate varies with what a frame has to carry.
-The parser takes no frame for granted: it resynchronises on two agreeing headers, skips tags at either end, verifies
-CRC-16, and derives the duration from the frames it found, the seek offsets being the frames' own positions.
+The parser takes no frame for granted: it resynchronises on two agreeing headers, reads tags at either end (ID3v1, ID3v2.3 and
+2.4) and Xing, Info, VBRI and LAME tables, verifies CRC-16, and derives the duration from the frames it found less the encoder's
+delay and padding, the seek offsets being the frames' own positions.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from dataclasses import dataclass, field
 
@@ -106,7 +108,7 @@ def encode(payload: bytes, n_bytes: int) -> bytes:
 
 @dataclass
 class Stream:
-    """What parse() finds. Durations are exact: samples / sample_rate seconds."""
+    """What parse() finds. Durations are exact: (samples - delay - padding) / sample_rate seconds."""
 
     tags: dict[str, str] = field(default_factory=dict)
     frames: int = 0
@@ -117,8 +119,11 @@ class Stream:
     vbr_frames: int | None = None
     vbr_bytes: int | None = None
     toc: bytes = b""
+    delay: int = 0  # samples that the encoder put before and after the sound
+    padding: int = 0
     crc_checked: int = 0
     crc_failed: int = 0
+    damaged: list[int] = field(default_factory=list)  # offsets of frames whose checksum failed; their payload is kept
     skipped: int = 0  # bytes between frames that belong to none
     payload: bytes = b""
 
@@ -140,17 +145,7 @@ def parse(blob: bytes) -> Stream:
     """Tags, frames, checksums and payload of a stream; damaged stretches are skipped and counted."""
     out, at, end = Stream(), 0, len(blob)
     while blob[at : at + 3] == b"ID3" and at + 10 <= end:
-        size = 0
-        for b in blob[at + 6 : at + 10]:
-            size = size << 7 | b & 0x7F
-        p, stop = at + 10, min(end, at + 10 + size)
-        while p + 10 <= stop and blob[p : p + 4].strip(b"\0"):
-            n = int.from_bytes(blob[p + 4 : p + 8], "big")
-            key, value = blob[p : p + 4].decode("latin-1"), blob[p + 11 : p + 10 + n].decode("latin-1")
-            name, _, rest = value.partition("\0")
-            out.tags.update({f"TXXX:{name}": rest} if key == "TXXX" else {key: value})
-            p += 10 + n
-        at = stop
+        at = _read_tag(blob, at, end, out.tags)
     if end - at >= 128 and blob[end - 128 : end - 125] == b"TAG":
         end -= 128
         out.tags["TIT2"] = blob[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
@@ -171,14 +166,20 @@ def parse(blob: bytes) -> Stream:
             continue
         size, samples, hz, kbits, protected, side, _ = info
         x = at + 4 + side + 2 * protected
-        if first and blob[at + 4 + side : at + 8 + side] in (b"Xing", b"Info"):
+        if first and blob[at + 36 : at + 40] == b"VBRI":  # 32 bytes behind the header, whatever the version
+            out.vbr_bytes, out.vbr_frames = int.from_bytes(blob[at + 46 : at + 50], "big"), int.from_bytes(blob[at + 50 : at + 54], "big")
+        elif first and blob[at + 4 + side : at + 8 + side] in (b"Xing", b"Info"):
             q, flags = at + 12 + side, int.from_bytes(blob[at + 8 + side : at + 12 + side], "big")
             if flags & 1:
                 out.vbr_frames, q = int.from_bytes(blob[q : q + 4], "big"), q + 4
             if flags & 2:
                 out.vbr_bytes, q = int.from_bytes(blob[q : q + 4], "big"), q + 4
             if flags & 4:
-                out.toc = blob[q : q + 100]
+                out.toc, q = blob[q : q + 100], q + 100
+            q += 4 * (flags >> 3 & 1)
+            if blob[q : q + 4] in (b"LAME", b"Lavc", b"Lavf") and q + 24 <= min(end, at + size):
+                both = int.from_bytes(blob[q + 21 : q + 24], "big")
+                out.delay, out.padding = both >> 12, both & 0xFFF
         else:
             out.offsets.append(at)
             out.bitrates.append(kbits)
@@ -200,10 +201,42 @@ def parse(blob: bytes) -> Stream:
         rows = raw[where[good, None] + np.r_[2, 3, 6 : 6 + side]]
         want = raw[where[good] + 4].astype(np.uint32) << 8 | raw[where[good] + 5]
         out.crc_checked += len(where)
-        out.crc_failed += int((crc16(rows) != want).sum() + (~good).sum())
+        failed = np.concatenate([where[good][crc16(rows) != want], where[~good]])
+        out.crc_failed += len(failed)
+        out.damaged = sorted([*out.damaged, *failed.tolist()])
     return out
 
 
+_ENCODINGS = ["latin-1", "utf-16", "utf-16-be", "utf-8"]
+
+
+def _number(raw: bytes, bits: int) -> int:
+    """Big-endian number of bytes of which bits count."""
+    out = 0
+    for b in raw:
+        out = out << bits | b & (1 << bits) - 1
+    return out
+
+
+def _read_tag(blob: bytes, at: int, end: int, tags: dict[str, str]) -> int:
+    """Add the text fields of the ID3v2 tag at a place to tags; returns where the tag ends. What is cut off or unknown is passed over."""
+    version, flags = blob[at + 3], blob[at + 5]
+    bits = 7 if version >= 4 else 8  # of each byte of a field's length
+    stop = min(end, at + 10 + _number(blob[at + 6 : at + 10], 7))
+    p = at + 10
+    if flags & 0x40:  # extended header; its length counts itself from version 4 on
+        p += _number(blob[p : p + 4], bits) + (0 if version >= 4 else 4)
+    while p + 10 <= stop and blob[p : p + 4].strip(b"\0"):
+        key, n = blob[p : p + 4].decode("latin-1"), _number(blob[p + 4 : p + 8], bits)
+        if key[0] == "T" and n and p + 10 + n <= stop:
+            value = blob[p + 11 : p + 10 + n].decode(_ENCODINGS[blob[p + 10] & 3], "replace")
+            name, _, rest = value.partition("\0")
+            rest = rest.removeprefix("\ufeff")
+            tags.update({f"TXXX:{name}": rest.rstrip("\0")} if key == "TXXX" else {key: value.rstrip("\0")})
+        p += 10 + n
+    return stop + 10 * (version >= 4 and bool(flags & 0x10))  # a footer
+
+
 def _resync(blob: bytes, at: int, end: int) -> int | None:
     """Next position whose header is followed by an agreeing one, or by the end."""
     while (at := blob.find(b"\xff", at, end)) >= 0:
@@ -228,7 +261,7 @@ def encode_media(df: DataFrame) -> DataFrame:
 
 PROBED = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-    "feature string, n_frames long, samples long, sample_rate int, duration_us long, n_skipped long, crc_failed long, seek_offsets array<int>"
+    "feature string, n_frames long, samples long, sample_rate int, duration_us long, n_skipped long, crc_failed long, seek_offsets array<long>"
 )
 
 
@@ -240,10 +273,10 @@ def feature(s: Stream) -> str:
     return f"f{s.frames} s{s.samples}@{s.sample_rate} k{kbits:.2f} c{s.crc_checked - s.crc_failed}/{s.crc_checked} m{x.mean():.3f} d{x.std():.3f} v{change:.3f}"
 
 
-def probe_media(df: DataFrame, seek_every: int = 64) -> DataFrame:
-    """What the stored streams (doc_id, media) say once read back, with the offset of every seek_every-th frame.
+def probe_media(df: DataFrame, seek_every: int = 1) -> DataFrame:
+    """What the stored streams (doc_id, media) say once read back, with the offsets of the frames (of every seek_every-th one).
 
-    A null or empty stream gives zero frames and a null n_bytes.
+    A null or empty stream gives zero frames and a null n_bytes; n_bytes is also null where a foreign tag holds no number of bytes.
     """
 
     def run(batches):
@@ -253,9 +286,9 @@ def probe_media(df: DataFrame, seek_every: int = 64) -> DataFrame:
                 s = parse(blob := blob or b"")
                 n = s.tags.get("TXXX:bytes")
                 rows.append((
-                    doc_id, int(n) if n is not None else None, len(s.payload), hashlib.sha256(s.payload).hexdigest(),
+                    doc_id, int(n) if n is not None and re.fullmatch("[0-9]{1,18}", n) else None, len(s.payload), hashlib.sha256(s.payload).hexdigest(),
                     zlib.crc32(s.payload[-UNIT:]), len(blob), hashlib.sha256(blob).hexdigest(), feature(s) if s.payload else "", s.frames, s.samples,
-                    s.sample_rate, s.samples * 1_000_000 // s.sample_rate if s.sample_rate else 0, s.skipped, s.crc_failed, s.offsets[::seek_every],
+                    s.sample_rate, max(0, s.samples - s.delay - s.padding) * 1_000_000 // s.sample_rate if s.sample_rate else 0, s.skipped, s.crc_failed, s.offsets[::seek_every],
                 ))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
 
@@ -263,5 +296,5 @@ def probe_media(df: DataFrame, seek_every: int = 64) -> DataFrame:
 
 
 _NAMES = [x.split()[0] for x in PROBED.split(", ")]
-_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
 _TYPES = [_KINDS[x.split()[1]] for x in PROBED.split(", ")]
