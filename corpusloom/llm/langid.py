@@ -11,9 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize, small_side
 from ._common import id_and_text, slices
 
 WINDOW = 256
@@ -108,25 +109,35 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_windows(docs: DataFrame, per_lang: int = 800, per_doc: int = 4, max_langs: int = 64) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Labelled windows of about per_lang documents of each of the max_langs most frequent languages, per_doc windows each, evenly spread.
+def training_windows(docs: DataFrame, per_lang: int = 800, per_doc: int = 4, max_docs: int = 50_000) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Labelled windows of at most per_lang different documents of each language, per_doc windows each, evenly spread.
 
-    The documents are those of the training part whose ids hash lowest, so the sample is bounded and the same in every run.
+    Every language with training text is learnt; where there are many, per_lang falls so that max_docs documents are taken in all,
+    but one of each language at least. The documents are those of the training part whose ids and texts hash lowest, so the sample
+    is bounded and the same in every run.
     """
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out())
-    counts = sorted((r.lang, r.n) for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect())
-    if not counts:
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
+    known = known.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out())
+    counts = materialize(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    total = counts.count()
+    if not total:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
-    wanted = F.lit(False)
-    for lang, n in counts:
-        share = int(min(1.0, per_lang / n) * 1_000_000)
-        wanted |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share)
+    per_lang = max(1, min(per_lang, max_docs // total))
+    mark = F.xxhash64("doc_id", "text", F.lit(11))
+    share = (mark.cast("double") / float(1 << 63) + 1) / 2  # from 0 to 1
+    # about twice as many as wanted and 20 more, so that hardly a language falls short; then exactly the lowest
+    likely = small_side(counts.select(F.col("lang").alias("of_lang"), ((2 * per_lang + 20) / F.col("n")).alias("upto")), 100_000)
+    near = known.join(likely, F.col("lang") == F.col("of_lang")).where(share <= F.col("upto")).select("lang", mark.alias("mark"))
+    best = near.distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).where(F.col("k") <= per_lang)
+    chosen = materialize(best.select(F.col("lang").alias("of_lang"), "mark"), "sample")
     step = F.greatest(F.lit(WINDOW), (F.length("text") / per_doc).cast("int"))
     pieces = F.transform(F.sequence(F.lit(0), F.lit(per_doc - 1)), lambda i: F.substring("text", i * step + 1, F.lit(WINDOW)))
-    got = known.where(wanted).select("doc_id", "lang", F.explode(pieces).alias("piece")).where("length(piece) > 0").toPandas().sort_values(["doc_id", "piece"])
-    langs = [lang for lang, _ in counts]
+    got = known.withColumn("own", mark).join(small_side(chosen, 1_000_000), (F.col("lang") == F.col("of_lang")) & (F.col("own") == F.col("mark")), "left_semi")
+    got = got.select("lang", "own", pieces.alias("pieces")).dropDuplicates(["lang", "own"])
+    got = got.select("lang", "own", F.posexplode("pieces").alias("i", "piece")).where("length(piece) > 0").toPandas().sort_values(["own", "lang", "i"])
+    langs = sorted(got.lang.unique())
     windows = [to_windows(p.encode())[0][:1] for p in got.piece]
-    return np.concatenate(windows) if windows else np.zeros((0, WINDOW), np.uint8), got.lang.map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64), langs
+    return np.concatenate(windows), got.lang.map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64), langs
 
 
 def train(docs: DataFrame, **bounds) -> Network | None:
