@@ -19,12 +19,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize, small_side
-from ._common import id_and_text, slices
+from ._common import free_name, id_and_text, slices
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 SMALL = 16
@@ -34,12 +34,17 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def band_plan(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = 160) -> tuple[int, int]:
-    """(bands, rows): the most rows, hence the fewest false candidates, that reach the recall at the threshold with max_hashes hashes."""
-    best = (max_hashes, 1)
+    """(bands, rows): the most rows, hence the fewest false candidates, that reach the recall at the threshold with max_hashes hashes.
+
+    Raises if no plan does.
+    """
+    best = None
     for rows in range(1, 65):
         bands = math.ceil(math.log1p(-recall) / math.log1p(-min(threshold**rows, 1 - 1e-12)))
         if bands * rows <= max_hashes:
             best = (bands, rows)
+    if best is None:
+        raise ValueError(f"{max_hashes} hashes can't reach a recall of {recall} at {threshold}")
     return best
 
 
@@ -113,17 +118,37 @@ def signatures(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     return id_and_text(docs).mapInArrow(run, "doc_id long, digest binary, n int, bands array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """digest, shingles of the documents with these first_ids; a document that stands twice comes twice."""
+def vertex_of(first_id: Column, digest: Column) -> Column:
+    """A vertex's name: 25 bytes that sort by the least id of its documents (none last), then by its digest."""
+    place = F.lpad(F.hex(first_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.unhex(F.concat(F.when(first_id.isNull(), F.lit("01" + "0" * 16)).otherwise(F.concat(F.lit("00"), place)), F.hex(digest)))
+
+
+def least_id(vertex: Column) -> Column:
+    """The id in a vertex's name, or null."""
+    place = F.conv(F.hex(F.substring(vertex, 2, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.when(F.hex(F.substring(vertex, 1, 1)) == "00", place.cast("long"))
+
+
+def _vertex(doc_id: int | None, digest: bytes) -> bytes:
+    return (b"\x01" + bytes(8) if doc_id is None else b"\x00" + (doc_id + (1 << 63)).to_bytes(8, "big")) + digest
+
+
+def _sets(docs: DataFrame, vertices: DataFrame, n: int) -> DataFrame:
+    """vertex, shingles of these vertices (vertex, first_id), from the documents with their first_ids; repeated rows give repeated rows."""
 
     def run(batches):
         for part in slices(batches):
-            sets = [s for s in (shingles(t, n) for t in part.column("text").to_pylist()) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["digest", "shingles"])
+            ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
+            sets = [(i, s) for i, t in zip(ids, texts, strict=True) if len(s := shingles(t, n))]
+            names = [_vertex(i, _digest(s)) for i, s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([s.view(np.int64) for _, s in sets], pa.list_(pa.int64()))], ["vertex", "shingles"])
 
-    source = id_and_text(docs)
-    wanted = source.join(small_side(ids, 1_000_000), source["doc_id"].eqNullSafe(ids["first_id"]), "left_semi")
-    return wanted.mapInArrow(run, "digest binary, shingles array<long>")
+    source, kind = id_and_text(docs), "vertex binary, shingles array<long>"
+    wanted = materialize(vertices.where("first_id is not null").select("first_id").distinct(), "ids")
+    found = source.join(small_side(wanted, 1_000_000), source["doc_id"] == wanted["first_id"], "left_semi").mapInArrow(run, kind)
+    nameless = vertices.where("first_id is null").select("vertex")
+    return found.unionByName(source.where("doc_id is null").mapInArrow(run, kind).join(nameless, "vertex", "left_semi"))
 
 
 def intersections(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -161,14 +186,14 @@ def intersections(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray)
     return out
 
 
-_BLOCK_OUT = "digest binary, low binary, links long"
+_BLOCK_OUT = "vertex binary, low binary, links long"
 
 
 def _compare(threshold: float):
     def run(key, table):
         i, j = key[1].as_py(), key[2].as_py()
         rows: dict[bytes, tuple] = {}
-        for d, m, b, s in zip(*(table.column(c).to_pylist() for c in ("digest", "members", "block")), table.column("shingles"), strict=True):
+        for d, m, b, s in zip(*(table.column(c).to_pylist() for c in ("vertex", "members", "block")), table.column("shingles"), strict=True):
             rows.setdefault(d, (m, b, s.values.to_numpy(zero_copy_only=False)))
         names = sorted(rows)
         members, block = (np.array([rows[d][k] for d in names]) for k in (0, 1))
@@ -196,7 +221,7 @@ def _compare(threshold: float):
             for v in np.flatnonzero(links):
                 for out, x in zip(found, (names[v], names[label[v]], int(links[v])), strict=True):
                     out.append(x)
-        return pa.table([pa.array(c, t) for c, t in zip(found, (pa.binary(), pa.binary(), pa.int64()), strict=True)], ["digest", "low", "links"])
+        return pa.table([pa.array(c, t) for c, t in zip(found, (pa.binary(), pa.binary(), pa.int64()), strict=True)], ["vertex", "low", "links"])
 
     return run
 
@@ -230,59 +255,72 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     documents all lack an id has a null class_id. component names the class whatever its ids; it is null for texts without a word.
     """
     sig = materialize(signatures(docs, threshold, recall, n), "signatures")
-    vertices = sig.where("digest is not null").groupBy("digest").agg(F.count("*").alias("members"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    vertices = materialize(vertices, "vertices")
-    rows = vertices.select("digest", "n", F.explode("bands").alias("bucket"))
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("digest").alias("low")).where("size > 1")
+    vertices = sig.where("digest is not null").groupBy("digest").agg(
+        F.count("*").alias("members"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands")
+    )
+    vertices = materialize(vertices.withColumn("vertex", vertex_of(F.col("first_id"), F.col("digest"))), "vertices")
+    rows = vertices.select("vertex", "n", F.explode("bands").alias("bucket"))
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("vertex").alias("low")).where("size > 1")
     hits = materialize(rows.join(counts, "bucket"), "hits")
-    facts = vertices.select("digest", "members", "first_id", "n")
-    candidates = facts.join(hits.select("digest").distinct(), "digest", "left_semi")
-    sets = materialize(_sets(docs, materialize(candidates.select("first_id").distinct(), "ids"), n), "sets")
+    facts = vertices.select("vertex", "members", "first_id", "n")
+    candidates = facts.join(hits.select("vertex").distinct(), "vertex", "left_semi")
+    sets = materialize(_sets(docs, candidates, n), "sets")
+
+    clusters = components(hits.where(F.col("size") > SMALL).select("vertex", "low"), "vertex", "low")
+    linked = materialize(_small_buckets(hits.where(F.col("size") <= SMALL), sets, clusters, threshold), "linked")
+    compared = materialize(_clusters(clusters, facts, sets, threshold), "compared")
+
+    weights = lambda name: facts.select(F.col("vertex").alias(name), F.col("members").alias("links"))
+    links = linked.join(weights("b"), "b").select(F.col("a").alias("vertex"), "links")
+    links = links.unionByName(linked.join(weights("a"), "a").select(F.col("b").alias("vertex"), "links"))
+    links = links.unionByName(compared.select("vertex", "links")).groupBy("vertex").agg(F.sum("links").alias("links"))
+    found = components(linked.unionByName(compared.select(F.col("vertex").alias("a"), F.col("low").alias("b"))))
+    # a component is named by its least vertex, so its name holds its least id: nothing is joined on components
+    told = vertices.select("digest", "vertex", "members").join(found, "vertex", "left").join(links, "vertex", "left")
+    component = F.coalesce("component", "vertex")
+    n_links = F.coalesce("links", F.lit(0)) + F.col("members") - 1
+    told = told.select("digest", component.alias("component"), n_links.alias("n_links"), F.col("members").alias("n_copies"))
+    told = materialize(told.withColumn("class_id", least_id(F.col("component"))), "classes")
+    out = sig.select("doc_id", "digest").join(small_side(told, BROADCAST), "digest", "left")
+    class_id = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    number = lambda c, none: F.coalesce(c, F.lit(none)).cast("long").alias(c)
+    return out.select("doc_id", class_id.alias("class_id"), number("n_links", 0), number("n_copies", 1), "digest", "component")
 
-    clusters = components(hits.where(F.col("size") > SMALL).select("digest", "low"), "digest", "low")
-    inside = lambda v, c: small_side(clusters.select(F.col("vertex").alias(v), F.col("component").alias(c)), BROADCAST)
 
-    # small buckets: equal lists of several bands count once
-    lists = hits.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("digest", "n"))).alias("vs")).select("vs").distinct()
+def _small_buckets(hits: DataFrame, sets: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
+    """Linked pairs (a, b) of buckets of SMALL vertices at most; equal lists of several bands count once."""
+    inside = lambda v, c: small_side(clusters.select(F.col("vertex").alias(v), F.col("component").alias(c)), BROADCAST)
+    lists = hits.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("vertex", "n"))).alias("vs")).select("vs").distinct()
     pairs = F.flatten(F.transform("vs", lambda x, i: F.transform(F.slice("vs", i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    pairs = lists.select(F.explode(F.filter(pairs, lambda p: F.least(p["x"]["n"], p["y"]["n"]) >= F.greatest(p["x"]["n"], p["y"]["n"]) * (threshold - 1e-9))).alias("p"))
-    pairs = pairs.select(F.col("p.x.digest").alias("a"), F.col("p.y.digest").alias("b")).distinct()
-    pairs = pairs.join(inside("a", "ca"), "a", "left").join(inside("b", "cb"), "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
-    with_sets = pairs.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb")), "b")
+    alike = lambda p: F.least(p["x"]["n"], p["y"]["n"]) >= F.greatest(p["x"]["n"], p["y"]["n"]) * (threshold - 1e-9)
+    pairs = lists.select(F.explode(F.filter(pairs, alike)).alias("p"))
+    pairs = pairs.select(F.col("p.x.vertex").alias("a"), F.col("p.y.vertex").alias("b")).distinct()
+    pairs = pairs.join(inside("a", "ca"), "a", "left").join(inside("b", "cb"), "b", "left")
+    pairs = pairs.where("ca is null or cb is null or ca <> cb").select("a", "b")  # the others are compared in their cluster
+    side = lambda v, s: sets.select(F.col("vertex").alias(v), F.col("shingles").alias(s))
+    pairs = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    linked = with_sets.where(both / (F.size("sa") + F.size("sb") - both) >= threshold).select("a", "b").distinct()
-    linked = materialize(linked, "linked")
+    return pairs.where(both / (F.size("sa") + F.size("sb") - both) >= threshold).select("a", "b").distinct()
+
 
-    # clusters of larger buckets: all against all, in blocks
-    held = clusters.select(F.col("vertex").alias("digest"), F.col("component").alias("cluster")).join(facts, "digest")
+def _clusters(clusters: DataFrame, facts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """vertex, low, links of clusters of larger buckets, all against all in blocks: a set is copied once for each block of its cluster."""
+    held = clusters.select("vertex", F.col("component").alias("cluster")).join(facts, "vertex")
     blocks = held.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    held = held.join(small_side(blocks, BROADCAST), "cluster").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    dealt = held.join(sets, "digest").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "digest", "members", "block", "shingles")
-    compared = materialize(dealt.groupBy("cluster", "i", "j").applyInArrow(_compare(threshold), _BLOCK_OUT), "compared")
-
-    weights = lambda name: facts.select(F.col("digest").alias(name), F.col("members").alias("links"))
-    links = linked.join(weights("b"), "b").select(F.col("a").alias("digest"), "links").unionByName(linked.join(weights("a"), "a").select(F.col("b").alias("digest"), "links"))
-    links = links.unionByName(compared.select("digest", "links")).groupBy("digest").agg(F.sum("links").alias("links"))
-    edges = linked.unionByName(compared.select(F.col("digest").alias("a"), F.col("low").alias("b")))
-    found = components(edges)
-    named = facts.join(found.withColumnRenamed("vertex", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    told = named.join(least, "component").join(links, "digest", "left").select("digest", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.col("members").alias("n_copies"))
-    told = materialize(told, "classes")
-    out = sig.select("doc_id", "digest").join(small_side(told, BROADCAST), "digest", "left")
-    alone = F.col("digest").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), "digest", "component")
+    held = held.join(small_side(blocks, BROADCAST), "cluster").withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
+    dealt = held.join(sets, "vertex").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "vertex", "members", "block", "shingles")
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(_compare(threshold), _BLOCK_OUT)
 
 
-def _with_digests(docs: DataFrame, n: int) -> DataFrame:
-    """docs with the digest of each row's text in __digest."""
+def _with_digests(docs: DataFrame, n: int, name: str) -> DataFrame:
+    """docs with the digest of each row's text in a column of that name."""
 
     def run(batches):
         for part in slices(batches):
-            yield part.append_column("__digest", pa.array([_digest(shingles(t, n)) for t in part.column("text").to_pylist()], pa.binary()))
+            yield part.append_column(name, pa.array([_digest(shingles(t, n)) for t in part.column("text").to_pylist()], pa.binary()))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__digest", T.BinaryType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -291,22 +329,25 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Texts without a word are classes of their own: they stay, those that stand repeatedly under one id once. Where a doc_id stands
     once it decides alone; rows whose id is null or stands repeatedly are told apart by their texts' digests.
     """
+    gone_id, twice_id, digest, win_id, win = (free_name(docs, c) for c in ("gone_id", "twice_id", "own_digest", "winner_id", "winner"))
     found = join_documents(docs, **options)
     ids = found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("rows"))
     ids = materialize(ids, "kept")
-    gone = small_side(materialize(ids.where("class_id <> doc_id and rows = 1").select(F.col("doc_id").alias("__gone")), "gone"), 1_000_000)
-    twice = small_side(materialize(ids.where("rows > 1").select(F.col("doc_id").alias("__twice")), "twice"), 1_000_000)
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = ids.where("class_id <> doc_id and rows = 1").select(F.col("doc_id").alias(gone_id))
+    gone = small_side(materialize(gone, "gone"), 1_000_000)
+    twice = small_side(materialize(ids.where("rows > 1").select(F.col("doc_id").alias(twice_id)), "twice"), 1_000_000)
+    left = docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
     if ids.where("doc_id is null or rows > 1").limit(1).count() == 0:
         return left
-    sure = left.where("doc_id is not null").join(twice, F.col("doc_id") == F.col("__twice"), "left_anti")
-    unsure = left.where("doc_id is null").unionByName(left.join(twice, F.col("doc_id") == F.col("__twice"), "left_semi"))
-    unsure = materialize(_with_digests(unsure, options.get("n", WORDS)), "unsure")
+    sure = left.where("doc_id is not null").join(twice, F.col("doc_id") == F.col(twice_id), "left_anti")
+    unsure = left.where("doc_id is null").unionByName(left.join(twice, F.col("doc_id") == F.col(twice_id), "left_semi"))
+    unsure = materialize(_with_digests(unsure, options.get("n", WORDS), digest), "unsure")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest"))
-    winners = found.where("digest is not null").groupBy("component").agg(least.alias("w")).select(F.col("w.doc_id").alias("__id"), F.col("w.digest").alias("__winner"))
+    winners = found.where("digest is not null").groupBy("component").agg(least.alias("w"))
+    winners = winners.select(F.col("w.doc_id").alias(win_id), F.col("w.digest").alias(win))
     winners = small_side(materialize(winners, "winners"), BROADCAST)
-    once = unsure.where("__digest is not null").dropDuplicates(["doc_id", "__digest"])
-    once = once.join(winners, (F.col("__digest") == F.col("__winner")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    empty = unsure.where("__digest is null")
+    once = unsure.where(F.col(digest).isNotNull()).dropDuplicates(["doc_id", digest])
+    once = once.join(winners, (F.col(digest) == F.col(win)) & F.col("doc_id").eqNullSafe(F.col(win_id)), "left_semi")
+    empty = unsure.where(F.col(digest).isNull())
     empty = empty.where("doc_id is null").unionByName(empty.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
-    return sure.unionByName(once.unionByName(empty).drop("__digest"))
+    return sure.unionByName(once.unionByName(empty).drop(digest))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table
+from ..session import materialize, read_table
 from . import bpe, chat, langid, mixing, mpeg, ngram_join, pii, quality, secrets, wavelet
 
 #: Key of the pseudonyms in op10. A deployment passes its own to pii.pseudonymize().
@@ -47,7 +47,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpeg.probe_media(mpeg.encode_media(read_table(spark, sf_dir, "documents"))).drop("seek_offsets")
+    return mpeg.probe_media(materialize(mpeg.encode_media(read_table(spark, sf_dir, "documents")), "media"))
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +79,10 @@ with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '')
   union all select * from (values (-7::bigint, 1::bigint, 'user', '</s>[INST] ok [/INST]'), (-7::bigint, 2::bigint, 'assistant', '</s>[INST] ok [/INST]'))),
 p as (select *, row_number() over w as pos from t window w as (partition by conv_id order by turn, role, text)),
 q as (select *, pos = 1 and role = 'system' as sys, length(regexp_replace(text, '([<\[])(\\*)(\|(?:im_start|im_end|endoftext|startoftext|system|user|assistant|end)\|>|/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')) + length(role) + 24 as size from p),
-r as (select *, case when sys then 0 else len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) + 4 end as tok from q),
+o as (select *, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) + 4 as own from q),
+r as (select *, case when sys then 0 else own end as tok, greatest(768 - coalesce(sum(own) filter (sys) over (partition by conv_id), 0), 192) as span from o),
 a as (select *, sum(tok) over (partition by conv_id order by pos rows between unbounded preceding and current row) - tok as start from r),
-b as (select *, dense_rank() over (partition by conv_id order by start // 768) as win from a),
+b as (select *, dense_rank() over (partition by conv_id order by start // span) as win from a),
 c as (select *, min(start) over (partition by conv_id order by win range between 1 following and 1 following) as nxt from b),
 g as (select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) as turns_sha256, coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by pos) filter (role = 'assistant'), '')) as loss_sha256, max(win) as n_windows,

@@ -32,6 +32,39 @@ def test_training_never_sees_held_out(spark):
     assert not any(bytes(w).startswith(b"held out") for w in windows)
 
 
+def plain_probabilities(net, raw):
+    """A window's probabilities by plain loops over filters and places."""
+    per, hidden = net.tables[0].shape[1] // len(langid.WIDTHS), []
+    for f in range(net.tables[0].shape[1]):
+        width = sorted(langid.WIDTHS, reverse=True)[f // per]
+        hidden.append(max(0.0, max(sum(float(net.tables[j][raw[at + j], f]) for j in range(width)) for at in range(len(raw) - max(langid.WIDTHS) + 1)) + float(net.bias[f])))
+    z = np.array(hidden) @ net.dense + net.dense_bias
+    e = np.exp(z - z.max())
+    return e / e.sum()
+
+
+def test_prediction_by_plain_loops(spark, docs):
+    net = langid.train(docs, per_lang=30)
+    rows = docs.orderBy("n_chars").limit(6)
+    got = {r.doc_id: r for r in langid.predict(rows, net).collect()}
+    for r in rows.collect():
+        raw = r.text.encode()
+        parts = [raw[a : a + langid.WINDOW] for a in range(0, len(raw), langid.WINDOW)]
+        p = sum(plain_probabilities(net, x.ljust(langid.WINDOW, b"\0")) * len(x) for x in parts) / len(raw)
+        assert got[r.doc_id].lang_pred == net.langs[int(p.argmax())] and abs(got[r.doc_id].score - p.max()) < 1e-4
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(i, f"text {i} of language {i % 90} " * 3, f"l{i % 90:02d}") for i in range(2000)] + [(5000, "same text again", "hot")] * 500 + [(5000 + i, f"other {i}", "hot") for i in range(1, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    _, target, langs = langid.training_windows(df, per_lang=5, per_doc=1)
+    assert langs == sorted({r[2] for r in rows}) and np.bincount(target).max() == 5 and np.bincount(target).min() > 0
+    _, target, langs = langid.training_windows(df, per_lang=5, per_doc=1, max_docs=95)
+    assert len(langs) == 91 and np.bincount(target).max() == 1
+    first, second = (langid.training_windows(df.repartition(n), per_lang=5)[0] for n in (3, 5))
+    assert (first == second).all()
+
+
 def test_trees_are_monotone():
     rng = np.random.default_rng(2)
     x = rng.random((600, 2))

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import ngram_join as N
 
@@ -87,6 +88,47 @@ def test_plan_reaches_recall():
         assert 1 - (1 - threshold**rows) ** bands >= recall and bands * rows <= 160
 
 
+def test_plan_out_of_reach():
+    with pytest.raises(ValueError):
+        N.band_plan(0.05, 0.9999)
+
+
+def test_vertex_names_sort_by_id(spark):
+    ids = [None, -(2**63), -5, -1, 0, 1, 7, 2**31, 2**63 - 1]
+    rows = spark.createDataFrame([(i, bytes([k] * 16)) for i in ids for k in (0, 255)], "id long, digest binary")
+    got = rows.select("*", N.vertex_of(rows.id, rows.digest).alias("v")).select("*", N.least_id(F.col("v")).alias("back")).collect()
+    assert all(bytes(r.v) == N._vertex(r.id, bytes(r.digest)) and r.back == r.id for r in got)
+    assert [(r.id, bytes(r.digest)) for r in sorted(got, key=lambda r: bytes(r.v))] == sorted(((r.id, bytes(r.digest)) for r in got), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+
+def test_recall_of_candidates(spark):
+    """Pairs at 0.8 or more of different texts, by brute force through common shingles, that share a band."""
+    rng, sets = random.Random(5), {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        words = (r.text or "").split()
+        for k in range(4 if 60 <= len(words) <= 600 else 1):  # near copies of many documents, at all similarities
+            w = list(words)
+            for _ in range(k and rng.randint(1, max(1, len(w) // 50))):
+                w[rng.randrange(len(w))] = f"q{rng.randrange(9)}"
+            own = N.shingles(" ".join(w))
+            if len(own):
+                sets[N._digest(own)] = own
+    names, holders = list(sets), collections.defaultdict(list)
+    for i, d in enumerate(names):
+        for x in sets[d].tolist():
+            holders[x].append(i)
+    common = collections.Counter()
+    for own in holders.values():
+        if len(own) > 1:
+            common.update((a, b) for k, a in enumerate(own) for b in own[k + 1 :])
+    near = {(a, b): j for (a, b), n in common.items() if (j := n / (len(sets[names[a]]) + len(sets[names[b]]) - n)) >= 0.8}
+    band = N.Bands(*N.band_plan())
+    bands = [set(band(sets[d]).tolist()) for d in names]
+    met = sum(bool(bands[a] & bands[b]) for a, b in near)
+    print(f"{met} of {len(near)} pairs, {sum(j < 0.85 for j in near.values())} of them below 0.85")
+    assert len(near) > 500 and met >= 0.99 * len(near)
+
+
 def test_intersections():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.choice(400, rng.integers(1, 300))).astype(np.uint64) for _ in range(60)]
@@ -110,9 +152,15 @@ def test_empty(spark, empty, edge):
     assert N.join_documents(edge).count() == edge.count()
 
 
+def unique_rows(rows):
+    """The ids that keep_one() leaves of (doc_id, text): the least id of each class."""
+    return brute(rows)[1]
+
+
 def test_pipeline(spark):
+    """run() against each stage's rule in plain Python; fitted models and drawn keys are taken from their operators, run one by one."""
     import corpus_pipeline as P
-    from corpusloom.llm import quality
+    from corpusloom.llm import bpe, mixing, quality, secrets
     from corpusloom.session import read_table
     from tokenizers import Tokenizer
     from public_tokenizers import path
@@ -120,15 +168,65 @@ def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = read_table(spark, sf, "documents")
     model = quality.fit_labels(docs, read_table(spark, sf, "labels"))
-    kept = [r.doc_id for r in quality.score_documents(docs, model).where("kept").collect()]
-    text = {r.doc_id: r.text for r in docs.collect()}
-    rows = [(i, text[i]) for i in sorted(kept)]
-    _, unique = brute(rows)
-    got = P.run(spark, sf).collect()
-    assert {r.doc_id for r in got} <= unique and len(got) > 100
-    lib, times = Tokenizer.from_file(path("byte_bpe_50k.json")), collections.Counter(r.doc_id for r in got)
-    assert max(times.values()) <= 2
-    for r in got[:50]:
-        assert len(r.ids) == r.n_tokens
-        said = lib.decode(r.ids, skip_special_tokens=False)
-        assert said == text[r.doc_id] or "[SECRET]" in said
+    text, source = ({r.doc_id: r[c] for r in docs.collect()} for c in ("text", "source"))
+    kept = [i for i in sorted(text) if quality_kept(model, text[i])]
+    unique = unique_rows([(i, text[i]) for i in kept])
+    scanned = {r.doc_id: r.spans for r in secrets.scan(docs.where(docs.doc_id.isin([*unique]))).collect()}
+    clean = {i: redacted(text[i], scanned[i]) for i in unique}
+    rows = spark.createDataFrame([(i, clean[i], source[i]) for i in unique], "doc_id long, text string, source string")
+    times = {r.doc_id: r.epochs for r in mixing.mix(rows).collect()}
+    lib = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    want = collections.Counter()
+    for i in unique:
+        ids = lib.encode(clean[i], add_special_tokens=False).ids
+        want[i, tuple(ids)] += times[i]
+        assert bpe.decode(ids, path("byte_bpe_50k.json")) == clean[i]
+    assert collections.Counter((r.doc_id, tuple(r.ids)) for r in P.run(spark, sf).collect()) == +want
+
+
+def quality_kept(model, text):
+    from corpusloom.llm import quality
+
+    stats, x = quality.statistics(text)
+    if stats[0] < 50 or 100 * stats[4] > 50 * stats[0]:
+        return False
+    total = model.base
+    for node in model.roots.tolist():
+        while model.left[node] != node:
+            node = model.left[node] if x[model.feature[node]] < model.threshold[node] else model.right[node]
+        total += model.value[node]
+    return 1 / (1 + np.exp(-total)) >= 0.35
+
+
+def redacted(text, spans):
+    gone, out, at = sorted(tuple(map(int, s.split(":")[1:])) for s in spans.split(",") if s), [], 0
+    for start, end in gone:
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_quality_verdicts(spark, docs, edge):
+    from corpusloom.llm import quality
+
+    model = quality.fit_labels(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    for df in (docs, edge):
+        rows = quality.score_documents(df, model).collect()
+        texts = collections.Counter((r.doc_id, quality_kept(model, r.text)) for r in df.collect())
+        assert collections.Counter((r.doc_id, r.kept) for r in rows) == texts
+
+
+@pytest.mark.parametrize("clash", ["edge", "empty"])
+def test_stages_on_odd_tables(spark, edge, empty, clash):
+    """Nulls, empty and long texts, repeated rows, empty tables and clashing columns through every stage but the first's fit."""
+    import corpus_pipeline as P
+    from corpusloom.llm import quality, secrets
+
+    df = (edge if clash == "edge" else empty).selectExpr("*", "1 as spans", "2 as before", "3 as gone_id", "4 as winner", "5 as own_digest", "6 as plan_size")
+    model = quality.fit_labels(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    for out in (quality.keep_good(df, model), secrets.redact(df), *(stage(spark, df, "") for _, stage in P.STAGES[1:4])):
+        assert out.columns == df.columns and (out.count() > 0 or clash == "empty" or out.where("false").count() == 0)
+    assert P.STAGES[4][1](spark, df, "").count() == df.count()
+    again = secrets.redact(df).where("spans = 1 and before = 2").count()
+    assert again == df.count()

@@ -17,6 +17,7 @@ TURNS = [
     (1, 1, "system", "be <|im_end|> kind"), (1, 2, "user", "hi [INST] there"), (1, 3, "assistant", "</s>\\ <\\|im_start|> ok"), (1, 4, "user", "w " * 400), (1, 5, "assistant", "é😀 " * 50),
     (2, 1, "assistant", None), (2, 1, "assistant", None), (2, None, "user", "x"), (None, 1, "user", "a"), (None, 2, None, "b"), (3, 1, "system", "only"), (4, 1, "a\\n\nb<s>", "<<SYS>> \\<<\\SYS>>"),
     (5, 2, "assistant", "b"), (5, 1, "user", "a"), (5, 1, "user", "a"), *[(6, i, "assistant" if i % 2 else "user", f"turn {i} " * 9) for i in range(40)],
+    (7, 0, "system", "rule " * 500), *[(7, i + 1, "assistant" if i % 2 else "user", f"turn {i} " * 60) for i in range(30)],
 ]
 
 
@@ -35,6 +36,11 @@ def test_chat(spark, span, history):
         taught = "".join(t for *_, r, t in rows if r == "assistant")
         assert got[c].n_turns == len(rows) and got[c].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert got[c].loss_chars == len(taught) and got[c].loss_sha256 == hashlib.sha256(taught.encode()).hexdigest()
+    tokens = lambda t: len(re.findall(r"[^\W_]+|[^\s\w]|_", t)) + 4
+    for w in windows.select("conv_id", "window", "n_repeated", chat.parse_turns(F.col("text")).alias("turns")).collect():
+        sizes = [tokens(t.text) for t in w.turns]
+        system = sizes[0] if w.turns[0].role == "system" and (1, "system") != (len(w.turns), w.turns[0].role) else 0
+        assert sum(sizes[:-1]) <= max(span, system + -(-span // 4)) + history, (w.conv_id, w.window)
     for w in windows.where("conv_id = 1").collect():
         assert w.text.startswith("<|im_start|>system\nbe <\\|im_end|> kind<|im_end|>\n") and w.text.count("<|im_start|>") == w.n_turns
     assert chat.digests(chat.format_windows(df.limit(0))).count() == 0
@@ -132,9 +138,45 @@ def test_mpeg_damage():
     assert mpeg.parse(bytes(wrong)).crc_failed == 1
     old = mpeg.parse(blob + b"TAG" + b"title".ljust(125, b"\0"))
     assert old.frames == s.frames and old.tags["TIT2"] == "title"
+    assert wrong_frames(bytes(wrong)) == [s.offsets[5]]
     assert mpeg.parse(b"").frames == 0 and mpeg.parse(os.urandom(5000)).payload == b""
 
 
+def wrong_frames(blob):
+    return mpeg.parse(blob).damaged
+
+
+def id3(version, fields, extended=b"", flags=0):
+    size = (lambda n: mpeg._syncsafe(n)) if version >= 4 else (lambda n: n.to_bytes(4, "big"))
+    body = extended + b"".join(k.encode() + size(len(v)) + b"\0\0" + v for k, v in fields)
+    return b"ID3" + bytes([version, 0, flags]) + mpeg._syncsafe(len(body)) + body
+
+
+def test_mpeg_foreign_tags(spark):
+    data = mpeg.pad(os.urandom(3000))
+    blob = mpeg.encode(data, 3000)
+    tags = 10 + mpeg._number(blob[6:10], 7)
+    xing, audio = blob[tags : tags + 144_000 * 48 // 44_100], blob[tags + 144_000 * 48 // 44_100 :]
+    long = "é" * 200
+    for version, extended, flags in ((3, b"", 0), (4, b"", 0), (4, mpeg._syncsafe(6) + b"\1\0", 0x40), (3, (6).to_bytes(4, "big") + bytes(6), 0x40)):
+        fields = [("TIT2", b"\3" + long.encode()), ("TPE1", b"\1" + "ärt".encode("utf-16")), ("TALB", b"\2" + "ö".encode("utf-16-be")), ("PRIV", b"\0x"), ("TXXX", b"\1" + "k\0".encode("utf-16") + "v".encode("utf-16"))]
+        s = mpeg.parse(id3(version, fields, extended, flags) + xing + audio)
+        assert s.tags["TIT2"] == long and s.tags["TPE1"] == "ärt" and s.tags["TALB"] == "ö" and s.tags["TXXX:k"] == "v" and s.payload == data
+    at = xing.index(b"Xing") + 8 + 4 + 4 + 100
+    wide = xing[:2] + bytes([5 << 4]) + xing[3:at]  # 64 kbit/s: room for the encoder's table
+    lame = (wide + b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")).ljust(144_000 * 64 // 44_100, b"\0")
+    s = mpeg.parse(lame + audio)
+    assert (s.delay, s.padding) == (576, 1000) and s.payload == data
+    vbri = xing[:4] + bytes(32) + b"VBRI" + bytes(6) + (77).to_bytes(4, "big") + (5).to_bytes(4, "big")
+    s = mpeg.parse(vbri.ljust(len(xing), b"\0") + audio)
+    assert (s.vbr_bytes, s.vbr_frames) == (77, 5) and s.payload == data
+    rows = [(i, id3(3, [("TXXX", b"\0bytes\0" + v)]) + xing + audio) for i, v in enumerate([b"abc", b"12 kB", b"", b"3000", "٣".encode(), b"-1"])] + [(9, lame + audio), (10, None), (11, b"ID3\4\0\x40\0\0\0\x10")]
+    got = {r.doc_id: r for r in mpeg.probe_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert [got[i].n_bytes for i in range(6)] == [None, None, None, 3000, None, None] and got[10].n_frames == got[11].n_frames == 0
+    assert got[9].duration_us == (got[9].samples - 1576) * 1_000_000 // 44_100 and len(got[9].seek_offsets) == got[9].n_frames
+    assert all(mpeg._header(rows[9 - 3][1][at : at + 4]) for at in got[9].seek_offsets)
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for i, c in enumerate(reversed(d))) % 10 == 0
 
