@@ -156,17 +156,23 @@ _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> tuple[np.ndarray, np.ndarray]:
     """Features and 0/1 labels of max_rows labelled documents at most, those whose ids hash lowest.
 
-    Rows without an id or a label are left out; several labels of a document count by their mean.
+    Labels without an id, a value or a document are left out; several labels of a document count by their mean. Of different
+    texts under one id the one that hashes lowest counts.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
+    source = id_and_text(docs)
+    known = known.join(source.select("doc_id"), "doc_id", "left_semi")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # the limit is the bound of the broadcast
 
     def run(batches):
         for part in slices(batches):
             rows = [statistics(t)[1] for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+            columns = [part.column("doc_id"), part.column("y"), part.column("mark"), pa.array(rows, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "y", "mark", "x"])
 
-    got = id_and_text(docs).join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x array<double>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = source.withColumn("mark", F.xxhash64("text")).join(F.broadcast(known), "doc_id").select("doc_id", "y", "mark", "text")
+    rows = rows.mapInArrow(run, "doc_id long, y int, mark long, x array<double>")
+    got = rows.groupBy("doc_id").agg(F.min(F.struct("mark", "x", "y")).alias("m")).select("doc_id", "m.x", "m.y").toPandas().sort_values("doc_id")
     x = np.array(got.x.tolist(), np.float64).reshape(-1, len(FEATURES))
     return x, got.y.to_numpy(np.float64)
 

@@ -100,6 +100,14 @@ def test_quality(spark, edge, empty, docs):
     assert quality.fit_labels(docs, labels.limit(0)).score(np.zeros((1, 10)))[0] > 0.5
 
 
+def test_training_rows_of_repeated_and_absent_ids(spark):
+    texts = [(1, "a b c"), (1, "d e f g"), (2, "h i"), (2, "h i"), (None, "x")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 2000)] + [(None, 1), (2, None)], "doc_id long, quality int")
+    got = [quality.training_rows(docs.repartition(n), labels, max_rows=2) for n in (1, 4)]
+    assert all((a == b).all() for a, b in zip(*got, strict=True)) and got[0][1].tolist() == [1, 0]
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
