@@ -28,7 +28,7 @@ WHOLE = re.compile(r"[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]|<\|")
 class UnitEncoder:
     """Ids of pieces as little-endian 32-bit integers. The cache holds about 2 * capacity pieces, in two generations."""
 
-    def __init__(self, path: str, pattern: re.Pattern, capacity: int = 200_000):
+    def __init__(self, path: str, pattern: re.Pattern, capacity: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

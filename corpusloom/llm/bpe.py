@@ -80,7 +80,7 @@ class Chunk:
 class ChunkEncoder:
     """Encodes texts exactly as the library does; keeps at most 2 * capacity chunks. reused and encoded count chunks."""
 
-    def __init__(self, path: str, capacity: int = 4000):
+    def __init__(self, path: str, capacity: int = 2000):
         self.units = UnitEncoder(path, SPACED)
         self.capacity = capacity
         self.young: dict[str, Chunk] = {}

@@ -54,7 +54,7 @@ _words: dict[bytes, int] = {}
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    if len(_words) > 400_000:
+    if len(_words) > 200_000:
         _words.clear()
     out = list(map(_words.get, words))
     if None in out:
