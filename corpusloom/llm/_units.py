@@ -21,7 +21,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SPACED = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?]*(?:\s|\Z))|[.,;:!?]+(?=\s|\Z)| ?\S+|\s+(?!\S)|\s+")
 #: The same for tokenizers that drop white space.
 UNSPACED = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?]*(?:\s|\Z))|[.,;:!?]+(?=\s|\Z)|\S+")
-#: Characters that count as white space in one library only, and what may begin a special token: such texts are encoded whole.
+#: Characters that count as white space in one library only, and what may begin a special token: what holds one is encoded whole.
 WHOLE = re.compile(r"[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]|<\|")
 
 

@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +63,17 @@ def _cut(text: str) -> list[str]:
     return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+#: Before a space and a letter that follow one of these, the library's pre-tokenization has a boundary whatever stands around.
+_SAFE = re.compile(r"(?<=[A-Za-z0-9.,;:!?])(?= [A-Za-z])")
+
+
+def _runs(text: str) -> list[tuple[bool, str]]:
+    """The text in runs; those that are true hold a character or mark of WHOLE and go to the library as they are."""
+    if not WHOLE.search(text):
+        return [(False, text)]
+    return [(whole, "".join(own)) for whole, own in groupby(_SAFE.split(text), lambda r: bool(WHOLE.search(r)))]
+
+
 class Chunk:
     """Encoding of one chunk: ids of all pieces, the ends of its first pieces, and where its last piece begins."""
 
@@ -111,9 +124,11 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        parts = [None if WHOLE.search(t) else _cut(t) for t in texts]
-        found = self.chunks([c for p in parts if p for c in p])
-        return [self.units.library([t])[0] if p is None else self._join(p, found) for t, p in zip(texts, parts, strict=True)]
+        runs = [_runs(t) for t in texts]
+        cut = [[None if whole else _cut(r) for whole, r in own] for own in runs]
+        found = self.chunks([c for own in cut for p in own if p for c in p])
+        each = lambda own, parts: (self.units.library([r])[0] if p is None else self._join(p, found) for (_, r), p in zip(own, parts, strict=True))
+        return [b"".join(each(own, parts)) for own, parts in zip(runs, cut, strict=True)]
 
     def _join(self, parts: list[str], found: dict[str, Chunk]) -> bytes:
         out, carry = [], ""

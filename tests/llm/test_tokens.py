@@ -36,6 +36,15 @@ def test_chunks_agree_with_library(monkeypatch, bits, least):
     assert enc.reused > 0
 
 
+def test_odd_characters_leave_the_rest_to_chunks():
+    enc, lib = bpe.ChunkEncoder(path("byte_bpe_50k.json")), Tokenizer.from_file(path("byte_bpe_50k.json"))
+    plain = " ".join(random.Random(4).choices(["some", "words", "of", "text,", "and.", "more"], k=3000))
+    rows = [f"{plain}{odd}{plain} {odd} {plain}" for odd in ("\u200b", "\x85", " \x1c ", "<|endoftext|>", " <| a", "a\u200d b", "\x85 b")]
+    for got, text in zip(enc.encode(rows), rows, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert enc.reused > enc.encoded
+
+
 def test_decode_invalid_bytes():
     lib = Tokenizer.from_file(path("byte_bpe_50k.json"))
     ids = random.Random(1).choices(range(50257), k=500)
