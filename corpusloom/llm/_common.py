@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterable, Iterator
 
@@ -27,6 +28,15 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
             stop = min(at + rows, max(at + 1, int(np.searchsorted(held, before + size, side="right"))))
             yield batch.slice(at, stop - at)
             at = stop
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return memory that freed arrays left to the allocators, as an idle worker would keep it from its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -76,7 +76,7 @@ def plan(rows: DataFrame) -> DataFrame:
     """A written row for each source of rows (doc_id, source, size, key): its size, target, complete epochs, and where the fraction ends.
 
     A document is in the fraction if its bin lies below edge, or is edge and its place (key, doc_id, size) lies before cut; of the
-    rows whose place is cut, copies are.
+    equal rows whose place is cut, copies are.
     """
     goals = materialize(targets(rows), "targets")
     bins = F.ceil(F.col("n_docs") / DOCS_PER_BIN).cast("long")
@@ -95,8 +95,8 @@ def plan(rows: DataFrame) -> DataFrame:
     upto = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     fits = F.floor((F.col("within") - F.coalesce(F.sum(F.col("m") * F.col("size")).over(upto), F.lit(0))) / F.col("size") + 0.5)
     near = near.withColumn("copies", F.least(F.col("m"), fits)).where("copies > 0")
-    cut = near.groupBy("source").agg(F.first("edge").alias("edge"), F.max(F.struct("place", "copies")).alias("c"))
-    cut = cut.select(F.col("source").alias("s"), "edge", F.col("c.place").alias("cut"), F.col("c.copies").alias("copies"))
+    cut = near.groupBy("source").agg(F.first("edge").alias("edge"), F.max(F.struct("place", "copies", "m")).alias("c"))
+    cut = cut.select(F.col("source").alias("s"), "edge", F.col("c.place").alias("cut"), F.col("c.copies").alias("copies"), F.col("c.m").alias("equal"))
     return materialize(goals.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "rest"), "plan")
 
 
@@ -107,14 +107,17 @@ def _with_source(rows: DataFrame, table: DataFrame, source: str = "source") -> D
     return rows.join(other, F.col("source").eqNullSafe(F.col(name))).drop(name)
 
 
-def _with_epochs(rows: DataFrame, names: dict[str, str], out: str) -> DataFrame:
+def _with_epochs(rows: DataFrame, names: dict[str, str], out: str, tied: bool) -> DataFrame:
     """rows with how often each is taken; names: of size, key and the plan's columns in rows.
 
-    Rows whose place is the cut are told apart by a running number, which starts from the counts of SALTS groups before.
+    tied: some cut falls between equal rows; these are then told apart by a running number, which starts from the counts of SALTS
+    groups before.
     """
     size, key, bins, base, edge, cut, copies = (F.col(names[c]) for c in ("size", "key", "bins", "base", "edge", "cut", "copies"))
     at, place = _bin(key, bins), _place(key, F.col("doc_id"), size)
     taken = lambda inside: F.when(size > 0, F.least(F.lit(MOST), base + F.coalesce(inside, F.lit(False)).cast("long"))).otherwise(0).cast("long")
+    if not tied:
+        return rows.withColumn(out, taken((at < edge) | ((at == edge) & (place <= cut))))
     is_cut = F.coalesce(place == cut, F.lit(False))
     sure = rows.where(~is_cut).withColumn(out, taken((at < edge) | ((at == edge) & (place < cut))))
     mark, salt, before = (free_name(rows, n) for n in ("row_mark", "row_salt", "rows_before"))
@@ -130,6 +133,10 @@ def _with_epochs(rows: DataFrame, names: dict[str, str], out: str) -> DataFrame:
     return sure.unionByName(same)
 
 
+def _tied(goals: DataFrame) -> bool:
+    return goals.where("copies < equal").limit(1).count() > 0
+
+
 def _sizes(docs: DataFrame, seed: int, weight) -> DataFrame:
     """doc_id, source, size, key of every document, written: texts are read once, what follows reads four narrow columns."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
@@ -145,7 +152,7 @@ def mix(docs: DataFrame, seed: int = 17, weight=quality_weight) -> DataFrame:
     """
     rows = _sizes(docs, seed, weight)
     goals = plan(rows)
-    rows = _with_epochs(_with_source(rows, goals), {c: c for c in ["size", "key", *goals.columns]}, "epochs")
+    rows = _with_epochs(_with_source(rows, goals), {c: c for c in ["size", "key", *goals.columns]}, "epochs", _tied(goals))
     return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))
 
 
@@ -156,5 +163,5 @@ def mixed_rows(docs: DataFrame, seed: int = 17, weight=quality_weight) -> DataFr
     rows = _drawn(docs, seed, weight, names["size"], names["key"])
     rows = _with_source(rows, cuts.toDF(*[names[c] for c in cuts.columns]), names["source"])
     epochs = free_name(rows, "plan_epochs")
-    rows = _with_epochs(rows, names, epochs).where(F.col(epochs) > 0)
+    rows = _with_epochs(rows, names, epochs, _tied(cuts)).where(F.col(epochs) > 0)
     return rows.withColumn(names["size"], F.explode(F.sequence(F.lit(1), F.col(epochs).cast("int")))).select(*docs.columns)
