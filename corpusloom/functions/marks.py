@@ -88,6 +88,19 @@ def variant_string(plain: Column, diacritized: Column) -> Column:
     return F.array_join(F.transform(words, one), "0")
 
 
+# The reasons that partial_codes() gives.
+NOT_IN_LEXICON = "word not in the lexicon"
+SINGLE = "single reading"
+NO_MARKS = "no diacritics supplied"
+UNREADABLE = "could not parse the marks given"
+OTHER_LENGTH = "marks do not line up with any known reading"
+NO_DISTINCTION = "the marks given fall on positions the lexicon does not distinguish (word-initial letter or case ending); mark an interior vowel instead"
+ONLY_ONE = (" has only one learned reading (", ", ", " uses); the reading asked for is not in the corpus often enough to have been learned")
+CONFLICT = "marks conflict with every known reading"
+SEVERAL = "marks match several readings equally"
+MATCHED = ("matched ", " mark(s) with no conflict")
+
+
 def partial_codes(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """tokens (id, token) with the code their marks choose from a nested lexicon (word, patterns, examples, total), and the reason.
 
@@ -108,19 +121,20 @@ def partial_codes(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     rows = rows.withColumn("clean", F.filter("scored", lambda s: (s["conflict"] == 0) & (s["agree"] > 0)))
     rows = rows.withColumn("best", F.array_max(F.transform("clean", lambda s: s["agree"]))).withColumn("top", F.filter("clean", lambda s: s["agree"] == F.col("best")))
     one, marked = F.size("patterns") == 1, F.exists("given", lambda g: g)
+    learned = F.concat(F.col("token"), F.lit(ONLY_ONE[0]), F.get("examples", F.lit(0)), F.lit(ONLY_ONE[1]), F.col("total").cast("string"), F.lit(ONLY_ONE[2]))
     reason = (
-        F.when(F.col("patterns").isNull(), "not in the lexicon")
-        .when(~marked & one, "single reading")
-        .when(~marked, "no marks given")
-        .when(F.size("given") != F.size("slots"), "marks not understood")
-        .when(F.size("scored") == 0, "no reading of that length")
-        .when((F.size("clean") == 0) & ~F.exists("scored", lambda s: s["agree"] + s["conflict"] > 0), "marks where readings don't differ")
-        .when((F.size("clean") == 0) & one, F.concat(F.lit("only one learned reading: "), F.get("examples", F.lit(0)), F.lit(", "), F.col("total").cast("string"), F.lit(" uses")))
-        .when(F.size("clean") == 0, "marks conflict with every reading")
-        .when(F.size("top") > 1, "marks match several readings")
-        .otherwise(F.concat(F.lit("matched "), F.col("best").cast("string")))
+        F.when(F.col("patterns").isNull(), NOT_IN_LEXICON)
+        .when(~marked & one, SINGLE)
+        .when(~marked, NO_MARKS)
+        .when(F.size("given") != F.size("slots"), UNREADABLE)
+        .when(F.size("scored") == 0, OTHER_LENGTH)
+        .when((F.size("clean") == 0) & ~F.exists("scored", lambda s: s["agree"] + s["conflict"] > 0), NO_DISTINCTION)
+        .when((F.size("clean") == 0) & one, learned)
+        .when(F.size("clean") == 0, CONFLICT)
+        .when(F.size("top") > 1, SEVERAL)
+        .otherwise(F.concat(F.lit(MATCHED[0]), F.col("best").cast("string"), F.lit(MATCHED[1])))
     )
     rows = rows.withColumn("reason", reason)
-    code = F.when(F.col("reason") == "single reading", 0).when(F.col("reason").startswith("matched "), F.get("top", F.lit(0))["code"]).otherwise(-1)
+    code = F.when(F.col("reason") == SINGLE, 0).when(F.col("reason").startswith(MATCHED[0]) & F.col("reason").endswith(MATCHED[1]), F.get("top", F.lit(0))["code"]).otherwise(-1)
     return rows.select(*tokens.columns, code.cast("int").alias("code"), "reason")
 

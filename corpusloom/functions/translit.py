@@ -46,3 +46,23 @@ def alignment_targets(text: Column, vocabulary: dict[str, int]) -> Column:
     ids = F.create_map(*[F.lit(x) for pair in vocabulary.items() for x in pair])
     named = F.transform(romanize_with_map(text), lambda s: F.struct(F.when(s["char"] != " ", F.try_element_at(ids, s["char"])).alias("id"), s["source"].alias("source")))
     return F.filter(named, lambda s: s["id"].isNotNull())
+
+
+# How vocabularies write a space, the first that one has counts.
+SPACES = ["|", "<space>", " "]
+
+
+def native_targets(text: Column, vocabulary: dict[str, int]) -> Column:
+    """array of (id, source) of a text in its own script: a character as it is, else in upper case; unknown ones are left out.
+
+    A character whose id is 0 is looked up in upper case too.
+    """
+    ids = F.create_map(*[F.lit(x) for pair in vocabulary.items() for x in pair])
+    space = next((vocabulary[s] for s in SPACES if s in vocabulary), None)
+
+    def one(c, i):
+        own = F.nullif(F.try_element_at(ids, c), F.lit(0))
+        found = F.when(c == " ", F.lit(space).cast("int")).otherwise(F.coalesce(own, F.try_element_at(ids, F.upper(c))))
+        return F.struct(found.alias("id"), i.alias("source"))
+
+    return F.filter(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), lambda x: x["id"].isNotNull())

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Ids 0 to 4.
 SPECIALS = ["<pad>", "<bos>", "<eos>", "<unk>", " "]
-UNKNOWN = 3
+BEGIN, FINISH, UNKNOWN = 1, 2, 3
 
 
 def char_vocab(texts: DataFrame, min_freq: int = 2) -> DataFrame:
@@ -39,3 +41,42 @@ def word_index(text: Column, spans: Column) -> Column:
     gaps = F.transform(spans, lambda s, i: F.concat(F.array_repeat(F.lit(-1), (s["start"] - F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))).cast("int")), F.array_repeat(i, (s["end"] - s["start"]).cast("int"))))
     last = F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0))
     return F.concat(F.flatten(gaps), F.array_repeat(F.lit(-1), (n - last).cast("int")))
+
+
+def encode_with_word_index(text: Column, spans: Column, ids: Column, add_marks: bool = True) -> Column:
+    """struct of ids and word_index of a text's characters, with the marks of beginning and end (word -1) around them.
+
+    Raises for a span that is empty or doesn't lie in the text. spans must not overlap and stand in order.
+    """
+    n = F.length(text)
+    bad = F.filter(spans, lambda s: (s["start"] < 0) | (s["end"] > n) | (s["start"] >= s["end"]))
+    first = F.get(bad, F.lit(0))
+    message = F.concat(F.lit("invalid word span ("), first["start"].cast("string"), F.lit(", "), first["end"].cast("string"), F.lit(") for text of length "), n.cast("string"))
+    index = F.when(F.size(bad) > 0, F.raise_error(message).cast("array<int>")).otherwise(word_index(text, spans))
+    own = encode(text, ids)
+    if add_marks:
+        own = F.concat(F.array(F.lit(BEGIN)), own, F.array(F.lit(FINISH)))
+        index = F.concat(F.array(F.lit(-1)), index, F.array(F.lit(-1)))
+    return F.struct(own.alias("ids"), index.alias("word_index"))
+
+
+def char_codes(index: Column, codes: Column, empty: Column) -> Column:
+    """For each character the code of its word in the map codes (word number to code), or empty."""
+    return F.transform(index, lambda w: F.coalesce(F.try_element_at(codes, w), empty))
+
+
+def save_vocab(vocab: DataFrame, path: str) -> None:
+    """A vocabulary as one JSON object; it has a row for each character, so the driver writes it."""
+    itos = [r.ch for r in vocab.select("id", "ch").orderBy("id").collect()]
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"itos": itos}, f, ensure_ascii=False, indent=2)
+
+
+def load_vocab(spark: SparkSession, path: str) -> DataFrame:
+    """id, ch of a saved vocabulary; raises if one of SPECIALS is missing."""
+    with open(path, encoding="utf-8") as f:
+        itos = json.load(f)["itos"]
+    for special in SPECIALS:
+        if special not in itos:
+            raise ValueError(f"{path} has no {special!r}")
+    return spark.createDataFrame(list(enumerate(itos)), "id int, ch string")

@@ -53,7 +53,7 @@ def fit_projection(x: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, flo
         axes = (c.T @ vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-12))).T
     else:
         axes = np.linalg.svd(c, full_matrices=False)[2][:k]
-    spread = np.sqrt(((c @ axes.T) ** 2).mean())
+    spread = np.sqrt(((c @ axes.T) ** 2).sum(1).mean())
     return mean, axes, float(1 / (spread + 1e-8))
 
 
@@ -85,7 +85,7 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, n_init: int = 6, max
             near = d[np.arange(len(x)), label]
             for j in range(k):
                 centres[j] = x[label == j].mean(0) if (label == j).any() else x[near.argmax()]
-            if last - near.sum() <= tol * max(last, 1e-12) and np.isfinite(last):
+            if np.isfinite(last) and abs(last - near.sum()) <= tol * max(abs(last), 1.0):
                 break
             last = near.sum()
         label = squared_distances(x, centres).argmin(1)

@@ -74,6 +74,17 @@ def monotonic_spans(spans: Column) -> Column:
     return F.arrow_udf(_monotonic, "array<struct<start:double,end:double>>")(plain)
 
 
+def frames_to_seconds(spans: Column, frames: Column, seconds: Column) -> Column:
+    """Spans (start, end, score) in frames as spans in seconds, by the frame rate of the whole recording; null without frames or length."""
+    rate = F.when((frames > 0) & (seconds > 0), frames / seconds)
+    return F.transform(spans, lambda s: F.struct((s["start"] / rate).alias("start"), (s["end"] / rate).alias("end"), s["score"].alias("score")))
+
+
+def with_alignments(manifest: DataFrame, alignments: DataFrame) -> DataFrame:
+    """A row for each aligned word of the manifest's utterances (uid); alignments: uid, words. Utterances without words give none."""
+    return manifest.join(alignments.where(F.size("words") > 0), "uid").withColumn("word", F.explode("words")).drop("words")
+
+
 def word_spans(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Spans of words from spans of their characters: first start, last end, mean of the characters' scores; characters before 0 don't count."""
     return rows.where("start >= 0").groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.avg("score").alias("score"), F.count("*").alias("n_chars"))

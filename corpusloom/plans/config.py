@@ -133,12 +133,10 @@ def _value(value: Any, kind: Any, at: str) -> Any:
         return _build(kind, value, at)
     if origin is list and isinstance(value, (list, tuple)):
         return [_value(v, args[0], f"{at}[{i}]") for i, v in enumerate(value)]
-    if kind is bool and isinstance(value, str) and value.lower() in ("true", "false"):
-        return value.lower() == "true"
-    if kind is float and isinstance(value, (int, float, str)) and not isinstance(value, bool):
+    if kind is float and isinstance(value, (int, float)) and not isinstance(value, bool):
         return float(value)
-    if kind is int and not isinstance(value, bool) and (isinstance(value, int) or isinstance(value, (float, str)) and float(value).is_integer()):
-        return int(float(value))
+    if kind is int and not isinstance(value, bool) and (isinstance(value, int) or isinstance(value, float) and value.is_integer()):
+        return int(value)
     if isinstance(kind, type) and isinstance(value, kind) and not (isinstance(value, bool) and kind is not bool):
         return value
     raise TypeError(f"{at}: {value!r} is no {getattr(kind, '__name__', kind)}")

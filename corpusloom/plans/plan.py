@@ -69,3 +69,18 @@ def hardest(plan: DataFrame, n: int = 10) -> DataFrame:
     """The n hardest words of each text, in order."""
     order = Window.partitionBy("uid").orderBy(F.desc("difficulty"), "idx")
     return plan.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+#: Where the knobs of a request may lie.
+RANGES = {"tempo": (0.25, 4.0), "cfg": (0.0, 10.0), "temperature": (0.0, 2.0)}
+
+
+def checked_knobs(**knobs: float) -> dict[str, float]:
+    """The knobs, if each lies in its range and a budget in (0, 1]; else an error."""
+    for name, value in knobs.items():
+        if name == "budget":
+            if not 0 < value <= 1:
+                raise ValueError("a budget lies in (0, 1]")
+        elif not RANGES[name][0] <= value <= RANGES[name][1]:
+            raise ValueError(f"{name} lies from {RANGES[name][0]} to {RANGES[name][1]}, not at {value}")
+    return knobs

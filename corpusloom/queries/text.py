@@ -72,6 +72,15 @@ def vocab_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.md5(vocab.decode(vocab.encode(F.col("text"), F.col("ids")), F.col("chars"))).alias("decoded_md5"))
 
 
+def encode_word_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and word numbers of each turn's characters, between the marks of beginning and end, as digests."""
+    ids = vocab.as_map(char_vocab(spark, sf_dir))  # one row
+    turns = read_table(spark, sf_dir, "conversations").where("text <> ''").select("conv_id", "turn", "text", chars.word_spans(F.col("text")).alias("spans"))
+    got = turns.crossJoin(F.broadcast(ids)).select("conv_id", "turn", vocab.encode_with_word_index(F.col("text"), F.col("spans"), F.col("ids")).alias("e"))
+    digest = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ","))
+    return got.select("conv_id", "turn", digest("e.ids").alias("ids_md5"), digest("e.word_index").alias("words_md5"))
+
+
 def romanize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", translit.romanize(F.col("text")).alias("latin"))
     return docs.select("doc_id", F.md5("latin").alias("latin_md5"), F.length("latin").alias("n"))
@@ -195,6 +204,10 @@ QUERIES = {
     "char_vocab": (char_vocab, f"with {_VOCAB} select * from voc"),
     "vocab_encode": (vocab_encode, f"with {_VOCAB}, c as (select conv_id, turn, unnest(string_split(text, '')) as ch, generate_subscripts(string_split(text, ''), 1) - 1 as pos from conversations where text <> '') select conv_id, turn, pos, coalesce(id, 3) as id from c left join voc using (ch)"),
     "vocab_decode": (vocab_decode, f"with {_VOCAB}, c as (select conv_id, turn, unnest(string_split(text, '')) as ch, generate_subscripts(string_split(text, ''), 1) as pos from conversations) select conv_id, turn, md5(string_agg(case when ch = '' then '' when id is null then '<unk>' else ch end, '' order by pos)) as decoded_md5 from c left join voc using (ch) group by all"),
+    "encode_word_index": (encode_word_index, f"""with {_VOCAB}, c as (select conv_id, turn, unnest(string_split(text, '')) as ch, generate_subscripts(string_split(text, ''), 1) as pos from conversations where text <> ''),
+m as (select *, regexp_matches(ch, '[\\p{{L}}\\p{{N}}]') as w from c), s as (select *, (w and not coalesce(lag(w) over (partition by conv_id, turn order by pos), false))::int as st from m),
+i as (select *, case when w then sum(st) over (partition by conv_id, turn order by pos) - 1 else -1 end as word from s)
+select conv_id, turn, md5('1,' || string_agg(coalesce(id, 3)::varchar, ',' order by pos) || ',2') as ids_md5, md5('-1,' || string_agg(word::bigint::varchar, ',' order by pos) || ',-1') as words_md5 from i left join voc using (ch) group by conv_id, turn"""),
     "romanize_text": (romanize_text, f"select doc_id, md5({_ROMAN}) as latin_md5, length({_ROMAN}) as n from documents"),
     "number_words": (number_words, "with " + _t3() + ", " + _spoken("num", _BIG) + " select * from num"),
     "decimal_words": (decimal_words, "with " + _t3() + ", c as (select o_orderkey, round(o_totalprice * 100)::bigint as c from orders), " + _spoken("num", "select c // 100 as n from c") + f""", d as (select *, c // 100 as n, lpad((c % 100)::varchar, 2, '0') as f from c)

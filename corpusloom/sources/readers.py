@@ -70,7 +70,10 @@ def as_manifest(df: DataFrame, split: str | None = None) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """A corpus folder as a manifest: split files, else all.jsonl, else Parquet below it, else metadata.csv. Raises if none is there."""
+    """A corpus folder as a manifest: split files, else all.jsonl, else Parquet below it, else metadata.csv. Raises if none is there.
+
+    Rows of Parquet tables without a text are left out; those of a table without ids are numbered.
+    """
     splits = [s for s in ("train", "dev", "test") if exists(spark, f"{root}/metadata/{s}.jsonl")]
     if splits:
         parts = [as_manifest(read_jsonl(spark, f"{root}/metadata/{s}.jsonl"), s) for s in splits]
@@ -81,7 +84,9 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     if exists(spark, f"{root}/metadata/all.jsonl"):
         return as_manifest(read_jsonl(spark, f"{root}/metadata/all.jsonl"))
     if exists(spark, f"{root}/*.parquet") or exists(spark, f"{root}/*/*.parquet"):
-        return as_manifest(read_parquet(spark, root))
+        table = read_parquet(spark, root)
+        rows = as_manifest(table).where("text is not null")
+        return rows if any(c in table.columns for c in CANDIDATES["uid"]) else numbered(rows, ["audio_path", "text"]).select(rows.columns)
     if exists(spark, f"{root}/metadata.csv"):
         return as_manifest(read_csv(spark, f"{root}/metadata.csv"))
     raise FileNotFoundError(f"no metadata/*.jsonl, Parquet files or metadata.csv in {root}")

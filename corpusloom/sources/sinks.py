@@ -48,3 +48,15 @@ def checked_rows(written: DataFrame, source: DataFrame) -> DataFrame:
     if a != b:
         raise ValueError(f"{a} rows written for {b} read")
     return written
+
+
+LEXICON = "word string, patterns array<string>, counts array<long>, examples array<string>, total long"
+
+
+def save_lexicon(lexicon: DataFrame, path: str) -> None:
+    """A nested lexicon (a row for each word) as JSON lines."""
+    lexicon.write.mode("overwrite").json(path)
+
+
+def load_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LEXICON).json(path)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import chars, latin, marks, numbers, translit
+from corpusloom.functions import chars, latin, marks, numbers, translit, vocab
 from corpusloom.functions.verbalize import verbalize
 from corpusloom.operators import readings, sequences
 
@@ -86,9 +86,72 @@ def test_patterns(spark):
 def test_partial_marks(spark):
     lex = spark.createDataFrame([("علم", ["-|َ|-", "-|ْ|-"], ["عَلَم", "عِلْم"], 40), ("مصر", ["-|ْ|-"], ["مَصْر"], 30)], "word string, patterns array<string>, examples array<string>, total int")
     tokens = spark.createDataFrame([(1, "عَلَم"), (2, "عِلْم"), (3, "علم"), (4, "مصر"), (5, "عَلم"), (6, "مُصِر"), (7, "قلم")], "id int, token string")
-    got = {r.id: (r.code, r.reason.split(":")[0]) for r in marks.partial_codes(tokens, lex).collect()}
-    assert got[1] == (0, "matched 1") and got[2] == (1, "matched 1") and got[3] == (-1, "no marks given") and got[4] == (0, "single reading")
-    assert got[5] == (-1, "marks where readings don't differ") and got[6] == (-1, "only one learned reading") and got[7] == (-1, "not in the lexicon")
+    more = [("كتب", ["-|َ|-", "-|ُ|-"], ["كَتَب", "كُتُب"], 9), ("درس", ["-|َ|-", "-|َ|-"], ["دَرَس", "دَرَس"], 9), ("بيت", ["-|ْ"], ["بَيْت"], 9)]
+    lex = lex.unionByName(spark.createDataFrame(more, lex.schema))
+    tokens = tokens.unionByName(spark.createDataFrame([(8, "كتِب"), (9, "درَس"), (10, "بيْت")], "id int, token string"))
+    got = {r.id: (r.code, r.reason) for r in marks.partial_codes(tokens, lex).collect()}
+    assert got[1] == (0, "matched 1 mark(s) with no conflict") and got[2] == (1, "matched 1 mark(s) with no conflict")
+    assert got[3] == (-1, "no diacritics supplied") and got[4] == (0, "single reading") and got[7] == (-1, "word not in the lexicon")
+    assert got[5][0] == -1 and got[5][1].startswith("the marks given fall on positions the lexicon does not distinguish")
+    assert got[6] == (-1, "مُصِر has only one learned reading (مَصْر, 30 uses); the reading asked for is not in the corpus often enough to have been learned")
+    assert got[8] == (-1, "marks conflict with every known reading") and got[9] == (-1, "marks match several readings equally")
+    assert got[10] == (-1, "marks do not line up with any known reading")
+
+
+def test_variant_marks(spark):
+    got = values(spark, ["ج~ا~ث؞", "~ق~", "ا" * 5 + "~", "a~b", None], marks.normalize_variant_marks)
+    assert [g is None or len(g) for g in got][-1] is True and "~" not in got[2] and got[3] == "ab"
+
+
+def test_phone_groups_of_any_length(spark):
+    digits = ["1" * n for n in range(1, 60)]
+    got = values(spark, digits, numbers.phone_words)
+    assert got == [numbers.say_phone(d) for d in digits]
+
+
+def test_word_spans_agree_with_regex(spark):
+    import regex
+
+    texts = ["a b", "", None, "é-ü 12x", "😀word😀 中文 x", " lead and trail ", "w " * 50000]
+    got = values(spark, texts, chars.word_spans)
+    for t, spans in zip(texts, got, strict=True):
+        assert (spans is None) == (t is None)
+        assert [tuple(s) for s in spans or []] == [(m[0], m.start(), m.end()) for m in regex.finditer(r"[\p{L}\p{N}]+", t or "")]
+
+
+def test_monotonic_and_walk(spark):
+    from corpusloom.operators import sequences as S
+    from pyspark.sql import functions as F
+
+    rows = [(0, [(0.0, 2.0), (1.0, 3.0), (2.0, 2.5), (2.4, 9.0), (3.0, 4.0)]), (1, []), (2, None)]
+    df = spark.createDataFrame(rows, "id int, s array<struct<start:double,end:double>>")
+    got = {r.id: r.k for r in df.select("id", S.monotonic_spans(F.col("s")).alias("k")).collect()}
+    assert [tuple(x) for x in got[0]] == [(0.0, 2.0), (2.0, 2.5), (3.0, 4.0)] and got[1] == [] and got[2] is None
+    pairs = [(0, ["a", "b"], ["A", "c"]), (1, ["a", "b", "c"], ["x", "A", "y", "z", "w", "C"]), (2, ["a", "b", "c", "d"], ["A", "z", "C"])]
+    df = spark.createDataFrame(pairs, "id int, p array<string>, m array<string>")
+    got = {r.id: r.k for r in df.select("id", S.align_tokens(F.col("p"), F.col("m"), F.lower).alias("k")).collect()}
+    assert got[0] == ["A", None] and got[1] == ["A", None, None] and got[2] == ["A", None, "C", None]
+
+
+def test_vocab_round_trip(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    voc = vocab.char_vocab(spark.createDataFrame([("abba cc",), ("é d",)], "text string"), min_freq=2)
+    vocab.save_vocab(voc, str(tmp_path / "v.json"))
+    back = vocab.load_vocab(spark, str(tmp_path / "v.json"))
+    assert {(r.id, r.ch) for r in back.collect()} == {(r.id, r.ch) for r in voc.collect()}
+    (tmp_path / "bad.json").write_text('{"itos": ["<pad>", "<bos>", "<eos>", " ", "a"]}')
+    with pytest.raises(ValueError, match="<unk>"):
+        vocab.load_vocab(spark, str(tmp_path / "bad.json"))
+    ids = vocab.as_map(back)
+    df = spark.createDataFrame([("ab ca", [(0, 2), (3, 5)])], "text string, spans array<struct<start:int,end:int>>").crossJoin(ids)
+    own = df.select(vocab.encode_with_word_index(F.col("text"), F.col("spans"), F.col("ids")).alias("e")).first().e
+    assert own.word_index == [-1, 0, 0, -1, 1, 1, -1] and own.ids[0] == 1 and own.ids[-1] == 2 and len(own.ids) == 7
+    bad = df.select(vocab.encode_with_word_index(F.col("text"), F.array(F.struct(F.lit(3).alias("start"), F.lit(9).alias("end"))), F.col("ids")))
+    with pytest.raises(Exception, match="invalid word span"):
+        bad.collect()
+    codes = spark.range(1).select(vocab.char_codes(F.array(*[F.lit(i) for i in own.word_index]), F.create_map(F.lit(1), F.lit(3)), F.lit(4)).alias("c")).first().c
+    assert codes == [4, 4, 4, 4, 3, 3, 4]
 
 
 def test_romanize(spark):

@@ -42,7 +42,10 @@ def test_numbering_and_sinks(spark, tmp_path):
 
 def test_config(tmp_path):
     (tmp_path / "a.json").write_text('{"name": "a", "text": {"max_chars": 100, "max_words": 5}}')
-    (tmp_path / "b.json").write_text('{"_base_": "a.json", "text": {"max_chars": "200"}}')
+    (tmp_path / "b.json").write_text('{"_base_": "a.json", "text": {"max_chars": 200}}')
+    (tmp_path / "text.json").write_text('{"text": {"max_chars": "200"}}')
+    with pytest.raises(TypeError):  # a string is no number
+        config.load(tmp_path / "text.json")
     got = config.load(tmp_path / "b.json", {"inference.top_k": 7})
     assert (got.name, got.text.max_chars, got.text.max_words, got.inference.top_k) == ("a", 200, 5, 7)
     config.save(got, tmp_path / "c.json")
