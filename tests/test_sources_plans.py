@@ -51,7 +51,7 @@ def test_config(tmp_path):
     config.save(got, tmp_path / "c.json")
     assert config.load(tmp_path / "c.json") == got
     (tmp_path / "d.json").write_text('{"_base_": "d.json"}')
-    for path, overrides, error in [("d.json", {}, ValueError), (None, {"text.nope": 1}, KeyError), (None, {"text.max_chars": "x"}, ValueError), (None, {"text.lower": 3}, TypeError), (None, {"inference.tau_low": 0.9}, ValueError)]:
+    for path, overrides, error in [("d.json", {}, ValueError), (None, {"text.nope": 1}, KeyError), (None, {"text.max_chars": "x"}, TypeError), (None, {"text.lower": 3}, TypeError), (None, {"inference.tau_low": 0.9}, ValueError)]:
         with pytest.raises(error):
             config.load(tmp_path / path if path else None, overrides)
     assert json.loads((tmp_path / "c.json").read_text())["name"] == "a"
