@@ -45,7 +45,8 @@ def occurrences(sentences: DataFrame, tokens: Column, identity, pattern, form=No
         "right": F.concat(F.slice("word", F.lit(2), F.greatest(n, F.lit(1))), F.array(F.lit(FINISH))),
     }
     zipped = F.arrays_zip(*[c.alias(name) for name, c in columns.items()])
-    return rows.where(n > 0).select("uid", F.posexplode(zipped).alias("pos", "t")).select("uid", "pos", "t.*").where("pattern is not null")
+    # a text without a token gives one row, without a pattern; a filter on the arrays would compute them twice
+    return rows.select("uid", F.posexplode(zipped).alias("pos", "t")).select("uid", "pos", "t.*").where("pattern is not null")
 
 
 def _place(occ: DataFrame) -> Column:
