@@ -62,7 +62,8 @@ def encode_with_word_index(text: Column, spans: Column, ids: Column, add_marks:
 
 def char_codes(index: Column, codes: Column, empty: Column) -> Column:
     """For each character the code of its word in the map codes (word number to code), or empty."""
-    return F.transform(index, lambda w: F.coalesce(F.try_element_at(codes, w), empty))
+    own = lambda cs: F.transform(index, lambda w: F.coalesce(F.try_element_at(cs, w), empty))
+    return F.get(F.transform(F.array(codes), own), F.lit(0))
 
 
 def save_vocab(vocab: DataFrame, path: str) -> None:

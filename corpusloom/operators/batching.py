@@ -69,7 +69,9 @@ def ragged_offsets(rows: DataFrame, uid: str, length: str, rows_per_bin: int = R
 
 def words_to_chars(word_index: Column, values: Column, empty: Column) -> Column:
     """For each character the value of its word, or empty."""
-    return F.transform(word_index, lambda w: F.when(w < 0, empty).otherwise(F.get(values, w.cast("int"))))
+    # the array around values has them computed once, not for each character
+    own = lambda vs: F.transform(word_index, lambda w: F.when(w < 0, empty).otherwise(F.get(vs, w.cast("int"))))
+    return F.get(F.transform(F.array(values), own), F.lit(0))
 
 
 def chars_to_words(rows: DataFrame, uid: str, word: str, value: str) -> DataFrame:
