@@ -60,6 +60,13 @@ def encode_with_word_index(text: Column, spans: Column, ids: Column, add_marks:
     return F.struct(own.alias("ids"), index.alias("word_index"))
 
 
+def row_variants(text: Column, variants: Column) -> Column:
+    """Variants of a text's characters with a 0 for each mark around them; all 0 if there are not as many as characters."""
+    n = F.length(text)
+    fits = F.coalesce(F.size(variants) == n, F.lit(False))
+    return F.concat(F.array(F.lit(0)), F.when(fits, variants.cast("array<int>")).otherwise(F.array_repeat(F.lit(0), n)), F.array(F.lit(0)))
+
+
 def char_codes(index: Column, codes: Column, empty: Column) -> Column:
     """For each character the code of its word in the map codes (word number to code), or empty."""
     own = lambda cs: F.transform(index, lambda w: F.coalesce(F.try_element_at(cs, w), empty))

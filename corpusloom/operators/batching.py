@@ -74,9 +74,12 @@ def words_to_chars(word_index: Column, values: Column, empty: Column) -> Column:
     return F.get(F.transform(F.array(values), own), F.lit(0))
 
 
-def chars_to_words(rows: DataFrame, uid: str, word: str, value: str) -> DataFrame:
-    """Mean of the values of each word's characters."""
-    return rows.where(F.col(word) >= 0).groupBy(uid, word).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+def chars_to_words(rows: DataFrame, uid: str, word: str, value: str, words: DataFrame | None = None) -> DataFrame:
+    """Mean of the values of each word's characters. Of words (uid, word), where given, those without a character have the mean 0."""
+    got = rows.where(F.col(word) >= 0).groupBy(uid, word).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    if words is None:
+        return got
+    return words.join(got, [uid, word], "left").select(uid, word, F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def collate(rows: DataFrame, uid: str, values: str, plan: DataFrame, fill: int = 0) -> DataFrame:
@@ -86,3 +89,26 @@ def collate(rows: DataFrame, uid: str, values: str, plan: DataFrame, fill: int =
     got = joined.join(longest, ["bucket", "batch"])
     mask = F.concat(F.array_repeat(F.lit(1), F.size(values)), F.array_repeat(F.lit(0), (F.col("to") - F.size(values)).cast("int")))
     return got.select(uid, "bucket", "batch", pad(F.col(values), F.col("to"), F.lit(fill)).alias("padded"), mask.alias("mask"))
+
+
+def ragged_slices(buffer: DataFrame, offsets: DataFrame, uid: str) -> DataFrame:
+    """uid, values: each row's slice (uid, start, length) of a buffer (pos, value), in order. Raises if the buffer ends before a slice.
+
+    Positions join by equality, so the buffer is shuffled once however the slices lie; a slice of length 0 is an empty array.
+    """
+    wanted = offsets.where("length > 0").select(uid, "length", F.explode(F.expr("sequence(start, start + length - 1)")).alias("pos"))
+    found = wanted.join(buffer, "pos", "left").groupBy(uid, "length")
+    found = found.agg(F.count(F.when(buffer["pos"].isNotNull(), 1)).alias("n"), F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("s"))  # one slice
+    short = F.raise_error(F.concat(F.lit("the buffer ends within the slice of "), F.col(uid).cast("string")))
+    values = F.when(F.col("n") < F.col("length"), short.cast(found.schema["s"].dataType)).otherwise(F.col("s"))
+    found = found.select(uid, F.transform(values, lambda x: x["value"]).alias("values"))
+    none = F.array().cast(found.schema["values"].dataType)
+    return offsets.select(uid).join(found, uid, "left").select(uid, F.coalesce("values", none).alias("values"))
+
+
+def plan_char_codes(plan: DataFrame, indexed: DataFrame, empty: int) -> DataFrame:
+    """uid, codes of rows (uid, word_index): for each character the code of its word if a plan (uid, idx, n_codes, code) gives it several, else empty."""
+    own = F.when(F.col("n_codes") > 1, F.col("code")).otherwise(F.lit(empty)).cast("int")
+    codes = plan.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("idx", own.alias("code")))).alias("c"))  # the words of one text
+    dense = F.transform(F.coalesce("c", F.array().cast(codes.schema["c"].dataType)), lambda x: x["code"])
+    return indexed.join(codes, "uid", "left").select("uid", words_to_chars(F.col("word_index"), dense, F.lit(empty)).alias("codes"))

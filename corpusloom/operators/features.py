@@ -102,8 +102,21 @@ def binary_cross_entropy(logit: Column, target: Column) -> Column:
     return F.greatest(logit, F.lit(0.0)) - logit * t + F.log1p(F.exp(-F.abs(logit)))
 
 
-def draw(rows: DataFrame, key: str, item: str, share: str, seed: int = 0) -> DataFrame:
-    """key, item: one item of each key, drawn by its share; the draw is a hash of the key, so reruns agree."""
+def greedy(rows: DataFrame, key: str, item: str, share: str) -> DataFrame:
+    """key, item: the item of each key with the largest share, the least of equal ones."""
+    best = F.min_by(item, F.struct(-F.col(share), item))
+    return rows.groupBy(key).agg(best.alias(item))
+
+
+def draw(rows: DataFrame, key: str, item: str, share: str, seed: int = 0, temperature: float = 1.0) -> DataFrame:
+    """key, item: one item of each key, drawn by its share to the power 1 / temperature; without temperature the greedy one.
+
+    The draw is a hash of the key, so reruns agree.
+    """
+    if temperature <= 0:
+        return greedy(rows, key, item, share)
+    if temperature != 1:
+        rows = rows.withColumn(share, F.pow(share, F.lit(1 / temperature)))
     u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
     w = Window.partitionBy(key).orderBy(F.desc(share), item)
     upto = rows.withColumn("__c", F.sum(share).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__t", F.sum(share).over(Window.partitionBy(key)))
@@ -124,3 +137,11 @@ def split_marks(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     got = found.join(lexicon.select("word", F.size("patterns").alias("n_codes")), chars.word_identity(F.col("token")) == F.col("word"), "left")
     code = F.when(given & ((F.col("code") < 0) | (F.col("n_codes") > 1)), F.col("code"))
     return got.select("uid", "idx", bare.alias("bare"), code.alias("code"), F.when(given & (F.col("code") < 0), F.col("reason")).alias("reason"), F.when(F.size(v) == F.length(bare), v).otherwise(F.array_repeat(F.lit(0), F.length(bare))).alias("variants"))
+
+
+def aligned_words(manifest: DataFrame, alignments: DataFrame) -> DataFrame:
+    """The manifest's columns with word_index, word, start, end, score of each aligned word of (uid, words).
+
+    Utterances without an alignment, or with an empty one, are left out.
+    """
+    return manifest.join(alignments, "uid").select(*manifest.columns, F.inline("words"))

@@ -89,3 +89,8 @@ def capped(rows: DataFrame, key: str, uid: str, cap: int, seed: str = "1234") ->
     """
     order = Window.partitionBy(key).orderBy(F.md5(F.concat(F.lit(seed), F.col(uid).cast("string"))), uid)
     return rows.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= cap).drop("__k")
+
+
+def first_rows(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows in the order given, for a trial run; 0 takes all."""
+    return rows.orderBy(*order).limit(n) if n else rows

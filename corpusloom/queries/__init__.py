@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def _pairs() -> dict[str, tuple[Callable, str | None]]:
-    from . import features, reading, tables, text, udf
+    from . import assembly, features, reading, tables, text, udf
 
-    return reading.QUERIES | text.QUERIES | tables.QUERIES | udf.QUERIES | features.QUERIES
+    return reading.QUERIES | text.QUERIES | tables.QUERIES | udf.QUERIES | features.QUERIES | assembly.QUERIES
 
 
 def all_queries() -> dict[str, Callable]:
