@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, read_table
-from . import bpe, chat, langid, mixing, mpeg, ngram_join, pii, quality, secrets, wavelet
+from . import bpe, chat, fim, langid, mixing, mpeg, ngram_join, pii, quality, search, secrets, toxicity, wavelet
 
 #: Key of the pseudonyms in op10. A deployment passes its own to pii.pseudonymize().
 PSEUDONYM_KEY = "corpusloom public test key"
@@ -58,7 +58,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(read_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_chat, op4_mix, op5_secrets, op6_ngram_join, op7_quality, op8_media, op9_tokens, op10_pii)}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(read_table(spark, sf_dir, "documents")))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bpe, op2_language, op3_chat, op4_mix, op5_secrets, op6_ngram_join, op7_quality, op8_media, op9_tokens, op10_pii, op11_fim, op12_search, op13_toxicity)
+}
 
 _MIX = r"""
 with d as (select doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents),
@@ -90,5 +107,29 @@ g as (select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) ||
 select conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars::bigint as formatted_chars, n_windows from g
 """
 
+_FIM = r"""
+with d as (select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+m as (select *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') as u, [('0x' || substr(h, 8 * i + 1, 8))::bigint for i in [0, 1, 2, 3]] as r from d),
+n as (select *, len(u)::bigint as n from m),
+c as (select *, least(r[1] % (n + 1), r[2] % (n + 1)) as c1, greatest(r[1] % (n + 1), r[2] % (n + 1)) as c2,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or r[3] % 100 >= 90 then 'plain' when r[4] % 100 < 20 then 'spm' else 'psm' end as form from n),
+p as (select *, array_to_string(u[1:c1], '') as pre, array_to_string(u[c1 + 1:c2], '') as mid, array_to_string(u[c2 + 1:], '') as suf from c)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end::bigint as prefix_chars, case when form <> 'plain' then length(mid) end::bigint as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(text) as restored_sha256 from p
+"""
+
+_SEARCH = r"""
+with w as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+p as (select doc_id, term, count(*) as tf from w group by all),
+d as (select doc_id, sum(tf)::bigint as n from p group by all),
+s as (select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from d),
+f as (select term, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as weight from p, s group by term),
+q as (select item_id, term, count(*) as times from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by all),
+r as (select item_id, p.doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::bigint as score
+  from q join p using (term) join f using (term) join d on d.doc_id = p.doc_id, s group by all)
+select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from r where score > 0) where rank <= 10
+"""
+
 #: The other operators fit models, use a library's vocabulary, or write a binary format: no SQL says what they return.
-ORACLE_SQL: dict[str, str] = {"op3_chat": _CHAT, "op4_mix": _MIX}
+ORACLE_SQL: dict[str, str] = {"op3_chat": _CHAT, "op4_mix": _MIX, "op11_fim": _FIM, "op12_search": _SEARCH}
