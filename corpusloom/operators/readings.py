@@ -73,26 +73,44 @@ def agreement_of(ctx: DataFrame) -> DataFrame:
     return got.select("word", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"), F.coalesce(F.col("n_agree") / F.col("n_repeated"), F.lit(1.0)).alias("agreement"))
 
 
-def mine(occ: DataFrame, gates: Gates = Gates()) -> DataFrame:
-    """word, code, pattern, n, example, total: the lexicon in long form, a written table with a row for each reading that passes the gates.
+def pattern_counts(occ: DataFrame) -> DataFrame:
+    """word, pattern, n, first: how often each pattern stands, and its first place."""
+    return occ.groupBy("word", "pattern").agg(F.count("*").alias("n"), F.min(_place(occ)).alias("first"))
 
-    Counts of (word, pattern) come first and combine on the map side. Only occurrences of words with several readings left are
-    then counted by context, and examples are looked up by their places.
-    """
-    patterns = occ.groupBy("word", "pattern").agg(F.count("*").alias("n"), F.min(_place(occ)).alias("first"))
+
+def gated(patterns: DataFrame, gates: Gates, *more: str) -> DataFrame:
+    """word, pattern, n, first, total, code and more columns of the patterns that pass all gates but that of contexts."""
     whole = Window.partitionBy("word")
-    patterns = patterns.select("*", F.sum("n").over(whole).alias("total"), F.count("*").over(whole).alias("raw"))
+    rows = patterns.select("*", F.sum("n").over(whole).alias("total"), F.count("*").over(whole).alias("raw"))
     frequent = (F.col("total") >= gates.min_word_freq) & (F.col("raw") <= gates.max_raw_patterns)
-    kept = patterns.where(frequent & (F.col("n") >= gates.min_pattern_count) & (F.col("n") / F.col("total") >= gates.min_pattern_frac))
+    kept = rows.where(frequent & (F.col("n") >= gates.min_pattern_count) & (F.col("n") / F.col("total") >= gates.min_pattern_frac))
     code = F.row_number().over(whole.orderBy(F.desc("n"), "first")) - 1
-    kept = kept.withColumn("code", code).where(F.col("code") < gates.max_codes).withColumn("codes", F.count("*").over(whole))
-    kept = materialize(kept, "readings")
-    unsure = small_side(kept.where("code = 1").select("word"), WORDS)
-    agree = agreement(contexts(occ.join(unsure, "word", "left_semi")))
-    refused = agree.where((F.col("n_repeated") >= 2) & (F.col("n_agree") / F.col("n_repeated") < gates.min_context_agreement)).select("word")
-    kept = kept.join(refused, "word", "left_anti")
-    forms = occ.select(F.col("word").alias("w"), F.col("pattern").alias("p"), _place(occ).alias("place"), F.col("form").alias("example"))
-    found = kept.join(forms, (F.col("w") == F.col("word")) & (F.col("p") == F.col("pattern")) & (F.col("place") == F.col("first")))
+    return kept.withColumn("code", code).where(F.col("code") < gates.max_codes).select("word", "pattern", "n", "first", "total", "code", *more)
+
+
+def refused(ctx: DataFrame, gates: Gates) -> DataFrame:
+    """Words whose repeated contexts don't agree."""
+    return agreement(ctx).where((F.col("n_repeated") >= 2) & (F.col("n_agree") / F.col("n_repeated") < gates.min_context_agreement)).select("word")
+
+
+def mine(occ: DataFrame, gates: Gates = Gates()) -> DataFrame:
+    """word, code, pattern, n, example, total: the lexicon in long form, a written table with a row for each reading that passes the gates.
+
+    Two passes over the texts, neither of which moves an occurrence. The first counts (word, pattern), combined on the map side.
+    The second counts the contexts of words with several readings left; the form at a reading's first place is one more key of
+    that count, so examples come with it.
+    """
+    kept = materialize(gated(pattern_counts(occ), gates), "readings")
+    entries = F.map_from_entries(F.collect_list(F.struct("pattern", "first")))  # max_codes of them
+    wanted = kept.groupBy("word").agg(entries.alias("firsts"), (F.count("*") > 1).alias("unsure"))
+    here = _place(occ) == F.try_element_at("firsts", F.col("pattern"))
+    met = occ.join(small_side(wanted, WORDS), "word").where(F.col("unsure") | here)
+    keys = [F.when(F.col("unsure"), F.col(c)).alias(c) for c in ("left", "right")]
+    counted = met.groupBy("word", *keys, "pattern", "unsure", F.when(here, F.col("form")).alias("example")).agg(F.count("*").alias("n"))
+    counted = materialize(counted, "contexts")
+    lost = refused(counted.where("unsure").groupBy("word", "left", "right", "pattern").agg(F.sum("n").alias("n")), gates)
+    examples = counted.where("example is not null").groupBy(F.col("word").alias("w"), F.col("pattern").alias("p")).agg(F.min("example").alias("example"))
+    found = kept.join(lost, "word", "left_anti").join(examples, (F.col("w") == F.col("word")) & (F.col("p") == F.col("pattern")))
     return materialize(found.select("word", "code", "pattern", "n", "example", "total"), "lexicon")
 
 
