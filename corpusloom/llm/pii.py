@@ -7,8 +7,9 @@ security numbers and dates go through a Feistel network over two residues whose
 
 email  all before the last dot of the host; labels are not empty and don't begin or end with a hyphen
 ip     four numbers up to 255
-date   a calendar date from 1900 to 2099, as y-m-d (a time may follow after T), d/m/y, m/d/y where the first number can only be the
-       month, or d.m.y; written without leading zeros where the date found is
+date   a calendar date from 1900 to 2099, as y-m-d (a time may follow after T), d/m/y, m/d/y where the second number can only be the
+       day, or d.m.y; written without leading zeros where the date found is. All pseudonyms between slashes are d/m/y: m/d/y
+       would read as another date's d/m/y
 ssn    a valid area, group and serial number
 card   13-19 digits that pass the Luhn check; the first stays, the check digit is made anew
 phone  10-15 digits in groups, or ten in a row with a valid North American area and exchange; the country code and the separators
@@ -191,7 +192,7 @@ def _date_value(m: Column) -> Column:
 
 def _date(m: Column, key: str) -> Column:
     first = F.lit(FIRST_DAY).cast("date")
-    iso, american = _date_parts(m)[:2]
+    iso = _date_parts(m)[0]
     padded, mark = ~m.rlike("(?<![0-9])[0-9](?![0-9])"), F.regexp_extract(m, "[-/.]", 0)
 
     def write(days):
@@ -199,7 +200,7 @@ def _date(m: Column, key: str) -> Column:
         day = F.when(padded, F.date_format(new, "dd")).otherwise(F.date_format(new, "d"))
         month = F.when(padded, F.date_format(new, "MM")).otherwise(F.date_format(new, "M"))
         year = F.date_format(new, "yyyy")
-        return F.when(iso, F.concat(year, mark, month, mark, day)).when(american, F.concat(month, mark, day, mark, year)).otherwise(F.concat(day, mark, month, mark, year))
+        return F.when(iso, F.concat(year, mark, month, mark, day)).otherwise(F.concat(day, mark, month, mark, year))
 
     return bind(permute_number(F.datediff(_date_value(m), first), DAYS, key, "date"), write)
 

@@ -72,7 +72,7 @@ def date(m, key):
     new = FIRST + datetime.timedelta(number((value - FIRST).days, pii.DAYS, key, "date"))
     width = "" if any(len(x) == 1 for x in re.split("[-/.]", m)) else "02"
     day, month, mark = format(new.day, width), format(new.month, width), re.search("[-/.]", m)[0]
-    return mark.join([str(new.year), month, day] if iso else [month, day, str(new.year)] if american else [day, month, str(new.year)])
+    return mark.join([str(new.year), month, day] if iso else [day, month, str(new.year)])
 
 
 def one(m, key):
