@@ -6,7 +6,8 @@
 3. Buckets of at most SMALL vertices give candidate pairs, one each however many bands agree, verified on the full sets.
 4. Larger buckets give no pairs: those that share vertices form a cluster, which is compared all against all in blocks, each
    block pair once, with exact intersection counts as matrix products. A block pair returns a row for each vertex, the number
-   of documents it is linked to and the least vertex it is connected with, so rows stay linear in a cluster's size.
+   of documents it is linked to and the least vertex it is connected with, so rows stay linear in a cluster's size. Only pairs
+   that share a band count there too, so links don't depend on how many vertices stand in a bucket.
 5. Connected components of all links are the classes.
 
 No candidate is dropped or capped. Links between different texts are found with the bands' recall, links of equal sets always.
@@ -193,8 +194,9 @@ def _compare(threshold: float):
     def run(key, table):
         i, j = key[1].as_py(), key[2].as_py()
         rows: dict[bytes, tuple] = {}
-        for d, m, b, s in zip(*(table.column(c).to_pylist() for c in ("vertex", "members", "block")), table.column("shingles"), strict=True):
-            rows.setdefault(d, (m, b, s.values.to_numpy(zero_copy_only=False)))
+        whole = [table.column(c) for c in ("shingles", "bands")]
+        for d, m, b, *lists in zip(*(table.column(c).to_pylist() for c in ("vertex", "members", "block")), *whole, strict=True):
+            rows.setdefault(d, (m, b, *(x.values.to_numpy(zero_copy_only=False) for x in lists)))
         names = sorted(rows)
         members, block = (np.array([rows[d][k] for d in names]) for k in (0, 1))
         sets = [rows[d][2] for d in names]
@@ -203,6 +205,11 @@ def _compare(threshold: float):
         if len(first) and len(second):
             lengths, near = np.array([len(s) for s in sets]), intersections(sets, first, second)
             linked = near / (lengths[first][:, None] + lengths[second][None] - near) >= threshold - 1e-7
+            bands = np.array([rows[d][3] for d in names])
+            shared = np.zeros_like(linked)
+            for own, other in zip(bands[first].T, bands[second].T, strict=True):
+                shared |= own[:, None] == other[None]
+            linked &= shared
             if i == j:
                 np.fill_diagonal(linked, False)
             links = np.zeros(len(names), np.int64)
@@ -268,7 +275,7 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     clusters = components(hits.where(F.col("size") > SMALL).select("vertex", "low"), "vertex", "low")
     linked = materialize(_small_buckets(hits.where(F.col("size") <= SMALL), sets, clusters, threshold), "linked")
-    compared = materialize(_clusters(clusters, facts, sets, threshold), "compared")
+    compared = materialize(_clusters(clusters, vertices.select("vertex", "members", "n", "bands"), sets, threshold), "compared")
 
     weights = lambda name: facts.select(F.col("vertex").alias(name), F.col("members").alias("links"))
     links = linked.join(weights("b"), "b").select(F.col("a").alias("vertex"), "links")
@@ -309,7 +316,7 @@ def _clusters(clusters: DataFrame, facts: DataFrame, sets: DataFrame, threshold:
     blocks = held.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     held = held.join(small_side(blocks, BROADCAST), "cluster").withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
     dealt = held.join(sets, "vertex").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "vertex", "members", "block", "shingles")
+    dealt = dealt.select("cluster", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "vertex", "members", "block", "shingles", "bands")
     return dealt.groupBy("cluster", "i", "j").applyInArrow(_compare(threshold), _BLOCK_OUT)
 
 

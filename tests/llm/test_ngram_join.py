@@ -70,6 +70,25 @@ def test_join(spark, copies, block, monkeypatch):
         assert sorted(r.doc_id for r in one.where("doc_id is not null").collect()) == sorted(k for k in kept if k is not None)
 
 
+def test_links_do_not_depend_on_the_size_of_buckets(spark, monkeypatch):
+    """Near copies of one text, many of them around the threshold: small buckets, one cluster, and both mixed say the same."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(70):
+        words = list(base)
+        for i in rng.integers(0, 120, rng.integers(0, 6)):
+            words[i] = f"v{k}-{i}"
+        texts.append((k, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    told = []
+    for small in (2, 16, 1000):
+        monkeypatch.setattr(N, "SMALL", small)
+        told.append(sorted((r.doc_id, r.class_id, r.n_links) for r in N.join_documents(docs).collect()))
+    assert told[0] == told[1] == told[2]
+    assert len({n for _, _, n in told[0]}) > 5
+
+
 def test_keep_one_of_repeated_and_null_ids(spark):
     rng = random.Random(8)
     a, b, c, d, e, g, h, k = (" ".join(words(rng, 30)) for _ in range(8))
@@ -225,8 +244,14 @@ def test_stages_on_odd_tables(spark, edge, empty, clash):
 
     df = (edge if clash == "edge" else empty).selectExpr("*", "1 as spans", "2 as before", "3 as gone_id", "4 as winner", "5 as own_digest", "6 as plan_size")
     model = quality.fit_labels(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    n = df.count()
+    counts = []
     for out in (quality.keep_good(df, model), secrets.redact(df), *(stage(spark, df, "") for _, stage in P.STAGES[1:4])):
-        assert out.columns == df.columns and (out.count() > 0 or clash == "empty" or out.where("false").count() == 0)
+        assert out.columns == df.columns
+        counts.append(out.count())
+    # no row passes the base rules; one row of two copies goes with the near duplicates; secrets keep every row; rows with words are mixed
+    assert counts[:4] == ([0, n, n - 1, n] if clash == "edge" else [0, 0, 0, 0])
+    assert 0 < counts[4] <= 2 * n if clash == "edge" else counts[4] == 0
     assert P.STAGES[4][1](spark, df, "").count() == df.count()
     again = secrets.redact(df).where("spans = 1 and before = 2").count()
     assert again == df.count()
