@@ -25,8 +25,12 @@ UNSPACED = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?]*(?:\s|\Z))|[.,;:!?]+
 WHOLE = re.compile(r"[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]|<\|")
 
 
+#: Characters of the longest piece that a cache keeps, so that it is bounded in bytes too.
+KEPT = 64
+
+
 class UnitEncoder:
-    """Ids of pieces as little-endian 32-bit integers. The cache holds about 2 * capacity pieces, in two generations."""
+    """Ids of pieces as little-endian 32-bit integers. The cache holds about 2 * capacity pieces of KEPT characters at most, in two generations."""
 
     def __init__(self, path: str, pattern: re.Pattern, capacity: int = 100_000):
         from tokenizers import Tokenizer
@@ -44,7 +48,8 @@ class UnitEncoder:
     def split(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def _ensure(self, units: Iterable[str]) -> None:
+    def _ensure(self, units: Iterable[str]) -> dict[str, bytes]:
+        """Ids of the pieces that are too long to be kept; all others stand in young afterwards."""
         missing = [u for u in set(units) if u not in self.young]
         new = []
         for u in missing:
@@ -52,16 +57,21 @@ class UnitEncoder:
                 new.append(u)
             else:
                 self.young[u] = ids
+        long = {u: b"" for u in new if len(u) > KEPT}
+        if long:
+            long = dict(zip(long, self.library(list(long)), strict=True))
+            new = [u for u in new if u not in long]
         if new:
             self.young.update(zip(new, self.library(new), strict=True))
+        return long
 
     def _age(self) -> None:
         if len(self.young) > self.capacity:
             self.old, self.young = self.young, {}
 
     def encode(self, units: list[str]) -> list[bytes]:
-        self._ensure(units)
-        got = [self.young[u] for u in units]
+        long = self._ensure(units)
+        got = [long[u] if u in long else self.young[u] for u in units] if long else list(map(self.young.__getitem__, units))
         self._age()
         return got
 
@@ -69,8 +79,8 @@ class UnitEncoder:
         """Ids of whole texts."""
         whole = [bool(WHOLE.search(t)) for t in texts]
         split = [[] if w else self.split(t) for t, w in zip(texts, whole, strict=True)]
-        self._ensure(chain.from_iterable(split))
-        get = self.young.__getitem__
+        long = self._ensure(chain.from_iterable(split))
+        get = (self.young | long).__getitem__ if long else self.young.__getitem__
         out = [self.library([t])[0] if w else b"".join(map(get, s)) for t, w, s in zip(texts, whole, split, strict=True)]
         self._age()
         return out
@@ -83,6 +93,8 @@ _APOSTROPHE = ord("'")
 _BYTE_LEVEL = {c: 289 + i for i, c in enumerate([*range(127, 161), 173])}
 #: Bytes of text that are cut into words at once.
 WINDOW = 1 << 22
+#: Bytes of words and ids in one generation of a cache.
+WORD_BYTES = 24 << 20
 
 
 class _Words:
@@ -90,6 +102,7 @@ class _Words:
 
     def __init__(self):
         self.at: dict[bytes, int] = {}
+        self.bytes = 0
         self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
 
     def add(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -100,6 +113,7 @@ class _Words:
         if used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(used + len(ids), np.uint32)])
         self.at.update(zip(words, range(n, n + len(words)), strict=True))
+        self.bytes += sum(map(len, words)) + 4 * len(ids)
         self.ends[n + 1 : n + 1 + len(words)] = used + lengths.cumsum()
         self.ids[used : used + len(ids)] = ids
         return np.arange(n, n + len(words))
@@ -118,7 +132,7 @@ class WordEncoder:
     Latin-1 texts are cut into words by numpy, a whole slice at once: at white space and between letters and other characters, but
     not after an apostrophe (it may begin a contraction). Each distinct word of a slice is looked up once, and words not yet known
     go to the library in one text; the slice's ids are then gathered in one step. Other texts go piece by piece.
-    The cache holds about 2 * capacity words, in two generations.
+    The cache holds about 2 * capacity words, and 2 * WORD_BYTES and a window's words, in two generations.
     """
 
     def __init__(self, path: str, capacity: int = 300_000):
@@ -180,7 +194,7 @@ class WordEncoder:
         which = self._look_up(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
         ids, lengths = self.young.take(which)
         before = np.concatenate([[0], lengths.cumsum()])
-        if len(self.young.at) > self.capacity:
+        if len(self.young.at) > self.capacity or self.young.bytes > WORD_BYTES:
             self.old, self.young = self.young, _Words()
         return ids, before[np.searchsorted(starts, stops)]
 

@@ -131,20 +131,29 @@ class ChunkEncoder:
         return [b"".join(each(own, parts)) for own, parts in zip(runs, cut, strict=True)]
 
     def _join(self, parts: list[str], found: dict[str, Chunk]) -> bytes:
-        out, carry = [], ""
+        """Ids of a text from its chunks; carry is what stands open before the next one.
+
+        Where a join finds no agreement, its chunk joins what is open, and the next try waits until that has doubled: however long
+        a text goes on without agreement, its characters are split a bounded number of times.
+        """
+        out, carry, held, due = [], [], 0, 0
         for part in parts:
             chunk = found[part]
             at = 0
-            if carry:
-                if (got := self._repair(carry, part, chunk)) is None:
-                    carry += part
+            if held:
+                got = self._repair("".join(carry), part, chunk) if held >= due else None
+                if got is None:
+                    due = max(due, 2 * held)
+                    carry.append(part)
+                    held += len(part)
                     continue
                 ids, at = got
                 out += ids
             out.append(chunk.ids[chunk.heads[at] : chunk.last_byte])
-            carry = part[chunk.last_char :]
-        if carry:
-            out += self.units.encode(self.units.split(carry))
+            carry = [part[chunk.last_char :]]
+            held, due = len(carry[0]), 0
+        if held:
+            out += self.units.encode(self.units.split("".join(carry)))
         return b"".join(out)
 
     def _repair(self, carry: str, part: str, chunk: Chunk) -> tuple[list[bytes], int] | None:

@@ -61,7 +61,9 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     if None in out:
         for i, h in enumerate(out):
             if h is None:
-                out[i] = _words[words[i]] = xxhash.xxh64_intdigest(words[i])
+                out[i] = xxhash.xxh64_intdigest(words[i])
+                if len(words[i]) <= 64:  # so the cache is bounded in bytes too
+                    _words[words[i]] = out[i]
     return np.fromiter(out, np.uint64, len(out))
 
 

@@ -115,3 +115,32 @@ def test_shards(spark, edge, empty, docs, tmp_path):
             assert set(told) == {f.name for f in folder.iterdir()} and all(r.n_docs <= 3 and r.n_docs == wavelet.open_shard(r.file).n_docs for r in told.values())
     assert wavelet.read_shards(wavelet.write_shards(empty)).count() == 0
     assert len(wavelet.read_shards(wavelet.write_shards(docs)).collect()) == docs.count()
+
+
+def test_text_without_agreement_is_split_a_bounded_number_of_times(monkeypatch):
+    """A long text in which no two encodings agree: exact, and its characters are split in proportion to its length."""
+    rng = random.Random(3)
+    enc = bpe.ChunkEncoder(path("byte_bpe_50k.json"))
+    seen = []
+    split = enc.units.split
+    monkeypatch.setattr(enc.units, "split", lambda t: seen.append(len(t)) or split(t))
+    for n in (20_000, 160_000):
+        seen.clear()
+        text = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+        assert enc.encode([text]) == enc.units.library([text])
+        assert sum(seen) < 16 * n
+    mixed = " ".join("".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(rng.randint(1, 9000))) + " and words, too" for _ in range(40))
+    assert enc.encode([mixed]) == enc.units.library([mixed])
+
+
+def test_caches_keep_no_long_pieces():
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    units = _units.UnitEncoder(path("byte_bpe_50k.json"), _units.SPACED)
+    text = " ".join(word(rng.choice([3, 64, 65, 5000])) for _ in range(300))
+    assert units.texts([text]) == units.library([text])
+    assert max(map(len, units.young)) <= _units.KEPT
+    words = _units.WordEncoder(path("word_bpe_49k.json"))
+    for _ in range(12):
+        words.texts([" ".join(word(20_000) for _ in range(200))])
+        assert words.young.bytes < _units.WORD_BYTES + 3 * _units.WINDOW
