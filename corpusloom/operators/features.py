@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chars, marks
+from ..session import materialize
+from .intervals import points_in_intervals
 
 
 def fit_length(vectors: Column, n: Column, dim: int) -> Column:
@@ -31,16 +33,18 @@ def mean_by(rows: DataFrame, keys: list[str], vector: str, dim: int) -> DataFram
 def span_means(frames: DataFrame, spans: DataFrame, fps: float, pad: float, dim: int) -> DataFrame:
     """uid, word_index, mean: frames (uid, t, vector) of each padded span of seconds, less the utterance's mean.
 
-    Frames from floor((start - pad) * fps) to ceil((end + pad) * fps), one at least; spans beyond the last frame give zeros. The
-    join runs within an utterance.
+    Frames from floor((start - pad) * fps) to ceil((end + pad) * fps), one at least; spans beyond the last frame give zeros. Frames
+    meet spans by an interval join, so the work follows the frames inside of spans, however long an utterance is.
     """
     whole = mean_by(frames, ["uid"], "vector", dim).withColumnRenamed("mean", "own").withColumnRenamed("n", "n_frames")
     low = F.greatest(F.lit(0), F.floor((F.col("start") - pad) * fps)).cast("int")
     high = F.least(F.col("n_frames"), F.ceil((F.col("end") + pad) * fps)).cast("int")
     cut = spans.join(whole, "uid").withColumn("a", low).withColumn("b", F.when(high <= F.col("a"), F.least(F.col("n_frames"), F.col("a") + 1)).otherwise(high))
-    inside = cut.join(frames, "uid").where((F.col("t") >= F.col("a")) & (F.col("t") < F.col("b")))
-    means = F.array(*[F.avg(F.get("vector", F.lit(i)) - F.get("own", F.lit(i))) for i in range(dim)])
-    got = inside.groupBy("uid", "word_index").agg(means.alias("mean"))
+    cut = materialize(cut.select("uid", "word_index", "a", "b", "own"), "spans")
+    inside = points_in_intervals(frames.select("uid", "t", "vector"), cut.select("uid", "word_index", "a", "b"), ["uid"], "t", "a", "b")
+    means = mean_by(inside, ["uid", "word_index"], "vector", dim).drop("n")
+    own = cut.dropDuplicates(["uid", "word_index"]).select("uid", "word_index", "own")
+    got = means.join(own, ["uid", "word_index"]).select("uid", "word_index", F.zip_with("mean", "own", lambda x, o: x - o).alias("mean"))
     return spans.select("uid", "word_index").join(got, ["uid", "word_index"], "left").withColumn("mean", F.coalesce("mean", F.array_repeat(F.lit(0.0), dim)))
 
 

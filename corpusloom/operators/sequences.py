@@ -80,11 +80,6 @@ def frames_to_seconds(spans: Column, frames: Column, seconds: Column) -> Column:
     return F.transform(spans, lambda s: F.struct((s["start"] / rate).alias("start"), (s["end"] / rate).alias("end"), s["score"].alias("score")))
 
 
-def with_alignments(manifest: DataFrame, alignments: DataFrame) -> DataFrame:
-    """A row for each aligned word of the manifest's utterances (uid); alignments: uid, words. Utterances without words give none."""
-    return manifest.join(alignments.where(F.size("words") > 0), "uid").withColumn("word", F.explode("words")).drop("words")
-
-
 def word_spans(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Spans of words from spans of their characters: first start, last end, mean of the characters' scores; characters before 0 don't count."""
     return rows.where("start >= 0").groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.avg("score").alias("score"), F.count("*").alias("n_chars"))
@@ -141,26 +136,6 @@ def viterbi(scores: np.ndarray, targets: list[int], blank: int = 0) -> list[tupl
     return out
 
 
-ALIGNED = "uid long, spans array<struct<start:int,end:int,score:double>>"
-
-
-def forced_align(rows: DataFrame, blank: int = 0) -> DataFrame:
-    """uid, spans of rows (uid, scores array<array<float>>, targets array<int>); rows that can't be aligned get no spans."""
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for scores, targets in zip(b.column("scores").to_pylist(), b.column("targets").to_pylist(), strict=True):
-                try:
-                    out.append([{"start": s, "end": e, "score": x} for s, e, x in viterbi(np.array(scores), targets, blank)])
-                except ValueError:
-                    out.append([])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(out, kind)], ["uid", "spans"])
-
-    return rows.select("uid", "scores", "targets").mapInArrow(run, ALIGNED)
-
-
 def align_tokens(plain: Column, marked: Column, key) -> Column:
     """For each plain token the marked token with the same key, or null.
 

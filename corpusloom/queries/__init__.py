@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def _pairs() -> dict[str, tuple[Callable, str | None]]:
-    from . import assembly, features, reading, stores, streams, tables, text, udf
+    from . import assembly, features, reading, spaces, stores, streams, tables, text, udf
 
-    return reading.QUERIES | text.QUERIES | tables.QUERIES | udf.QUERIES | features.QUERIES | assembly.QUERIES | stores.QUERIES | streams.QUERIES
+    return reading.QUERIES | text.QUERIES | tables.QUERIES | udf.QUERIES | features.QUERIES | assembly.QUERIES | stores.QUERIES | streams.QUERIES | spaces.QUERIES
 
 
 def all_queries() -> dict[str, Callable]:

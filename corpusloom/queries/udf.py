@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import chars, marks
 from ..functions.verbalize import verbalized
 from ..operators import cluster as C
+from ..operators import alignment as A
 from ..operators import sequences as S
 from ..session import read_table
 
@@ -23,7 +24,7 @@ def ctc_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings")
     frame = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda t: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.get("embedding", t * 4 + k).cast("double")))
     targets = F.array((F.col("label") % 3 + 1).cast("int"), F.lit(1), F.lit(2))
-    return S.forced_align(rows.select(F.col("vec_id").alias("uid"), frame.alias("scores"), targets.alias("targets"))).select("uid", F.posexplode("spans").alias("i", "s")).select("uid", "i", "s.*")
+    return A.forced_align(rows.select(F.col("vec_id").alias("uid"), frame.alias("scores"), targets.alias("targets"))).select("uid", F.posexplode("spans").alias("i", "s")).select("uid", "i", "s.*")
 
 
 def discover_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import batching, cluster, manifest, numeric, sequences
+from corpusloom.operators import alignment, batching, cluster, manifest, numeric, sequences
 from corpusloom.plans import config, plan
 from corpusloom.sources import readers, sinks
 from corpusloom.streaming import incremental
@@ -98,7 +98,7 @@ def test_viterbi(spark):
     with pytest.raises(ValueError):
         sequences.viterbi(scores[:3], [1, 2, 3])
     df = spark.createDataFrame([(1, scores.tolist(), [1, 2, 2, 3]), (2, scores[:2].tolist(), [1, 2, 3])], "uid long, scores array<array<double>>, targets array<int>")
-    assert {r.uid: len(r.spans) for r in sequences.forced_align(df).collect()} == {1: 4, 2: 0}
+    assert {r.uid: len(r.spans) for r in alignment.forced_align(df).collect()} == {1: 4, 2: 0}
 
 
 def test_clusters():
