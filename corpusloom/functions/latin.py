@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,6 +54,10 @@ def transliterate(word: str) -> str:
 
 def say_token(token: str, names: bool = False) -> str:
     """A known word, or with names a transliteration of three letters and more, or else letter by letter; short capitals are always spelt."""
+    return _say_short(token, names) if len(token) <= 32 else _say(token, names)
+
+
+def _say(token: str, names: bool) -> str:
     low = token.lower().strip(".")
     if low in WORDS:
         return WORDS[low]
@@ -62,6 +67,9 @@ def say_token(token: str, names: bool = False) -> str:
     return " ".join(LETTERS.get(c, c) for c in low if c.isalpha())
 
 
+_say_short = lru_cache(maxsize=20_000)(_say)  # of tokens of 32 characters at most
+
+
 def say_host(host: str) -> str:
     return f" {DOT} ".join(say_token(p) if re.match("[A-Za-z]", p) else p for p in host.split(".") if p)
 

@@ -204,3 +204,30 @@ def test_fit_length(spark):
 
     df = spark.createDataFrame([([[1.0], [2.0]], 3), ([[1.0], [2.0]], 1), (None, 2)], "v array<array<double>>, n int")
     assert [r[0] for r in df.select(features.fit_length(F.col("v"), F.col("n"), 1)).collect()] == [[[1.0], [2.0], [0.0]], [[1.0]], [[0.0], [0.0]]]
+
+
+def test_verbalize_is_linear_in_the_text():
+    """Texts that make patterns start anew at every boundary: ten times the text takes no more than some twenty times the time."""
+    import time
+
+    for part in ("a.", "a-", "1", "a.com-", "a@", "1 ", "a@b.", "x.y@", "-", "12/"):
+        took = []
+        for n in (5_000, 50_000):
+            text = part * n
+            began = time.perf_counter()
+            verbalize(text)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 25 * took[0] + 0.5, (part, took)
+
+
+@pytest.mark.parametrize(
+    ("text", "start"),
+    [("--www.x.com", 2), ("http://USD", 0), ("see a-b.com/x y", 4), ("a.com-b.com", 0), ("-http://a.co", 1), ("x_y.net", 0), (".com", None), ("a.comb", None)],
+)
+def test_where_addresses_begin(text, start):
+    from corpusloom.functions import verbalize as V
+
+    got = V._urls(text)
+    assert (got == text) == (start is None)
+    if start is not None:
+        assert got.startswith(text[:start] + " ")
