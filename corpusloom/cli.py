@@ -1,4 +1,5 @@
-"""Stages of a corpus folder as a command: python -m corpusloom.cli CORPUS OUT [--stage S] [--force] [--force-upstream] [--limit N]."""
+"""Stages of a corpus folder as a command: python -m corpusloom.cli CORPUS OUT [--stage S] [--force] [--force-upstream] [--limit N]
+[--config FILE] [--no-verbal] [--audio] [--marked FILE]."""
 
 from __future__ import annotations
 
@@ -8,18 +9,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import chars, marks, vocab
+from .functions import vocab
+from .operators import corpus as C
 from .operators import manifest, readings
-from .plans.report import stage
+from .plans import config
+from .plans.report import log, stage
 from .session import get_spark
-from .sources import readers, sinks
+from .sources import pcm, readers, sinks
 
-STAGES = ["manifest", "vocab", "lexicon", "labels"]
-
-
-def occurrences(rows: DataFrame) -> DataFrame:
-    """The words of a manifest, by their identity and the pattern of their marks."""
-    return readings.occurrences(rows.select("uid", "text"), chars.split_spaces(F.col("text")), chars.word_identity, lambda t: marks.vowel_pattern(t))
+STAGES = ["manifest", "vocab", "lexicon", "labels", "variants", "report"]
 
 
 def forced(name: str, asked: str, force: bool, upstream: bool) -> bool:
@@ -27,25 +25,65 @@ def forced(name: str, asked: str, force: bool, upstream: bool) -> bool:
     return force and (asked in ("all", name) or upstream)
 
 
-def run(spark: SparkSession, corpus: str, out: str, asked: str = "all", force: bool = False, upstream: bool = False, limit: int = 0) -> dict[str, DataFrame]:
-    """The tables of the stage asked for and of those before it; each is made once and then read again."""
-    tables: dict[str, DataFrame] = {}
+def marked_rows(spark: SparkSession, corpus: str, rows: DataFrame, marked: str | None) -> DataFrame:
+    """uid, text, diacritized: the marked transcripts in a JSON lines table, or else the manifest's raw text as its own marked form.
+
+    Marked rows whose uid the manifest doesn't hold are left out; they keep the plain text that they were marked from.
+    """
+    path = marked or f"{corpus}/diacritized.jsonl"
+    if not readers.exists(spark, path):
+        if marked:
+            raise FileNotFoundError(f"no marked transcripts in {marked}")
+        return rows.select("uid", "text", F.col("raw").alias("diacritized"))
+    table = readers.read_jsonl(spark, path, "uid string, text string, diacritized string")
+    return table.join(rows.select("uid"), "uid", "left_semi")
 
-    def manifest_rows() -> DataFrame:
-        rows = readers.read_corpus(spark, corpus).where("text is not null")
-        split = manifest.assign_splits(rows.where("split is null").select("uid").distinct(), "uid").select("uid", F.col("split").alias("drawn"))
-        rows = rows.join(split, "uid", "left").withColumn("split", F.coalesce("split", "drawn")).drop("drawn")
-        return manifest.first_rows(rows, ["uid"], limit)
 
+def run(
+    spark: SparkSession, corpus: str, out: str, asked: str = "all", force: bool = False, upstream: bool = False, limit: int = 0, settings: config.Config | None = None, verbal: bool = True, audio: bool = False, marked: str | None = None
+) -> dict[str, DataFrame]:
+    """The tables of the stage asked for and of those before it; each is made once and then read again.
+
+    verbal: numbers, addresses and Latin words are spoken. audio: rows without a recording are skipped, and missing durations are read
+    from headers. marked: a JSON lines table of marked transcripts.
+    """
+    settings = settings or config.Config()
+    d = settings.discovery
+    gates = readings.Gates(d.min_word_freq, d.min_pattern_count, d.min_pattern_frac, d.max_codes, d.max_raw_patterns, d.min_context_agreement)
+    tables: dict[str, DataFrame] = {}
+
+    def make_manifest(path: str) -> None:
+        rows = readers.read_corpus(spark, corpus)
+        rows = C.with_reasons(C.normalised(pcm.located(rows, corpus) if audio else rows, settings.text, verbal), settings.text)
+        rows = manifest.first_rows(rows, ["uid"], limit)
+        found = sinks.write_observed(rows.drop("missing"), f"{path}.kept", C.metrics(), C.refuse_empty, keep=F.col("skip_reason").isNull())
+        for line in C.summary(found):
+            log.info(line)
+        kept = spark.read.parquet(f"{path}.kept").drop("skip_reason")
+        split = manifest.assign_splits(kept.where("split is null").select("uid").distinct(), "uid").select("uid", F.col("split").alias("drawn"))
+        kept = kept.join(split, "uid", "left").withColumn("split", F.coalesce("split", "drawn")).drop("drawn")
+        kept.write.mode("overwrite").parquet(path)
+
+    pairs = lambda: marked_rows(spark, corpus, tables["manifest"], marked)
     make: dict[str, Callable[[], DataFrame]] = {
-        "manifest": manifest_rows,
-        "vocab": lambda: vocab.char_vocab(tables["manifest"].select("text")),
-        "lexicon": lambda: readings.mine(occurrences(tables["manifest"])),
-        "labels": lambda: readings.labels(occurrences(tables["manifest"]), tables["lexicon"]),
+        "vocab": lambda: vocab.char_vocab(manifest.keep_splits(tables["manifest"], "train").select("text")),
+        "lexicon": lambda: readings.mine(C.marked_occurrences(pairs()), gates),
+        "labels": lambda: readings.labels(C.marked_occurrences(pairs()), tables["lexicon"]).where("code >= 0"),
+        "variants": lambda: C.marked_variants(pairs()),
     }
     for name in STAGES[: len(STAGES) if asked == "all" else STAGES.index(asked) + 1]:
+        path, again = f"{out}/{name}", forced(name, asked, force, upstream)
         with stage(name):
-            tables[name] = sinks.cached_table(spark, f"{out}/{name}", make[name], forced(name, asked, force, upstream))
+            if name == "manifest":
+                if again or not readers.exists(spark, f"{path}/_SUCCESS"):
+                    make_manifest(path)
+                tables[name] = spark.read.parquet(path)
+            elif name == "report":
+                if again or not readers.exists(spark, f"{path}/_SUCCESS"):
+                    sinks.reading_report(readings.nested(tables["lexicon"]), path)
+                tables[name] = spark.read.text(path)
+            else:
+                tables[name] = sinks.cached_table(spark, path, make[name], again)
     return tables
 
 
@@ -57,8 +95,12 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--force", action="store_true", help="make the stage again even if its table is there")
     p.add_argument("--force-upstream", action="store_true", help="with --force: the stages before it too")
     p.add_argument("--limit", type=int, default=0, help="trial run on the first N utterances")
+    p.add_argument("--config", help="settings of the text and the discovery, as JSON")
+    p.add_argument("--no-verbal", action="store_true", help="leave numbers, addresses and Latin words as they are")
+    p.add_argument("--audio", action="store_true", help="skip rows without a recording, and read missing durations from headers")
+    p.add_argument("--marked", help="marked transcripts: uid, text, diacritized as JSON lines")
     a = p.parse_args(args)
-    run(get_spark("corpusloom"), a.corpus, a.out, a.stage, a.force, a.force_upstream, a.limit)
+    run(get_spark("corpusloom"), a.corpus, a.out, a.stage, a.force, a.force_upstream, a.limit, config.load(a.config) if a.config else None, not a.no_verbal, a.audio, a.marked)
 
 
 if __name__ == "__main__":

@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .files import put, store_of
 
@@ -219,6 +219,35 @@ def fill_durations(manifest: DataFrame, root: str) -> DataFrame:
     return known.unionByName(filled)
 
 
+def located(manifest: DataFrame, root: str) -> DataFrame:
+    """The manifest with missing (whether no file stands at audio_path), and durations not above 0 taken from headers; one pass over its rows.
+
+    Rows of a batch are looked up together; headers are read only where a duration is wanted.
+    """
+    own = [c for c in manifest.columns if c not in ("missing", "duration")]
+
+    def run(batches):
+        for b in batches:
+            paths = b.column("audio_path").to_pylist()
+            missing, seconds = [True] * len(paths), [x or 0.0 for x in b.column("duration").to_pylist()]
+            groups: dict[str, list[tuple[int, str]]] = {}
+            for i, name in enumerate(paths):
+                if name:
+                    whole = name if "://" in name or name.startswith("/") else f"{root}/{name}"
+                    groups.setdefault(whole.partition("://")[0] if "://" in whole else "", []).append((i, whole))
+            for named in groups.values():
+                found = [store_of(whole) for _, whole in named]
+                store = found[0][0]
+                for (i, _), (_, at), info in zip(named, found, store.get_file_info([at for _, at in found]), strict=True):
+                    missing[i] = info.type != fs.FileType.File
+                    if not missing[i] and not seconds[i] > 0:
+                        seconds[i] = probe(store, at, at)[6] or 0.0
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(missing), pa.array(seconds, pa.float64())], [*own, "missing", "duration"])
+
+    rows = manifest.select(*own, F.col("duration").cast("double").alias("duration"))
+    return rows.mapInArrow(run, StructType([*(f for f in rows.schema if f.name != "duration"), StructField("missing", BooleanType()), StructField("duration", DoubleType())]))
+
+
 def write(rows: DataFrame, folder: str, rate: int) -> DataFrame:
     """uid, audio_path, duration of rows (uid, samples; optional channels): each is written as folder/uid.wav when the result is computed.
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corpusloom import cli
 from corpusloom.functions import register
 from corpusloom.operators import batching, cluster, features
-from corpusloom.plans import plan, report
+from corpusloom.plans import config, plan, report
+from corpusloom.sources import pcm
 
 
 def test_plan_views(spark):
@@ -72,11 +73,46 @@ def test_command(spark, tmp_path):
     out = str(tmp_path / "out")
     tables = cli.run(spark, str(tmp_path), out, limit=12)
     assert sorted(tables) == sorted(cli.STAGES) and tables["manifest"].count() == 12 and tables["vocab"].count() > 5
+    assert {r.text for r in tables["manifest"].collect()} == {"علم علم", "علم كتاب"}  # normalised
+    words = {(r.word, r.pattern): r.n for r in tables["lexicon"].collect()}  # mined from the raw text, by folded words
+    assert len(words) == 3 and sum(words.values()) == 24 and sorted({w for w, _ in words}) == ["علم", "كتاب"]
     assert cli.run(spark, str(tmp_path), out, "manifest")["manifest"].count() == 12  # made once
     assert cli.run(spark, str(tmp_path), out, "vocab", force=True)["manifest"].count() == 12  # force names its stage only
     assert cli.run(spark, str(tmp_path), out, "vocab", force=True, upstream=True)["manifest"].count() == 20
 
 
+def test_command_skips_and_aligns(spark, tmp_path, caplog):
+    """Every reason to skip a row, durations from headers, splits kept, and labels from marked transcripts with other word counts."""
+    (tmp_path / "wavs").mkdir()
+    for name, seconds in (("ok1", 2), ("ok2", 3), ("ok3", 2), ("short", 0.2), ("long", 30)):
+        (tmp_path / f"wavs/{name}.wav").write_bytes(pcm.encode(np.zeros(int(seconds * 100)), 100))
+    rows = [
+        ("ok1", "wavs/ok1.wav", "عندي ٣ كتب", None, "dev"), ("ok2", "wavs/ok2.wav", "عِلم كتير", 2.5, None), ("ok3", "wavs/ok3.wav", "كتاب", None, "train"), ("short", "wavs/short.wav", "كتاب", 0.0, None), ("long", "wavs/long.wav", "كتاب", None, None),
+        ("gone", "wavs/gone.wav", "كتاب", 2.0, None), ("blank", "wavs/ok1.wav", " - ", None, None), ("wordy", "wavs/ok1.wav", "كلمة " * 60, None, None), ("huge", "wavs/ok1.wav", "كلمة " * 120, None, None), ("nowhere", None, "كتاب", 2.0, None),
+    ]
+    spark.createDataFrame(rows, "id string, path string, text string, duration double, split string").coalesce(1).write.json(str(tmp_path / "metadata/all.jsonl"))
+    marked = [("ok1", "عندي تلاتة كتب", "عَندي! تلاتَة كُتُب"), ("ok2", "علم كتير", "عِلم، زيادة كِتير"), ("other", "علم", "عَلَم")]
+    spark.createDataFrame(marked, "uid string, text string, diacritized string").coalesce(1).write.json(str(tmp_path / "diacritized.jsonl"))
+    settings = config.Config(text=config.Text(max_words=40, max_chars=400), discovery=config.Discovery(min_word_freq=1, min_pattern_count=1))
+    with caplog.at_level("INFO", logger="corpusloom"):
+        tables = cli.run(spark, str(tmp_path), str(tmp_path / "out"), settings=settings, audio=True)
+    kept = {r.uid: r for r in tables["manifest"].collect()}
+    assert sorted(kept) == ["ok1", "ok2", "ok3"] and (kept["ok1"].duration, kept["ok2"].duration, kept["ok3"].duration) == (2.0, 2.5, 2.0)
+    assert kept["ok1"].text == "عندي تلاتة كتب" and kept["ok2"].text == "علم كتير" and kept["ok1"].split == "dev" and kept["ok3"].split == "train" and kept["ok2"].split
+    said = "\n".join(caplog.messages)
+    for reason, n in (("no_path", 1), ("missing_audio", 1), ("empty_text", 1), ("too_long_text", 1), ("duration", 2), ("word_count", 1)):
+        assert any(line.split() == [reason, str(n)] for line in caplog.messages), said
+    assert "KEPT ONLY 30% OF THE CORPUS; largest cause: duration (2)" in said
+    lexicon = {r.word: r.example for r in tables["lexicon"].collect()}
+    assert lexicon["علم"] == "عِلم" and lexicon["كتب"] == "كُتُب" and lexicon["كتير"] == "كِتير" and "زيادة" not in lexicon  # "other" isn't in the manifest
+    variants = {r.uid: len(r.variants) for r in tables["variants"].collect()}
+    assert variants == {"ok1": len("عندي تلاتة كتب"), "ok2": len("علم كتير")}
+    with pytest.raises(ValueError, match="every utterance was filtered out"):
+        cli.run(spark, str(tmp_path), str(tmp_path / "none"), "manifest", settings=config.Config(text=config.Text(min_duration=50.0, max_duration=60.0)))
+    with pytest.raises(FileNotFoundError):
+        cli.run(spark, str(tmp_path), str(tmp_path / "out"), "lexicon", force=True, marked=str(tmp_path / "nothing.jsonl"))
+
+
 def test_slices_and_codes(spark):
     buffer = spark.range(5).select(F.col("id").alias("pos"), (F.col("id") * 10).alias("value"))
     offsets = lambda rows: spark.createDataFrame(rows, "uid int, start long, length int")

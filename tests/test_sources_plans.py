@@ -36,8 +36,49 @@ def test_numbering_and_sinks(spark, tmp_path):
     assert len(made) == 1
     labels = spark.createDataFrame([("u1", 3, 1)], "uid string, pos int, code int")
     assert sinks.parse_label_keys(sinks.label_keys(labels)).collect() == labels.collect()
-    with pytest.raises(ValueError):
-        sinks.checked_rows(df.limit(3), df)
+    with pytest.raises(ValueError, match="499 rows written for 500 read"):
+        sinks.write_external(df, lambda x: x.where("k <> 'k7'"), str(tmp_path / "e"))
+    assert not list(tmp_path.glob("e*"))
+    assert sinks.write_external(df, lambda x: x.withColumn("m", F.upper("k")), str(tmp_path / "e")) == {"n_read": 500, "n_written": 500}
+    assert spark.read.parquet(str(tmp_path / "e")).count() == 500
+
+
+def test_metrics_of_a_running_write(spark, tmp_path):
+    df = spark.range(100).withColumn("s", F.when(F.col("id") % 4 == 0, "a").otherwise("b"))
+    path = str(tmp_path / "t")
+    scans = spark.sparkContext.accumulator(0)
+    got = sinks.write_observed(df, path, {"n": F.count(F.lit(1)), "low": F.count_if(F.col("id") < 10)}, keep=F.col("s") == "a", partition_by="s")
+    assert got == {"n": 100, "low": 10} and spark.read.parquet(path).count() == 25 and scans.value == 0
+    with pytest.raises(ValueError, match="too few"):
+        sinks.write_observed(df.limit(5), path, {"n": F.count(F.lit(1))}, lambda m: "too few" if m["n"] < 50 else None)
+    assert spark.read.parquet(path).count() == 25 and len(list(tmp_path.iterdir())) == 1  # what stood there stays, nothing else is left
+
+
+def test_models_and_variants(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(w, int(i), (rng.normal(0, 0.1, 6) + (3 if i % 2 else -3) * np.eye(6)[1]).tolist(), None) for w in ("a", "b") for i in range(60)], "word string, uid long, vector array<double>, seconds double")
+    models = cluster.fit_codes(rows)
+    sinks.save_models(models, str(tmp_path / "m"))
+    loaded = sinks.load_models(spark, str(tmp_path / "m"))
+    assert sorted(map(repr, loaded.collect())) == sorted(map(repr, models.collect()))
+    code = lambda m: sorted((r.word, r.uid, r.code) for r in cluster.assign_codes(rows, m.where("n_codes > 1")).collect())
+    assert code(loaded) == code(models) != []
+    sinks.save_models(models.withColumn("mean", F.slice("mean", 1, 3)), str(tmp_path / "bad"))
+    with pytest.raises(Exception, match="doesn't fit"):
+        sinks.load_models(spark, str(tmp_path / "bad")).select("n_codes").collect()
+    texts = spark.createDataFrame([(1, "abc"), (2, "ab"), (3, "x"), (4, ""), (5, None)], "uid int, text string")
+    sinks.save_variants(spark.createDataFrame([(1, [0, 2, 9]), (2, [1])], "uid int, variants array<int>"), str(tmp_path / "v"))
+    assert {r.uid: r.variants for r in sinks.load_variants(spark, str(tmp_path / "v"), texts).collect()} == {1: [0, 2, 9], 2: [0, 0], 3: [0], 4: [], 5: []}
+    with pytest.raises(Exception, match="no digit"):
+        sinks.save_variants(spark.createDataFrame([(1, [11])], "uid int, variants array<int>"), str(tmp_path / "w"))
+
+
+def test_reading_report(spark, tmp_path):
+    lex = spark.createDataFrame([("one", ["p"], [9], ["One"], 9), ("lead", ["a", "b"], [30, 10], ["Lead", "lead"], 40), ("rose", ["a", "b"], [5, 5], ["Rose", "rose"], 10)], sinks.LEXICON)
+    sinks.reading_report(lex, str(tmp_path / "r"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "r")).collect()]
+    assert lines[0] == "lead  40 uses, 2 readings" and lines[3] == "rose  10 uses, 2 readings" and len(lines) == 6
+    assert lines[1].split() == ["0", "Lead", "30", "75.0%"] and lines[2].split() == ["1", "lead", "10", "25.0%"]
 
 
 def test_config(tmp_path):
