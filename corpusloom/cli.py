@@ -66,7 +66,7 @@ def run(
 
     pairs = lambda: marked_rows(spark, corpus, tables["manifest"], marked)
     make: dict[str, Callable[[], DataFrame]] = {
-        "vocab": lambda: vocab.char_vocab(manifest.keep_splits(tables["manifest"], "train").select("text")),
+        "vocab": lambda: vocab.char_vocab(manifest.keep_splits(tables["manifest"], "train", empty=False).select("text")),
         "lexicon": lambda: readings.mine(C.marked_occurrences(pairs()), gates),
         "labels": lambda: readings.labels(C.marked_occurrences(pairs()), tables["lexicon"]).where("code >= 0"),
         "variants": lambda: C.marked_variants(pairs()),

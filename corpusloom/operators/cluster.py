@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, small_side
 from .manifest import capped
+from .packing import apply_by_key, pack, rows_by_task
 
 #: Rows of a word that one call labels.
 ROWS_PER_GROUP = 4096
@@ -182,10 +183,15 @@ MODELS = "word string, n long, n_codes int, stability double, silhouette double,
 def fit_codes(rows: DataFrame, params: Clustering = Clustering()) -> DataFrame:
     """One model for each word of rows: its number of rows n, n_codes, the split's quality, and what nearest() needs if n_codes > 1.
 
-    Words with fewer than min_word_freq rows are left out; of more frequent ones at most params.cap rows count, drawn by hash.
+    Words with fewer than min_word_freq rows are left out; of more frequent ones at most params.cap rows count, drawn by hash. Words are
+    dealt to tasks by what they cost, the dearest first.
     """
-    frequent = rows.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= params.min_word_freq)
-    held = capped(rows, "word", "uid", params.cap).join(frequent, "word")
+    frequent = materialize(rows.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= params.min_word_freq), "frequent")
+    drawn = F.least(F.col("n"), F.lit(params.cap))
+    cost = drawn * (drawn + 2000)  # distances of all pairs, and rounds over all rows
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = capped(rows, "word", "uid", params.cap).join(small_side(frequent, 200_000), "word")
+    dealt = rows_by_task(held, "word", pack(frequent.select("word", cost.alias("cost")), "word", "cost", tasks), tasks)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("uid")
@@ -195,7 +201,7 @@ def fit_codes(rows: DataFrame, params: Clustering = Clustering()) -> DataFrame:
         model = [m["mean"], list(m["axes"]), m["scale"], list(m["centroids"])] if m else [None] * 4
         return pd.DataFrame([[word, pdf.n.iloc[0], label.max() + 1, stable, sil, sep, *model]], columns=["word", "n", "n_codes", "stability", "silhouette", "separation", "mean", "axes", "scale", "centroids"])
 
-    return held.groupBy("word").applyInPandas(run, MODELS)
+    return apply_by_key(dealt, "word", run, MODELS)
 
 
 def discover_codes(rows: DataFrame, params: Clustering = Clustering()) -> DataFrame:

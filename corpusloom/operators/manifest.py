@@ -77,8 +77,13 @@ def assign_splits(rows: DataFrame, uid: str, seed: str = "1234", dev: float = 0.
     return rows.withColumn("split", F.when(F.col("__open"), new).otherwise(F.col("split")) if has else new).drop("__h", "__open")
 
 
-def keep_splits(rows: DataFrame, split: str) -> DataFrame:
-    return rows.where(F.col("split") == split)
+def keep_splits(rows: DataFrame, split: str, empty: bool = True) -> DataFrame:
+    """The rows of a split. Unless it may be empty, one row is looked for at once, and a ValueError names the splits that are there."""
+    found = rows.where(F.col("split") == split)
+    if not empty and found.limit(1).count() == 0:
+        there = sorted(str(r.split) for r in rows.select("split").distinct().limit(20).collect())
+        raise ValueError(f"no row of split {split!r}; there are {there}")
+    return found
 
 
 def capped(rows: DataFrame, key: str, uid: str, cap: int, seed: str = "1234") -> DataFrame:

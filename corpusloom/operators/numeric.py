@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize, small_side
+
 TAU_LOW, TAU_HIGH = 0.15, 0.45
 
 
@@ -25,12 +27,33 @@ def centroids(rows: DataFrame, group: str, vector: str, dim: int) -> DataFrame:
     return rows.groupBy(group).agg(means.alias("centroid"), F.count("*").alias("n"))
 
 
-def nearest(rows: DataFrame, uid: str, vector: str, table: DataFrame, group: str) -> DataFrame:
-    """uid, nearest, d2: the closest of a bounded table of centroids, the lowest of equals. The table is one array on each row, not a join of pairs."""
-    held = table.agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), F.col("centroid").alias("c")))).alias("cs"))
-    got = rows.crossJoin(F.broadcast(held))  # one row
-    best = F.array_min(F.transform("cs", lambda x: F.struct(squared_distance(F.col(vector), x["c"]).alias("d2"), x["g"].alias("g"))))
-    return got.select(uid, best.alias("b")).select(uid, F.col("b.g").alias("nearest"), F.col("b.d2").alias("d2"))
+#: Centroids that one row holds: all rows of a task meet such a row at once.
+CENTROIDS = 4096
+
+
+def _held(table: DataFrame, group: str) -> list[DataFrame]:
+    """A table of centroids as frames of one row, each with an array of about CENTROIDS of them at most."""
+    n = max(1, -(-table.count() // CENTROIDS))
+    if n > 1:
+        table = materialize(table.withColumn("__block", F.pmod(F.xxhash64(group), F.lit(n))), "centroids")
+    entries = F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), F.col("centroid").alias("c")))).alias("cs")
+    return [(table.where(F.col("__block") == i) if n > 1 else table).agg(entries) for i in range(n)]
+
+
+def nearest(rows: DataFrame, uid: str, vector: str, table: DataFrame, group: str, other_than: str | None = None) -> DataFrame:
+    """uid, nearest, d2: the closest centroid of a table, the lowest of equals; with other_than not the one of the row's own group.
+
+    Centroids meet the rows in blocks of CENTROIDS, each broadcast as one array, not as a join of pairs. With more than one block, rows of
+    one uid count as one row.
+    """
+    found = None
+    for held in _held(table, group):
+        got = rows.crossJoin(F.broadcast(held))  # one row
+        others = F.filter("cs", lambda x: x["g"] != F.col(other_than)) if other_than else F.col("cs")
+        best = F.array_min(F.transform(others, lambda x: F.struct(squared_distance(F.col(vector), x["c"]).alias("d2"), x["g"].alias("g"))))
+        got = got.select(F.col(uid), best.alias("b"))
+        found = got if found is None else found.unionByName(got).groupBy(uid).agg(F.min("b").alias("b"))
+    return found.select(uid, F.col("b.g").alias("nearest"), F.col("b.d2").alias("d2"))
 
 
 def variance_explained(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -56,11 +79,10 @@ def fowlkes_mallows(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def cluster_separation(rows: DataFrame, group: str, vector: str, dim: int) -> DataFrame:
     """Least gap between centroids over twice the mean of the clusters' mean radii."""
-    table = centroids(rows, group, vector, dim)
-    radius = rows.join(F.broadcast(table), group).groupBy(group).agg(F.avg(F.sqrt(squared_distance(F.col(vector), F.col("centroid")))).alias("r")).agg(F.avg("r").alias("radius"))
-    held = table.agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), F.col("centroid").alias("c")))).alias("cs"))
-    gaps = F.flatten(F.transform("cs", lambda x: F.transform(F.filter("cs", lambda y: y["g"] > x["g"]), lambda y: F.sqrt(squared_distance(x["c"], y["c"])))))
-    return held.crossJoin(radius).select(F.round(F.array_min(gaps) / (F.col("radius") + 1e-8) / 2, 6).alias("separation"))  # one row each
+    table = materialize(centroids(rows, group, vector, dim), "centroids")
+    radius = rows.join(small_side(table, 20_000), group).groupBy(group).agg(F.avg(F.sqrt(squared_distance(F.col(vector), F.col("centroid")))).alias("r")).agg(F.avg("r").alias("radius"))
+    gaps = nearest(table, group, "centroid", table, group, other_than=group).agg(F.sqrt(F.min("d2")).alias("gap"))
+    return gaps.crossJoin(radius).select(F.round(F.col("gap") / (F.col("radius") + 1e-8) / 2, 6).alias("separation"))  # one row each
 
 
 def entropy(p: Column, k: Column) -> Column:

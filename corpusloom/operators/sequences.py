@@ -148,17 +148,18 @@ def align_tokens(plain: Column, marked: Column, key) -> Column:
 
 def _walk(plain: pa.Array, marked: pa.Array) -> pa.Array:
     """For each plain key the place of its marked one, or null."""
-    out = []
-    for ps, ms in zip(plain.to_pylist(), marked.to_pylist(), strict=True):
-        if ps is None or ms is None:
-            out.append(None)
-        elif len(ps) == len(ms):
-            out.append([i if p == m and p is not None else None for i, (p, m) in enumerate(zip(ps, ms, strict=True))])
-        else:
-            own, at = [], 0
-            for p in ps:
-                hit = next((i for i in range(at, min(at + 3, len(ms))) if p is not None and ms[i] == p), None)
-                own.append(hit)
-                at = at if hit is None else hit + 1
-            out.append(own)
-    return pa.array(out, pa.list_(pa.int32()))
+    pairs = zip(plain.to_pylist(), marked.to_pylist(), strict=True)
+    return pa.array([None if p is None or m is None else walk(p, m) for p, m in pairs], pa.list_(pa.int32()))
+
+
+def walk(plain: list, marked: list) -> list[int | None]:
+    """For each plain key the place of its marked one, or None; see align_tokens()."""
+    if len(plain) == len(marked):
+        return [i if p == m and p is not None else None for i, (p, m) in enumerate(zip(plain, marked, strict=True))]
+    out: list[int | None] = []
+    at = 0
+    for p in plain:
+        hit = next((i for i in range(at, min(at + 3, len(marked))) if p is not None and marked[i] == p), None)
+        out.append(hit)
+        at = at if hit is None else hit + 1
+    return out

@@ -228,8 +228,10 @@ def depth_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def budget_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = spark.range(1, 21).select((F.col("id") / 20).alias("budget"), F.explode(F.array(*[F.lit(x) for x in (3, 5, 8)])).alias("depth"))
-    return got.select("budget", "depth", N.budget_depth(F.col("depth"), F.col("budget")).alias("allowed"))
+    """Lines of orders with a budget by quantity and a depth by line number."""
+    rows = read_table(spark, sf_dir, "lineitem")
+    depth = F.element_at(F.array(*[F.lit(x) for x in (3, 5, 8)]), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    return rows.select("l_orderkey", "l_linenumber", N.budget_depth(depth, F.col("l_quantity") / 50).alias("allowed"))
 
 
 def difficulty_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,12 +245,14 @@ def softmax_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(0, 2001, 10).select(F.col("id").alias("step"), F.round(N.learning_rate(F.col("id"), 0.0003, 200, 1500), 9).alias("rate"))
+    """The rate at each event, its id as the step."""
+    return read_table(spark, sf_dir, "events").select("event_id", F.round(N.learning_rate(F.col("event_id"), 0.0003, 200, 1500), 9).alias("rate"))
 
 
 def alignment_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = spark.range(40).select(F.col("id").alias("frame"), F.explode(F.sequence(F.lit(0), F.lit(14))).alias("token"))
-    return got.select("frame", "token", F.round(N.alignment_prior(F.col("frame"), 40, F.col("token"), 15), 6).alias("bias"))
+    """Line numbers of orders as frames, parts as tokens."""
+    bias = N.alignment_prior(F.col("l_linenumber") - 1, 7, F.col("l_partkey") % 15, 15)
+    return read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(bias, 6).alias("bias"))
 
 
 def duration_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,11 +328,11 @@ select doc_id, count(*) as n, md5(string_agg(value::bigint::varchar, ',' order b
     "entropy_difficulty": (entropy_difficulty, f"with {_DIFF} select user_id, k, round(d, 6) as d from df"),
     "pooled_difficulty": (pooled_difficulty, f"with {_DIFF} select k, round(sum(exp(8 * d) * d) / greatest(sum(exp(8 * d)), 1e-9), 6) as pooled from df group by k"),
     "depth_route": (depth_route, f"with {_DIFF} select case when round(d, 6) <= 0.6 then 3 when round(d, 6) <= 0.9 then 5 else 8 end as depth, count(*) as n from df group by 1"),
-    "budget_depth": (budget_depth, "with b as (select i / 20 as budget, unnest([3, 5, 8]) as depth from range(1, 21) r(i)), c as (select *, greatest(3, round_even(budget * 8, 0)::int) as ceiling from b) select budget, depth, least(depth, case when ceiling >= 8 then 8 when ceiling >= 5 then 5 else 3 end) as allowed from c"),
+    "budget_depth": (budget_depth, "with b as (select l_orderkey, l_linenumber, [3, 5, 8][(l_linenumber % 3 + 1)::int] as depth, greatest(3, round_even(l_quantity / 50 * 8, 0)::int) as ceiling from lineitem) select l_orderkey, l_linenumber, least(depth, case when ceiling >= 8 then 8 when ceiling >= 5 then 5 else 3 end) as allowed from b"),
     "difficulty_correlation": (difficulty_correlation, f"with {_DIFF} select round(coalesce(covar_pop(d, k) / nullif(case when stddev_pop(d) > 1e-6 and stddev_pop(k) > 1e-6 then stddev_pop(d) * stddev_pop(k) else 0 end, 0), 0), 6) as r from df"),
     "softmax_shares": (softmax_shares, "with e as (select l_orderkey, l_linenumber, exp(l_discount * 10) as a, case when l_linenumber % 3 >= 1 then exp(l_tax * 10) else 0 end as b, case when l_linenumber % 3 >= 2 then exp(l_quantity / 10) else 0 end as c from lineitem) select l_orderkey, l_linenumber, round(a / (a + b + c), 6) as p0, round(b / (a + b + c), 6) as p1, round(c / (a + b + c), 6) as p2 from e"),
-    "lr_schedule": (lr_schedule, "select i as step, round(case when i < 200 then 0.0003 * (i + 1) / 200 when i >= 1500 then 0.00003 else 0.00003 + 0.5 * 0.00027 * (1 + cos(pi() * (i - 200) / 1300)) end, 9) as rate from range(0, 2001, 10) r(i)"),
-    "alignment_prior": (alignment_prior, "select f as frame, t as token, round(-((f / 39 - t / 14) * (f / 39 - t / 14)) / (2 * 0.12 * 0.12), 6) as bias from range(40) a(f), range(15) b(t)"),
+    "lr_schedule": (lr_schedule, "select event_id, round(case when event_id < 200 then 0.0003 * (event_id + 1) / 200 when event_id >= 1500 then 0.00003 else 0.00003 + 0.5 * 0.00027 * (1 + cos(pi() * (event_id - 200) / 1300)) end, 9) as rate from events"),
+    "alignment_prior": (alignment_prior, "with d as (select l_orderkey, l_linenumber, (l_linenumber - 1) / 6 - (l_partkey % 15) / 14 as d from lineitem) select l_orderkey, l_linenumber, round(-(d * d) / (2 * 0.12 * 0.12), 6) as bias from d"),
     "duration_bounds": (duration_bounds, "with e as (select l_orderkey, l_linenumber, trunc(greatest(1, l_quantity / (1 + l_discount)))::int as e from lineitem), h as (select *, greatest(8, trunc(e * 1.6::double)::int) as high from e) select l_orderkey, l_linenumber, least(greatest(4, trunc(e * 0.6::double)::int), high) as low, high from h"),
     "labels_left_join": (labels_left_join, "select doc_id, coalesce(quality, -1) as quality from documents left join labels using (doc_id)"),
     "labelled_semi": (labelled_semi, "select lang, count(*) as n, sum(n_chars)::bigint as chars from documents where doc_id in (select doc_id from labels) group by 1"),
