@@ -66,12 +66,12 @@ def summary(m: dict, alarm: float = 0.9) -> list[str]:
 def marked_occurrences(pairs: DataFrame) -> DataFrame:
     """Occurrences of rows (uid, text, diacritized): plain words by identity, with the pattern and form of the marked word aligned with each.
 
-    Words without a marked counterpart, or whose counterpart has no marks, give none.
+    Words without a marked counterpart, or whose counterpart has no letters, give none.
     """
     plain, marked = chars.split_spaces(F.col("text")), chars.split_spaces(chars.strip_junk(F.col("diacritized")))
     rows = pairs.select("uid", plain.alias("plain"), align_tokens(plain, marked, chars.word_identity).alias("marked"))
     both = F.arrays_zip("plain", "marked")
-    return readings.occurrences(rows, both, lambda t: chars.word_identity(t["plain"]), lambda t: F.when(t["marked"].isNotNull(), marks.vowel_pattern(t["marked"])), lambda t: t["marked"])
+    return readings.occurrences(rows, both, lambda t: chars.word_identity(t["plain"]), lambda t: F.when(t["marked"].isNotNull(), F.nullif(marks.vowel_pattern(t["marked"]), F.lit(""))), lambda t: t["marked"])
 
 
 def marked_variants(pairs: DataFrame) -> DataFrame:
