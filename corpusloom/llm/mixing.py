@@ -111,7 +111,7 @@ def _with_epochs(rows: DataFrame, names: dict[str, str], out: str, tied: bool) -
     """rows with how often each is taken; names: of size, key and the plan's columns in rows.
 
     tied: some cut falls between equal rows; these are then told apart by a running number, which starts from the counts of SALTS
-    groups before.
+    groups before. Those rows alone are written first.
     """
     size, key, bins, base, edge, cut, copies = (F.col(names[c]) for c in ("size", "key", "bins", "base", "edge", "cut", "copies"))
     at, place = _bin(key, bins), _place(key, F.col("doc_id"), size)
@@ -121,7 +121,8 @@ def _with_epochs(rows: DataFrame, names: dict[str, str], out: str, tied: bool) -
     is_cut = F.coalesce(place == cut, F.lit(False))
     sure = rows.where(~is_cut).withColumn(out, taken((at < edge) | ((at == edge) & (place < cut))))
     mark, salt, before = (free_name(rows, n) for n in ("row_mark", "row_salt", "rows_before"))
-    same = rows.where(is_cut).withColumn(mark, F.monotonically_increasing_id())
+    # written, as the numbers of a task that runs again could differ from those that were counted
+    same = materialize(rows.where(is_cut).withColumn(mark, F.monotonically_increasing_id()), "ties")
     same = same.withColumn(salt, F.pmod(F.xxhash64(mark), F.lit(SALTS)))
     counts = same.groupBy("source", salt).agg(F.count("*").alias("c"))  # SALTS rows for each source at most
     order = Window.partitionBy("source").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
