@@ -121,7 +121,7 @@ def draw(rows: DataFrame, key: str, item: str, share: str, seed: int = 0, temper
         return greedy(rows, key, item, share)
     if temperature != 1:
         rows = rows.withColumn(share, F.pow(share, F.lit(1 / temperature)))
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
     w = Window.partitionBy(key).orderBy(F.desc(share), item)
     upto = rows.withColumn("__c", F.sum(share).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__t", F.sum(share).over(Window.partitionBy(key)))
     hit = upto.where(F.col("__c") > u * F.col("__t"))

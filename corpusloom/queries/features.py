@@ -112,6 +112,13 @@ def median_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events").groupBy("event_type").agg(F.median("value").alias("median"), F.count("*").alias("n"))
 
 
+_SAMPLED = """with w as (select event_type, user_id % 97 as item, sum(round(value, 2)::decimal(18, 2))::double as w from events where value > 0 group by all),
+k as (select * from w qualify rank() over (partition by event_type order by w desc) <= 20), p as (select *, w / sum(w) over (partition by event_type) as p from k),
+b as (select *, sum(p) over (partition by event_type order by w desc, item) - p as before from p), f as (select event_type, item, p / sum(p) over (partition by event_type) as share from b where before <= 0.8),
+c as (select *, sum(share) over (partition by event_type order by share desc, item rows unbounded preceding) as upto, sum(share) over (partition by event_type) as total,
+  ('0x' || substr(md5('0:' || event_type), 1, 13))::bigint / 4503599627370496.0 as u from f)
+select event_type, item from c where upto > u * total qualify row_number() over (partition by event_type order by upto, item) = 1"""
+
 QUERIES = {
     "chars_to_words": (chars_to_words, "select l_orderkey, l_linenumber % 4 - 1 as word, round(avg(l_quantity), 6) as mean, count(*) as n from lineitem where l_linenumber % 4 >= 1 group by all"),
     "span_means": (span_means, _SPAN),
@@ -119,7 +126,7 @@ QUERIES = {
     "teacher_scores": (teacher_scores, _TEACH),
     "teacher_head": (teacher_head, None),
     "evaluation_losses": (evaluation_losses, _LOSS),
-    "sampled_items": (sampled_items, None),
+    "sampled_items": (sampled_items, _SAMPLED),
     "guarded_words": (guarded_words, _sql(f", w as (select distinct translate(lower(t), '{chars.ACCENTED}', '{chars.PLAIN}') as word from (select unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) as t from benchmark)) select word, count(*) as n_codes from lex where word in (select word from w) group by word having count(*) > 1")),
     "probe_words": (probe_words, "select distinct word from (select unnest(string_split(p_type, ' ')) as word from part) where word <> '' and word <> 'NONE' order by word"),
     "median_gap": (median_gap, "select event_type, median(value) as median, count(*) as n from events group by 1"),

@@ -73,13 +73,21 @@ s as (select vec_id, g, o, sum(d) as t, count(*) as n from d group by all),
 p as (select vec_id, max(case when g = o and n > 1 then t / (n - 1) end) as a, min(case when g <> o then t / n end) as b from s group by vec_id)
 select count(*) as n, round(avg(case when a is null or b is null then 0 else (b - a) / greatest(a, b) end), 6) as silhouette from p"""
 
+_EARLY = """with recursive m as (select l_suppkey, year(l_shipdate) as y, month(l_shipdate) as m, avg(l_extendedprice) as v from lineitem group by all),
+r as (select *, row_number() over (partition by l_suppkey order by y, m) - 1 as i, count(*) over (partition by l_suppkey) as n from m),
+s as (select l_suppkey, 0::bigint as i, case when v < 'infinity'::double - 0.002 then v else 'infinity'::double end as best, (not v < 'infinity'::double - 0.002)::int as bad, -1::bigint as stop from r where i = 0
+  union all
+  select s.l_suppkey, s.i + 1, case when r.v < s.best - 0.002 then r.v else s.best end, case when r.v < s.best - 0.002 then 0 else s.bad + 1 end,
+    case when s.stop < 0 and not r.v < s.best - 0.002 and s.bad + 1 >= 8 then s.i + 1 else s.stop end from s join r on r.l_suppkey = s.l_suppkey and r.i = s.i + 1)
+select s.l_suppkey, any_value(r.n)::int as n, max(s.stop)::int as stop from s join r using (l_suppkey, i) group by s.l_suppkey"""
+
 QUERIES = {
     "verbalize_text": (verbalize_text, None),
     "ctc_align": (ctc_align, None),
     "discover_codes": (discover_codes, None),
     "silhouette_exact": (silhouette_exact, _SILHOUETTE),
     "monotonic_spans": (monotonic_spans, None),
-    "early_stop": (early_stop, None),
+    "early_stop": (early_stop, _EARLY),
     "vowel_patterns": (vowel_patterns, None),
     "neighbour_gap": (neighbour_gap, "select o_orderkey, date_diff('day', lag(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey)::date, o_orderdate::date) as days from orders"),
 }

@@ -18,6 +18,10 @@ CANDIDATES = {
 }
 
 
+#: All of them as strings: what a manifest's JSON lines are read as, so that no scan is made to find their types.
+AS_STRINGS = ", ".join(f"`{name}` string" for name in dict.fromkeys(n for names in CANDIDATES.values() for n in names))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path of any file system that Spark knows, globs included, holds something."""
     jvm = spark.sparkContext._jvm
@@ -26,9 +30,9 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings, with a header."""
-    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All columns as strings, with a header. A file whose values may hold line breaks can't be split; without them a large file can."""
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -76,13 +80,13 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """
     splits = [s for s in ("train", "dev", "test") if exists(spark, f"{root}/metadata/{s}.jsonl")]
     if splits:
-        parts = [as_manifest(read_jsonl(spark, f"{root}/metadata/{s}.jsonl"), s) for s in splits]
+        parts = [as_manifest(read_jsonl(spark, f"{root}/metadata/{s}.jsonl", AS_STRINGS), s) for s in splits]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
     if exists(spark, f"{root}/metadata/all.jsonl"):
-        return as_manifest(read_jsonl(spark, f"{root}/metadata/all.jsonl"))
+        return as_manifest(read_jsonl(spark, f"{root}/metadata/all.jsonl", AS_STRINGS))
     if exists(spark, f"{root}/*.parquet") or exists(spark, f"{root}/*/*.parquet"):
         table = read_parquet(spark, root)
         rows = as_manifest(table).where("text is not null")
