@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, small_side
+from .intervals import points_in_intervals
 
 #: Rows that one task ranks or sums up in order.
 ROWS_PER_BIN = 100_000
@@ -94,16 +95,17 @@ def collate(rows: DataFrame, uid: str, values: str, plan: DataFrame, fill: int =
 def ragged_slices(buffer: DataFrame, offsets: DataFrame, uid: str) -> DataFrame:
     """uid, values: each row's slice (uid, start, length) of a buffer (pos, value), in order. Raises if the buffer ends before a slice.
 
-    Positions join by equality, so the buffer is shuffled once however the slices lie; a slice of length 0 is an empty array.
+    Positions meet slices by an interval join, so the buffer is shuffled once however the slices lie and no position of a slice is made a
+    row before it meets its value; a slice of length 0 is an empty array. Stores on disk are read by byte ranges: sources.ragged.
     """
-    wanted = offsets.where("length > 0").select(uid, "length", F.explode(F.expr("sequence(start, start + length - 1)")).alias("pos"))
-    found = wanted.join(buffer, "pos", "left").groupBy(uid, "length")
-    found = found.agg(F.count(F.when(buffer["pos"].isNotNull(), 1)).alias("n"), F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("s"))  # one slice
-    short = F.raise_error(F.concat(F.lit("the buffer ends within the slice of "), F.col(uid).cast("string")))
-    values = F.when(F.col("n") < F.col("length"), short.cast(found.schema["s"].dataType)).otherwise(F.col("s"))
-    found = found.select(uid, F.transform(values, lambda x: x["value"]).alias("values"))
-    none = F.array().cast(found.schema["values"].dataType)
-    return offsets.select(uid).join(found, uid, "left").select(uid, F.coalesce("values", none).alias("values"))
+    wanted = offsets.where("length > 0").select(uid, F.col("start").cast("long").alias("__low"), (F.col("start") + F.col("length")).cast("long").alias("__high"))
+    met = points_in_intervals(buffer.select("pos", "value"), wanted, [], "pos", "__low", "__high")
+    found = met.groupBy(uid).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("s"))  # one slice
+    found = found.select(F.col(uid), "n", F.transform("s", lambda x: x["value"]).alias("held"))
+    kind = found.schema["held"].dataType
+    short = F.raise_error(F.concat(F.lit("the buffer ends within the slice of "), F.col(uid).cast("string"))).cast(kind)
+    values = F.when(F.col("length") <= 0, F.array().cast(kind)).when(F.coalesce("n", F.lit(0)) < F.col("length"), short).otherwise(F.col("held"))
+    return offsets.select(uid, "length").join(found, uid, "left").select(uid, values.alias("values"))
 
 
 def plan_char_codes(plan: DataFrame, indexed: DataFrame, empty: int) -> DataFrame:

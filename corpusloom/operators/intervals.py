@@ -27,7 +27,7 @@ def _bin(at: Column, width: float) -> Column:
 def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, low: str, high: str, width: float | None = None) -> DataFrame:
     """The columns of both sides for each point and interval of the same keys with low <= at < high. Nulls match nothing.
 
-    Apart from the keys the two sides must not share names. Without a width it is chosen by one aggregate over the intervals.
+    Apart from the keys, of which there may be none, the two sides must not share names. Without a width it is chosen by one aggregate over the intervals.
     """
     clash = (set(points.columns) & set(intervals.columns)) - set(keys)
     if clash:
