@@ -251,12 +251,13 @@ def test_pii_agrees_with_plain_python(spark):
 
 def test_a_date_has_one_pseudonym_and_shares_it_with_no_other(spark):
     """All days from 1900 to 2099 in every writing: a pseudonym belongs to one date, and a date's pseudonyms say one date."""
-    days = spark.range(pii.DAYS).select(F.col("id"), F.expr("date_add(date'1900-01-01', cast(id as int))").alias("d"))
+    n = pii.DAYS[0] * pii.DAYS[1]
+    days = spark.range(n).select(F.col("id"), F.expr("date_add(date'1900-01-01', cast(id as int))").alias("d"))
     writings = [F.date_format("d", p) for p in ("yyyy-MM-dd", "dd/MM/yyyy", "d/M/yyyy", "dd.MM.yyyy")]
     american = F.when(F.day("d") > 12, F.date_format("d", "MM/dd/yyyy"))
     found = days.select("id", F.explode(F.array(*writings, american)).alias("m")).where("m is not null")
     got = found.select("id", pii._date(F.col("m"), "k").alias("p")).where("p is not null").cache()
-    assert got.select("id").distinct().count() == pii.DAYS
+    assert got.select("id").distinct().count() == n == 73049
     assert got.groupBy("p").agg(F.countDistinct("id").alias("n")).where("n > 1").count() == 0
     parts = F.regexp_replace(F.col("p"), "/|[.]", "-")
     said = F.when(parts.rlike("^[0-9]{4}"), F.to_date(parts, "yyyy-M-d")).otherwise(F.to_date(parts, "d-M-yyyy"))
