@@ -16,6 +16,11 @@ TAA = "ة"
 VARIANT_LETTERS = "قجف"
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with value computed once; a lambda that names an expression from outside computes it again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def letter_marks(word: Column) -> Column:
     """array of (letter, marks): marks belong to the letter before them; all else is dropped."""
     clean = F.regexp_replace(word, f"[^{LETTERS}{MARKS_LABELS}]", "")
@@ -29,6 +34,10 @@ def clean_marks(pairs: Column) -> Column:
     First letters carry none; long vowels after the first carry no sukun; neither does the l of an article carry any; a final
     letter without a vowel of its own and the one before it carry none; the last of several letters isn't doubled.
     """
+    return _once(pairs, _cleaned)
+
+
+def _cleaned(pairs: Column) -> Column:
     n = F.size(pairs)
     last = F.get(pairs, n - 1)["letter"]
     article = (n >= 2) & (F.get(pairs, F.lit(0))["letter"] == ARTICLE[0]) & (F.get(pairs, F.lit(1))["letter"] == ARTICLE[1])
@@ -51,10 +60,12 @@ def _slot(marks: Column) -> Column:
 
 def vowel_pattern(word: Column, drop_case_ending: bool = True) -> Column:
     """A slot for each letter, joined by |; without the last letter's vowel, as case endings aren't spoken. Empty without letters."""
-    pairs = clean_marks(letter_marks(word))
-    n = F.size(pairs)
-    slots = F.transform(pairs, lambda p, i: F.when((i == n - 1) & (n > 1) & F.lit(drop_case_ending), F.when(p["marks"].contains(SHADDA), "+").otherwise("-")).otherwise(_slot(p["marks"])))
-    return F.array_join(slots, "|")
+
+    def joined(pairs):
+        n = F.size(pairs)
+        return F.array_join(F.transform(pairs, lambda p, i: F.when((i == n - 1) & (n > 1) & F.lit(drop_case_ending), F.when(p["marks"].contains(SHADDA), "+").otherwise("-")).otherwise(_slot(p["marks"]))), "|")
+
+    return _once(clean_marks(letter_marks(word)), joined)
 
 
 def normalize_variant_marks(text: Column) -> Column:
@@ -69,9 +80,8 @@ def letter_variants(word: Column) -> Column:
     """A number for each letter: 1 for a marked letter that can vary, 2 for a final taa marbuta with sukun, else 0."""
     clean = F.replace(F.regexp_replace(word, f"[^{LETTERS}{MARKS_LABELS}{TRIPLE_DOT}{VARIANT}]", ""), F.lit(TRIPLE_DOT), F.lit(VARIANT))
     pieces = F.regexp_extract_all(clean, F.lit(f"[{LETTERS}][{MARKS_LABELS}{VARIANT}]*"), F.lit(0))
-    n = F.size(pieces)
     varies = lambda p: F.substring(p, 1, 1).isin(*VARIANT_LETTERS) & p.contains(VARIANT)
-    return F.transform(pieces, lambda p, i: F.when((i == n - 1) & p.startswith(TAA) & p.contains(SUKUN), 2).when(varies(p), 1).otherwise(0))
+    return _once(pieces, lambda ps: F.transform(ps, lambda p, i: F.when((i == F.size(ps) - 1) & p.startswith(TAA) & p.contains(SUKUN), 2).when(varies(p), 1).otherwise(0)))
 
 
 def variant_string(plain: Column, diacritized: Column) -> Column:
