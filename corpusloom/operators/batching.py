@@ -105,7 +105,7 @@ def ragged_slices(buffer: DataFrame, offsets: DataFrame, uid: str) -> DataFrame:
     kind = found.schema["held"].dataType
     short = F.raise_error(F.concat(F.lit("the buffer ends within the slice of "), F.col(uid).cast("string"))).cast(kind)
     values = F.when(F.col("length") <= 0, F.array().cast(kind)).when(F.coalesce("n", F.lit(0)) < F.col("length"), short).otherwise(F.col("held"))
-    return offsets.select(uid, "length").join(found, uid, "left").select(uid, values.alias("values"))
+    return offsets.select(uid, "length").join(found.hint("merge"), uid, "left").select(uid, values.alias("values"))
 
 
 def plan_char_codes(plan: DataFrame, indexed: DataFrame, empty: int) -> DataFrame:
@@ -113,4 +113,5 @@ def plan_char_codes(plan: DataFrame, indexed: DataFrame, empty: int) -> DataFram
     own = F.when(F.col("n_codes") > 1, F.col("code")).otherwise(F.lit(empty)).cast("int")
     codes = plan.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("idx", own.alias("code")))).alias("c"))  # the words of one text
     dense = F.transform(F.coalesce("c", F.array().cast(codes.schema["c"].dataType)), lambda x: x["code"])
-    return indexed.join(codes, "uid", "left").select("uid", words_to_chars(F.col("word_index"), dense, F.lit(empty)).alias("codes"))
+    # the plan may be exploded, so Spark takes codes for small: they would all go through the driver
+    return indexed.join(codes.hint("merge"), "uid", "left").select("uid", words_to_chars(F.col("word_index"), dense, F.lit(empty)).alias("codes"))
