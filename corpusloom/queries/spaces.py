@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import intervals as I
 from ..operators import projection as P
-from ..session import read_table
+from ..session import materialize, read_table
 
 
 def events_in_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,13 +21,15 @@ def events_in_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def char_word_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of conversation turns and the words they stand in, joined as intervals: how many are inside, and the sum of their words' numbers."""
     turns = read_table(spark, sf_dir, "conversations").where("text <> ''").select(F.concat_ws(":", "conv_id", "turn").alias("uid"), "text")
-    at = F.split("text", "")
     characters = turns.select("uid", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("pos"))
-    letters = turns.select("uid", F.posexplode(at).alias("pos", "c")).where("c rlike '[A-Za-z]'")
-    # words: runs of ASCII letters, by the distance of a letter's place from its rank
-    runs = letters.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("uid").orderBy("pos")))
-    spans = runs.groupBy("uid", "run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
-    spans = spans.withColumn("word_index", F.row_number().over(Window.partitionBy("uid").orderBy("start")) - 1)
+    # words: runs of ASCII letters, each begins at a letter after none
+    letters = F.transform(F.split("text", ""), lambda c: c.between("A", "Z") | c.between("a", "z"))
+    begins = lambda ls: F.array_compact(F.transform(ls, lambda x, i: F.when(x & ~F.coalesce(F.get(ls, i - 1), F.lit(False)), i)))
+    # the array around letters has them computed once, not for each letter
+    starts = F.get(F.transform(F.array(letters), begins), F.lit(0))
+    rows = turns.select("uid", F.arrays_zip(starts.alias("start"), F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("word")).alias("spans"))
+    spans = rows.select("uid", F.posexplode("spans").alias("word_index", "s")).select("uid", "word_index", F.col("s.start").alias("start"), (F.col("s.start") + F.length("s.word")).alias("end"))
+    spans = materialize(spans, "spans")
     got = I.char_words(characters, spans)
     inside = F.col("word_index") >= 0
     return got.groupBy("uid").agg(F.count("*").alias("n"), F.count_if(inside).alias("n_inside"), F.sum(F.when(inside, F.col("word_index")).otherwise(0)).alias("total"))
