@@ -87,7 +87,8 @@ def word_identity(word: Column) -> Column:
 
 def fold_latin(word: Column) -> Column:
     """Latin counterpart of word_identity: lower case without accents."""
-    return F.translate(F.lower(word), ACCENTED, PLAIN)
+    low = F.lower(word)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, ACCENTED, PLAIN))  # ASCII has no accents
 
 
 def strip_junk(text: Column) -> Column:

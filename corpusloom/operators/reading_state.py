@@ -61,11 +61,7 @@ class ReadingState:
         if before.get(name, "").startswith("merged-"):
             raise ValueError(f"batch {name} is merged already")
         folder = f"batch-{re.sub('[^A-Za-z0-9]', '-', name)}-{uuid.uuid4().hex[:8]}"
-        patterns = materialize(R.pattern_counts(occ), "patterns")
-        forms = occ.select(F.col("word").alias("w"), F.col("pattern").alias("p"), R._place(occ).alias("place"), F.col("form").alias("example"))
-        firsts = patterns.join(forms, (F.col("w") == F.col("word")) & (F.col("p") == F.col("pattern")) & (F.col("place") == F.col("first")))
-        firsts = firsts.groupBy("word", "pattern", "n", "first").agg(F.min("example").alias("example"))
-        firsts.write.parquet(f"{self.path}/{folder}/patterns")
+        R.pattern_counts(occ).write.parquet(f"{self.path}/{folder}/patterns")
         R.contexts(occ).write.parquet(f"{self.path}/{folder}/contexts")
         self._publish(before | {name: folder})
         if name in before:

@@ -2,6 +2,9 @@
 
 An occurrence is (uid, pos, word, pattern, form, left, right). Occurrences are made anew from the texts wherever they are used:
 that reads and cuts a text again, but moves nothing.
+
+Most occurrences belong to words with several patterns, whose number grows with the corpus, so occurrences are never joined with
+words: they are counted by pattern, or by context and pattern, and the counts are joined.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from ..session import materialize, small_side
 
 #: Words of a table that is broadcast.
 WORDS = 200_000
+#: Occurrences that one task counts by context.
+ROWS_PER_TASK = 1_000_000
 BEGIN, FINISH = "<s>", "</s>"
 
 
@@ -29,24 +34,19 @@ class Gates:
     min_context_agreement: float = 0.75
 
 
-def occurrences(sentences: DataFrame, tokens: Column, identity, pattern, form=None) -> DataFrame:
+def occurrences(sentences: DataFrame, tokens: Column, identity, pattern, form=None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Occurrences of rows (uid) with an array of tokens; neighbours come from the array itself, so nothing is shuffled.
 
-    identity, pattern and form are functions of a token's column; form defaults to the token. Null patterns are left out.
+    identity, pattern and form are functions of a token's column; form defaults to the token. Null patterns are left out. keep names
+    columns of the sentences that stay.
     """
-    rows = sentences.select("uid", tokens.alias("ts"))
-    rows = rows.select("uid", "ts", F.transform("ts", identity).alias("word"))
-    n = F.size("word")
-    columns = {
-        "word": F.col("word"),
-        "pattern": F.transform("ts", pattern),
-        "form": F.transform("ts", form) if form else F.col("ts"),
-        "left": F.concat(F.array(F.lit(BEGIN)), F.slice("word", F.lit(1), F.greatest(n - 1, F.lit(0)))),
-        "right": F.concat(F.slice("word", F.lit(2), F.greatest(n, F.lit(1))), F.array(F.lit(FINISH))),
-    }
-    zipped = F.arrays_zip(*[c.alias(name) for name, c in columns.items()])
-    # a text without a token gives one row, without a pattern; a filter on the arrays would compute them twice
-    return rows.select("uid", F.posexplode(zipped).alias("pos", "t")).select("uid", "pos", "t.*").where("pattern is not null")
+    rows = sentences.select("uid", *keep, tokens.alias("ts"))
+    rows = rows.select("uid", *keep, "ts", F.posexplode("ts").alias("pos", "t"))
+    token, beside = F.col("t"), lambda by: F.get("ts", F.col("pos") + by)
+    left = F.when(F.col("pos") > 0, identity(beside(-1))).otherwise(F.lit(BEGIN))
+    right = F.when(F.col("pos") < F.size("ts") - 1, identity(beside(1))).otherwise(F.lit(FINISH))
+    own = [identity(token).alias("word"), pattern(token).alias("pattern"), (form(token) if form else token).alias("form")]
+    return rows.select("uid", *keep, "pos", *own, left.alias("left"), right.alias("right")).where("pattern is not null")
 
 
 def _place(occ: DataFrame) -> Column:
@@ -61,6 +61,34 @@ def contexts(occ: DataFrame) -> DataFrame:
     return occ.groupBy("word", "left", "right", "pattern").agg(F.count("*").alias("n"))
 
 
+def dealt_contexts(occ: DataFrame, size: int | None = None, *counts: Column) -> DataFrame:
+    """word, left, right, pattern, n and more counts, as contexts() has them, but left and right are hashes, 96 bits of both, and rows lie by context.
+
+    Occurrences are shuffled once, by word and context, so what groups by (word, left, right) shuffles nothing. The number of tasks
+    follows size, the number of occurrences, which is counted if it isn't known.
+    """
+    size = occ.count() if size is None else size
+    by = [F.xxhash64("left", "right").alias("left"), F.hash("right", "left").alias("right")]
+    more = [c for c in occ.columns if c not in ("uid", "pos", "word", "pattern", "form", "left", "right")]
+    # a pattern that is its word, as most are, is moved as null
+    rows = occ.select("word", *by, F.nullif("pattern", "word").alias("pattern"), *more).repartition(max(8, -(-size // ROWS_PER_TASK)), "word", "left")
+    return rows.withColumn("pattern", F.coalesce("pattern", "word")).groupBy("word", "left", "right", "pattern").agg(F.count("*").alias("n"), *counts)
+
+
+def context_shapes(counted: DataFrame, *more: str) -> DataFrame:
+    """word, shape, contexts of dealt contexts: how many contexts of a word have these patterns, each with its counts, by pattern."""
+    rows = counted.groupBy("word", "left", "right").agg(F.array_sort(F.collect_list(F.struct("pattern", "n", *more))).alias("shape"))  # the patterns of one context
+    return rows.groupBy("word", "shape").agg(F.count("*").alias("contexts"))
+
+
+def shapes_agreement(shapes: DataFrame) -> DataFrame:
+    """agreement() of context_shapes()."""
+    ns = F.transform("shape", lambda x: x["n"])
+    total = F.aggregate(ns, F.lit(0).cast("long"), lambda a, n: a + n)
+    per = shapes.select("word", "contexts", total.alias("total"), F.array_max(ns).alias("best")).where("total > 1")
+    return per.groupBy("word").agg(F.sum("contexts").alias("n_contexts"), F.sum(F.col("total") * F.col("contexts")).alias("n_repeated"), F.sum(F.col("best") * F.col("contexts")).alias("n_agree"))
+
+
 def agreement(ctx: DataFrame) -> DataFrame:
     """word, n_contexts, n_repeated, n_agree over contexts seen more than once."""
     per = ctx.groupBy("word", "left", "right").agg(F.sum("n").alias("total"), F.max("n").alias("best")).where("total > 1")
@@ -74,8 +102,13 @@ def agreement_of(ctx: DataFrame) -> DataFrame:
 
 
 def pattern_counts(occ: DataFrame) -> DataFrame:
-    """word, pattern, n, first: how often each pattern stands, and its first place."""
-    return occ.groupBy("word", "pattern").agg(F.count("*").alias("n"), F.min(_place(occ)).alias("first"))
+    """word, pattern, n, first, example: how often each pattern stands, its first place and the form found there.
+
+    Forms are counted first, as a hash aggregate can't hold a form, and their counts are merged.
+    """
+    forms = occ.groupBy("word", "pattern", "form").agg(F.count("*").alias("n"), F.min(_place(occ)).alias("first"))
+    rows = forms.groupBy("word", "pattern").agg(F.sum("n").alias("n"), F.min(F.struct("first", "form")).alias("f"))
+    return rows.select("word", "pattern", "n", "f.first", F.col("f.form").alias("example"))
 
 
 def gated(patterns: DataFrame, gates: Gates, *more: str) -> DataFrame:
@@ -90,34 +123,55 @@ def gated(patterns: DataFrame, gates: Gates, *more: str) -> DataFrame:
 
 def refused(ctx: DataFrame, gates: Gates) -> DataFrame:
     """Words whose repeated contexts don't agree."""
-    return agreement(ctx).where((F.col("n_repeated") >= 2) & (F.col("n_agree") / F.col("n_repeated") < gates.min_context_agreement)).select("word")
+    return _disagreeing(agreement(ctx), gates)
+
+
+def _disagreeing(agreed: DataFrame, gates: Gates) -> DataFrame:
+    return agreed.where((F.col("n_repeated") >= 2) & (F.col("n_agree") / F.col("n_repeated") < gates.min_context_agreement)).select("word")
+
+
+def readings(occ: DataFrame, gates: Gates = Gates()) -> tuple[DataFrame, int]:
+    """The patterns that pass all gates but that of contexts, a written table, and the number of occurrences."""
+    patterns = materialize(pattern_counts(occ), "patterns")
+    return materialize(gated(patterns, gates, "example"), "readings"), patterns.agg(F.sum("n")).first()[0] or 0
 
 
 def mine(occ: DataFrame, gates: Gates = Gates()) -> DataFrame:
     """word, code, pattern, n, example, total: the lexicon in long form, a written table with a row for each reading that passes the gates.
 
-    Two passes over the texts, neither of which moves an occurrence. The first counts (word, pattern), combined on the map side.
-    The second counts the contexts of words with several readings left; the form at a reading's first place is one more key of
-    that count, so examples come with it.
+    Two passes over the texts. The first counts (word, pattern), combined on the map side. The second counts contexts and shuffles
+    each occurrence once, as a word and hashes; which words need it is not asked before, as most occurrences belong to such words.
     """
-    kept = materialize(gated(pattern_counts(occ), gates), "readings")
-    entries = F.map_from_entries(F.collect_list(F.struct("pattern", "first")))  # max_codes of them
-    wanted = kept.groupBy("word").agg(entries.alias("firsts"), (F.count("*") > 1).alias("unsure"))
-    here = _place(occ) == F.try_element_at("firsts", F.col("pattern"))
-    met = occ.join(small_side(wanted, WORDS), "word").where(F.col("unsure") | here)
-    keys = [F.when(F.col("unsure"), F.col(c)).alias(c) for c in ("left", "right")]
-    counted = met.groupBy("word", *keys, "pattern", "unsure", F.when(here, F.col("form")).alias("example")).agg(F.count("*").alias("n"))
-    counted = materialize(counted, "contexts")
-    lost = refused(counted.where("unsure").groupBy("word", "left", "right", "pattern").agg(F.sum("n").alias("n")), gates)
-    examples = counted.where("example is not null").groupBy(F.col("word").alias("w"), F.col("pattern").alias("p")).agg(F.min("example").alias("example"))
-    found = kept.join(lost, "word", "left_anti").join(examples, (F.col("w") == F.col("word")) & (F.col("p") == F.col("pattern")))
-    return materialize(found.select("word", "code", "pattern", "n", "example", "total"), "lexicon")
+    kept, size = readings(occ, gates)
+    return agreeing(kept, agreement(dealt_contexts(occ, size)), gates)
+
+
+def mine_with_shapes(occ: DataFrame, *counts: Column, gates: Gates = Gates()) -> tuple[DataFrame, DataFrame]:
+    """mine() and the context_shapes() of the same two passes, with more counts by their names; both are written tables."""
+    kept, size = readings(occ, gates)
+    dealt = dealt_contexts(occ, size, *counts)
+    shapes = materialize(context_shapes(dealt, *dealt.columns[5:]), "shapes")
+    return agreeing(kept, shapes_agreement(shapes), gates), shapes
+
+
+def agreeing(kept: DataFrame, agreed: DataFrame, gates: Gates) -> DataFrame:
+    """The lexicon, a written table: readings() without words of several patterns whose contexts don't agree."""
+    lost = materialize(_disagreeing(agreed, gates), "refused").join(kept.where("code = 1").select("word"), "word", "left_semi")
+    return materialize(kept.join(lost, "word", "left_anti").select("word", "code", "pattern", "n", "example", "total"), "lexicon")
+
+
+def coded(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """counts (word, pattern, ...) of ambiguous words with the code of each pattern, -1 where it isn't in the lexicon."""
+    several = lexicon.select(F.col("word").alias("w"), F.col("pattern").alias("p"), "code", F.count("*").over(Window.partitionBy("word")).alias("codes")).where("codes > 1")
+    rows = counts.join(several.select(F.col("w").alias("word")).distinct(), "word", "left_semi")
+    return rows.join(several.drop("codes"), (F.col("w") == F.col("word")) & (F.col("p") == F.col("pattern")), "left").select(*counts.columns, F.coalesce("code", F.lit(-1)).alias("code"))
 
 
 def labels(occ: DataFrame, lexicon: DataFrame) -> DataFrame:
     """uid, pos, word, code of occurrences of ambiguous words; -1 where the pattern isn't in the lexicon.
 
     The lexicon's ambiguous words are broadcast if they are few enough; else the join shuffles, and AQE splits the most frequent words.
+    Counts of labels are had without it: coded().
     """
     several = lexicon.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("pattern", "code"))).alias("codes")).where(F.size("codes") > 1)
     code = F.coalesce(F.try_element_at("codes", F.col("pattern")), F.lit(-1))
@@ -149,3 +203,24 @@ def predict_by_neighbours(train: DataFrame, test: DataFrame) -> DataFrame:
     alone = train.groupBy("word", "pattern").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("n"), "pattern"))).where("r = 1").select("word", F.col("pattern").alias("by_word"))
     joined = test.join(best, ["word", "left", "right"], "left").join(alone, "word", "left")
     return joined.select("uid", "pos", "word", "pattern", F.coalesce("by_context", "by_word").alias("guess"), F.col("by_word").alias("majority"))
+
+
+def neighbour_scores(shapes: DataFrame) -> DataFrame:
+    """word, n, n_right, n_base: what predict_by_neighbours() gets right of each word's held-out occurrences, and its most frequent pattern alone.
+
+    shapes have the count "held" of held-out occurrences; all others are learned from.
+    """
+    s = F.transform("shape", lambda x: F.struct((x["n"] - x["held"]).alias("n"), x["pattern"].alias("pattern"), x["held"].alias("held")))
+    rows = shapes.select("word", "contexts", s.alias("s"))
+    best = F.array_max(F.transform("s", lambda x: x["n"]))
+    rows = rows.select("word", "contexts", "s", best.alias("best"))
+    # patterns stand in order, so the first with the most occurrences is the one that ties choose
+    guess = F.when(F.col("best") > 0, F.get(F.filter("s", lambda x: x["n"] == F.col("best")), F.lit(0))["pattern"])
+    rows = rows.select("word", "contexts", F.explode("s").alias("x"), guess.alias("guess")).select("word", "x.*", "guess", "contexts")
+    held = F.col("held") * F.col("contexts")
+    right = F.when(F.col("guess") == F.col("pattern"), held).otherwise(0)
+    per = rows.groupBy("word", "pattern").agg(F.sum(F.col("n") * F.col("contexts")).alias("train"), F.sum(held).alias("held"), F.sum(right).alias("right"), F.sum(F.when(F.col("guess").isNull(), held).otherwise(0)).alias("open"))
+    first = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("train"), "pattern"))
+    base = per.withColumn("major", (first == 1) & (F.col("train") > 0))
+    right = F.col("right") + F.when(F.col("major"), F.col("open")).otherwise(0)
+    return base.groupBy("word").agg(F.sum("held").alias("n"), F.sum(right).alias("n_right"), F.sum(F.when(F.col("major"), F.col("held")).otherwise(0)).alias("n_base")).where("n > 0")

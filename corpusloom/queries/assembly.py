@@ -12,7 +12,7 @@ from ..operators import manifest as M
 from ..operators import sequences as S
 from ..session import read_table
 from ..sources import sinks
-from .reading import _GUESS, _guesses, _sql
+from .reading import _GUESS, _accuracy, _guesses, _sql
 
 
 def alignment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +107,7 @@ def word_means_or_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accuracy_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of the neighbour classifier over all words, and by their number of codes."""
-    ok = F.coalesce(F.col("pattern") == F.col("guess"), F.lit(False))
-    per = _guesses(spark, sf_dir).rollup("n_codes").agg(F.count("*").alias("n"), F.round(F.avg(ok.cast("double")), 6).alias("accuracy"))
+    per = _guesses(spark, sf_dir).rollup("n_codes").agg(*_accuracy())
     return per.select(F.coalesce(F.col("n_codes").cast("string"), F.lit("all")).alias("codes"), "n", "accuracy")
 
 
