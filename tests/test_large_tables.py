@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import queries as core
 from corpusloom.functions import marks
+from corpusloom.operators import readings as R
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +44,24 @@ def test_number_words_of_many_parts(spark, tmp_path):
     want = sorted(con.execute(core.all_sql()["number_words"]).fetchall())
     got = sorted(tuple(r) for r in core.all_queries()["number_words"](spark, str(tmp_path)).collect())
     assert got == want and any(n >= 10**15 for n, _ in got)
+
+
+def test_contexts_are_shuffled_once(spark):
+    """Occurrences were shuffled by pattern, then by context, then by word."""
+    assert plan(core.all_queries()["context_agreement"](spark, SF)).count("Exchange hashpartitioning") == 2  # by context, by word
+
+
+def test_scores_by_shapes_equal_predictions(spark):
+    n = F.col("id")
+    word = F.concat(F.lit("w"), (n % 5).cast("string"))
+    occ = spark.range(4000).select(
+        n.alias("uid"), F.lit(0).alias("pos"), word.alias("word"), F.concat(word, (F.hash("id") % 3).cast("string")).alias("pattern"), word.alias("form"),
+        (F.hash(n + 1) % 40).cast("string").alias("left"), (F.hash(n + 2) % 3).cast("string").alias("right"), (F.hash(n + 3) % 10 == 0).alias("held"),
+    )
+    guesses = R.predict_by_neighbours(occ.where("not held"), occ.where("held"))
+    want = {r.word: (r.n, r.a, r.b) for r in guesses.groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.col("pattern") == F.col("guess")).alias("a"), F.count_if(F.col("pattern") == F.col("majority")).alias("b")).collect()}
+    shapes = R.context_shapes(R.dealt_contexts(occ, None, F.count_if("held").alias("held")), "held")
+    got = {r.word: (r.n, r.n_right, r.n_base) for r in R.neighbour_scores(shapes).collect()}
+    assert got == want and len(got) == 5
+    exact = {r.word: tuple(r) for r in R.agreement(R.contexts(occ)).collect()}
+    assert {r.word: tuple(r) for r in R.shapes_agreement(shapes).collect()} == exact == {r.word: tuple(r) for r in R.agreement(R.dealt_contexts(occ)).collect()}
