@@ -9,8 +9,12 @@ words: they are counted by pattern, or by context and pattern, and the counts ar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +25,8 @@ from ..session import materialize, small_side
 WORDS = 200_000
 #: Occurrences that one task counts by context.
 ROWS_PER_TASK = 1_000_000
+#: Occurrences that are counted at once in Arrow.
+ROWS_PER_COUNT = 1_000_000
 BEGIN, FINISH = "<s>", "</s>"
 
 
@@ -41,7 +47,8 @@ def occurrences(sentences: DataFrame, tokens: Column, identity, pattern, form=No
     columns of the sentences that stay.
     """
     rows = sentences.select("uid", *keep, tokens.alias("ts"))
-    rows = rows.select("uid", *keep, "ts", F.posexplode("ts").alias("pos", "t"))
+    # an inner explode asks for arrays that aren't empty, below it, and so cuts each text twice
+    rows = rows.select("uid", *keep, "ts", F.posexplode_outer("ts").alias("pos", "t")).where("pos is not null")
     token, beside = F.col("t"), lambda by: F.get("ts", F.col("pos") + by)
     left = F.when(F.col("pos") > 0, identity(beside(-1))).otherwise(F.lit(BEGIN))
     right = F.when(F.col("pos") < F.size("ts") - 1, identity(beside(1))).otherwise(F.lit(FINISH))
@@ -81,8 +88,82 @@ def context_shapes(counted: DataFrame, *more: str) -> DataFrame:
     return rows.groupBy("word", "shape").agg(F.count("*").alias("contexts"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch], keys: list[str], held: bool) -> pa.Table:
+    """Rows by keys with their number n, and the number of held ones; what is counted is merged, so equal rows don't pile up."""
+    sums = [("n", "sum")] + [("held", "sum")] * held
+    names = ["n"] + ["held"] * held
+
+    def merged(parts: list[pa.Table]) -> pa.Table:
+        got = pa.concat_tables(parts).group_by(keys, use_threads=False).aggregate(sums)
+        return got.rename_columns([c.removesuffix("_sum") for c in got.column_names]).select([*keys, *names])
+
+    whole, waiting, n = [], [], 0
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        waiting.append(t.append_column("n", pa.array(np.ones(len(t), np.int64))))
+        n += len(t)
+        if n >= ROWS_PER_COUNT:
+            whole, waiting, n = [*whole, merged(waiting)], [], 0
+            if sum(map(len, whole[1:])) > len(whole[0]):  # sizes double, so a row is merged a few times only
+                whole = [merged(whole)]
+    whole += [merged(waiting)] if waiting else []
+    return merged(whole) if len(whole) > 1 else whole[0] if whole else None
+
+
+def _shape_batches(batches: Iterator[pa.RecordBatch], held: bool) -> Iterator[pa.RecordBatch]:
+    """word, shape, contexts of the rows of one task, which holds all rows of its contexts."""
+    t = _counted(batches, ["word", "context", "pattern"], held)
+    if t is None:
+        return
+    t = t.set_column(2, "pattern", pc.coalesce(t["pattern"], t["word"]))
+    t = t.take(np.lexsort([t[c].to_numpy() for c in ("pattern", "context", "word")])).combine_chunks()
+    word, context, n = (t[c].to_numpy() for c in ("word", "context", "n"))
+    start = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])])
+    size = np.diff(np.r_[start, len(n)])
+    wanted = np.add.reduceat(n, start) > 1
+    if held:
+        wanted |= np.add.reduceat(t["held"].to_numpy(), start) > 0
+    fields = ["pattern", "n"] + ["held"] * held
+
+    def rows(parts: pa.Table, sizes: np.ndarray, contexts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+        shape = pa.StructArray.from_arrays([parts[f].combine_chunks() for f in fields], fields)
+        whole = pa.table({"word": parts["word"].take(offsets[:-1]), "shape": pa.ListArray.from_arrays(pa.array(offsets), shape), "contexts": contexts})
+        yield from whole.to_batches(max_chunksize=10_000)
+
+    alone = t.take(start[wanted & (size == 1)]).group_by(["word", *fields], use_threads=False).aggregate([([], "count_all")])
+    if len(alone):
+        yield from rows(alone, np.ones(len(alone), np.int64), alone["count_all"].to_numpy())
+    several = wanted & (size > 1)
+    if several.any():
+        yield from rows(t.filter(pa.array(np.repeat(several, size))), size[several], np.ones(several.sum(), np.int64))
+
+
+def dealt_shapes(occ: DataFrame, size: int, held: str | None = None) -> DataFrame:
+    """word, shape, contexts as context_shapes() has them, of the contexts that stand twice or more or have held occurrences.
+
+    Words and patterns are 64 bits of their hashes, a context is its word and 64 bits of a hash of its neighbours. Occurrences are
+    shuffled once, by context; each task counts its own in Arrow. Equal shapes of several tasks stay rows of their own. held names a
+    boolean column.
+    """
+    pattern = F.when(F.col("pattern") != F.col("word"), F.xxhash64("pattern"))  # most patterns are their words and move as null
+    more = [F.col(held).cast("long").alias("held")] if held else []
+    rows = occ.select(F.xxhash64("word").alias("word"), F.xxhash64("left", "right").alias("context"), pattern.alias("pattern"), *more)
+    made = f"word long, shape array<struct<pattern: long, n: long{', held: long' if held else ''}>>, contexts long"
+    return rows.repartition(max(8, -(-size // ROWS_PER_TASK)), "word", "context").mapInArrow(lambda batches: _shape_batches(batches, held is not None), made)
+
+
+def named_shapes(shapes: DataFrame, patterns: DataFrame, *more: str) -> DataFrame:
+    """Dealt shapes with their words and patterns (word, pattern) in place of the hashes; others are left out."""
+    names = patterns.select(F.xxhash64("word").alias("w"), F.xxhash64("pattern").alias("p"), F.col("word").alias("name"), F.col("pattern").alias("written"))
+    parts = shapes.groupBy("word", "shape").agg(F.sum("contexts").alias("contexts")).select("*", F.explode("shape").alias("x"))
+    found = parts.join(names, (F.col("word") == F.col("w")) & (F.col("x.pattern") == F.col("p")))
+    back = F.array_sort(F.collect_list(F.struct(F.col("written").alias("pattern"), "x.n", *[f"x.{c}" for c in more])))  # the patterns of one context
+    return found.groupBy("name", "shape", "contexts").agg(back.alias("found")).select(F.col("name").alias("word"), F.col("found").alias("shape"), "contexts")
+
+
 def shapes_agreement(shapes: DataFrame) -> DataFrame:
-    """agreement() of context_shapes()."""
+    """agreement() of context_shapes() or dealt_shapes()."""
     ns = F.transform("shape", lambda x: x["n"])
     total = F.aggregate(ns, F.lit(0).cast("long"), lambda a, n: a + n)
     per = shapes.select("word", "contexts", total.alias("total"), F.array_max(ns).alias("best")).where("total > 1")
@@ -101,14 +182,15 @@ def agreement_of(ctx: DataFrame) -> DataFrame:
     return got.select("word", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"), F.coalesce(F.col("n_agree") / F.col("n_repeated"), F.lit(1.0)).alias("agreement"))
 
 
-def pattern_counts(occ: DataFrame) -> DataFrame:
+def pattern_counts(occ: DataFrame, **more: tuple) -> DataFrame:
     """word, pattern, n, first, example: how often each pattern stands, its first place and the form found there.
 
-    Forms are counted first, as a hash aggregate can't hold a form, and their counts are merged.
+    Forms are counted first, as a hash aggregate can't hold a form, and their counts are merged. more has other aggregates by name, each
+    with the function that merges its parts.
     """
-    forms = occ.groupBy("word", "pattern", "form").agg(F.count("*").alias("n"), F.min(_place(occ)).alias("first"))
-    rows = forms.groupBy("word", "pattern").agg(F.sum("n").alias("n"), F.min(F.struct("first", "form")).alias("f"))
-    return rows.select("word", "pattern", "n", "f.first", F.col("f.form").alias("example"))
+    forms = occ.groupBy("word", "pattern", "form").agg(F.count("*").alias("n"), F.min(_place(occ)).alias("first"), *[a.alias(k) for k, (a, _) in more.items()])
+    rows = forms.groupBy("word", "pattern").agg(F.sum("n").alias("n"), F.min(F.struct("first", "form")).alias("f"), *[merge(k).alias(k) for k, (_, merge) in more.items()])
+    return rows.select("word", "pattern", "n", "f.first", F.col("f.form").alias("example"), *more)
 
 
 def gated(patterns: DataFrame, gates: Gates, *more: str) -> DataFrame:
@@ -130,33 +212,42 @@ def _disagreeing(agreed: DataFrame, gates: Gates) -> DataFrame:
     return agreed.where((F.col("n_repeated") >= 2) & (F.col("n_agree") / F.col("n_repeated") < gates.min_context_agreement)).select("word")
 
 
-def readings(occ: DataFrame, gates: Gates = Gates()) -> tuple[DataFrame, int]:
-    """The patterns that pass all gates but that of contexts, a written table, and the number of occurrences."""
-    patterns = materialize(pattern_counts(occ), "patterns")
-    return materialize(gated(patterns, gates, "example"), "readings"), patterns.agg(F.sum("n")).first()[0] or 0
+def readings(occ: DataFrame, gates: Gates = Gates(), **more: tuple) -> tuple[DataFrame, DataFrame]:
+    """The patterns that pass all gates but that of contexts, and all pattern_counts(); both are written tables."""
+    patterns = materialize(pattern_counts(occ, **more), "patterns")
+    return materialize(gated(patterns, gates, "example"), "readings"), patterns
+
+
+def _occurrences_of(patterns: DataFrame) -> int:
+    return patterns.agg(F.sum("n")).first()[0] or 0
 
 
 def mine(occ: DataFrame, gates: Gates = Gates()) -> DataFrame:
     """word, code, pattern, n, example, total: the lexicon in long form, a written table with a row for each reading that passes the gates.
 
     Two passes over the texts. The first counts (word, pattern), combined on the map side. The second counts contexts and shuffles
-    each occurrence once, as a word and hashes; which words need it is not asked before, as most occurrences belong to such words.
+    each occurrence once, as a word and a hash; which words need it is not asked before, as most occurrences belong to such words.
     """
-    kept, size = readings(occ, gates)
-    return agreeing(kept, agreement(dealt_contexts(occ, size)), gates)
+    return mine_with_patterns(occ, gates)[0]
+
+
+def mine_with_patterns(occ: DataFrame, gates: Gates = Gates(), **more: tuple) -> tuple[DataFrame, DataFrame]:
+    """mine() and the pattern_counts() of the same two passes, with more aggregates."""
+    kept, patterns = readings(occ, gates, **more)
+    return agreeing(kept, shapes_agreement(dealt_shapes(occ, _occurrences_of(patterns))), gates), patterns
 
 
-def mine_with_shapes(occ: DataFrame, *counts: Column, gates: Gates = Gates()) -> tuple[DataFrame, DataFrame]:
-    """mine() and the context_shapes() of the same two passes, with more counts by their names; both are written tables."""
-    kept, size = readings(occ, gates)
-    dealt = dealt_contexts(occ, size, *counts)
-    shapes = materialize(context_shapes(dealt, *dealt.columns[5:]), "shapes")
-    return agreeing(kept, shapes_agreement(shapes), gates), shapes
+def mine_with_shapes(occ: DataFrame, held: str | None = None, gates: Gates = Gates()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """mine(), the dealt_shapes() and the pattern_counts() of the same two passes, these with the number of held ones; all are written tables."""
+    kept, patterns = readings(occ, gates, **({"held": (F.count_if(held), F.sum)} if held else {}))
+    shapes = materialize(dealt_shapes(occ, _occurrences_of(patterns), held), "shapes")
+    return agreeing(kept, shapes_agreement(shapes), gates), shapes, patterns
 
 
 def agreeing(kept: DataFrame, agreed: DataFrame, gates: Gates) -> DataFrame:
-    """The lexicon, a written table: readings() without words of several patterns whose contexts don't agree."""
-    lost = materialize(_disagreeing(agreed, gates), "refused").join(kept.where("code = 1").select("word"), "word", "left_semi")
+    """The lexicon, a written table: readings() without words of several patterns whose contexts don't agree, by hashes of words."""
+    several = kept.where("code = 1").select("word", F.xxhash64("word").alias("w"))
+    lost = several.join(materialize(_disagreeing(agreed, gates), "refused").withColumnRenamed("word", "w"), "w", "left_semi").select("word")
     return materialize(kept.join(lost, "word", "left_anti").select("word", "code", "pattern", "n", "example", "total"), "lexicon")
 
 
@@ -205,13 +296,13 @@ def predict_by_neighbours(train: DataFrame, test: DataFrame) -> DataFrame:
     return joined.select("uid", "pos", "word", "pattern", F.coalesce("by_context", "by_word").alias("guess"), F.col("by_word").alias("majority"))
 
 
-def neighbour_scores(shapes: DataFrame) -> DataFrame:
+def neighbour_scores(shapes: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """word, n, n_right, n_base: what predict_by_neighbours() gets right of each word's held-out occurrences, and its most frequent pattern alone.
 
-    shapes have the count "held" of held-out occurrences; all others are learned from.
+    shapes have the count "held" of held-out occurrences; all others are learned from. With patterns, whose n and held count all
+    occurrences, shapes without held ones may be left out.
     """
-    s = F.transform("shape", lambda x: F.struct((x["n"] - x["held"]).alias("n"), x["pattern"].alias("pattern"), x["held"].alias("held")))
-    rows = shapes.select("word", "contexts", s.alias("s"))
+    rows = shapes.select("word", "contexts", F.transform("shape", lambda x: F.struct((x["n"] - x["held"]).alias("n"), x["pattern"].alias("pattern"), x["held"].alias("held"))).alias("s"))
     best = F.array_max(F.transform("s", lambda x: x["n"]))
     rows = rows.select("word", "contexts", "s", best.alias("best"))
     # patterns stand in order, so the first with the most occurrences is the one that ties choose
@@ -219,7 +310,12 @@ def neighbour_scores(shapes: DataFrame) -> DataFrame:
     rows = rows.select("word", "contexts", F.explode("s").alias("x"), guess.alias("guess")).select("word", "x.*", "guess", "contexts")
     held = F.col("held") * F.col("contexts")
     right = F.when(F.col("guess") == F.col("pattern"), held).otherwise(0)
-    per = rows.groupBy("word", "pattern").agg(F.sum(F.col("n") * F.col("contexts")).alias("train"), F.sum(held).alias("held"), F.sum(right).alias("right"), F.sum(F.when(F.col("guess").isNull(), held).otherwise(0)).alias("open"))
+    parts = rows.select("word", "pattern", (F.col("n") * F.col("contexts")).alias("train"), held.alias("held"), right.alias("right"), F.when(F.col("guess").isNull(), held).otherwise(0).alias("open"))
+    if patterns is not None:
+        none = F.lit(0).cast("long")
+        whole = patterns.select("word", "pattern", (F.col("n") - F.col("held")).alias("train"), "held", none.alias("right"), none.alias("open"))
+        parts = parts.withColumns({"train": none, "held": none}).unionByName(whole)
+    per = parts.groupBy("word", "pattern").agg(*[F.sum(c).alias(c) for c in ("train", "held", "right", "open")])
     first = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("train"), "pattern"))
     base = per.withColumn("major", (first == 1) & (F.col("train") > 0))
     right = F.col("right") + F.when(F.col("major"), F.col("open")).otherwise(0)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import queries as core
 from corpusloom.functions import marks
 from corpusloom.operators import readings as R
+from corpusloom.queries import reading
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,3 +69,40 @@ def test_scores_by_shapes_equal_predictions(spark):
     assert got == want and len(got) == 5
     exact = {r.word: tuple(r) for r in R.agreement(R.contexts(occ)).collect()}
     assert {r.word: tuple(r) for r in R.shapes_agreement(shapes).collect()} == exact == {r.word: tuple(r) for r in R.agreement(R.dealt_contexts(occ)).collect()}
+
+
+def test_texts_are_cut_once(spark):
+    """The explode asked for arrays that aren't empty, below it, and each text was cut again for that."""
+    assert plan(reading._occ(spark, SF).agg(F.count("word"))).split("FileScan")[0].count("regexp_extract_all") == 1
+
+
+def test_contexts_counted_in_arrow_equal_predictions(spark):
+    n = F.col("id")
+    word = F.concat(F.lit("w"), (n % 5).cast("string"))
+    pattern = F.when(F.hash("id") % 3 == 0, word).otherwise(F.concat(word, (F.hash("id") % 3).cast("string")))
+    occ = spark.range(4000).select(
+        n.alias("uid"), F.lit(0).alias("pos"), word.alias("word"), pattern.alias("pattern"), word.alias("form"),
+        (F.hash(n + 1) % 40).cast("string").alias("left"), (F.hash(n + 2) % 3).cast("string").alias("right"), (F.hash(n + 3) % 10 == 0).alias("held"),
+    )
+    guesses = R.predict_by_neighbours(occ.where("not held"), occ.where("held"))
+    want = {r.word: (r.n, r.a, r.b) for r in guesses.groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.col("pattern") == F.col("guess")).alias("a"), F.count_if(F.col("pattern") == F.col("majority")).alias("b")).collect()}
+    shapes, patterns = R.dealt_shapes(occ, 4000, "held"), R.pattern_counts(occ, held=(F.count_if("held"), F.sum))
+    named = R.named_shapes(shapes, patterns, "held")
+    got = {r.word: (r.n, r.n_right, r.n_base) for r in R.neighbour_scores(named.where(F.exists("shape", lambda x: x["held"] > 0)), patterns).collect()}
+    assert got == want and len(got) == 5
+    exact = {r.word: tuple(r) for r in R.agreement(R.contexts(occ)).collect()}
+    assert {r.word: tuple(r) for r in R.shapes_agreement(named).collect()} == exact
+    hashes = {w: spark.range(1).select(F.xxhash64(F.lit(w))).first()[0] for w in exact}
+    assert {r.word: tuple(r)[1:] for r in R.shapes_agreement(R.dealt_shapes(occ, 4000)).collect()} == {hashes[w]: x[1:] for w, x in exact.items()}
+
+
+def test_counts_of_one_task_are_merged(monkeypatch):
+    """A context that stands very often is one row after each merge."""
+    monkeypatch.setattr(R, "ROWS_PER_COUNT", 10)
+    rows = [(k % 3, 7, None if k % 2 else 5, int(k % 4 == 0)) for k in range(500)]
+    whole = pa.table({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(("word", "context", "pattern", "held"))})
+    got = R._counted(iter(whole.to_batches(max_chunksize=7)), ["word", "context", "pattern"], True)
+    want = Counter(r[:3] for r in rows)
+    assert {(r["word"], r["context"], r["pattern"]): r["n"] for r in got.to_pylist()} == want and len(got) == 6
+    assert sum(got["held"].to_pylist()) == 125
+    assert R._counted(iter([]), ["word"], True) is None
