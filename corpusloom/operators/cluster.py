@@ -234,11 +234,19 @@ def assign_codes(rows: DataFrame, models: DataFrame) -> DataFrame:
     return dealt.groupBy("word", "part").cogroup(copies.groupBy("word", "part")).applyInPandas(run, "word string, uid long, code int")
 
 
+def silhouette_blocks(n: int, block: int = 2048, most: int = 32_768, enough: int = 24) -> int:
+    """Number of blocks of n rows. As each row is copied to every block, blocks grow once there are enough for the tasks, up to most rows."""
+    return max(1, min(-(-n // block), enough), -(-n // most))
+
+
 def exact_silhouette(rows: DataFrame, group: str, vector: str, uid: str, block: int = 2048) -> DataFrame:
-    """Mean silhouette over all rows, from blocks of vectors against blocks: distances sum up by cluster, pairs are never rows."""
+    """Mean silhouette over all rows, from blocks of vectors against blocks: distances sum up by cluster, pairs are never rows.
+
+    A task holds two blocks, and the distances of 256 rows at a time.
+    """
     held = rows.select(F.col(uid).alias("uid"), F.col(group).alias("g"), F.col(vector).alias("v"))
     n = held.count()
-    blocks = max(1, -(-n // block))
+    blocks = silhouette_blocks(n, block)
     held = held.withColumn("b", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int"))
     dealt = held.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("uid", "g", "v", F.col("b").alias("i"), F.col("i").alias("j"))
     both = dealt.withColumn("side", F.lit(0)).unionByName(dealt.select("uid", "g", "v", F.col("j").alias("i"), F.col("i").alias("j"), F.lit(1).alias("side")))
@@ -247,10 +255,14 @@ def exact_silhouette(rows: DataFrame, group: str, vector: str, uid: str, block:
         a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
         if not len(a) or not len(b):
             return pd.DataFrame({"uid": [], "g": [], "other": [], "total": [], "n": []})
-        d = np.sqrt(squared_distances(np.array(a.v.tolist(), np.float64), np.array(b.v.tolist(), np.float64)))
-        d[a.uid.to_numpy()[:, None] == b.uid.to_numpy()[None]] = 0
+        x, y = (np.array(side.v.tolist(), np.float64) for side in (a, b))
         names, code = np.unique(b.g, return_inverse=True)
-        total = d @ np.eye(len(names))[code]
+        member, parts = np.eye(len(names))[code], []
+        for k in range(0, len(x), 256):
+            d = np.sqrt(squared_distances(x[k : k + 256], y))
+            d[a.uid.to_numpy()[k : k + 256, None] == b.uid.to_numpy()[None]] = 0
+            parts.append(d @ member)
+        total = np.vstack(parts)
         return pd.DataFrame({"uid": np.repeat(a.uid.to_numpy(), len(names)), "g": np.repeat(a.g.to_numpy(), len(names)), "other": np.tile(names, len(a)), "total": total.ravel(), "n": np.tile(np.bincount(code), len(a))})
 
     sums = both.groupBy("i", "j").applyInPandas(run, "uid long, g int, other int, total double, n long").groupBy("uid", "g", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import queries as core
 from corpusloom.functions import marks
+from corpusloom.operators import cluster as C
 from corpusloom.operators import readings as R
 from corpusloom.queries import reading
 
@@ -106,3 +108,18 @@ def test_counts_of_one_task_are_merged(monkeypatch):
     assert {(r["word"], r["context"], r["pattern"]): r["n"] for r in got.to_pylist()} == want and len(got) == 6
     assert sum(got["held"].to_pylist()) == 125
     assert R._counted(iter([]), ["word"], True) is None
+
+
+def test_blocks_of_silhouettes_grow():
+    """Each row is copied once for each block, of which there were n / 2,048."""
+    assert [C.silhouette_blocks(n) for n in (0, 2048, 20_000, 600_000, 3_000_000)] == [1, 1, 10, 24, 92]
+
+
+def test_silhouette_of_rows_in_parts(spark):
+    """More than 256 rows a block, in one block and in several, against the plain function."""
+    rng = np.random.default_rng(3)
+    x, g = rng.normal(size=(700, 4)), rng.integers(0, 3, 700)
+    rows = spark.createDataFrame([(int(k), int(c), v.tolist()) for k, (v, c) in enumerate(zip(x, g))], "uid long, g int, v array<double>")
+    for block in (2048, 300):
+        got = C.exact_silhouette(rows, "g", "v", "uid", block).first()
+        assert got.n == 700 and abs(got.silhouette - C.silhouette(x, g)) < 2e-6
