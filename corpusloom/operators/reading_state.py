@@ -1,7 +1,7 @@
 """A lexicon that is kept up to date: a mergeable state of the reading miner, to which batches of documents are added in any order.
 
 The state is a set of partial tables that add up: for each (word, pattern) its count, the first place it stands at and the form
-found there; for each (word, left, right, pattern) its count. Adding a batch writes its partial tables and then a new list of the
+found there; for each (word, left, right, pattern) its count, where left and right are hashes, 96 bits of both. Adding a batch writes its partial tables and then a new list of the
 tables that count; a batch that is added again under its name replaces itself, so a streaming batch that runs twice counts once.
 Compaction merges all tables into one. Words with more raw patterns than the gates allow can't come back, as patterns only grow,
 so their contexts are dropped then; that holds for the gates compacted with and for stricter ones.
@@ -62,7 +62,8 @@ class ReadingState:
             raise ValueError(f"batch {name} is merged already")
         folder = f"batch-{re.sub('[^A-Za-z0-9]', '-', name)}-{uuid.uuid4().hex[:8]}"
         R.pattern_counts(occ).write.parquet(f"{self.path}/{folder}/patterns")
-        R.contexts(occ).write.parquet(f"{self.path}/{folder}/contexts")
+        size = self.spark.read.parquet(f"{self.path}/{folder}/patterns").agg(F.sum("n")).first()[0] or 0
+        R.dealt_contexts(occ, size).write.parquet(f"{self.path}/{folder}/contexts")
         self._publish(before | {name: folder})
         if name in before:
             self._drop({before[name]})
@@ -73,7 +74,8 @@ class ReadingState:
         return rows.groupBy("word", "pattern").agg(F.sum("n").alias("n"), F.min(F.struct("first", "example")).alias("f")).select("word", "pattern", "n", "f.first", "f.example")
 
     def contexts(self) -> DataFrame:
-        return self._read("contexts").groupBy("word", "left", "right", "pattern").agg(F.sum("n").alias("n"))
+        """word, left, right, pattern, n over all batches; left and right are hashes. Rows are shuffled once, by context."""
+        return self._read("contexts").repartition("word", "left").groupBy("word", "left", "right", "pattern").agg(F.sum("n").alias("n"))
 
     def _read(self, kind: str) -> DataFrame:
         folders = sorted(set(self.tables().values()))

@@ -14,6 +14,7 @@ from corpusloom import queries as core
 from corpusloom.functions import marks
 from corpusloom.operators import cluster as C
 from corpusloom.operators import readings as R
+from corpusloom.operators.reading_state import ReadingState
 from corpusloom.queries import reading
 
 SF = "/root/testdata/sf0.001"
@@ -123,3 +124,14 @@ def test_silhouette_of_rows_in_parts(spark):
     for block in (2048, 300):
         got = C.exact_silhouette(rows, "g", "v", "uid", block).first()
         assert got.n == 700 and abs(got.silhouette - C.silhouette(x, g)) < 2e-6
+
+
+def test_state_keeps_contexts_as_hashes(spark, tmp_path):
+    """Contexts were kept as text, and shuffled by pattern before they were shuffled by context."""
+    state = ReadingState(spark, str(tmp_path / "state"))
+    occ = reading._occ(spark, SF)
+    state.add(occ.where("uid % 2 = 0"), "even")
+    state.add(occ.where("uid % 2 = 1"), "odd")
+    assert dict(state.contexts().dtypes)["left"] == "bigint"
+    assert plan(R.agreement(state.contexts())).count("Exchange hashpartitioning") == 2  # by context, by word
+    assert sorted(map(tuple, R.agreement(state.contexts()).collect())) == sorted(map(tuple, R.agreement(R.contexts(occ)).collect()))
