@@ -9,12 +9,11 @@ words: they are counted by pattern, or by context and pattern, and the counts ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +24,8 @@ from ..session import materialize, small_side
 WORDS = 200_000
 #: Occurrences that one task counts by context.
 ROWS_PER_TASK = 1_000_000
-#: Occurrences that are counted at once in Arrow.
-ROWS_PER_COUNT = 1_000_000
+#: Occurrences that are counted at once in Arrow, by the tasks that send them and by those that get them.
+ROWS_PER_BLOCK, ROWS_PER_COUNT = 1_000_000, 2_000_000
 BEGIN, FINISH = "<s>", "</s>"
 
 
@@ -56,6 +55,45 @@ def occurrences(sentences: DataFrame, tokens: Column, identity, pattern, form=No
     return rows.select("uid", *keep, "pos", *own, left.alias("left"), right.alias("right")).where("pattern is not null")
 
 
+@dataclass(frozen=True)
+class Texts:
+    """The arguments of occurrences(), for what need not make a row of each: pattern_counts() and dealt_shapes().
+
+    pattern defaults to the token. identity and pattern are used inside lambdas, so they are native expressions.
+    """
+
+    sentences: DataFrame
+    tokens: Column
+    identity: Callable[[Column], Column]
+    pattern: Callable[[Column], Column] | None = None
+    form: Callable[[Column], Column] | None = None
+    keep: tuple[str, ...] = ()
+
+    def _pattern(self, token: Column) -> Column:
+        return self.pattern(token) if self.pattern else token
+
+    def occurrences(self) -> DataFrame:
+        return occurrences(self.sentences, self.tokens, self.identity, self._pattern, self.form, self.keep)
+
+    def forms(self, *counts: Column) -> DataFrame:
+        """word, pattern, form and counts of each token, whose word, pattern and form are made once; a form may have several tokens."""
+        rows = self.sentences.select("uid", *self.keep, F.posexplode_outer(self.tokens).alias("pos", "t")).where("pos is not null")
+        token = F.col("t")
+        counted = rows.groupBy("t").agg(F.count("*").alias("n"), _first(rows).alias("first"), *counts)
+        own = [self.identity(token).alias("word"), self._pattern(token).alias("pattern"), (self.form(token) if self.form else token).alias("form")]
+        return counted.select(*own, *counted.columns[1:]).where("pattern is not null")
+
+    def hashes(self, *more: Column) -> DataFrame:
+        """words, patterns and more columns of each text: 64 bits of its tokens' words, with both ends, and of their patterns.
+
+        Null texts stay: a filter would move below and cut each text again.
+        """
+        ends = [F.array(F.xxhash64(F.lit(e))) for e in (BEGIN, FINISH)]
+        words = F.concat(ends[0], F.transform("ts", lambda t: F.xxhash64(self.identity(t))), ends[1])
+        patterns = F.transform("ts", lambda t: F.when(self._pattern(t).isNotNull(), F.xxhash64(self._pattern(t))))
+        return self.sentences.select(self.tokens.alias("ts"), *self.keep).select(words.alias("words"), patterns.alias("patterns"), *more)
+
+
 def _place(occ: DataFrame) -> Column:
     """uid and pos as one number, which a hash aggregate can hold; uids that aren't whole numbers stay a struct."""
     if isinstance(occ.schema["uid"].dataType, T.IntegralType):
@@ -63,6 +101,15 @@ def _place(occ: DataFrame) -> Column:
     return F.struct("uid", "pos")
 
 
+def _first(occ: DataFrame) -> Column:
+    """The least _place(); of uids that leave room for it a long is compared, as long decimals are objects."""
+    if not isinstance(occ.schema["uid"].dataType, T.IntegralType):
+        return F.min(_place(occ))
+    uid, whole = F.col("uid").cast("long"), "decimal(32,0)"
+    near = uid.between(-(1 << 32), (1 << 32) - 1)
+    return F.least(F.min(F.when(near, F.shiftleft(uid, 31) + F.col("pos"))).cast(whole), F.min(F.when(~near, _place(occ))).cast(whole))
+
+
 def contexts(occ: DataFrame) -> DataFrame:
     """word, left, right, pattern, n: counts of each pattern in each context."""
     return occ.groupBy("word", "left", "right", "pattern").agg(F.count("*").alias("n"))
@@ -88,8 +135,11 @@ def context_shapes(counted: DataFrame, *more: str) -> DataFrame:
     return rows.groupBy("word", "shape").agg(F.count("*").alias("contexts"))
 
 
-def _counted(batches: Iterator[pa.RecordBatch], keys: list[str], held: bool) -> pa.Table:
-    """Rows by keys with their number n, and the number of held ones; what is counted is merged, so equal rows don't pile up."""
+def _counted(batches: Iterator[pa.RecordBatch], keys: list[str], held: bool, rest: bool = True) -> pa.Table:
+    """Rows by keys with their number n, and the number of held ones; what is counted is merged, so equal rows don't pile up.
+
+    Batches that have n are counts already. Without rest, rows that came after the last merge may equal others.
+    """
     sums = [("n", "sum")] + [("held", "sum")] * held
     names = ["n"] + ["held"] * held
 
@@ -100,29 +150,118 @@ def _counted(batches: Iterator[pa.RecordBatch], keys: list[str], held: bool) ->
     whole, waiting, n = [], [], 0
     for b in batches:
         t = pa.Table.from_batches([b])
-        waiting.append(t.append_column("n", pa.array(np.ones(len(t), np.int64))))
+        waiting.append(t if "n" in t.column_names else t.append_column("n", pa.array(np.ones(len(t), np.int64))))
         n += len(t)
         if n >= ROWS_PER_COUNT:
             whole, waiting, n = [*whole, merged(waiting)], [], 0
             if sum(map(len, whole[1:])) > len(whole[0]):  # sizes double, so a row is merged a few times only
                 whole = [merged(whole)]
+    if not rest:
+        return pa.concat_tables(whole + waiting) if whole or waiting else None
     whole += [merged(waiting)] if waiting else []
     return merged(whole) if len(whole) > 1 else whole[0] if whole else None
 
 
+def _mixed(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """64 bits of word and context."""
+    mixed = (word * np.int64(-7046029254386353131) ^ context) * np.int64(-4417276706812531889)
+    return mixed ^ ((mixed >> np.int64(32)) & np.int64(0xFFFFFFFF))
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it."""
+    return np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)]
+
+
+def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, context, pattern and maybe held of each occurrence of Texts.hashes()."""
+    for b in batches:
+        b = b.filter(b["patterns"].is_valid())
+        lengths, pattern = b["patterns"].value_lengths().to_numpy(), b["patterns"].flatten()
+        words = b["words"].flatten().to_numpy()
+        at = np.arange(len(pattern)) + 2 * np.repeat(np.arange(len(lengths)), lengths) + 1  # each text has two ends
+        held = {"held": np.repeat(b["held"].to_numpy(), lengths)} if "held" in b.schema.names else {}
+        rows = pa.RecordBatch.from_pydict({"word": words[at], "context": _mixed(words[at - 1], words[at + 1]), "pattern": pattern, **held})
+        yield from _cut(rows.filter(pattern.is_valid()) if pattern.null_count else rows, ROWS_PER_BLOCK)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows (word, context, pattern and maybe held) as one row for each part and million of rows; equal ones are counted.
+
+    All rows of a word and context have one part, by the first bits of their number.
+    """
+
+    def block(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(waiting)
+        cols = {c: t[c].to_numpy() for c in t.column_names}
+        number = (_mixed(cols["word"], cols["context"]) & np.int64(~0xFFFF)) | (cols["pattern"] & np.int64(0xFFFF))  # equal rows stand together
+        order = np.argsort(number)
+        cols, number = {c: v[order] for c, v in cols.items()}, number[order]
+        start = np.flatnonzero(_changes(cols["word"], cols["context"], cols["pattern"]))
+        part = ((((number[start] >> np.int64(32)) + (1 << 31)) * parts) >> 32).astype(np.int32)
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        offsets = pa.array(np.r_[first, len(start)].astype(np.int32))
+        sums = {"n": np.diff(np.r_[start, len(number)])} | ({"held": np.add.reduceat(cols["held"], start)} if "held" in cols else {})
+        lists = {c: pa.ListArray.from_arrays(offsets, pa.array(v)) for c, v in ({c: cols[c][start] for c in ("word", "context", "pattern")} | sums).items()}
+        return pa.RecordBatch.from_pydict({"part": pa.array(part[first]), **lists})
+
+    waiting, n = [], 0
+    for b in batches:
+        waiting.append(b)
+        n += len(b)
+        if n >= ROWS_PER_BLOCK:
+            yield from _cut(block(waiting), 1000)
+            waiting, n = [], 0
+    if n:
+        yield from _cut(block(waiting), 1000)
+
+
+def _cut(whole: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    return (whole.slice(k, size) for k in range(0, len(whole), size))
+
+
+def _unblocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of _blocks()."""
+    for b in batches:
+        yield pa.RecordBatch.from_pydict({c: b[c].flatten() for c in b.schema.names if c != "part"})
+
+
 def _shape_batches(batches: Iterator[pa.RecordBatch], held: bool) -> Iterator[pa.RecordBatch]:
     """word, shape, contexts of the rows of one task, which holds all rows of its contexts."""
-    t = _counted(batches, ["word", "context", "pattern"], held)
+    t = _counted(_unblocked(batches), ["word", "context", "pattern"], held, rest=False)
     if t is None:
         return
-    t = t.set_column(2, "pattern", pc.coalesce(t["pattern"], t["word"]))
-    t = t.take(np.lexsort([t[c].to_numpy() for c in ("pattern", "context", "word")])).combine_chunks()
-    word, context, n = (t[c].to_numpy() for c in ("word", "context", "n"))
-    start = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])])
-    size = np.diff(np.r_[start, len(n)])
-    wanted = np.add.reduceat(n, start) > 1
+    names = ["n"] + ["held"] * held
+    cols = {c: t[c].to_numpy() for c in ("word", "context", "pattern", *names)}
+
+    def kept(rows: np.ndarray) -> None:
+        cols.update({c: v[rows] for c, v in cols.items()})
+
+    number = _mixed(cols["word"], cols["context"])
+    order = np.argsort(number)
+    kept(order)
+    new, one = _changes(number[order]), _changes(cols["word"], cols["context"])
+    if (one & ~new).any():  # two contexts with one number
+        kept(np.lexsort([cols["context"], cols["word"]]))
+        new = _changes(cols["word"], cols["context"])
+    start = np.flatnonzero(new)
+    wanted = np.add.reduceat(cols["n"], start) > 1
     if held:
-        wanted |= np.add.reduceat(t["held"].to_numpy(), start) > 0
+        wanted |= np.add.reduceat(cols["held"], start) > 0
+    if not wanted.any():
+        return
+    at = np.cumsum(new) - 1
+    chosen = np.flatnonzero(wanted[at])  # most contexts stand once
+    kept(chosen)
+    at = at[chosen]
+    order = np.lexsort([cols["pattern"], at])
+    kept(order)
+    at = at[order]
+    start = np.flatnonzero(_changes(at, cols["pattern"]))
+    sums = {c: np.add.reduceat(cols[c], start) for c in names}
+    t = pa.table({"word": cols["word"][start], "pattern": cols["pattern"][start], **sums})
+    start = np.flatnonzero(_changes(at[start]))
+    size = np.diff(np.r_[start, len(t)])
     fields = ["pattern", "n"] + ["held"] * held
 
     def rows(parts: pa.Table, sizes: np.ndarray, contexts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -131,26 +270,30 @@ def _shape_batches(batches: Iterator[pa.RecordBatch], held: bool) -> Iterator[pa
         whole = pa.table({"word": parts["word"].take(offsets[:-1]), "shape": pa.ListArray.from_arrays(pa.array(offsets), shape), "contexts": contexts})
         yield from whole.to_batches(max_chunksize=10_000)
 
-    alone = t.take(start[wanted & (size == 1)]).group_by(["word", *fields], use_threads=False).aggregate([([], "count_all")])
+    alone = t.take(start[size == 1]).group_by(["word", *fields], use_threads=False).aggregate([([], "count_all")])
     if len(alone):
         yield from rows(alone, np.ones(len(alone), np.int64), alone["count_all"].to_numpy())
-    several = wanted & (size > 1)
+    several = size > 1
     if several.any():
         yield from rows(t.filter(pa.array(np.repeat(several, size))), size[several], np.ones(several.sum(), np.int64))
 
 
-def dealt_shapes(occ: DataFrame, size: int, held: str | None = None) -> DataFrame:
+def dealt_shapes(occ: DataFrame | Texts, size: int, held: str | None = None) -> DataFrame:
     """word, shape, contexts as context_shapes() has them, of the contexts that stand twice or more or have held occurrences.
 
     Words and patterns are 64 bits of their hashes, a context is its word and 64 bits of a hash of its neighbours. Occurrences are
-    shuffled once, by context; each task counts its own in Arrow. Equal shapes of several tasks stay rows of their own. held names a
-    boolean column.
+    counted by the million and shuffled once, by context, in blocks of those that go to one task; each task counts its own in Arrow.
+    Equal shapes of several tasks stay rows of their own. held names a boolean column.
     """
-    pattern = F.when(F.col("pattern") != F.col("word"), F.xxhash64("pattern"))  # most patterns are their words and move as null
     more = [F.col(held).cast("long").alias("held")] if held else []
-    rows = occ.select(F.xxhash64("word").alias("word"), F.xxhash64("left", "right").alias("context"), pattern.alias("pattern"), *more)
+    parts, columns = max(8, -(-size // ROWS_PER_TASK)), ["word", "context", "pattern", "n"] + ["held"] * len(more)
+    if isinstance(occ, Texts):
+        rows, each = occ.hashes(*more), _text_rows
+    else:
+        rows, each = occ.select(F.xxhash64("word").alias("word"), F.xxhash64("left", "right").alias("context"), F.xxhash64("pattern").alias("pattern"), *more), iter
+    blocks = rows.mapInArrow(lambda batches: _blocks(each(batches), parts), ", ".join(["part int", *[f"{c} array<long>" for c in columns]]))
     made = f"word long, shape array<struct<pattern: long, n: long{', held: long' if held else ''}>>, contexts long"
-    return rows.repartition(max(8, -(-size // ROWS_PER_TASK)), "word", "context").mapInArrow(lambda batches: _shape_batches(batches, held is not None), made)
+    return blocks.repartitionById(parts, F.col("part")).mapInArrow(lambda batches: _shape_batches(batches, held is not None), made)
 
 
 def named_shapes(shapes: DataFrame, patterns: DataFrame, *more: str) -> DataFrame:
@@ -182,13 +325,19 @@ def agreement_of(ctx: DataFrame) -> DataFrame:
     return got.select("word", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"), F.coalesce(F.col("n_agree") / F.col("n_repeated"), F.lit(1.0)).alias("agreement"))
 
 
-def pattern_counts(occ: DataFrame, **more: tuple) -> DataFrame:
+def pattern_counts(occ: DataFrame | Texts, **more: tuple) -> DataFrame:
     """word, pattern, n, first, example: how often each pattern stands, its first place and the form found there.
 
     Forms are counted first, as a hash aggregate can't hold a form, and their counts are merged. more has other aggregates by name, each
     with the function that merges its parts.
     """
-    forms = occ.groupBy("word", "pattern", "form").agg(F.count("*").alias("n"), F.min(_place(occ)).alias("first"), *[a.alias(k) for k, (a, _) in more.items()])
+    counts = [a.alias(k) for k, (a, _) in more.items()]
+    if isinstance(occ, Texts):
+        forms = occ.forms(*counts)
+        if not (occ.pattern or occ.form):  # each pattern is one token
+            return forms.withColumnRenamed("form", "example").select("word", "pattern", "n", "first", "example", *more)
+    else:
+        forms = occ.groupBy("word", "pattern", "form").agg(F.count("*").alias("n"), _first(occ).alias("first"), *counts)
     rows = forms.groupBy("word", "pattern").agg(F.sum("n").alias("n"), F.min(F.struct("first", "form")).alias("f"), *[merge(k).alias(k) for k, (_, merge) in more.items()])
     return rows.select("word", "pattern", "n", "f.first", F.col("f.form").alias("example"), *more)
 
@@ -212,7 +361,7 @@ def _disagreeing(agreed: DataFrame, gates: Gates) -> DataFrame:
     return agreed.where((F.col("n_repeated") >= 2) & (F.col("n_agree") / F.col("n_repeated") < gates.min_context_agreement)).select("word")
 
 
-def readings(occ: DataFrame, gates: Gates = Gates(), **more: tuple) -> tuple[DataFrame, DataFrame]:
+def readings(occ: DataFrame | Texts, gates: Gates = Gates(), **more: tuple) -> tuple[DataFrame, DataFrame]:
     """The patterns that pass all gates but that of contexts, and all pattern_counts(); both are written tables."""
     patterns = materialize(pattern_counts(occ, **more), "patterns")
     return materialize(gated(patterns, gates, "example"), "readings"), patterns
@@ -222,7 +371,7 @@ def _occurrences_of(patterns: DataFrame) -> int:
     return patterns.agg(F.sum("n")).first()[0] or 0
 
 
-def mine(occ: DataFrame, gates: Gates = Gates()) -> DataFrame:
+def mine(occ: DataFrame | Texts, gates: Gates = Gates()) -> DataFrame:
     """word, code, pattern, n, example, total: the lexicon in long form, a written table with a row for each reading that passes the gates.
 
     Two passes over the texts. The first counts (word, pattern), combined on the map side. The second counts contexts and shuffles
@@ -231,13 +380,13 @@ def mine(occ: DataFrame, gates: Gates = Gates()) -> DataFrame:
     return mine_with_patterns(occ, gates)[0]
 
 
-def mine_with_patterns(occ: DataFrame, gates: Gates = Gates(), **more: tuple) -> tuple[DataFrame, DataFrame]:
+def mine_with_patterns(occ: DataFrame | Texts, gates: Gates = Gates(), **more: tuple) -> tuple[DataFrame, DataFrame]:
     """mine() and the pattern_counts() of the same two passes, with more aggregates."""
     kept, patterns = readings(occ, gates, **more)
     return agreeing(kept, shapes_agreement(dealt_shapes(occ, _occurrences_of(patterns))), gates), patterns
 
 
-def mine_with_shapes(occ: DataFrame, held: str | None = None, gates: Gates = Gates()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mine_with_shapes(occ: DataFrame | Texts, held: str | None = None, gates: Gates = Gates()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """mine(), the dealt_shapes() and the pattern_counts() of the same two passes, these with the number of held ones; all are written tables."""
     kept, patterns = readings(occ, gates, **({"held": (F.count_if(held), F.sum)} if held else {}))
     shapes = materialize(dealt_shapes(occ, _occurrences_of(patterns), held), "shapes")

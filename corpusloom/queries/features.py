@@ -11,7 +11,7 @@ from ..operators import features as X
 from ..operators import numeric as N
 from ..operators import sequences as S
 from ..session import read_table
-from .reading import _occ, _sql
+from .reading import _sql, _texts
 from ..operators import readings as R
 
 
@@ -98,7 +98,7 @@ def sampled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def guarded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the words of the first benchmark texts, those that the lexicon calls ambiguous."""
     want = read_table(spark, sf_dir, "benchmark").select(F.explode(chars.words(F.col("text"))).alias("t")).select(chars.fold_latin(F.col("t")).alias("word")).distinct()
-    lex = R.mine(_occ(spark, sf_dir)).groupBy("word").agg(F.count("*").alias("n_codes")).where("n_codes > 1")
+    lex = R.mine(_texts(spark, sf_dir)).groupBy("word").agg(F.count("*").alias("n_codes")).where("n_codes > 1")
     return lex.join(want, "word", "left_semi")
 
 

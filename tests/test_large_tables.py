@@ -111,6 +111,61 @@ def test_counts_of_one_task_are_merged(monkeypatch):
     assert R._counted(iter([]), ["word"], True) is None
 
 
+def _shapes(rows):
+    """How many contexts of each word have which counts."""
+    at = Counter()
+    for batch in rows:
+        for r in batch.to_pylist():
+            at[r["word"], tuple(sorted((x["pattern"], x["n"]) for x in r["shape"]))] += r["contexts"]
+    return at
+
+
+def test_first_pass_counts_tokens(spark):
+    """Word, pattern and form were made for each occurrence, and their counts were sorted, as a hash aggregate holds no strings."""
+    assert "SortAggregate" not in plan(R.pattern_counts(reading._texts(spark, SF)))
+    far = 1 << 40
+    docs = spark.createDataFrame([(far, "b A a"), (-far, "x b"), (5, "A a A x9"), (-7, "a B")], "uid long, text string")
+    skip = lambda t: F.when(~t.contains("9"), F.lower(t))
+    for pattern, form in ((None, None), (skip, None), (None, F.upper), (skip, F.upper)):
+        texts = R.Texts(docs, F.split("text", " "), F.lower, pattern, form)
+        got, want = (sorted(map(tuple, R.pattern_counts(o, low=(F.min("uid"), F.min)).collect()), key=str) for o in (texts, texts.occurrences()))
+        assert got == want and len(got) in (3, 6)
+    assert {r.pattern: r.first for r in R.pattern_counts(R.Texts(docs, F.split("text", " "), F.lower)).collect()} == {"b": (-far << 31) + 1, "A": 5 << 31, "a": -7 << 31, "x": -far << 31, "x9": (5 << 31) + 3, "B": (-7 << 31) + 1}
+
+
+def test_contexts_of_texts_equal_those_of_rows(spark):
+    """Each occurrence was a row of its own, which is moved alone."""
+    docs = spark.createDataFrame([(k, None if k == 7 else "" if k == 8 else " ".join("aAbB9"[(k * j) % 5] for j in range(k % 13))) for k in range(400)], "uid long, text string")
+    texts = R.Texts(docs, F.filter(F.split("text", ""), lambda c: c != " "), F.lower, lambda t: F.when(t != "9", t), None, ())
+    got, want = (_shapes([R.dealt_shapes(o, 2000).toArrow()]) for o in (texts, texts.occurrences()))
+    assert got == want and len(got) > 20
+    assert plan(R.dealt_shapes(reading._texts(spark, SF), 2000)).split("FileScan")[0].count("regexp_extract_all") == 1
+    assert plan(R.dealt_shapes(texts, 2000)).count("Exchange") == 1 and "Generate" not in plan(R.dealt_shapes(texts, 2000))
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_blocks_hold_each_context_once(monkeypatch, collide):
+    """A context that stands a million times was a million rows of one task; contexts of one number stay apart."""
+    if collide:
+        monkeypatch.setattr(R, "_mixed", lambda word, context: word * 0)
+    rows = [(k % 3, 7 + k % 2, k % 5 // 4, int(k % 4 == 0)) for k in range(600)]
+    whole = pa.table({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(("word", "context", "pattern", "held"))})
+    blocks = list(R._blocks(iter(whole.to_batches(max_chunksize=70)), 9))
+    moved = Counter()
+    for b in blocks:
+        for r in b.to_pylist():
+            for w, c, p, n, h in zip(*(r[x] for x in ("word", "context", "pattern", "n", "held")), strict=True):
+                moved[w, c, p] += n
+                assert 0 <= r["part"] < 9 and h <= n
+    assert moved == Counter(r[:3] for r in rows) and (collide or sum(len(x) for b in blocks for x in b["word"]) == 12)
+    got, want = _shapes(R._shape_batches(iter(blocks), True)), Counter()
+    for w in range(3):
+        for c in (7, 8):
+            want[w, tuple(sorted(((p, moved[w, c, p]) for p in (0, 1))))] += 1
+    assert got == want
+    assert list(R._shape_batches(iter([]), False)) == []
+
+
 def test_blocks_of_silhouettes_grow():
     """Each row is copied once for each block, of which there were n / 2,048."""
     assert [C.silhouette_blocks(n) for n in (0, 2048, 20_000, 600_000, 3_000_000)] == [1, 1, 10, 24, 92]
