@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,7 +92,7 @@ class Texts:
         ends = [F.array(F.xxhash64(F.lit(e))) for e in (BEGIN, FINISH)]
         words = F.concat(ends[0], F.transform("ts", lambda t: F.xxhash64(self.identity(t))), ends[1])
         patterns = F.transform("ts", lambda t: F.when(self._pattern(t).isNotNull(), F.xxhash64(self._pattern(t))))
-        return self.sentences.select(self.tokens.alias("ts"), *self.keep).select(words.alias("words"), patterns.alias("patterns"), *more)
+        return self.sentences.select("uid", self.tokens.alias("ts"), *self.keep).select(words.alias("words"), patterns.alias("patterns"), *more)
 
 
 def _place(occ: DataFrame) -> Column:
@@ -185,6 +186,28 @@ def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _cut(rows.filter(pattern.is_valid()) if pattern.null_count else rows, ROWS_PER_BLOCK)
 
 
+def _first_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """word, pattern, uid, pos of the first k occurrences of each pattern of each word in a batch of Texts.hashes()."""
+    for b in batches:
+        b = b.filter(b["patterns"].is_valid())
+        lengths, pattern = b["patterns"].value_lengths().to_numpy(), b["patterns"].flatten()
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        at = np.arange(len(pattern))
+        word = b["words"].flatten().to_numpy()[at + 2 * doc + 1]
+        pos = at - (np.cumsum(lengths) - lengths)[doc]
+        if pattern.null_count:
+            chosen = np.flatnonzero(pattern.is_valid())
+            doc, word, pos, pattern = doc[chosen], word[chosen], pos[chosen], pattern.drop_null()
+        pattern = pattern.to_numpy()
+        place = (pc.rank(b["uid"], tiebreaker="dense").to_numpy().astype(np.int64)[doc] << 31) + pos
+        order = np.lexsort([place, _mixed(word, pattern)])  # patterns of one number may be cut by each other, into more rows
+        new = np.flatnonzero(_changes(word[order], pattern[order]))
+        size = np.diff(np.r_[new, len(order)])
+        order = order[np.arange(len(order)) - np.repeat(new, size) < k]
+        rows = {"word": word[order], "pattern": pattern[order], "uid": b["uid"].take(pa.array(doc[order])), "pos": pos[order].astype(np.int32)}
+        yield from pa.Table.from_pydict(rows).to_batches(max_chunksize=10_000)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Rows (word, context, pattern and maybe held) as one row for each part and million of rows; equal ones are counted.
 
@@ -418,6 +441,18 @@ def labels(occ: DataFrame, lexicon: DataFrame) -> DataFrame:
     return occ.join(small_side(materialize(several, "ambiguous"), WORDS), "word").select("uid", "pos", "word", code.alias("code"))
 
 
+def first_places(texts: Texts, lexicon: DataFrame, k: int) -> DataFrame:
+    """word, code, k, uid, pos: the first k occurrences of each code of each ambiguous word, which is found by 64 bits of its and its pattern's hash.
+
+    Each task keeps k of a pattern in a batch, so of frequent words little is shuffled.
+    """
+    schema = f"word long, pattern long, uid {texts.sentences.schema['uid'].dataType.simpleString()}, pos int"
+    rows = texts.hashes(F.col("uid")).mapInArrow(lambda batches: _first_rows(batches, k), schema).withColumnsRenamed({"word": "w", "pattern": "p"})
+    several = lexicon.select("word", "code", F.xxhash64("word").alias("w"), F.xxhash64("pattern").alias("p"), F.count("*").over(Window.partitionBy("word")).alias("codes")).where("codes > 1")
+    order = F.row_number().over(Window.partitionBy("w", "p").orderBy("uid", "pos"))
+    return rows.join(several, ["w", "p"]).withColumn("k", order).where(F.col("k") <= k).select("word", "code", "k", "uid", "pos")
+
+
 def nested(lexicon: DataFrame) -> DataFrame:
     """A row for each word: patterns, counts and examples by code."""
     rows = lexicon.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("code", "pattern", "n", "example"))).alias("r"), F.first("total").alias("total"))

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom import queries as core
@@ -143,6 +144,25 @@ def test_contexts_of_texts_equal_those_of_rows(spark):
     assert plan(R.dealt_shapes(texts, 2000)).count("Exchange") == 1 and "Generate" not in plan(R.dealt_shapes(texts, 2000))
 
 
+def test_concordance_sorts_no_occurrences(spark, monkeypatch):
+    """All occurrences were sorted by word, pattern and place in each task, to find the first ones."""
+    docs = spark.createDataFrame([(f"d{k * 7919 % 300}", None if k == 7 else " ".join("aAbB9"[(k * j) % 5] for j in range(k % 13))) for k in range(300)], "uid string, text string")
+    texts = R.Texts(docs.repartition(3), F.split("text", " "), F.lower, lambda t: F.when(~t.isin("9", ""), t))
+    lexicon = spark.createDataFrame([("a", "a", 0), ("a", "A", 1), ("b", "b", 0)], "word string, pattern string, code int")
+    order = Window.partitionBy("word", "pattern").orderBy("uid", "pos")
+    ranked = texts.occurrences().withColumn("k", F.row_number().over(order)).where("k <= 4 and word = 'a'")
+    want = sorted((r.word, "aA".index(r.pattern), r.k, r.uid, r.pos) for r in ranked.collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = R.first_places(texts, lexicon, 4)
+        assert sorted(map(tuple, got.collect())) == want and len(want) == 8
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    same = pa.record_batch({"words": [[0, 5, 5, 5, 9]] * 4, "patterns": [[5, 6, 5]] * 4, "uid": [3, 1, 1, 2]})
+    got = [tuple(r.values()) for b in R._first_rows(iter([same]), 3) for r in b.to_pylist()]
+    assert sorted(got) == [(5, 5, 1, 0), (5, 5, 1, 0), (5, 5, 1, 2), (5, 6, 1, 1), (5, 6, 1, 1), (5, 6, 2, 1)]
+
+
 @pytest.mark.parametrize("collide", [False, True])
 def test_blocks_hold_each_context_once(monkeypatch, collide):
     """A context that stands a million times was a million rows of one task; contexts of one number stay apart."""
