@@ -186,6 +186,29 @@ def test_blocks_hold_each_context_once(monkeypatch, collide):
     assert list(R._shape_batches(iter([]), False)) == []
 
 
+def test_blocks_are_packed_for_the_writer():
+    """The writer of more than 200 parts holds what a task sends in memory: 40 bytes for an occurrence with its counts."""
+    rng = np.random.default_rng(5)
+    word = rng.zipf(1.3, 200_000) % 30_000 * np.int64(7046029254386353131)
+    context = rng.integers(-(1 << 62), 1 << 62, len(word))
+    context[:20_000], word[:20_000] = context[20_000:40_000], word[20_000:40_000]  # these stand twice
+    context[:300], word[:300] = 3, word[0]  # and these 300 times
+    rows = pa.record_batch({"word": word, "context": context, "pattern": np.where(rng.random(len(word)) < 0.2, ~word, word), "held": (rng.random(len(word)) < 0.08).astype(np.int64)})
+
+    def by_part(blocks):
+        return [(p, sorted(zip(*x, strict=True))) for b in blocks for p, *x in zip(*(b[c].to_pylist() for c in ("part", "word", "context", "pattern", "n", "held")), strict=True)]
+
+    for held in (True, False):
+        blocks = list(R._blocks(iter([rows if held else rows.drop_columns(["held"])]), 300))
+        packed = list(R._packed(iter(blocks)))
+        assert sum(b.nbytes for b in packed) < 0.45 * sum(b.nbytes for b in blocks) and packed[0].num_rows == blocks[0].num_rows
+        back = list(R._unpacked(iter(packed)))
+        assert back[0].schema.names == blocks[0].schema.names and _shapes(R._shape_batches(iter(back), held)) == _shapes(R._shape_batches(iter(blocks), held))
+        if held:
+            assert by_part(back) == by_part(blocks) and max(back[0]["n"].flatten().to_pylist()) > 100
+    assert list(R._packed(iter([]))) == list(R._unpacked(iter([]))) == []
+
+
 def test_blocks_of_silhouettes_grow():
     """Each row is copied once for each block, of which there were n / 2,048."""
     assert [C.silhouette_blocks(n) for n in (0, 2048, 20_000, 600_000, 3_000_000)] == [1, 1, 10, 24, 92]
