@@ -87,8 +87,8 @@ def word_identity(word: Column) -> Column:
 
 def fold_latin(word: Column) -> Column:
     """Latin counterpart of word_identity: lower case without accents."""
-    low = F.lower(word)
-    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, ACCENTED, PLAIN))  # ASCII has no accents
+    low = F.lower(word)  # named in each branch once, as lambdas evaluate every mention
+    return F.when(F.octet_length(word) == F.length(word), low).otherwise(F.translate(low, ACCENTED, PLAIN))  # ASCII has no accents
 
 
 def strip_junk(text: Column) -> Column:

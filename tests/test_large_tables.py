@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom import queries as core
-from corpusloom.functions import marks
+from corpusloom.functions import chars, marks
 from corpusloom.operators import cluster as C
 from corpusloom.operators import readings as R
 from corpusloom.operators.reading_state import ReadingState
@@ -209,6 +209,16 @@ def test_blocks_are_packed_for_the_writer():
     assert list(R._packed(iter([]))) == list(R._unpacked(iter([]))) == []
 
 
+def test_identity_lowers_a_word_once_for_each_branch(spark):
+    """Lambdas evaluate every mention, of which there were four."""
+    words = ["ABC", "Émile", "straße", "İx", "\u212aelvin", "", "ÀÿŸ9", None, "ﬁN"]  # a Kelvin sign is lowered to ASCII
+    rows = spark.createDataFrame([(w,) for w in words], "t string")
+    own, low = F.transform(F.array("t"), chars.fold_latin)[0], F.lower("t")
+    before = F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, chars.ACCENTED, chars.PLAIN))
+    assert all(r.a == r.b for r in rows.select(own.alias("a"), before.alias("b")).collect())
+    assert plan(rows.select(chars.fold_latin(F.col("t")).alias("x"))).count("lower(") == 2
+
+
 def test_blocks_of_silhouettes_grow():
     """Each row is copied once for each block, of which there were n / 2,048."""
     assert [C.silhouette_blocks(n) for n in (0, 2048, 20_000, 600_000, 3_000_000)] == [1, 1, 10, 24, 92]
