@@ -8,6 +8,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,6 +155,50 @@ def word_spans(text: Column) -> Column:
     return F.arrow_udf(_spans, "array<struct<word:string,start:int,end:int>>")(text)
 
 
+def _numbers(texts: pa.Array) -> pa.Array:
+    held = [t or "" for t in texts.to_pylist()]
+    offsets = np.r_[0, np.cumsum([len(t) for t in held])].astype(np.int32)
+    numbers = np.full(offsets[-1], -1, np.int32)
+    for t, a, z in zip(held, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        inside = _in_words()[np.frombuffer(t.encode("utf-32-le"), np.uint32)]
+        np.copyto(numbers[a:z], np.cumsum(np.diff(inside.astype(np.int8), prepend=0) == 1, dtype=np.int32) - 1, where=inside)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(numbers), mask=texts.is_null())
+
+
+def _in_slices(df: DataFrame, column: str, name: str, own, kind: str) -> DataFrame:
+    """df with own() of a column of texts in its place, taken of at most 1 MB of text, or one longer text, at a time."""
+
+    def run(batches):
+        for b in batches:
+            i = b.schema.get_field_index(column)
+            at, size = 0, 0
+            for k, n in enumerate(pc.binary_length(b.column(i)).fill_null(0).to_pylist()):
+                if k > at and size + n > 1 << 20:
+                    yield _replaced(b.slice(at, k - at), i, name, own)
+                    at, size = k, 0
+                size += n
+            if len(b):
+                yield _replaced(b.slice(at), i, name, own)
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" if f.name != column else f"{name} {kind}" for f in df.schema]
+    return df.mapInArrow(run, ", ".join(fields))
+
+
+def _replaced(b: pa.RecordBatch, i: int, name: str, own) -> pa.RecordBatch:
+    made = own(b.column(i))
+    return b.set_column(i, pa.field(name, made.type), made)
+
+
+def with_word_spans(df: DataFrame, column: str = "text") -> DataFrame:
+    """df with spans, the word_spans() of a column, in its place; a worker holds those of few texts at a time."""
+    return _in_slices(df, column, "spans", _spans, "array<struct<word:string,start:int,end:int>>")
+
+
+def with_word_numbers(df: DataFrame, column: str = "text") -> DataFrame:
+    """df with word_index in place of a column: for each character the number of the word it stands in, else -1, as vocab.word_index() of word_spans()."""
+    return _in_slices(df, column, "word_index", _numbers, "array<int>")
+
+
 def collapse_elongation(text: Column) -> Column:
     """Four or more of a character in a row become two (digits too)."""
     return F.regexp_replace(text, r"(.)\1{3,}", "$1$1")

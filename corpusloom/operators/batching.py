@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +15,11 @@ from .intervals import points_in_intervals
 
 #: Rows that one task ranks or sums up in order.
 ROWS_PER_BIN = 100_000
+#: Codes of characters that one Arrow batch holds.
+CODES_PER_BATCH = 1 << 22
+_PART = pa.struct([("size", pa.int32()), ("data", pa.binary())])
+#: Stands for a null word number in runs.
+_NONE = -(1 << 31)
 BOUNDARIES = [32, 64, 96, 128, 160, 200, 240]
 
 
@@ -108,10 +118,93 @@ def ragged_slices(buffer: DataFrame, offsets: DataFrame, uid: str) -> DataFrame:
     return offsets.select(uid, "length").join(found.hint("merge"), uid, "left").select(uid, values.alias("values"))
 
 
+def _shrunk(*columns: np.ndarray) -> bytes:
+    """Whole numbers of columns of one length, compressed: a sort holds what is moved, and sizes of partitions are sizes in memory."""
+    return pa.compress(np.concatenate(columns).astype("<i4"), codec="zstd", asbytes=True)
+
+
+def _grown(data: bytes, size: int, columns: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 4 * size * columns, codec="zstd"), "<i4").reshape(columns, size)
+
+
+def _steps(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether runs stand outside of words, and the step from one word to the next, which is small."""
+    outside, steps = words < 0, words.copy()
+    steps[~outside] = np.diff(words[~outside], prepend=0)
+    return outside, steps
+
+
+def _plan_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """uid, part: rows (uid, idx, code) of a plan that stand together and have one uid, as one."""
+    for b in batches:
+        if len(b):
+            uid, idx, none = b["uid"], b["idx"].to_numpy(zero_copy_only=False), b["code"].is_null().to_numpy(zero_copy_only=False)
+            code = b["code"].fill_null(0).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.r_[True, pc.not_equal(uid[1:], uid[:-1]).to_numpy(zero_copy_only=False)])
+            ends = zip(first.tolist(), [*first[1:].tolist(), len(b)], strict=True)
+            parts = [{"size": z - a, "data": _shrunk(np.diff(idx[a:z], prepend=0), code[a:z], none[a:z])} for a, z in ends]
+            yield pa.RecordBatch.from_arrays([uid.take(pa.array(first)), pa.array(parts, _PART)], ["uid", "part"])
+
+
+def _index_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """uid, runs of rows (uid, word_index): the runs of one word number, which are fewer than characters."""
+    for b in batches:
+        index, runs = b["word_index"], []
+        offsets, values = index.offsets.to_numpy(), index.values.fill_null(_NONE).to_numpy(zero_copy_only=False)
+        for k, null in enumerate(index.is_null().to_pylist()):
+            own = values[offsets[k] : offsets[k + 1]]
+            first = np.flatnonzero(np.r_[np.ones(min(1, len(own)), bool), own[1:] != own[:-1]])
+            runs.append(None if null else {"size": len(first), "data": _shrunk(*_steps(own[first]), np.diff(first, append=len(own)))})
+        yield pa.RecordBatch.from_arrays([b["uid"], pa.array(runs, _PART)], ["uid", "runs"])
+
+
+def _codes_of(runs: dict, parts: list[dict] | None, empty: int) -> tuple[np.ndarray, np.ndarray]:
+    """The code of each character, and whether it is null."""
+    outside, steps, lengths = _grown(runs["data"], runs["size"], 3)
+    words = steps.copy()
+    words[outside == 0] = np.cumsum(steps[outside == 0], dtype=np.int32)
+    code, none = np.full(len(words), empty, np.int32), words == _NONE
+    if parts:
+        plan = np.concatenate([np.vstack([np.cumsum(p[0], dtype=np.int32)[None], p[1:]]) for p in (_grown(x["data"], x["size"], 3) for x in parts)], axis=1)
+        plan = plan[:, np.argsort(plan[0], kind="stable")]
+        at = np.minimum(np.searchsorted(plan[0], words), plan.shape[1] - 1)
+        held = (plan[0][at] == words) & (words >= 0)
+        code, none = np.where(held, plan[1][at], code), none | (held & (plan[2][at] == 1))
+    return np.repeat(code, lengths), np.repeat(none, lengths)
+
+
+def _coded(batches: Iterator[pa.RecordBatch], empty: int) -> Iterator[pa.RecordBatch]:
+    """uid, codes of rows (uid, runs, parts), at most CODES_PER_BATCH codes, or one longer text, at a time."""
+
+    def batch(uid: pa.Array, held: list) -> pa.RecordBatch:
+        offsets = np.r_[0, np.cumsum([len(c) if c is not None else 0 for c, _ in held])].astype(np.int32)
+        some = [h for h in held if h[0] is not None]
+        values = pa.array(np.concatenate([c for c, _ in some]), pa.int32(), mask=np.concatenate([n for _, n in some])) if some else pa.array([], pa.int32())
+        codes = pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([c is None for c, _ in held]))
+        return pa.RecordBatch.from_arrays([uid, codes], ["uid", "codes"])
+
+    for b in batches:
+        held, size, at = [], 0, 0
+        for k in range(len(b)):
+            runs = b["runs"][k].as_py()
+            held.append((None, None) if runs is None else _codes_of(runs, b["parts"][k].as_py(), empty))
+            size += 0 if runs is None else len(held[-1][0])
+            if size >= CODES_PER_BATCH or k == len(b) - 1:
+                yield batch(b["uid"][at : k + 1], held)
+                held, size, at = [], 0, k + 1
+
+
 def plan_char_codes(plan: DataFrame, indexed: DataFrame, empty: int) -> DataFrame:
-    """uid, codes of rows (uid, word_index): for each character the code of its word if a plan (uid, idx, n_codes, code) gives it several, else empty."""
-    own = F.when(F.col("n_codes") > 1, F.col("code")).otherwise(F.lit(empty)).cast("int")
-    codes = plan.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("idx", own.alias("code")))).alias("c"))  # the words of one text
-    dense = F.transform(F.coalesce("c", F.array().cast(codes.schema["c"].dataType)), lambda x: x["code"])
+    """uid, codes of rows (uid, word_index): for each character the code of its word if a plan (uid, idx, n_codes, code) gives it several, else empty.
+
+    Words of the plan that stand together are one row before anything is grouped or sorted, and characters move as runs of one word:
+    a row for each word made each task sort all words of its texts, and characters took four bytes each.
+    """
+    kind = indexed.schema["uid"].dataType.simpleString()
+    own = plan.where("n_codes > 1 and uid is not null and idx is not null").select("uid", F.col("idx").cast("int"), F.col("code").cast("int"))
+    parts = own.mapInArrow(_plan_parts, f"uid {own.schema['uid'].dataType.simpleString()}, part struct<size: int, data: binary>")
+    parts = parts.groupBy("uid").agg(F.collect_list("part").alias("parts"))  # the words of one text
+    runs = indexed.select("uid", F.col("word_index").cast("array<int>")).mapInArrow(_index_runs, f"uid {kind}, runs struct<size: int, data: binary>")
     # the plan may be exploded, so Spark takes codes for small: they would all go through the driver
-    return indexed.join(codes.hint("merge"), "uid", "left").select("uid", words_to_chars(F.col("word_index"), dense, F.lit(empty)).alias("codes"))
+    met = runs.join(parts.hint("merge"), "uid", "left").select(runs["uid"], "runs", "parts")
+    return met.mapInArrow(lambda batches: _coded(batches, empty), f"uid {kind}, codes array<int>")

@@ -51,13 +51,13 @@ def label_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plan_char_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of the words of documents, by their lengths, on characters: how many characters have one, their sum and the last."""
-    docs = read_table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("uid"), "text", chars.word_spans(F.col("text")).alias("spans"))
+    docs = read_table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("uid"), "text")
     n = F.length("s.word")
-    plan = docs.select("uid", F.posexplode("spans").alias("idx", "s")).select("uid", "idx", (n % 3 + 1).alias("n_codes"), (n % 5).alias("code"))
-    got = B.plan_char_codes(plan, docs.select("uid", vocab.word_index(F.col("text"), F.col("spans")).alias("word_index")), 9)
-    coded = F.filter("codes", lambda c: c < 9)
-    total = F.aggregate(coded, F.lit(0).cast("long"), lambda acc, c: acc + c)
-    return got.select("uid", F.size("codes").alias("n"), F.size(coded).alias("n_coded"), total.alias("total"), F.element_at("codes", -1).alias("last"))
+    plan = chars.with_word_spans(docs).select("uid", F.posexplode_outer("spans").alias("idx", "s")).select("uid", "idx", (n % 3 + 1).alias("n_codes"), (n % 5).alias("code"))
+    got = B.plan_char_codes(plan, chars.with_word_numbers(docs), 9)
+    total = F.aggregate("coded", F.lit(0).cast("long"), lambda acc, c: acc + c)
+    got = got.select("*", F.filter("codes", lambda c: c < 9).alias("coded"))
+    return got.select("uid", F.size("codes").alias("n"), F.size("coded").alias("n_coded"), total.alias("total"), F.element_at("codes", -1).alias("last"))
 
 
 _PLAN_CODES = """with d as (select doc_id, length(text) as n, regexp_extract_all(text, '[\\p{L}\\p{N}]+') as ws, regexp_matches(text, '[\\p{L}\\p{N}]$') as inside from documents where text <> ''),

@@ -12,7 +12,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom import queries as core
-from corpusloom.functions import chars, marks
+from corpusloom.functions import chars, marks, vocab
+from corpusloom.operators import batching as B
 from corpusloom.operators import cluster as C
 from corpusloom.operators import readings as R
 from corpusloom.operators.reading_state import ReadingState
@@ -243,3 +244,39 @@ def test_state_keeps_contexts_as_hashes(spark, tmp_path):
     assert dict(state.contexts().dtypes)["left"] == "bigint"
     assert plan(R.agreement(state.contexts())).count("Exchange hashpartitioning") == 2  # by context, by word
     assert sorted(map(tuple, R.agreement(state.contexts()).collect())) == sorted(map(tuple, R.agreement(R.contexts(occ)).collect()))
+
+
+def test_words_and_characters_of_codes_move_packed(spark):
+    """Each word of a plan was a row of a sort and each character four bytes of another; words that the plan leaves out moved the codes of others."""
+    rng = np.random.default_rng(4)
+    index, plan_rows, want = [], [], {}
+    for uid in range(300):
+        own = np.repeat(rng.permutation(40) - 3, rng.integers(1, 9, 40)) if uid % 7 else np.array([], int)
+        index.append((uid, None if uid == 5 else [int(w) for w in own]))
+        held = {int(w): (int(rng.integers(1, 4)), int(rng.integers(0, 5))) for w in rng.permutation(38)[: uid % 30]}
+        plan_rows += [(uid, w, *x) for w, x in held.items()]
+        want[uid] = None if uid == 5 else [held[w][1] if w in held and held[w][0] > 1 else 9 for w in own]
+    rng.shuffle(plan_rows)
+    indexed = spark.createDataFrame(index, "uid long, word_index array<int>")
+    given = spark.createDataFrame([tuple(map(int, r)) for r in plan_rows], "uid int, idx long, n_codes int, code int")
+    got = B.plan_char_codes(given, indexed, 9)
+    assert {r.uid: r.codes for r in got.collect()} == want
+    assert "partial_collect_list(part" in plan(got) and "MapInArrow _plan_parts" in plan(got)
+    texts = pa.record_batch({"uid": [1, 2], "word_index": pa.array([np.repeat(np.arange(5000), 6), np.full(30_000, -1)], pa.list_(pa.int32()))})
+    runs = next(B._index_runs(iter([texts])))
+    assert runs.nbytes < texts.nbytes / 50
+    assert [b.num_rows for b in B._coded(iter([runs.append_column("parts", pa.nulls(2, pa.list_(B._PART)))]), 9)] == [2]
+
+
+def test_words_of_few_texts_are_held_at_once(spark):
+    """A worker held spans and numbers of all texts of an Arrow batch."""
+    docs = spark.createDataFrame([(1, "a bé  x9."), (2, None), (3, ""), (4, "𝒳y z𝒳 ﬁ"), (5, "..")], "uid long, text string")
+    want = docs.withColumn("spans", chars.word_spans("text")).select("uid", "spans", vocab.word_index(F.col("text"), F.col("spans")).alias("word_index"))
+    got = chars.with_word_spans(docs).join(chars.with_word_numbers(docs), "uid")
+    assert sorted(got.select(*want.columns).collect()) == sorted(want.collect()) and got.count() == 5
+    long = spark.range(9, numPartitions=1).select("id", F.repeat(F.lit("ab "), 200_000).alias("text"))
+    assert chars.with_word_numbers(long).where("size(word_index) = 600000").count() == 9
+    made = []
+    chars._in_slices(type("D", (), {"schema": long.schema, "mapInArrow": lambda self, run, schema: made.append(run)})(), "text", "n", chars._numbers, "array<int>")
+    batch = pa.record_batch({"id": list(range(9)), "text": ["ab " * 200_000] * 9})
+    assert [b.num_rows for b in made[0](iter([batch]))] == [1] * 9
