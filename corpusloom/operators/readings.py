@@ -169,6 +169,11 @@ def _mixed(word: np.ndarray, context: np.ndarray) -> np.ndarray:
     return mixed ^ ((mixed >> np.int64(32)) & np.int64(0xFFFFFFFF))
 
 
+def _part_of(number: np.ndarray, parts: int) -> np.ndarray:
+    """The part of numbers by their first bits: a part of 2 * n parts lies in one of n."""
+    return ((((number >> np.int64(32)) + (1 << 31)) * parts) >> 32).astype(np.int32)
+
+
 def _changes(*columns: np.ndarray) -> np.ndarray:
     """Whether a row differs from the one before it."""
     return np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)]
@@ -186,6 +191,13 @@ def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _cut(rows.filter(pattern.is_valid()) if pattern.null_count else rows, ROWS_PER_BLOCK)
 
 
+def _occurrence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, context, pattern and maybe held of occurrences by hashes; contexts are those of _text_rows()."""
+    for b in batches:
+        context = pa.array(_mixed(b["left"].to_numpy(), b["right"].to_numpy()))
+        yield b.drop_columns(["left", "right"]).append_column("context", context)
+
+
 def _first_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """word, pattern, uid, pos of the first k occurrences of each pattern of each word in a batch of Texts.hashes()."""
     for b in batches:
@@ -221,7 +233,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
         order = np.argsort(number)
         cols, number = {c: v[order] for c, v in cols.items()}, number[order]
         start = np.flatnonzero(_changes(cols["word"], cols["context"], cols["pattern"]))
-        part = ((((number[start] >> np.int64(32)) + (1 << 31)) * parts) >> 32).astype(np.int32)
+        part = _part_of(number[start], parts)
         first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         offsets = pa.array(np.r_[first, len(start)].astype(np.int32))
         sums = {"n": np.diff(np.r_[start, len(number)])} | ({"held": np.add.reduceat(cols["held"], start)} if "held" in cols else {})
@@ -298,9 +310,34 @@ def _unblocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shape_batches(batches: Iterator[pa.RecordBatch], held: bool) -> Iterator[pa.RecordBatch]:
+    """shapes_of() the rows of _blocks()."""
+    yield from shapes_of(_unblocked(batches), held)
+
+
+def counts_of(rows: Iterator[pa.RecordBatch], parts: int, lost: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """part, word, pattern, context, n of the rows of one task, which holds all rows of its contexts, in this order; without words that are lost."""
+    t = _counted(rows, ["word", "context", "pattern"], False, rest=False)
+    if t is None or not len(t):
+        return
+    cols = {c: t[c].to_numpy() for c in ("word", "pattern", "context", "n")}
+    if lost is not None and len(lost):
+        held = ~np.isin(cols["word"], lost)
+        cols = {c: v[held] for c, v in cols.items()}
+    order = np.lexsort([cols["context"], cols["pattern"], cols["word"]])
+    cols = {c: v[order] for c, v in cols.items()}
+    if not len(order):
+        return
+    start = np.flatnonzero(_changes(cols["word"], cols["pattern"], cols["context"]))
+    sums = np.add.reduceat(cols["n"], start)
+    cols = {c: cols[c][start] for c in ("word", "pattern", "context")}
+    part = _part_of(_mixed(cols["word"], cols["context"]), parts)
+    yield from pa.table({"part": part, **cols, "n": sums}).to_batches(max_chunksize=10_000)
+
+
+def shapes_of(rows: Iterator[pa.RecordBatch], held: bool = False) -> Iterator[pa.RecordBatch]:
     """word, shape, contexts of the rows of one task, which holds all rows of its contexts."""
-    t = _counted(_unblocked(batches), ["word", "context", "pattern"], held, rest=False)
-    if t is None:
+    t = _counted(rows, ["word", "context", "pattern"], held, rest=False)
+    if t is None or not len(t):
         return
     names = ["n"] + ["held"] * held
     cols = {c: t[c].to_numpy() for c in ("word", "context", "pattern", *names)}
@@ -356,15 +393,30 @@ def dealt_shapes(occ: DataFrame | Texts, size: int, held: str | None = None) ->
     counted by the million and shuffled once, by context, in blocks of those that go to one task; each task counts its own in Arrow.
     Equal shapes of several tasks stay rows of their own. held names a boolean column.
     """
+    made = f"word long, shape {_shape(held)}, contexts long"
+    return _dealt_blocks(occ, max(8, -(-size // ROWS_PER_TASK)), held).mapInArrow(lambda batches: _shape_batches(_unpacked(batches), held is not None), made)
+
+
+def dealt_counts(occ: DataFrame | Texts, parts: int) -> DataFrame:
+    """part, word, pattern, context, n: counts of the contexts of dealt_shapes(), each in the one task that has its part."""
+    return _dealt_blocks(occ, parts).mapInArrow(lambda batches: counts_of(_unblocked(_unpacked(batches)), parts), "part int, word long, pattern long, context long, n long")
+
+
+def _shape(held: str | None = None) -> str:
+    return f"array<struct<pattern: long, n: long{', held: long' if held else ''}>>"
+
+
+def _dealt_blocks(occ: DataFrame | Texts, parts: int, held: str | None = None) -> DataFrame:
+    """The _packed() blocks of occurrences, those of one part in one task."""
     more = [F.col(held).cast("long").alias("held")] if held else []
-    parts, moved = max(8, -(-size // ROWS_PER_TASK)), {"word": "long", "pattern": "long", "length": "int", "context": "long", "at": "int", "n": "int"} | ({"held": "int"} if held else {})
+    moved = {"word": "long", "pattern": "long", "length": "int", "context": "long", "at": "int", "n": "int"} | ({"held": "int"} if held else {})
     if isinstance(occ, Texts):
         rows, each = occ.hashes(*more), _text_rows
     else:
-        rows, each = occ.select(F.xxhash64("word").alias("word"), F.xxhash64("left", "right").alias("context"), F.xxhash64("pattern").alias("pattern"), *more), iter
-    blocks = rows.mapInArrow(lambda batches: _packed(_blocks(each(batches), parts)), ", ".join(["part int", *[f"{c} array<{kind}>" for c, kind in moved.items()]]))
-    made = f"word long, shape array<struct<pattern: long, n: long{', held: long' if held else ''}>>, contexts long"
-    return blocks.repartitionById(parts, F.col("part")).mapInArrow(lambda batches: _shape_batches(_unpacked(batches), held is not None), made)
+        rows, each = occ.select(*[F.xxhash64(c).alias(c) for c in ("word", "left", "right", "pattern")], *more), _occurrence_rows
+    schema = ", ".join(["part int", *[f"{c} array<{kind}>" for c, kind in moved.items()]])
+    blocks = rows.mapInArrow(lambda batches: _packed(_blocks(each(batches), parts)), schema)
+    return blocks.repartitionById(parts, F.col("part"))
 
 
 def named_shapes(shapes: DataFrame, patterns: DataFrame, *more: str) -> DataFrame:

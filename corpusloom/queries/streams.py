@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..operators import reading_state
 from ..session import read_table, scratch_path
 from ..streaming import ordered
 from .reading import QUERIES as _READING
-from .reading import _occ
+from .reading import _texts
 
 
 def stream_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +33,12 @@ def stream_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reading_state_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reading inventory from a state table to which the documents were added in three batches, the last first, compacted in between."""
     state = reading_state.ReadingState(spark, scratch_path(spark, "state"))
-    occ = _occ(spark, sf_dir)
+    texts = _texts(spark, sf_dir)
+    batch = lambda k: replace(texts, sentences=texts.sentences.where(F.pmod(F.xxhash64("uid"), F.lit(3)) == k))
     for k in (2, 0):
-        state.add(occ.where(F.pmod(F.xxhash64("uid"), F.lit(3)) == k), f"batch-{k}")
+        state.add(batch(k), f"batch-{k}")
     state.compact()
-    state.add(occ.where(F.pmod(F.xxhash64("uid"), F.lit(3)) == 1), "batch-1")
+    state.add(batch(1), "batch-1")
     return state.lexicon()
 
 

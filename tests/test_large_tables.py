@@ -15,6 +15,7 @@ from corpusloom import queries as core
 from corpusloom.functions import chars, marks, vocab
 from corpusloom.operators import batching as B
 from corpusloom.operators import cluster as C
+from corpusloom.operators import reading_state
 from corpusloom.operators import readings as R
 from corpusloom.operators.reading_state import ReadingState
 from corpusloom.queries import reading
@@ -280,3 +281,40 @@ def test_words_of_few_texts_are_held_at_once(spark):
     chars._in_slices(type("D", (), {"schema": long.schema, "mapInArrow": lambda self, run, schema: made.append(run)})(), "text", "n", chars._numbers, "array<int>")
     batch = pa.record_batch({"id": list(range(9)), "text": ["ab " * 200_000] * 9})
     assert [b.num_rows for b in made[0](iter([batch]))] == [1] * 9
+
+
+def test_state_deals_contexts_once(spark, tmp_path, monkeypatch):
+    """Contexts were shuffled again, as text, for each compaction and lexicon; tables of other numbers of parts meet part by part."""
+    monkeypatch.setattr(reading_state, "ROWS_PER_PART", 20)
+    docs = spark.range(120).selectExpr("id as uid", "concat_ws(' ', 'the', if(id % 3 = 0, 'Lead', 'lead'), if(id % 3 = 0, 'pipe', 'on'), concat('w', id % 9), if(id % 2 = 0, 'Rose', 'rose'), concat('x', id % 4)) as text")
+    texts = lambda by: R.Texts(docs.where(by), F.split("text", " "), F.lower)
+    whole = texts("true").occurrences()
+    want = sorted(map(tuple, R.mine(whole).collect()))
+    state = ReadingState(spark, str(tmp_path / "state"))
+    state.add(texts("uid < 30"), "few")
+    state.add(texts("uid >= 30").occurrences(), "many")  # rows and texts give the same contexts
+    assert sorted(state._dealt().values()) == [16, 32]
+    got = state.lexicon()
+    assert sorted(map(tuple, got.select("word", "code", "pattern", "n", "example", "total").collect())) == want and len(want) > 10
+    exact = sorted(map(tuple, R.agreement(R.contexts(whole)).collect()))
+    assert sorted(map(tuple, R.agreement(state.contexts()).collect())) == exact
+    assert "Exchange" not in plan(state._by_part(64, R.shapes_of, f"word long, shape {R._shape()}, contexts long"))
+    state.compact()
+    assert list(state._dealt().values()) == [64] and sorted(map(tuple, R.agreement(state.contexts()).collect())) == exact
+    rows = spark.read.parquet(*state._dealt())
+    assert rows.count() == R.contexts(whole).count() == rows.select("word", "pattern", "context").distinct().count()
+    assert sorted(map(tuple, state.lexicon().collect())) == want
+
+
+def test_contexts_of_the_state_take_little_room(spark, tmp_path):
+    """A row took its word and pattern as text and 12 bytes of hashes, and as much again in each shuffle."""
+    rng = np.random.default_rng(2)
+    word, context = rng.zipf(1.4, 300_000) % 9_000 * np.int64(7046029254386353131), rng.integers(-(1 << 62), 1 << 62, 300_000)
+    rows = pa.table({"word": word, "context": context, "pattern": word}).to_batches(max_chunksize=10_000)
+    counted = list(R.counts_of(iter(rows), 8))
+    assert sum(b.num_rows for b in counted) == 300_000 and set(np.concatenate([b["part"].to_numpy() for b in counted])) == set(range(8))
+    ReadingState(spark, str(tmp_path))._write_contexts(spark.createDataFrame(pa.Table.from_batches(counted)).coalesce(1), "t", 8)
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 10 * 300_000
+    lost = np.unique(word)[:5]
+    left = np.concatenate([b["word"].to_numpy() for b in R.counts_of(iter(rows), 8, lost)])
+    assert len(left) == (~np.isin(word, lost)).sum() < 300_000 and not np.isin(left, lost).any()
